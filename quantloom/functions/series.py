@@ -235,7 +235,8 @@ class Series:
         for name, p, q, alpha, adjust, size in plan:
             total = F.col(f"{p}s") + F.coalesce(F.col(f"{p}c"), F.lit(0.0)) * F.pow(F.lit(q), F.col(f"{p}o") + 1)
             if adjust:
-                value = total * (1 - q) / (1 - F.pow(F.lit(q), F.col(f"{p}n") + 1))
+                value = F.when(F.col(f"{p}n") == 0, F.col(f"{p}x")).otherwise(
+                    total * (1 - q) / (1 - F.pow(F.lit(q), F.col(f"{p}n") + 1)))
             else:
                 value = total * alpha + F.col(f"{p}f") * (1 - alpha) * F.pow(F.lit(q), F.col(f"{p}n"))
             out[name] = F.when(F.col(f"{p}x").isNotNull(), value)
@@ -261,7 +262,7 @@ def true_range(s: Series = S) -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc))
 
 
-def ladder(x, steps, default) -> Column:
+def ladder(steps, default) -> Column:
     """First matching step of [(condition, value), ...]."""
     out = None
     for cond, value in steps:

@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # no stack capture per Column call: wide factor frames build thousands of them
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -35,6 +37,8 @@ def local_spark(cores: int | str = 8, **conf) -> SparkSession:
         "spark.sql.shuffle.partitions": str(cores if cores != "*" else 8),
         "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "12g"),
         "spark.driver.host": "127.0.0.1",
+        # small inputs: let post-shuffle partitions stay as many as the cores
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     }
     return get_spark(f"local[{cores}]", **{**base, **conf})
 
@@ -45,12 +49,22 @@ def checkpoint(df, eager: bool = True):
     The cluster names the folder in ``spark.checkpoint.dir``; a private one is set only when the
     session has none (tests, local runs).
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
+    shared_folder(df.sparkSession, "checkpoint")
+    return df.checkpoint(eager)
+
+
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh folder for tables that outlive a stage, below the checkpoint folder of the session."""
+    import uuid
+
+    sc = spark.sparkContext
+    root = sc._jsc.sc().getCheckpointDir()
+    if root.isEmpty():
+        checkpoint_root = spark.conf.get("spark.checkpoint.dir", None)
+        if checkpoint_root is None:
             import tempfile
 
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager)
+            checkpoint_root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(checkpoint_root)
+        root = sc._jsc.sc().getCheckpointDir()
+    return f"{root.get()}/{tag}-{uuid.uuid4().hex}"
