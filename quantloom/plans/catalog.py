@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_technical", "q_basics"]
+MODULES = ["q_technical", "q_basics", "q_risk"]
 
 
 def load() -> None:
