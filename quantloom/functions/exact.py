@@ -59,7 +59,7 @@ def ranks(df: DataFrame, keys: list[str], by: list[str], cols: dict[str, tuple[s
     ``mean_row`` (1-based mean rank) or ``count`` (non-null values).  Returns keys + outputs.
     """
     inputs = sorted({c for c, _ in cols.values()})
-    long = unpivot(df, keys, inputs).where(F.col("value").isNotNull())
+    long = unpivot(df, [*keys, *[b for b in by if b not in keys]], inputs).where(F.col("value").isNotNull())
     g = [*by, "name"]
     vp = value_positions(long, g, "value")
     tot = vp.groupBy(*g).agg(F.sum("n").alias("_n"))

@@ -509,8 +509,8 @@ def rolling_quantile(t):
 
 def rank_pct(x, n):
     a = f"list({x}) FILTER (WHERE {x} IS NOT NULL) OVER {Q.frame(-(n - 1))}"
-    return (f"(CASE WHEN count({x}) OVER {Q.frame(-(n - 1))} >= {n} AND {x} IS NOT NULL THEN (len(list_filter({a}, lambda v: v < {x})) + "
-            f"(len(list_filter({a}, lambda v: v = {x})) + 1) / 2.0::DOUBLE) / {n} END)")
+    return (f"(CASE WHEN count({x}) OVER {Q.frame(-(n - 1))} >= {n} AND {x} IS NOT NULL THEN (len(list_filter({a}, lambda z_: z_ < {x})) + "
+            f"(len(list_filter({a}, lambda z_: z_ = {x})) + 1) / 2.0::DOUBLE) / {n} END)")
 
 
 @query("rolling_rank_pct", K, "rank_20", sql=chain("bars", {"rank_20": rank_pct("close", 20)}), tables="bars")
@@ -521,8 +521,8 @@ def rolling_rank_pct(t):
 def score_pct(x, n):
     f = Q.frame(-(n - 1), -1)
     a = f"list({x}) FILTER (WHERE {x} IS NOT NULL) OVER {f}"
-    return (f"(CASE WHEN count({x}) OVER {f} >= {n - 1} AND {x} IS NOT NULL THEN (len(list_filter({a}, lambda v: v < {x})) + "
-            f"len(list_filter({a}, lambda v: v <= {x}))) / 2.0::DOUBLE / {n - 1} END)")
+    return (f"(CASE WHEN count({x}) OVER {f} >= {n - 1} AND {x} IS NOT NULL THEN (len(list_filter({a}, lambda z_: z_ < {x})) + "
+            f"len(list_filter({a}, lambda z_: z_ <= {x}))) / 2.0::DOUBLE / {n - 1} END)")
 
 
 @query("rolling_percentile_of_score", K, "pos_20", sql=chain("bars", {"pos_20": score_pct("close", 20)}), tables="bars")

@@ -24,6 +24,11 @@ RETMKT = """returns_market AS (SELECT r.*, m.mclose, m.mret FROM returns r LEFT
 INDUSTRY = """industry_panel AS (
   SELECT industry AS symbol, date, avg(ret) AS ret, avg(close) AS close, sum(volume) AS volume
   FROM returns JOIN sector USING (symbol) WHERE ret IS NOT NULL GROUP BY industry, date)"""
+MACRO = """macro AS (
+  SELECT date, avg(CASE WHEN sector = 'AFRICA' THEN close END) / 400 AS rate3m, avg(CASE WHEN sector = 'AMERICA' THEN close END) / 400 AS rate5y,
+         avg(CASE WHEN sector = 'ASIA' THEN close END) / 400 AS rate10y, avg(CASE WHEN sector = 'EUROPE' THEN close END) / 400 AS rate30y,
+         stddev_samp(close) / 30 AS vix, avg(open) AS gold, avg(high) AS oil, avg(close) AS equity, sum(volume) AS volume, avg(low) AS usd
+  FROM bars JOIN sector USING (symbol) GROUP BY date)"""
 TICKS = """ticks AS (
   SELECT user_id AS symbol, ts, value AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS size,
          event_type, event_id FROM events)"""
@@ -78,18 +83,29 @@ TABLES = {  # name -> (text, needed names)
     "bars": (BARS, []), "returns": (RETURNS, ["bars"]), "sector": (SECTOR, []),
     "market_index": (INDEX, ["bars"]), "market_returns": (MRET, ["market_index"]),
     "returns_market": (RETMKT, ["returns", "market_returns"]), "industry_panel": (INDUSTRY, ["returns", "sector"]),
-    "ticks": (TICKS, []), "metrics": (METRICS, []), "options": (OPTIONS, []), "reports": (REPORTS, []),
+    "macro": (MACRO, ["bars", "sector"]), "ticks": (TICKS, []), "doc_sentiment": ("", []), "metrics": (METRICS, []), "options": (OPTIONS, []), "reports": (REPORTS, []),
     "positions": (POSITIONS, ["sector"]), "weights": (WEIGHTS, ["positions"]), "trades": (TRADES, []),
     "dirty_bars": (DIRTY, ["bars"]), "second_source": (SECOND, ["bars"]),
 }
 
 
+def lexicon_tables() -> str:
+    from quantloom.operators.sentiment import LEXICON
+    rows = ", ".join(f"('{w}', {round(p * 100)}, {round(s * 100)})" for w, (p, s) in LEXICON.items())
+    return (f"lexicon AS (SELECT * FROM (VALUES {rows}) v(token, pol, sub)), "
+            "doc_tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents), "
+            "doc_sentiment AS (SELECT d.doc_id, d.source AS symbol, d.lang, d.n_chars, coalesce(sum(pol)::DOUBLE / nullif(100 * count(pol), 0), 0) AS polarity, coalesce(sum(sub)::DOUBLE / nullif(100 * count(sub), 0), 0) AS subjectivity, count(pol) AS hits, "
+            "CASE WHEN coalesce(sum(pol)::DOUBLE / nullif(100 * count(pol), 0), 0) > 0.1 THEN 'positive' WHEN coalesce(sum(pol)::DOUBLE / nullif(100 * count(pol), 0), 0) < -0.1 THEN 'negative' ELSE 'neutral' END AS sentiment "
+            "FROM documents d LEFT JOIN doc_tokens USING (doc_id) LEFT JOIN lexicon USING (token) GROUP BY 1, 2, 3, 4)")
+
+
 def prelude(names: list[str]) -> list[str]:
     seen: dict[str, str] = {}
 
     def add(n):
         if n not in seen:
             text, deps = TABLES[n]
+            text = text or lexicon_tables()
             for d in deps:
                 add(d)
             seen[n] = text
@@ -106,7 +122,7 @@ def snap(x: str) -> str:
 
 
 # --- text builders -------------------------------------------------------------------------
-class Sql:
+class Sql:  # noqa: D101
     """Text counterparts of the series builders, for one (by, order) pair."""
 
     def __init__(self, by="symbol", order="date"):

@@ -69,6 +69,23 @@ class Tables:
                                                  F.sum("volume").alias("volume"))
                 .withColumnRenamed("industry", "symbol"))
 
+    def macro(self) -> DataFrame:
+        """Macro-shaped weekly series (a stand-in): one row per week of the calendar."""
+        d = self.bars().join(self.sector(), "symbol")
+
+        def level(name):
+            return F.avg(F.when(F.col("sector") == name, F.col("close"))) / 400
+        return d.groupBy("date").agg(
+            level("AFRICA").alias("rate3m"), level("AMERICA").alias("rate5y"), level("ASIA").alias("rate10y"), level("EUROPE").alias("rate30y"),
+            (F.stddev_samp("close") / 30).alias("vix"), F.avg("open").alias("gold"), F.avg("high").alias("oil"), F.avg("close").alias("equity"),
+            F.sum("volume").alias("volume"), F.avg("low").alias("usd"))
+
+    def doc_sentiment(self) -> DataFrame:
+        """(doc_id, symbol = source, polarity, subjectivity, ...) of whole document texts."""
+        from quantloom.operators.sentiment import text_polarity
+        d = text_polarity(self.read("documents").select("doc_id", F.col("source").alias("symbol"), "lang", "n_chars", "text"), "text")
+        return d.drop("text")
+
     # --- ticks, options, metrics -----------------------------------------------------------
     def ticks(self) -> DataFrame:
         return self.read("events").select(

@@ -33,3 +33,27 @@ def bars_from_ticks(ticks: DataFrame, width: str = "1 minute") -> DataFrame:
         F.sum("size").alias("volume"), F.try_divide(F.sum(F.col("price") * F.col("size")), F.sum("size")).alias("vwap"),
         F.count(F.lit(1)).alias("n"))
     return g.select("symbol", F.col("_w.start").alias("bar_start"), "open", "high", "low", "close", "volume", "vwap", "n")
+
+
+def last_n(ticks: DataFrame, n: int, buckets: int = 16) -> DataFrame:
+    """The newest n ticks per symbol; cut inside hash buckets first, so a hot symbol never meets one task whole."""
+    from pyspark.sql import Window
+    newest = [F.desc("ts"), F.desc("event_id")]
+    d = ticks.withColumn("_b", F.pmod(F.xxhash64("event_id"), F.lit(buckets)))
+    d = d.withColumn("rn", F.row_number().over(Window.partitionBy("symbol", "_b").orderBy(*newest))).where(F.col("rn") <= n)
+    return d.withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy(*newest))).where(F.col("rn") <= n).drop("_b")
+
+
+def last_ticks_microstructure(ticks: DataFrame, n: int = 1000, spread=None) -> DataFrame:
+    """Volatility, spread, vwap deviation (20) and price impact (10) over the newest n ticks.
+
+    The ticks carry no quotes; a thousandth of the price stands in for the spread unless given.
+    """
+    from pyspark.sql import Window
+    d = last_n(ticks, n).withColumn("_sp", F.col("price") / 1000 if spread is None else F.col(spread))
+    d = d.withColumn("_lr", F.log("price") - F.log(F.lag("price").over(Window.partitionBy("symbol").orderBy(F.desc("rn")))))
+    near = F.col("rn") <= 20
+    vwap = F.try_divide(F.sum(F.when(near, F.col("price") * F.col("size"))), F.sum(F.when(near, F.col("size"))))
+    return d.groupBy("symbol").agg(
+        (F.stddev_pop("_lr") * (252 * 24 * 60) ** 0.5).alias("volatility"), F.avg("_sp").alias("avg_spread"), F.stddev_pop("_sp").alias("spread_volatility"),
+        (F.try_divide(F.min_by("price", "rn"), vwap) - 1).alias("price_vwap_deviation"), F.avg(F.when(F.col("rn") <= 10, F.abs("_lr"))).alias("price_impact"))
