@@ -235,11 +235,11 @@ class Series:
         for name, p, q, alpha, adjust, size in plan:
             total = F.col(f"{p}s") + F.coalesce(F.col(f"{p}c"), F.lit(0.0)) * F.pow(F.lit(q), F.col(f"{p}o") + 1)
             if adjust:
-                value = F.when(F.col(f"{p}n") == 0, F.col(f"{p}x")).otherwise(
-                    total * (1 - q) / (1 - F.pow(F.lit(q), F.col(f"{p}n") + 1)))
+                value = total * (1 - q) / (1 - F.pow(F.lit(q), F.col(f"{p}n") + 1))
             else:
                 value = total * alpha + F.col(f"{p}f") * (1 - alpha) * F.pow(F.lit(q), F.col(f"{p}n"))
-            out[name] = F.when(F.col(f"{p}x").isNotNull(), value)
+            # the first row is the value itself, free of rounding
+            out[name] = F.when(F.col(f"{p}x").isNotNull(), F.when(F.col(f"{p}n") == 0, F.col(f"{p}x")).otherwise(value))
         d = d.withColumns(out)
         return d.drop(*[f"{p}{s}" for p in src.values() for s in "xnboscf"])
 

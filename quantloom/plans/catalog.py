@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_technical", "q_basics", "q_risk", "q_state_fund", "q_sentiment"]
+MODULES = ["q_technical", "q_basics", "q_risk", "q_state_fund", "q_sentiment", "q_backtest"]
 
 
 def load() -> None:
