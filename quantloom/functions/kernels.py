@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from quantloom.functions.series import S, Series
 
 
-def rolling_windows(df: DataFrame, col: str, n: int, s: Series = S, lo=None, hi=0) -> DataFrame:
-    """Keys and an array of the n values of each full window; shorter windows give NULL."""
+def rolling_windows(df: DataFrame, col: str, n: int, s: Series = S, lo=None, hi=0, min_periods: int | None = None) -> DataFrame:
+    """Keys and an array of the values of each window that holds enough of them (default n), else NULL."""
     f = s.frame(-(n - 1) if lo is None else lo, hi)
     x = F.col(col)
-    return df.select(*s.by, *s.order, F.when(F.count(x).over(f) == n, F.collect_list(x).over(f)).alias("_w"))
+    return df.select(*s.by, *s.order, F.when(F.count(x).over(f) >= (min_periods or n), F.collect_list(x).over(f)).alias("_w"))
 
 
 def map_windows(win: DataFrame, fns: dict[str, Callable], keys: list[str], n_out: dict[str, list[str]] | None = None) -> DataFrame:
@@ -45,8 +45,8 @@ def map_windows(win: DataFrame, fns: dict[str, Callable], keys: list[str], n_out
     return win.mapInPandas(run, schema)
 
 
-def rolling_apply(df: DataFrame, col: str, n: int, fns: dict[str, Callable], n_out=None, s: Series = S, lo=None, hi=0) -> DataFrame:
-    return map_windows(rolling_windows(df, col, n, s, lo, hi), fns, [*s.by, *s.order], n_out)
+def rolling_apply(df: DataFrame, col: str, n: int, fns: dict[str, Callable], n_out=None, s: Series = S, lo=None, hi=0, min_periods=None) -> DataFrame:
+    return map_windows(rolling_windows(df, col, n, s, lo, hi, min_periods), fns, [*s.by, *s.order], n_out)
 
 
 def apply_series(df: DataFrame, fn: Callable[[pd.Series], pd.Series], col: str, out: str = "value", s: Series = S) -> DataFrame:
@@ -57,3 +57,26 @@ def apply_series(df: DataFrame, fn: Callable[[pd.Series], pd.Series], col: str,
         pdf = pdf.sort_values(list(s.order)).reset_index(drop=True)
         return pdf[keys].assign(**{out: fn(pdf[col]).astype(float)})
     return df.select(*keys, col).groupBy(*s.by).applyInPandas(run, schema)
+
+
+def rolling_apply_pair(df: DataFrame, a: str, b: str, n: int, fns: dict[str, Callable], n_out=None, s: Series = S, lo=None, hi=0) -> DataFrame:
+    """Functions of two aligned windows; rows where either value is missing are left out of both."""
+    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_ab", F.struct(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")))
+    f = s.frame(-(n - 1) if lo is None else lo, hi)
+    full = F.count("_ab").over(f) == n
+    both = F.collect_list("_ab").over(f)
+    d = d.select(*s.by, *s.order, F.when(full, F.concat(F.transform(both, lambda r: r["a"]), F.transform(both, lambda r: r["b"]))).alias("_w"))
+    split = {k: (lambda w, fn=fn: fn(w[:n], w[n:])) for k, fn in fns.items()}
+    return map_windows(d, split, [*s.by, *s.order], n_out)
+
+
+def apply_frame(df: DataFrame, fn: Callable, cols: list[str], outs: list[str], s: Series = S) -> DataFrame:
+    """A function of several whole columns of one series (arrays in, arrays out)."""
+    keys = [*s.by, *s.order]
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema], *[f"{o} double" for o in outs]])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(s.order)).reset_index(drop=True)
+        res = fn(*[pdf[c].to_numpy(float) for c in cols])
+        return pdf[keys].assign(**{o: np.asarray(r, float) for o, r in zip(outs, res)})
+    return df.select(*keys, *cols).groupBy(*s.by).applyInPandas(run, schema)
