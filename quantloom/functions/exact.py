@@ -13,20 +13,35 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 
 
-def value_positions(df: DataFrame, by: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """(by, value, n, before): count of each distinct value and the number of smaller rows in its group."""
-    vc = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+def cumulative_sums(df: DataFrame, by: list[str], value: str, cols: dict[str, Column], buckets: int = BUCKETS) -> DataFrame:
+    """(by, value, sums, cum_<name>): per distinct value the sum of each column, and its running total up to
+    and including that value inside the group."""
+    names = list(cols)
+    vc = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[F.sum(c).alias(k) for k, c in cols.items()])
     probs = [i / buckets for i in range(1, buckets)]
     splits = vc.groupBy(*by).agg(F.percentile_approx(value, probs, 10000).alias("_splits"))
-    b = (vc.join(splits, by) if by else vc.crossJoin(F.broadcast(splits))).withColumn(
+    b = (vc.join(splits, by) if by else vc.crossJoin(F.broadcast(splits))).withColumn(  # one row when ungrouped
         "_b", F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
-    totals = b.groupBy(*by, "_b").agg(F.sum("n").alias("_t"))
+    totals = b.groupBy(*by, "_b").agg(*[F.sum(k).alias(f"_t_{k}") for k in names])
     order = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_b", F.coalesce(F.sum("_t").over(order), F.lit(0)).alias("_off"))
-    inner = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (b.join(offsets, [*by, "_b"])
-            .withColumn("before", F.col("_off") + F.coalesce(F.sum("n").over(inner), F.lit(0)))
-            .select(*by, value, "n", "before"))
+    offsets = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{k}").over(order), F.lit(0)).alias(f"_off_{k}") for k in names])
+    inner = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return (b.join(offsets, [*by, "_b"]).withColumns({f"cum_{k}": F.col(f"_off_{k}") + F.sum(k).over(inner) for k in names})
+            .select(*by, value, *names, *[f"cum_{k}" for k in names]))
+
+
+def value_positions(df: DataFrame, by: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+    """(by, value, n, before): count of each distinct value and the number of smaller rows in its group."""
+    c = cumulative_sums(df, by, value, {"n": F.lit(1)}, buckets)
+    return c.select(*by, value, "n", (F.col("cum_n") - F.col("n")).alias("before"))
+
+
+def two_sample_ks(df: DataFrame, by: list[str], value: str, first: Column) -> DataFrame:
+    """Kolmogorov-Smirnov distance between the rows where ``first`` holds and the rest of each group."""
+    c = cumulative_sums(df, by, value, {"a": first.cast("long"), "b": (~first).cast("long")})
+    g = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.sum(first.cast("long")).alias("_na"), F.sum((~first).cast("long")).alias("_nb"))
+    j = c.join(g, by) if by else c.crossJoin(F.broadcast(g))
+    return j.groupBy(*by).agg(F.max(F.abs(F.try_divide("cum_a", "_na") - F.try_divide("cum_b", "_nb"))).alias("ks"))
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], names: list[str]) -> DataFrame:

@@ -25,6 +25,9 @@ FEATURE_SCHEMA = "symbol long, n long, price double, sma_5 double, sma_20 double
 def lastn_features(ticks: DataFrame, keep: int = 21, rsi_n: int = 14) -> DataFrame:
     """Features of the newest ticks per symbol from a bounded, time-sorted state buffer.
 
+    Before the shuffle each Arrow batch keeps only its newest ``keep`` ticks per symbol and a count,
+    so a hot symbol reaches its state thinned.
+
     The buffer never holds more than ``keep`` ticks, however hot the symbol; arrivals are merged by
     (time, id), so order inside a micro-batch does not matter.
     """
@@ -33,7 +36,7 @@ def lastn_features(ticks: DataFrame, keep: int = 21, rsi_n: int = 14) -> DataFra
     def update(key, chunks, state):
         seen, buf = (0, []) if not state.exists else (state.get[0], list(zip(state.get[1], state.get[2], state.get[3])))
         for pdf in chunks:
-            seen += len(pdf)
+            seen += int(pdf["cnt"].sum())
             new = list(zip(pdf["ts"].astype("int64"), pdf["event_id"].astype("int64"), pdf["price"]))
             buf = sorted(buf + [(int(a), int(b), float(c)) for a, b, c in new])[-keep:]
         state.update((seen, [b[0] for b in buf], [b[1] for b in buf], [b[2] for b in buf]))
@@ -47,7 +50,13 @@ def lastn_features(ticks: DataFrame, keep: int = 21, rsi_n: int = 14) -> DataFra
         yield pd.DataFrame([[int(key[0]), seen, p.iloc[-1], p.tail(5).mean() if len(p) >= 5 else None, tail.mean() if len(p) >= 20 else None,
                              p.iloc[-1] / p.iloc[-6] - 1 if len(p) >= 6 else None, rsi, (p.iloc[-1] - tail.mean()) / sd if len(p) >= 20 and sd else None]],
                            columns=[c.split()[0] for c in FEATURE_SCHEMA.split(", ")])
-    return ticks.select("symbol", "ts", "event_id", "price").groupBy("symbol").applyInPandasWithState(
+    def thin(batches):
+        for pdf in batches:
+            d = pdf.sort_values(["symbol", "ts", "event_id"])
+            d["cnt"] = d.groupby("symbol")["ts"].transform("size").where(~d.duplicated("symbol", keep="last"), 0)
+            yield d.groupby("symbol").tail(keep)
+    thinned = ticks.select("symbol", "ts", "event_id", "price").mapInPandas(thin, "symbol long, ts timestamp, event_id long, price double, cnt long")
+    return thinned.groupBy("symbol").applyInPandasWithState(
         update, FEATURE_SCHEMA, "seen long, ts array<long>, id array<long>, price array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
@@ -98,7 +107,7 @@ def action_trigger(metrics: DataFrame, limit=60.0, cool_down_minutes=240) -> Dat
     """An action row when the metric passes the limit and the last action is older than the cool-down.
 
     Event times drive the cool-down; only rows over the limit leave the scan, and a micro-batch of
-    them is walked in time order per metric.
+    them, bounded by the files per trigger, is walked in time order per metric.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
     gap = cool_down_minutes * 60 * 10 ** 9
