@@ -211,7 +211,11 @@ def concentration(df: DataFrame, value="market_value", by=("portfolio",)) -> Dat
 
 # --- top-k -----------------------------------------------------------------------------------
 def top_n(df: DataFrame, score: str, n: int, by=(), tie=(), desc=True, salt=16) -> DataFrame:
-    """The n best rows per group; salted first, so that a hot group is cut before one task sees it."""
+    """The n best rows per group.
+
+    Spark limits every map task to its own best n per window group before the shuffle; the salted first
+    step spreads what is left of a hot group, and the last step sees at most n x salt rows of it.
+    """
     key = F.col(score).desc_nulls_last() if desc else F.col(score).asc_nulls_last()
     if not by:
         return df.orderBy(key, *tie).limit(n)

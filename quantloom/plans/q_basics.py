@@ -5,10 +5,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.exact import quantiles, unpivot, with_group_stats, with_ranks
-from quantloom.functions.series import S, Series, div, flag, ladder, span, with_pos
+from quantloom.functions.series import S, div, flag, ladder, span, with_pos
 from quantloom.operators import relational as R
 from quantloom.plans.registry import query
-from quantloom.plans.sql import Q, Sql, chain, ewm
+from quantloom.plans.sql import Q, chain, ewm
 from quantloom.plans.sql import flag as qflag
 from quantloom.session import shared_folder
 from quantloom.sources import io
@@ -48,6 +48,17 @@ def factor_table_append(t):
     return t.spark.read.schema("symbol long, date date, factor_value double, factor_name string").parquet(path)
 
 
+@query("report_sink_json_csv", "date", "avg_close avg_volume", "n", sql="SELECT date, avg(close) AS avg_close, avg(volume) AS avg_volume, count(*) AS n FROM bars GROUP BY 1", tables="bars")
+def report_sink_json_csv(t):
+    """A report written as JSON and as CSV, read back from both."""
+    rep = t.bars().groupBy("date").agg(F.avg("close").alias("avg_close"), F.avg("volume").alias("avg_volume"), F.count(F.lit(1)).alias("n"))
+    js, cs = shared_folder(t.spark, "report-json"), shared_folder(t.spark, "report-csv")
+    io.report_rows_json(rep.select("date", "avg_close", "n"), js)
+    io.report_rows_csv(rep.select("date", "avg_volume"), cs)
+    a = t.spark.read.schema("date date, avg_close double, n long").json(js)
+    return a.join(t.spark.read.schema("date date, avg_volume double").option("header", "true").csv(cs), "date")
+
+
 PERF = ("SELECT sector AS strategy_name, date, avg(ret) AS returns, count(*) AS n FROM returns JOIN sector USING (symbol) "
         "WHERE ret IS NOT NULL GROUP BY 1, 2")
 
@@ -603,13 +614,11 @@ def ntile_qcut(t):
     return R.bucketize(t.bars(), "volume", 5, ["date"])
 
 
-DAY = Series(("symbol", "day"), ("ts",))
-
-
 @query("intraday_cumulative", "symbol ts", "cum_change", sql=chain("ticks", {"day": "CAST(ts AS DATE)"}, {"cum_change": "price / first_value(price) OVER (PARTITION BY symbol, day ORDER BY ts) - 1"}), tables="ticks")
 def intraday_cumulative(t):
-    d = t.ticks().withColumn("day", F.to_date("ts"))
-    return d.withColumn("cum_change", div("price", F.first("price").over(DAY.run)) - 1).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    # the first price of a day is an aggregate, so a hot symbol's ticks never meet in one window
+    d = with_group_stats(t.ticks().withColumn("day", F.to_date("ts")), ["symbol", "day"], {"_first": F.min_by("price", "ts")})
+    return d.withColumn("cum_change", div("price", "_first") - 1).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("time_position", "symbol", "first_close last_close back_5 back_20",
