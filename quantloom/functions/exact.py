@@ -10,52 +10,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+def attach(df: DataFrame, table: DataFrame, by: list[str], on: list[str] | None = None) -> DataFrame:
+    """Join a per-group table; adaptive execution broadcasts it when it turns out small.
+
+    Without keys the table is a single row.
+    """
+    on = by if on is None else on
+    return df.join(table, on) if on else df.crossJoin(F.broadcast(table))
 
 
-def cumulative_sums(df: DataFrame, by: list[str], value: str, cols: dict[str, Column], buckets: int = BUCKETS) -> DataFrame:
-    """(by, value, sums, cum_<name>): per distinct value the sum of each column, and its running total up to
-    and including that value inside the group."""
+def cumulative_sums(df: DataFrame, by: list[str], value: str, cols: dict[str, Column], buckets: int | None = None) -> DataFrame:
+    """(by, value, sums, cum_<name>, all_<name>): per distinct value the sum of each column, its running total
+    up to and including that value, and the total of the group."""
     names = list(cols)
-    vc = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[F.sum(c).alias(k) for k, c in cols.items()])
-    probs = [i / buckets for i in range(1, buckets)]
-    splits = vc.groupBy(*by).agg(F.percentile_approx(value, probs, 10000).alias("_splits"))
-    b = (vc.join(splits, by) if by else vc.crossJoin(F.broadcast(splits))).withColumn(  # one row when ungrouped
-        "_b", F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
-    totals = b.groupBy(*by, "_b").agg(*[F.sum(k).alias(f"_t_{k}") for k in names])
-    order = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{k}").over(order), F.lit(0)).alias(f"_off_{k}") for k in names])
+    k = buckets or (16 if "date" in by or "symbol" in by else 64)
+    vc = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in cols.items()])
+    splits = vc.groupBy(*by).agg(F.percentile_approx(value, [i / k for i in range(1, k)], 1000).alias("_splits"))
+    cut = F.size(F.filter("_splits", lambda s: s < F.col(value)))
+    b = attach(vc, splits, by).withColumn("_b", cut).drop("_splits")
+    totals = b.groupBy(*by, "_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
+    group = Window.partitionBy(*by)
+    order = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(order), F.lit(0)).alias(f"_off_{n}") for n in names],
+                            *[F.sum(f"_t_{n}").over(group).alias(f"all_{n}") for n in names])
     inner = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return (b.join(offsets, [*by, "_b"]).withColumns({f"cum_{k}": F.col(f"_off_{k}") + F.sum(k).over(inner) for k in names})
-            .select(*by, value, *names, *[f"cum_{k}" for k in names]))
+    return (attach(b, offsets, by, [*by, "_b"]).withColumns({f"cum_{n}": F.col(f"_off_{n}") + F.sum(n).over(inner) for n in names})
+            .select(*by, value, *names, *[f"cum_{n}" for n in names], *[f"all_{n}" for n in names]))
 
 
-def value_positions(df: DataFrame, by: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """(by, value, n, before): count of each distinct value and the number of smaller rows in its group."""
-    c = cumulative_sums(df, by, value, {"n": F.lit(1)}, buckets)
-    return c.select(*by, value, "n", (F.col("cum_n") - F.col("n")).alias("before"))
+def value_positions(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, n, before, total): count of each distinct value, of the smaller rows, and of the group."""
+    c = cumulative_sums(df, by, value, {"n": F.lit(1)})
+    return c.select(*by, value, "n", (F.col("cum_n") - F.col("n")).alias("before"), F.col("all_n").alias("total"))
 
 
 def two_sample_ks(df: DataFrame, by: list[str], value: str, first: Column) -> DataFrame:
     """Kolmogorov-Smirnov distance between the rows where ``first`` holds and the rest of each group."""
     c = cumulative_sums(df, by, value, {"a": first.cast("long"), "b": (~first).cast("long")})
-    g = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.sum(first.cast("long")).alias("_na"), F.sum((~first).cast("long")).alias("_nb"))
-    j = c.join(g, by) if by else c.crossJoin(F.broadcast(g))
-    return j.groupBy(*by).agg(F.max(F.abs(F.try_divide("cum_a", "_na") - F.try_divide("cum_b", "_nb"))).alias("ks"))
+    return c.groupBy(*by).agg(F.max(F.abs(F.try_divide("cum_a", "all_a") - F.try_divide("cum_b", "all_b"))).alias("ks"))
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], names: list[str]) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group."""
-    vp = value_positions(df, by, value)
-    totals = df.groupBy(*by).agg(F.count(value).alias("_n"))
-    j = vp.join(totals, by) if by else vp.crossJoin(F.broadcast(totals))
+    j = value_positions(df, by, value)
 
     def at(pos: Column) -> Column:
         return F.max(F.when((F.col("before") <= pos) & (pos < F.col("before") + F.col("n")), F.col(value)))
 
     aggs, out = [], []
     for i, (p, name) in enumerate(zip(probs, names)):
-        h = (F.col("_n") - 1) * F.lit(float(p))
+        h = (F.col("total") - 1) * F.lit(float(p))
         aggs += [at(F.floor(h)).alias(f"_lo{i}"), at(F.ceil(h)).alias(f"_hi{i}"),
                  F.max(h - F.floor(h)).alias(f"_f{i}")]
         out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(name))
@@ -76,9 +80,7 @@ def ranks(df: DataFrame, keys: list[str], by: list[str], cols: dict[str, tuple[s
     inputs = sorted({c for c, _ in cols.values()})
     long = unpivot(df, [*keys, *[b for b in by if b not in keys]], inputs).where(F.col("value").isNotNull())
     g = [*by, "name"]
-    vp = value_positions(long, g, "value")
-    tot = vp.groupBy(*g).agg(F.sum("n").alias("_n"))
-    j = long.join(vp.join(tot, g), [*g, "value"])
+    j = long.join(value_positions(long, g, "value").withColumnRenamed("total", "_n"), [*g, "value"])
     kinds = {
         "min": (F.col("before") + 1) / F.col("_n"),
         "avg": (F.col("before") + (F.col("n") + 1) / 2) / F.col("_n"),
@@ -97,4 +99,4 @@ def with_ranks(df: DataFrame, keys: list[str], by: list[str], cols: dict[str, tu
 def with_group_stats(df: DataFrame, by: list[str], aggs: dict[str, Column]) -> DataFrame:
     """Join plain group aggregates back to the rows (partial aggregation, no window over the group)."""
     stats = df.groupBy(*by).agg(*[a.alias(k) for k, a in aggs.items()])
-    return df.join(stats, by, "left") if by else df.crossJoin(F.broadcast(stats))
+    return df.join(stats, by, "left") if by else df.crossJoin(F.broadcast(stats))  # one row

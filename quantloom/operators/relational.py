@@ -229,9 +229,7 @@ def top_n(df: DataFrame, score: str, n: int, by=(), tie=(), desc=True, salt=16)
 
 def top_fraction(df: DataFrame, score: str, share: float, by=("date",), keys=("symbol", "date")) -> DataFrame:
     """Rows among the best floor(n * share) (at least one) of their group; ties by value are kept together."""
-    vp = value_positions(df, list(by), score)
-    tot = df.groupBy(*by).agg(F.count(score).alias("_n"))
-    j = df.join(vp.join(tot, list(by)), [*by, score])
+    j = df.join(value_positions(df, list(by), score).withColumnRenamed("total", "_n"), [*by, score])
     above = F.col("_n") - F.col("before") - F.col("n")
     return j.where(above < F.greatest(F.floor(F.col("_n") * F.lit(share)), F.lit(1))).select(*df.columns)
 
@@ -245,9 +243,7 @@ def rank_by_date(df: DataFrame, score: str, keys=("symbol", "date"), by=("date",
 def bucketize(df: DataFrame, col: str, n: int, by=(), out="bucket") -> DataFrame:
     """Quantile buckets 1..n by exact rank; equal values share a bucket."""
     vp = value_positions(df, list(by), col)
-    tot = vp.groupBy(*by).agg(F.sum("n").alias("_n"))
-    j = (vp.join(tot, list(by)) if by else vp.crossJoin(F.broadcast(tot)))
-    b = j.select(*by, col, (F.floor(F.col("before") * n / F.col("_n")) + 1).cast("int").alias(out))
+    b = vp.select(*by, col, (F.floor(F.col("before") * n / F.col("total")) + 1).cast("int").alias(out))
     return df.join(b, [*by, col], "left")
 
 
