@@ -411,7 +411,9 @@ def factor_scores_buckets(t):
 def rank_symbols_by_score(t):
     """Flagship: symbols ranked by their mean score on the last bar (exact rank without one big task)."""
     from quantloom.functions.exact import with_ranks
+    from quantloom.session import checkpoint
     d = T.factor_scores(T.factor_snapshot(t.bars()))
     total = sum((F.col(c) for c in SCORES.split()), F.lit(0))
-    d = d.select("symbol", "date", (total / F.lit(5.0)).alias("score")).withColumn("_neg", -F.col("score"))
+    # one short row per symbol, read several times by the ranking: computed once and written reliably
+    d = checkpoint(d.select("symbol", "date", (total / F.lit(5.0)).alias("score"))).withColumn("_neg", -F.col("score"))
     return with_ranks(d, ["symbol", "date"], [], {"position": ("_neg", "row")})
