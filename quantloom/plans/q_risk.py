@@ -155,10 +155,9 @@ def sector_wide(t):
     return g.groupBy("date").pivot("sector", SECTORS).agg(F.avg("ret"))
 
 
-COVE = (f"WITH s AS ({SR}), a AS (SELECT a.sector AS a, b.sector AS b, a.date, a.ret AS x, b.ret AS y, count(*) OVER (PARTITION BY a.sector, b.sector) AS n, "
-        "row_number() OVER (PARTITION BY a.sector, b.sector ORDER BY a.date) AS k FROM s a JOIN s b ON a.date = b.date AND a.sector <= b.sector), "
-        "c AS (SELECT a, b, covar_samp(x, y) * 252 AS sample, (sum(pow(0.94::DOUBLE, n - k) * x * y) - sum(pow(0.94::DOUBLE, n - k) * x) * sum(pow(0.94::DOUBLE, n - k) * y) / sum(pow(0.94::DOUBLE, n - k))) / "
-        "(sum(pow(0.94::DOUBLE, n - k)) - sum(pow(0.94::DOUBLE, 2 * (n - k))) / sum(pow(0.94::DOUBLE, n - k))) * 252 AS ewma FROM a GROUP BY 1, 2), "
+# weights age with the calendar; a pair uses the dates on which both sectors are present
+COVE = (f"WITH s AS ({SR}), ds AS (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS age FROM (SELECT DISTINCT date FROM s)), a AS (SELECT a.sector AS a, b.sector AS b, a.ret AS x, b.ret AS y, pow(0.94::DOUBLE, age) AS w FROM s a JOIN s b ON a.date = b.date AND a.sector <= b.sector JOIN ds ON ds.date = a.date), "
+        "c AS (SELECT a, b, covar_samp(x, y) * 252 AS sample, (sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / (sum(w) - sum(w * w) / sum(w)) * 252 AS ewma FROM a GROUP BY 1, 2), "
         "m AS (SELECT avg(sample) AS av FROM c WHERE a = b) SELECT a, b, sample, ewma, 0.8 * sample + CASE WHEN a = b THEN 0.2 * av ELSE 0 END AS shrunk FROM c CROSS JOIN m")
 
 
@@ -167,10 +166,11 @@ def cov_matrix_estimators(t):
     """Sample, shrunk and EWMA covariance of a short list of columns, from one aggregation."""
     from pyspark.sql import Window
     w = sector_wide(t).withColumn("_w", F.pow(F.lit(0.94), F.row_number().over(Window.orderBy(F.desc("date"))) - 1))  # one row per week
-    aggs, k = [], F.col("_w")
+    aggs = []
     for i, a in enumerate(SECTORS):
         for b in SECTORS[i:]:
             x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
+            k = F.when(x.isNotNull() & y.isNotNull(), F.col("_w"))
             ew = div(F.sum(k * x * y) - div(F.sum(k * x) * F.sum(k * y), F.sum(k)), F.sum(k) - div(F.sum(k * k), F.sum(k))) * 252
             aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.covar_samp(x, y) * 252).alias("sample"), ew.alias("ewma")))
     row = w.agg(F.array(*aggs).alias("p"))
