@@ -3,3 +3,35 @@
 EXACT_DEDUP = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
+
+# Checksum by table steps of 8 bits; the jump hash as a recursion with 64-bit wrap-around in HUGEINT.
+SHARDING = """
+WITH RECURSIVE
+ bit(i, k, v) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i)
+   UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bit WHERE k < 8),
+ tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM bit WHERE k = 8),
+ d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, coalesce(strlen(text), 0) + 8 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ crc AS MATERIALIZED (SELECT r, doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(h) // 2),
+     lambda x: ('0x' || h[2 * x + 1:2 * x + 2])::BIGINT)), lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1]))) AS text_crc32 FROM d, tab),
+ jump(r, n, key, spot, nxt) AS (
+   SELECT r, n, CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END, 0::BIGINT, 0::BIGINT FROM d, (VALUES (24), (25)) s(n)
+   UNION ALL SELECT r, n, k2, nxt, floor((nxt + 1) * (2147483648::DOUBLE / (k2 // 8589934592 + 1)::DOUBLE))::BIGINT
+   FROM (SELECT r, n, nxt, (((key // 4294967296) * 2862933555777941757 % 4294967296) * 4294967296 + (key % 4294967296) * 2862933555777941757 + 1) % 18446744073709551616 AS k2 FROM jump WHERE nxt < n)),
+ shard AS (SELECT r, n, max(spot) AS s FROM jump GROUP BY r, n)
+SELECT c.doc_id, c.size, c.text_crc32, 'key' AS law, a.s::INTEGER AS shard, row_number() OVER (PARTITION BY a.s ORDER BY c.doc_id NULLS FIRST, c.size, c.text_crc32) - 1 AS slot, b.s::INTEGER AS grown_shard
+FROM crc c JOIN shard a ON a.r = c.r AND a.n = 24 JOIN shard b ON b.r = c.r AND b.n = 25"""
+
+# Windows as joined words; every word position is looked up for each window length that occurs.
+DECONTAMINATION = """
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+ b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+ win AS (SELECT DISTINCT item_id, k, list_aggregate(ws[i:i + k - 1], 'string_agg', ' ') AS g
+   FROM (SELECT item_id, ws, least(13, len(ws)) AS k, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+ ks AS (SELECT DISTINCT k FROM win),
+ pos AS (SELECT r, k, i, list_aggregate(ws[i:i + k - 1], 'string_agg', ' ') AS g FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, ks WHERE len(ws) >= k)),
+ hit AS MATERIALIZED (SELECT DISTINCT r, pos.k, i, item_id FROM pos JOIN win ON pos.k = win.k AND pos.g = win.g),
+ words AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hit) GROUP BY r),
+ its AS (SELECT r, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+ coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN words USING (r) LEFT JOIN its USING (r)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import exact_dedup, oracles
+from quantloom.llm import decontaminate, exact_dedup, oracles, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     d = exact_dedup.decisions(table(spark, folder, "documents"))
     return d.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
+
+
+@register("op4_jump_hash_sharding", oracles.SHARDING)
+def op4_jump_hash_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    d = sharding.assign(table(spark, folder, "documents"), shards=24)
+    return d.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+
+
+@register("op5_benchmark_decontamination", oracles.DECONTAMINATION)
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    d = decontaminate.verdicts(decontaminate.find_spans(docs, table(spark, folder, "benchmark"), keep_text=False))
+    return d.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
