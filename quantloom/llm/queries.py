@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import decontaminate, exact_dedup, oracles, sharding
+from quantloom.llm import bpe, decontaminate, exact_dedup, near_dedup, oracles, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +32,12 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
 
 
+@register("op2_bpe_forced_boundaries")
+def op2_bpe_forced_boundaries(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 @register("op4_jump_hash_sharding", oracles.SHARDING)
 def op4_jump_hash_sharding(spark: SparkSession, folder: str) -> DataFrame:
     d = sharding.assign(table(spark, folder, "documents"), shards=24)
@@ -42,3 +49,9 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     docs = table(spark, folder, "documents").select("doc_id", "text")
     d = decontaminate.verdicts(decontaminate.find_spans(docs, table(spark, folder, "benchmark"), keep_text=False))
     return d.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@register("op10_hyperminhash_near_dedup", oracles.NEAR_DEDUP)
+def op10_hyperminhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    d = near_dedup.near_duplicates(table(spark, folder, "documents"), words=2, percent=80)
+    return d.select("doc_id", "n_shingles", "component_id", "kept")
