@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, decontaminate, exact_dedup, near_dedup, oracles, sharding
+from quantloom.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, oracles, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@register("op7_ftrl_language_id")
+def op7_ftrl_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language_id.fit(docs, ~language_id.held_out())
+    p = language_id.predict(docs.select("doc_id", language_id.held_out().alias("held_out"), "text"), model)
+    return p.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
 @register("op9_exact_dedup", oracles.EXACT_DEDUP)
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     d = exact_dedup.decisions(table(spark, folder, "documents"))
