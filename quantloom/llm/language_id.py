@@ -194,7 +194,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(id_crc(id_col), F.lit(4)) == 2
 
 
-def recognised(docs: DataFrame, model: Model, text: str = "text", min_score: float = 0.5) -> DataFrame:
+def recognised(docs: DataFrame, model: Model, text: str = "text", min_score: float = 0.3) -> DataFrame:
     """The documents, as given, whose language is recognised with at least ``min_score``."""
     p = predict(docs, model, text, keep_text=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
     return p.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

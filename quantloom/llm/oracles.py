@@ -48,3 +48,8 @@ WITH RECURSIVE
  comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)"""
+
+WARC = """
+SELECT page_id, strlen(p) AS payload_bytes, sha256(p) AS payload_digest, CASE WHEN strlen(p) >= 100 AND page_id > first_ THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN strlen(p) >= 100 AND page_id > first_ THEN first_ END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS p, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_ FROM pages)"""

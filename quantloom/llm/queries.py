@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, oracles, sharding
+from quantloom.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, oracles, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,11 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
 
 
+@register("op1_warc_capture_index", oracles.WARC)
+def op1_warc_capture_index(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.capture_index(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register("op2_bpe_forced_boundaries")
 def op2_bpe_forced_boundaries(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
