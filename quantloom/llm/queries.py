@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, oracles, sharding, warc
+from quantloom.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, oracles, sharding, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,16 @@ def op2_bpe_forced_boundaries(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+#: The rules of the query.
+URL_RULES = [url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"), url_filter.Rule("allow", "www.example.com", "/en/"),
+             url_filter.Rule("block", "net", "/es/"), url_filter.Rule("block", "net", "/fr/")]
+
+
+@register("op3_link_graph_url_filter")
+def op3_link_graph_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.verdicts(table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 @register("op4_jump_hash_sharding", oracles.SHARDING)
 def op4_jump_hash_sharding(spark: SparkSession, folder: str) -> DataFrame:
     d = sharding.assign(table(spark, folder, "documents"), shards=24)
