@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, oracles, sharding, url_filter, warc
+from quantloom.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, oracles, quality, sharding, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,12 @@ def op7_ftrl_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
+@register("op8_quadratic_discriminant_quality")
+def op8_quadratic_discriminant_quality(spark: SparkSession, folder: str) -> DataFrame:
+    d = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), ~quality.held_out(), limit=0.3)
+    return d.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 @register("op9_exact_dedup", oracles.EXACT_DEDUP)
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     d = exact_dedup.decisions(table(spark, folder, "documents"))
