@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, oracles, quality, sharding, url_filter, warc
+from quantloom.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, oracles, pii, quality, sharding, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@register("op6_information_theoretic_pii")
+def op6_information_theoretic_pii(spark: SparkSession, folder: str) -> DataFrame:
+    d = pii.span_columns(pii.find(table(spark, folder, "documents").select("doc_id", "text")))
+    return d.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 @register("op7_ftrl_language_id")
 def op7_ftrl_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
