@@ -75,8 +75,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     score = start
     if not step.isEmpty():
         for i in range(1, rounds + 1):
-            flow = score.join(step, (score["kind"] == step["kind"]) & (score["host"] == step["src"])).select(
-                step["kind"], F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
+            flow = score.withColumnRenamed("host", "src").join(step, ["kind", "src"]).select(
+                "kind", F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
             score = start.unionByName(flow).groupBy("kind", "host").agg(F.sum("score").alias("score"))
             if i % every == 0:
                 score = checkpoint(score)
