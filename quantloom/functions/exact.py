@@ -23,9 +23,10 @@ def cumulative_sums(df: DataFrame, by: list[str], value: str, cols: dict[str, Co
     """(by, value, sums, cum_<name>, all_<name>): per distinct value the sum of each column, its running total
     up to and including that value, and the total of the group."""
     names = list(cols)
-    k = buckets or (16 if "date" in by or "symbol" in by else 64)
+    # the buckets follow the parallelism of the session, which follows the data
+    k = buckets or max(16, min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     vc = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in cols.items()])
-    splits = vc.groupBy(*by).agg(F.percentile_approx(value, [i / k for i in range(1, k)], 1000).alias("_splits"))
+    splits = vc.groupBy(*by).agg(F.percentile_approx(value, [i / k for i in range(1, k)], max(1000, 4 * k)).alias("_splits"))
     cut = F.size(F.filter("_splits", lambda s: s < F.col(value)))
     b = attach(vc, splits, by).withColumn("_b", cut).drop("_splits")
     totals = b.groupBy(*by, "_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.exact import with_group_stats
+from quantloom.functions.graph import component_labels
 from quantloom.functions.series import S, Series, div, flag
+from quantloom.operators.cross_section import mean_correlation
 from quantloom.operators.relational import corr_agg
 from quantloom.session import checkpoint
 
@@ -128,23 +130,11 @@ def paths_centrality(panel: DataFrame, n=60, threshold=0.2, value="ret") -> Data
     return map_networks(panel_windows(panel, value, n), fn, "date date, node string, closeness double, betweenness double, avg_path double, diameter double")
 
 
-def connected_components(edge: DataFrame, nodes: DataFrame, max_rounds=100) -> DataFrame:
-    """Smallest reachable node name per (date, node), all dates at once.
-
-    Labels spread by joins until nothing changes; every few rounds a reliable checkpoint cuts the lineage.
-    """
-    both = edge.select("date", F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edge.select("date", F.col("b").alias("node"), F.col("a").alias("other")))
-    both = checkpoint(both.distinct())
-    lab = checkpoint(nodes.select("date", "node").withColumn("label", F.col("node")))
-    for _ in range(max_rounds):
-        near = both.join(lab.withColumnRenamed("node", "other"), ["date", "other"]).groupBy("date", "node").agg(F.min("label").alias("_m"))
-        new = lab.join(near, ["date", "node"], "left").select("date", "node", F.least("label", F.coalesce("_m", "label")).alias("label"), (F.col("_m") < F.col("label")).alias("_c"))
-        new = checkpoint(new)
-        changed = new.where(F.col("_c")).limit(1).count()
-        lab = new.drop("_c")
-        if not changed:
-            return lab
-    return lab
+def connected_components(edge: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Smallest reachable node name per (date, node), all dates at once, whatever the length of the paths."""
+    ends = edge.select(F.struct("date", F.col("a").alias("node")).alias("a"), F.struct("date", F.col("b").alias("node")).alias("b"))
+    lab = component_labels(ends).select("node.date", "node.node", F.col("label.node").alias("label"))
+    return nodes.select("date", "node").join(lab, ["date", "node"], "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def contagion(df: DataFrame, n=60, s: Series = S) -> DataFrame:
@@ -155,14 +145,8 @@ def contagion(df: DataFrame, n=60, s: Series = S) -> DataFrame:
 
 
 def group_mean_correlation(returns: DataFrame, window=60, group=(), s: Series = S) -> DataFrame:
-    """Mean correlation with the other members of the (date, group) over the window, in linear form."""
-    f = s.past(window)
-    d = returns.withColumns({"_x": F.collect_list("ret").over(f), "_m": F.avg("ret").over(f), "_sd": F.stddev_samp("ret").over(f)})
-    d = d.where((F.size("_x") == window) & (F.col("_sd") > 0)).select(*s.by, *s.order, *group, F.transform("_x", lambda x: (x - F.col("_m")) / F.col("_sd")).alias("_z"))
-    total = d.groupBy(*s.order, *group).agg(F.array(*[F.sum(F.col("_z")[i]) for i in range(window)]).alias("_t"), F.count(F.lit(1)).alias("_k"))
-    j = d.join(total, [*s.order, *group])
-    dot = F.aggregate(F.zip_with("_z", "_t", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / (window - 1)
-    return j.select(*s.by, *s.order, *group, F.when(F.col("_k") > 1, div(dot - 1, F.col("_k") - 1)).alias("mean_corr"))
+    """Mean correlation with the other members of the (date, group) over the dates up to each date, in linear form."""
+    return mean_correlation(returns, window, s, group, ahead=0)
 
 
 def supply_chain(links: DataFrame, returns: DataFrame) -> DataFrame:

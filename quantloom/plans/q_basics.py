@@ -108,7 +108,7 @@ def standardize_ohlcv_columns(t):
 
 
 @query("symbol_universe_read", "symbol",
-       sql="SELECT DISTINCT p_type AS symbol FROM part WHERE p_type = upper(p_type) ORDER BY 1 LIMIT 100")
+       sql="SELECT DISTINCT p_type AS symbol FROM part WHERE p_type = upper(p_type) ORDER BY 1")
 def symbol_universe_read(t):
     return io.symbol_universe(t.read("part"), "p_type")
 
@@ -442,7 +442,7 @@ def resample_daily_mean(t):
     return t.ticks().groupBy("symbol", F.to_date("ts").alias("day")).agg(F.avg("price").alias("price"))
 
 
-TB = ("SELECT symbol, date_trunc('hour', ts) AS bar_start, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close, "
+TB = ("SELECT symbol, date_trunc('hour', ts) AS bar_start, arg_min(price, struct_pack(ts, event_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, struct_pack(ts, event_id)) AS close, "
       "sum(size) AS volume, sum(price * size) / nullif(sum(size), 0) AS vwap, count(*) AS n FROM ticks GROUP BY 1, 2")
 
 
@@ -614,10 +614,10 @@ def ntile_qcut(t):
     return R.bucketize(t.bars(), "volume", 5, ["date"])
 
 
-@query("intraday_cumulative", "symbol ts", "cum_change", sql=chain("ticks", {"day": "CAST(ts AS DATE)"}, {"cum_change": "price / first_value(price) OVER (PARTITION BY symbol, day ORDER BY ts) - 1"}), tables="ticks")
+@query("intraday_cumulative", "symbol ts", "cum_change", sql=chain("ticks", {"day": "CAST(ts AS DATE)"}, {"cum_change": "price / first_value(price) OVER (PARTITION BY symbol, day ORDER BY ts, event_id) - 1"}), tables="ticks")
 def intraday_cumulative(t):
     # the first price of a day is an aggregate, so a hot symbol's ticks never meet in one window
-    d = with_group_stats(t.ticks().withColumn("day", F.to_date("ts")), ["symbol", "day"], {"_first": F.min_by("price", "ts")})
+    d = with_group_stats(t.ticks().withColumn("day", F.to_date("ts")), ["symbol", "day"], {"_first": F.min_by("price", F.struct("ts", "event_id"))})
     return d.withColumn("cum_change", div("price", "_first") - 1).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

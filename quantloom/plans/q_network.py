@@ -11,6 +11,7 @@ from quantloom.operators import network as NW
 from quantloom.operators import quality as DQ
 from quantloom.operators import relational as REL
 from quantloom.plans.q_basics import DED, SUPPLY
+from quantloom.plans.q_state_fund import aligned
 from quantloom.plans.q_technical import GL, rsi
 from quantloom.plans.registry import query
 from quantloom.plans.sql import Q, chain, flag
@@ -65,18 +66,12 @@ def network_contagion(t):
     return NW.contagion(t.returns())
 
 
-def gmc(src, window, group):
-    g = f"AND a.{group} = b.{group}" if group else ""
-    return (f"WITH v AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM {src}), z AS (SELECT a.symbol, a.date{', a.' + group if group else ''}, a.k - b.k AS age, (b.ret - avg(b.ret) OVER w) / stddev_samp(b.ret) OVER w AS z, count(*) OVER w AS n FROM v a JOIN v b ON a.symbol = b.symbol AND b.k BETWEEN a.k - {window - 1} AND a.k WINDOW w AS (PARTITION BY a.symbol, a.date)), "
-            f"y AS (SELECT * FROM z WHERE n = {window}), c AS (SELECT a.symbol, a.date, b.symbol AS o, sum(a.z * b.z) / {window - 1} AS c FROM y a JOIN y b ON a.date = b.date AND a.age = b.age {g} AND a.symbol <> b.symbol GROUP BY 1, 2, 3), m AS (SELECT symbol, date, avg(c) AS mean_corr FROM c GROUP BY 1, 2) SELECT DISTINCT y.symbol, y.date, m.mean_corr FROM y LEFT JOIN m USING (symbol, date)")
-
-
-@query("industry_network", K, "inter_corr", sql=f"SELECT symbol, date, mean_corr AS inter_corr FROM ({gmc('industry_panel', 30, '')})", tables="industry_panel")
+@query("industry_network", K, "inter_corr", sql=f"SELECT symbol, date, mean_corr AS inter_corr FROM ({aligned('(SELECT * FROM industry_panel WHERE ret IS NOT NULL)', 30, 0)})", tables="industry_panel")
 def industry_network(t):
     return NW.group_mean_correlation(t.industry_panel(), 30).withColumnRenamed("mean_corr", "inter_corr")
 
 
-@query("industry_intra_network", K, "mean_corr", sql=gmc("(SELECT r.*, industry FROM returns r JOIN sector USING (symbol) WHERE ret IS NOT NULL)", 30, "industry"), tables="returns sector")
+@query("industry_intra_network", K, "mean_corr", sql=aligned("(SELECT r.*, industry FROM returns r JOIN sector USING (symbol) WHERE ret IS NOT NULL)", 30, 0, "industry"), tables="returns sector")
 def industry_intra_network(t):
     d = t.returns().where(F.col("ret").isNotNull()).join(t.sector().select("symbol", "industry"), "symbol").select("symbol", "date", "ret", "industry")
     return NW.group_mean_correlation(d, 30, ("industry",))

@@ -122,14 +122,20 @@ def state_liquidity(t):
 
 
 # the check side enumerates all pairs of the sample; the job itself never does
-MC = ("WITH v AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k, ret FROM returns WHERE ret IS NOT NULL), "
-      "z AS (SELECT a.symbol, a.date, a.k - b.k AS age, (b.ret - avg(b.ret) OVER w) / stddev_samp(b.ret) OVER w AS z, count(*) OVER w AS n FROM v a JOIN v b ON a.symbol = b.symbol AND b.k BETWEEN a.k - 21 AND a.k - 1 WINDOW w AS (PARTITION BY a.symbol, a.date)), "
-      "y AS (SELECT * FROM z WHERE n = 21), p AS (SELECT a.symbol, a.date, b.symbol AS o, sum(a.z * b.z) / 20 AS c FROM y a JOIN y b ON a.date = b.date AND a.age = b.age AND a.symbol <> b.symbol GROUP BY 1, 2, 3) "
-      "SELECT symbol, date, avg(c) AS mean_corr FROM p GROUP BY 1, 2")
-
-
-def _mean_corr(t):
-    return X.mean_correlation(t.returns().where(F.col("ret").isNotNull()))
+def aligned(src, window, ahead, group=""):
+    """Pair enumeration on a common calendar: scaled series inside each window, pairs joined on the window and the date."""
+    g = f", a.{group}" if group else ""
+    same = f" AND a.{group} = b.{group}" if group else ""
+    k = f"PARTITION BY date{', ' + group if group else ''}"
+    return (f"WITH v AS (SELECT *, dense_rank() OVER (ORDER BY date) AS p FROM {src}), "
+            f"z AS (SELECT a.symbol, a.date{g}, b.p, count(*) OVER w AS n, (b.ret - avg(b.ret) OVER w) / nullif(stddev_samp(b.ret) OVER w, 0) / sqrt(count(*) OVER w - 1) AS u "
+            f"FROM v a JOIN v b ON a.symbol = b.symbol AND b.p BETWEEN a.p - {window - 1 + ahead} AND a.p - {ahead} WINDOW w AS (PARTITION BY a.symbol, a.date)), "
+            f"y AS (SELECT * FROM z WHERE 2 * n > {window} AND u IS NOT NULL), m AS (SELECT *, count(*) OVER ({k}) AS k FROM (SELECT DISTINCT symbol, date{', ' + group if group else ''} FROM y)), "
+            f"c AS (SELECT a.symbol, a.date, sum(a.u * b.u) AS c FROM y a JOIN y b ON a.date = b.date AND a.p = b.p{same} AND a.symbol <> b.symbol GROUP BY 1, 2) "
+            "SELECT symbol, date, CASE WHEN k > 1 THEN coalesce(c, 0) / (k - 1) END AS mean_corr FROM m LEFT JOIN c USING (symbol, date)")
+
+
+MC = aligned("(SELECT * FROM returns WHERE ret IS NOT NULL)", 21, 1)
 
 
 RS_ = (f"WITH mc AS ({MC}), r0 AS (SELECT a.*, mc.mean_corr FROM returns_market a LEFT JOIN mc USING (symbol, date)), "

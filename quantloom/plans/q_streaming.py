@@ -7,7 +7,7 @@ from quantloom.plans.registry import query
 from quantloom.sources.tables import Tables
 from quantloom.streaming import operators as ST
 from quantloom.streaming import ticks as TK
-from quantloom.streaming.runner import run_append, run_latest
+from quantloom.streaming.runner import run_append, run_upsert, run_windows
 
 DONE = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"  # final watermark: later windows stay open
 
@@ -29,22 +29,22 @@ def stream_tick_ingest(t):
     return ntz(run_append(ticks(t), "ingest"), "ts")
 
 
-@query("stream_tumbling_bars", "symbol bar_start", "open high low close vwap", "volume n",
-       sql=f"SELECT symbol, date_trunc('hour', ts) AS bar_start, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close, sum(size) AS volume, sum(price * size) / nullif(sum(size), 0) AS vwap, count(*) AS n FROM ticks GROUP BY 1, 2 "
-           f"HAVING date_trunc('hour', max(ts)) + INTERVAL 1 HOUR <= {DONE}", tables="ticks")
+@query("stream_tumbling_bars", "symbol bar_start", "open high low close vwap", "volume n is_final",
+       sql=f"SELECT symbol, date_trunc('hour', ts) AS bar_start, arg_min(price, struct_pack(ts, event_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, struct_pack(ts, event_id)) AS close, sum(size) AS volume, sum(price * size) / nullif(sum(size), 0) AS vwap, count(*) AS n, "
+           f"CASE WHEN date_trunc('hour', max(ts)) + INTERVAL 1 HOUR <= {DONE} THEN 1 ELSE 0 END AS is_final FROM ticks GROUP BY 1, 2", tables="ticks")
 def stream_tumbling_bars(t):
-    return ntz(run_append(TK.bars_from_ticks(ticks(t), "1 hour"), "bars"), "bar_start")
+    return ntz(run_windows(TK.bars_from_ticks(ticks(t), "1 hour"), "bars", ["symbol", "bar_start"], "bar_start", "1 hour"), "bar_start")
 
 
-@query("stream_sliding_stats", "symbol start", "mean volatility", "volume n",
-       sql=f"WITH w AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * CAST(k AS INTEGER) AS start FROM ticks CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k)) SELECT symbol, start, avg(price) AS mean, stddev_samp(price) AS volatility, sum(size) AS volume, count(*) AS n FROM w GROUP BY 1, 2 HAVING start + INTERVAL 1 HOUR <= {DONE}", tables="ticks")
+@query("stream_sliding_stats", "symbol start", "mean volatility", "volume n is_final",
+       sql=f"WITH w AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * CAST(k AS INTEGER) AS start FROM ticks CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k)) SELECT symbol, start, avg(price) AS mean, stddev_samp(price) AS volatility, sum(size) AS volume, count(*) AS n, CASE WHEN start + INTERVAL 1 HOUR <= {DONE} THEN 1 ELSE 0 END AS is_final FROM w GROUP BY 1, 2", tables="ticks")
 def stream_sliding_stats(t):
-    return ntz(run_append(ST.sliding_stats(ticks(t)), "sliding"), "start")
+    return ntz(run_windows(ST.sliding_stats(ticks(t)), "sliding", ["symbol", "start"], "start", "1 hour"), "start")
 
 
 @query("stream_last_value", "symbol ts", "price", "size", sql="SELECT symbol, ts, price, size FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) = 1", tables="ticks")
 def stream_last_value(t):
-    return ntz(run_latest(ST.last_value(ticks(t)), "last"), "ts")
+    return ntz(run_upsert(ST.last_value(ticks(t)), "last", ["symbol"]), "ts")
 
 
 LN = ("WITH o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY symbol) AS n, price - lead(price) OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) AS d FROM ticks), "
@@ -55,12 +55,12 @@ LN = ("WITH o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts D
 
 @query("stream_lastn_features", "symbol", "price sma_5 sma_20 momentum rsi zscore", "n", sql=LN + "SELECT * FROM f", tables="ticks")
 def stream_lastn_features(t):
-    return run_latest(ST.lastn_features(ticks(t)), "lastn", "update")
+    return run_upsert(ST.lastn_features(ticks(t)), "lastn", ["symbol"])
 
 
 @query("stream_signal_momentum_meanrev", "symbol momentum_signal meanrev_signal", sql=LN + "SELECT symbol, CASE WHEN sma_5 / nullif(sma_20, 0) - 1 > 0.02 THEN 'BUY' WHEN sma_5 / nullif(sma_20, 0) - 1 < -0.02 THEN 'SELL' ELSE 'HOLD' END AS momentum_signal, CASE WHEN zscore < -2 THEN 'BUY' WHEN zscore > 2 THEN 'SELL' ELSE 'HOLD' END AS meanrev_signal FROM f", tables="ticks")
 def stream_signal_momentum_meanrev(t):
-    return run_latest(ST.live_signals(ST.lastn_features(ticks(t))), "signals", "update")
+    return run_upsert(ST.live_signals(ST.lastn_features(ticks(t))), "signals", ["symbol"])
 
 
 @query("stream_signal_dedup", "symbol side bucket", sql="SELECT DISTINCT symbol, CASE WHEN event_type = 'purchase' THEN 'BUY' ELSE 'SELL' END AS side, time_bucket(INTERVAL 5 MINUTE, ts) AS bucket FROM ticks", tables="ticks")
@@ -68,10 +68,10 @@ def stream_signal_dedup(t):
     return ntz(run_append(ST.signal_dedup(ticks(t)), "dedup"), "bucket")
 
 
-@query("stream_alert_rules", "metric start", "peak", "hits",
-       sql="WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {v}::DOUBLE, {k})" for m, v, _, k in ST.ALERT_RULES) + f") v(metric, lim, need)), g AS (SELECT metric, date_trunc('hour', ts) AS start, count(*) FILTER (WHERE value > lim) AS hits, max(value) AS peak, max(need) AS need FROM metrics JOIN r USING (metric) GROUP BY 1, 2) SELECT * FROM g WHERE hits >= need AND start + INTERVAL 1 HOUR <= {DONE}", tables="metrics")
+@query("stream_alert_rules", "metric start", "peak", "hits is_final",
+       sql="WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {v}::DOUBLE, {k})" for m, v, _, k in ST.ALERT_RULES) + f") v(metric, lim, need)), g AS (SELECT metric, date_trunc('hour', ts) AS start, count(*) FILTER (WHERE value > lim) AS hits, max(value) AS peak, max(need) AS need FROM metrics JOIN r USING (metric) GROUP BY 1, 2) SELECT *, CASE WHEN start + INTERVAL 1 HOUR <= {DONE} THEN 1 ELSE 0 END AS is_final FROM g WHERE hits >= need", tables="metrics")
 def stream_alert_rules(t):
-    return ntz(run_append(ST.alert_rules(metrics(t)), "alerts"), "start")
+    return ntz(run_windows(ST.alert_rules(metrics(t)), "alerts", ["metric", "start"], "start", "1 hour"), "start")
 
 
 @query("stream_risk_limits", "symbol level", "gross peak", "position gross_breach position_breach",
@@ -79,7 +79,7 @@ def stream_alert_rules(t):
            "CASE WHEN gross > 120000 AND abs(position) > 1500 THEN 'critical' WHEN gross > 120000 OR abs(position) > 1500 THEN 'high' WHEN gross > 96000 THEN 'warning' ELSE 'normal' END AS level FROM p", tables="ticks")
 def stream_risk_limits(t):
     """The running positions are the state; every micro-batch runs the batch limit operator on the snapshot."""
-    return run_latest(ST.positions_from_ticks(ticks(t)), "limits", transform=ST.risk_limits)
+    return run_upsert(ST.positions_from_ticks(ticks(t)), "limits", ["symbol"], transform=ST.risk_limits)
 
 
 ACT = ("WITH RECURSIVE e AS (SELECT metric, ts, value FROM metrics WHERE value > 60), a AS (SELECT metric, min(ts) AS ts FROM e GROUP BY 1 UNION ALL SELECT a.metric, (SELECT min(e.ts) FROM e WHERE e.metric = a.metric AND e.ts >= a.ts + INTERVAL 240 MINUTE) FROM a WHERE a.ts IS NOT NULL) "
@@ -91,17 +91,17 @@ def stream_auto_action_trigger(t):
     return ntz(run_append(ST.action_trigger(metrics(t)), "actions"), "ts")
 
 
-@query("stream_performance_drift", "metric start", "mean std hit_rate mean_change std_change hit_change", "n",
+@query("stream_performance_drift", "metric start", "mean std hit_rate mean_change std_change hit_change", "n is_final",
        sql=f"WITH b AS (SELECT metric, avg(value) AS bm, stddev_samp(value) AS bs, avg(CASE WHEN value > 20 THEN 1 ELSE 0 END) AS bh FROM metrics GROUP BY 1), g AS (SELECT metric, date_trunc('day', ts) AS start, avg(value) AS mean, stddev_samp(value) AS std, avg(CASE WHEN value > 20 THEN 1 ELSE 0 END) AS hit_rate, count(*) AS n FROM metrics GROUP BY 1, 2) "
-           f"SELECT g.metric, CAST(start AS TIMESTAMP) AS start, mean, std, hit_rate, n, mean / bm - 1 AS mean_change, std / bs - 1 AS std_change, hit_rate - bh AS hit_change FROM g JOIN b USING (metric) WHERE start + INTERVAL 1 DAY <= {DONE}", tables="metrics")
+           f"SELECT g.metric, CAST(start AS TIMESTAMP) AS start, mean, std, hit_rate, n, mean / bm - 1 AS mean_change, std / bs - 1 AS std_change, hit_rate - bh AS hit_change, CASE WHEN start + INTERVAL 1 DAY <= {DONE} THEN 1 ELSE 0 END AS is_final FROM g JOIN b USING (metric)", tables="metrics")
 def stream_performance_drift(t):
-    return ntz(run_append(ST.drift(metrics(t), ST.baseline_of(t.metrics())), "drift"), "start")
+    return ntz(run_windows(ST.drift(metrics(t), ST.baseline_of(t.metrics())), "drift", ["metric", "start"], "start", "1 day"), "start")
 
 
-@query("stream_late_data_policy", "event_type start", "", "n size", sql=f"SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, sum(size) AS size FROM ticks GROUP BY 1, 2 HAVING date_trunc('hour', max(ts)) + INTERVAL 1 HOUR <= {DONE}", tables="ticks")
+@query("stream_late_data_policy", "event_type start", "", "n size is_final", sql=f"SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, sum(size) AS size, CASE WHEN date_trunc('hour', max(ts)) + INTERVAL 1 HOUR <= {DONE} THEN 1 ELSE 0 END AS is_final FROM ticks GROUP BY 1, 2", tables="ticks")
 def stream_late_data_policy(t):
-    """Event time with a ten-minute watermark: closed hours are final, later arrivals for them are dropped."""
-    return ntz(run_append(ST.hourly_counts(ticks(t)), "late"), "start")
+    """Event time with a ten-minute watermark: closed hours are final, later arrivals for them are dropped; open hours are flagged."""
+    return ntz(run_windows(ST.hourly_counts(ticks(t)), "late", ["event_type", "start"], "start", "1 hour"), "start")
 
 
 SES = (f"WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts)), s AS (SELECT *, sum(brk) OVER (PARTITION BY symbol ORDER BY ts) AS sid FROM o) "

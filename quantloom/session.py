@@ -62,6 +62,8 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     if root.isEmpty():
         checkpoint_root = spark.conf.get("spark.checkpoint.dir", None)
         if checkpoint_root is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             import tempfile
 
             checkpoint_root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -82,10 +82,10 @@ def standardize_columns(df: DataFrame, aliases: dict[str, str] | None = None) ->
     return df.withColumnsRenamed({c: names.get(c.lower().strip(), c.lower().strip()) for c in df.columns})
 
 
-def symbol_universe(df: DataFrame, column: str, limit: int = 100) -> DataFrame:
-    """Names that are already upper case, in order, the first ``limit`` of them."""
+def symbol_universe(df: DataFrame, column: str) -> DataFrame:
+    """Names that are already upper case, all of them, in order."""
     return (df.select(F.col(column).alias("symbol")).where(F.col("symbol") == F.upper("symbol"))
-            .distinct().orderBy("symbol").limit(limit))
+            .distinct().orderBy("symbol"))
 
 
 def availability(universe: DataFrame, bars: DataFrame) -> DataFrame:

@@ -1,10 +1,14 @@
 """Run a stream over the files present and read its table back."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quantloom.session import shared_folder
 
+#: Epochs whose changes are folded into one file set before the next are kept apart again.
+COMPACT_EVERY = 16
+
 
 def run_append(stream: DataFrame, tag: str) -> DataFrame:
     """Append the finished rows to parquet with a checkpoint, drain what is available, read the table."""
@@ -16,17 +20,55 @@ def run_append(stream: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/table")
 
 
-def run_latest(stream: DataFrame, tag: str, mode: str = "complete", transform=None) -> DataFrame:
-    """Keep the newest result of a stateful aggregation: each micro-batch replaces the snapshot."""
+def newest(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the last epoch per key."""
+    rest = [c for c in changes.columns if c not in (*keys, "epoch")]
+    return changes.groupBy(*keys).agg(F.max("epoch").alias("epoch"), F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*keys, "_r.*", "epoch")
+
+
+def run_upsert(stream: DataFrame, tag: str, keys: list[str], transform=None) -> DataFrame:
+    """Snapshot of an update-mode stream: every micro-batch brings the changed keys, the newest row of each key counts.
+
+    A micro-batch writes its own changes only, under its epoch, so a repeated epoch replaces itself;
+    every ``COMPACT_EVERY`` epochs the changes since the last fold are folded into one row per key.
+    """
+    return _upsert(stream, tag, keys, transform)[0]
+
+
+def run_windows(stream: DataFrame, tag: str, keys: list[str], start: str, width: str) -> DataFrame:
+    """All windows of an update-mode stream, also those still open, with ``is_final`` = 1 once the watermark has passed their end."""
+    out, mark = _upsert(stream, tag, keys, None)
+    end = F.col(start).cast("timestamp") + F.expr(f"INTERVAL {width}")
+    done = end <= F.lit(mark).cast("timestamp") if mark else F.lit(False)
+    return out.withColumn("is_final", done.cast("int"))
+
+
+def _upsert(stream: DataFrame, tag: str, keys: list[str], transform) -> tuple[DataFrame, str | None]:
     spark = stream.sparkSession
     root = shared_folder(spark, tag)
+    folds: list[tuple[str, list[int]]] = [("", [])]  # the newest fold and the epochs after it
 
     def keep(batch: DataFrame, epoch: int) -> None:
         out = transform(batch) if transform else batch
-        out.write.mode("overwrite").parquet(f"{root}/snapshot/epoch={epoch}")
-    q = (stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint")
+        out.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{root}/changes/{epoch:09d}")
+        base, after = folds[-1]
+        after = sorted({*after, epoch})
+        if len(after) >= COMPACT_EVERY:
+            path = f"{root}/folds/{epoch:09d}"
+            newest(_read(spark, root, base, after), keys).write.mode("overwrite").parquet(path)
+            base, after = path, []
+        folds.append((base, after))
+
+    q = (stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    all_epochs = spark.read.parquet(f"{root}/snapshot")
-    last = all_epochs.agg({"epoch": "max"}).first()[0]
-    return all_epochs.where(all_epochs["epoch"] == last).drop("epoch")
+    marks = [p["eventTime"]["watermark"] for p in q.recentProgress if "watermark" in (p["eventTime"] or {})]
+    base, after = folds[-1]
+    if not base and not after:
+        shape = transform(stream) if transform else stream
+        return spark.createDataFrame([], shape.schema), None
+    return newest(_read(spark, root, base, after), keys).drop("epoch"), max(marks, default=None)
+
+
+def _read(spark: SparkSession, root: str, base: str, after: list[int]) -> DataFrame:
+    return spark.read.parquet(*([base] if base else []), *[f"{root}/changes/{e:09d}" for e in after])

@@ -29,7 +29,7 @@ def with_event_time(df: DataFrame, delay: str = "10 minutes", ts: str = "ts") ->
 def bars_from_ticks(ticks: DataFrame, width: str = "1 minute") -> DataFrame:
     """OHLCV bars with vwap and tick count per symbol and tumbling window."""
     g = ticks.groupBy("symbol", F.window("ts", width).alias("_w")).agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"),
+        F.min_by("price", F.struct("ts", "event_id")).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", F.struct("ts", "event_id")).alias("close"),
         F.sum("size").alias("volume"), F.try_divide(F.sum(F.col("price") * F.col("size")), F.sum("size")).alias("vwap"),
         F.count(F.lit(1)).alias("n"))
     return g.select("symbol", F.col("_w.start").alias("bar_start"), "open", "high", "low", "close", "volume", "vwap", "n")

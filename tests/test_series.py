@@ -74,3 +74,32 @@ def test_row_order_of_the_input_does_not_matter(bars):
     a = T.macd_family(bars).select("symbol", "date", F.round("macd_signal", 9).alias("m"))
     b = T.macd_family(bars.orderBy(F.rand(3)).repartition(7)).select("symbol", "date", F.round("macd_signal", 9).alias("m"))
     assert a.exceptAll(b).count() == 0
+
+
+def test_mean_correlation_meets_the_same_dates(spark):
+    """Worked by hand: a symbol without the third date must not be shifted against the others."""
+    import datetime as dt
+
+    import numpy as np
+
+    from quantloom.operators.cross_section import mean_correlation
+    x = {"a": [1.0, 2.0, -1.0, 3.0, 0.5], "b": [2.0, 1.0, None, 4.0, 1.0], "c": [-1.0, 0.5, 2.0, -2.0, 1.0]}
+    rows = [(k, dt.date(2020, 1, 1 + i), v) for k, vs in x.items() for i, v in enumerate(vs) if v is not None]
+    got = {r["symbol"]: r["mean_corr"] for r in mean_correlation(spark.createDataFrame(rows, "symbol string, date date, ret double"), 4).where("date = '2020-01-05'").collect()}
+
+    def unit(v):
+        v = np.array([np.nan if z is None else z for z in v[:4]])
+        v = (v - np.nanmean(v)) / (np.nanstd(v, ddof=1) * np.sqrt(np.sum(~np.isnan(v)) - 1))
+        return np.nan_to_num(v)
+    u = {k: unit(v) for k, v in x.items()}
+    for k in x:
+        assert abs(got[k] - np.mean([u[k] @ u[o] for o in x if o != k])) < 1e-12
+    assert abs(u["a"] @ u["c"] - np.corrcoef(x["a"][:4], x["c"][:4])[0, 1]) < 1e-12
+
+
+def test_components_of_a_long_chain(spark):
+    from quantloom.operators.network import connected_components
+    edge = spark.range(300).selectExpr("date '2020-01-01' AS date", "lpad(id, 4, '0') AS a", "lpad(id + 1, 4, '0') AS b")
+    nodes = spark.range(302).selectExpr("date '2020-01-01' AS date", "lpad(id, 4, '0') AS node")
+    got = {r["node"]: r["label"] for r in connected_components(edge, nodes).collect()}
+    assert len(got) == 302 and {v for k, v in got.items() if k <= "0300"} == {"0000"} and got["0301"] == "0301"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.streaming import operators as ST
 from quantloom.streaming import ticks as TK
-from quantloom.streaming.runner import run_append, run_latest
+from quantloom.streaming.runner import run_append, run_upsert, run_windows
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -42,8 +42,8 @@ def test_last_n_features_survive_batches_and_disorder(spark):
     rows = [(m, 1, "click", float(m % 7 + m / 50)) for m in range(60)] + [(m, 2, "view", float(m)) for m in range(4)]
     whole = feed(spark, rows)
     parts = feed(spark, rows[20:30] + rows[:10], rows[30:60] + rows[60:], rows[10:20])
-    a = run_latest(ST.lastn_features(source(spark, whole)), "one", "update").where("symbol = 1").first()
-    b = run_latest(ST.lastn_features(source(spark, parts)), "many", "update").where("symbol = 1").first()
+    a = run_upsert(ST.lastn_features(source(spark, whole)), "one", ["symbol"]).where("symbol = 1").first()
+    b = run_upsert(ST.lastn_features(source(spark, parts)), "many", ["symbol"]).where("symbol = 1").first()
     for c in ("n", "price", "sma_5", "sma_20", "momentum", "rsi", "zscore"):
         assert abs(a[c] - b[c]) < 1e-9, c
 
@@ -59,6 +59,26 @@ def test_stream_bars_equal_batch_bars(spark):
     rows = [(m, u, "click", float(m * u % 11 + 1)) for m in range(0, 300, 7) for u in (1, 2)]
     f = feed(spark, rows[:40], rows[40:])
     stream = run_append(TK.bars_from_ticks(source(spark, f), "1 hour"), "bars")
-    batch = TK.bars_from_ticks(spark.read.schema(TK.EVENTS_SCHEMA).parquet(f).select(F.col("user_id").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(2).cast("long").alias("size")), "1 hour")
+    batch = TK.bars_from_ticks(spark.read.schema(TK.EVENTS_SCHEMA).parquet(f).select(F.col("user_id").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(2).cast("long").alias("size"), "event_id"), "1 hour")
     done = batch.join(stream.select("symbol", "bar_start"), ["symbol", "bar_start"], "left_semi")
     assert stream.count() > 0 and stream.exceptAll(done.select(*stream.columns)).count() == 0
+
+
+def test_snapshots_hold_every_symbol_over_many_batches(spark):
+    """Eighteen files cut by symbol and by time (so the changes are folded once) give the batch answer for all symbols."""
+    rows = [(m * 13 % 300, u, "purchase" if (m + u) % 3 else "view", float(m * u % 17 + 1)) for u in range(1, 10) for m in range(30)]
+    parts = [[r for r in rows if r[1] % 3 == k and lo <= r[0] < lo + 50] for lo in range(0, 300, 50) for k in range(3)]
+    many, one = feed(spark, *parts), feed(spark, sum(parts, []))
+    for run in (lambda f: run_upsert(ST.last_value(source(spark, f)), "last", ["symbol"]),
+                lambda f: run_upsert(ST.positions_from_ticks(source(spark, f)), "limits", ["symbol"], transform=ST.risk_limits),
+                lambda f: run_upsert(ST.live_signals(ST.lastn_features(source(spark, f))), "signals", ["symbol"])):
+        a, b = ({r["symbol"]: r.asDict() for r in run(f).collect()} for f in (many, one))
+        assert set(a) == set(b) == set(range(1, 10))
+        for k, r in a.items():
+            assert all(x == b[k][c] or abs(x - b[k][c]) < 1e-9 for c, x in r.items()), (k, r, b[k])
+
+
+def test_open_windows_are_there_and_flagged(spark):
+    f = feed(spark, [(0, 1, "click", 1.0), (50, 1, "click", 1.0)], [(70, 1, "click", 1.0)], [(200, 1, "click", 1.0)], [(230, 1, "click", 5.0)])
+    got = run_windows(ST.hourly_counts(source(spark, f)), "open", ["event_type", "start"], "start", "1 hour").orderBy("start").collect()
+    assert [(r["start"].hour, r["n"], r["is_final"]) for r in got] == [(0, 2, 1), (1, 1, 1), (3, 2, 0)]
