@@ -7,12 +7,12 @@ every set agrees with probability close to the Jaccard similarity.  ``ROWS`` reg
 (42 bands): a pair of similarity 0.8 is missed with probability (1 - 0.8^6)^42 < 3e-6.
 
 Equal sets are one class from the start.  The classes of a band bucket are compared with the smallest
-of them only (a star, never all pairs); the estimate from the registers, corrected for chance
+of them only (a star, never all pairs): the estimate from the registers, corrected for chance
 agreement, drops clear misses, and what is left is confirmed on the full sets.  Linked classes are
-contracted to components; a bucket that still holds several components is compared further, with
-more and more of its members as partners, until all its members are one component or every pair
-across its components has been compared: no link of a bucket is lost, and a large group of near
-copies contracts after its star.
+contracted to components.  Buckets that still hold several components are settled in tasks of at most
+``2 * CHUNK`` members: pairs across components only, each pair in its first common band, the likeliest
+first, none between components that have met, and only confirmed links leave the task.  So no link of
+a bucket is lost, and the members of a large group of near copies are not compared with each other.
 
 Defined cases: null and wordless texts have the empty set, are linked with nothing and stay; a text
 with fewer words than a shingle has them all as its one shingle; a null id is a document of its own
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.graph import component_labels
@@ -41,6 +41,8 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: The estimate may be this far below the limit before a pair is dropped unverified: over six standard
 #: deviations of 256 registers at a similarity of 0.8.
 MARGIN = 0.16
+#: Most members of a bucket that one task compares with as many others.
+CHUNK = 2048
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -132,24 +134,20 @@ def sketches(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
-    """(key, cid, n): one row per class and band."""
+    """(band, key, cid): one row per class and band."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring(F.col("regs"), j * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    return classes.select(F.explode(keys).alias("key"), "cid", "n")
+    return classes.select(F.posexplode(keys).alias("band", "key"), "cid")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, cid, n, rep, size): members of the band buckets with at least two classes, with the smallest of the bucket."""
+    """(key, band, cid, rep, size): members of the band buckets with at least two classes, with the smallest of the bucket."""
     rows = band_rows(classes)
     full = rows.groupBy("key").agg(F.min("cid").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
     return rows.join(full, "key")
 
 
-def similar_size(n: Column, m: Column, percent: int) -> Column:
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
-
 def candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
-    """(cid, elements): full shingle sets of the wanted classes (cid, rkey).
+    """(cid, n, regs, elements): full shingle sets of the wanted classes (cid, rkey, n, regs).
 
     The texts are read once more.  A bitmap of the wanted rows, of a fixed largest size, keeps the rest
     from being hashed; what it lets through by mistake falls out of the join.
@@ -158,7 +156,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, w
     at = F.pmod(F.col("rkey"), F.lit(bits))
     maps = wanted.select(F.bitmap_bucket_number(at + 1).alias("k"), F.bitmap_bit_position(at + 1).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m"))
     filled = np.zeros(bits // 8 + 4096, np.uint8)
-    for k, m in maps.toLocalIterator():  # at most bits / 32768 rows of 4 KB
+    for k, m in maps.collect():  # at most bits / 32768 rows of 4 KB
         filled[(k - 1) * 4096:k * 4096] = np.frombuffer(m, np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(filled)
     rows = docs.select(F.xxhash64(id_col, text).alias("rkey"), F.col(text).alias("text"))
@@ -174,7 +172,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, w
                 sets = [shingle_set(t, words).tobytes() for t in utf8(b.column("text"))]
                 yield pa.RecordBatch.from_pydict({"rkey": b.column("rkey"), "elements": pa.array(sets, pa.binary())})
     found = map_rows(rows, run, "rkey bigint, elements binary")
-    return found.join(wanted.select("cid", "rkey"), "rkey").dropDuplicates(["cid"]).select("cid", "elements")
+    return found.join(wanted, "rkey").dropDuplicates(["cid"]).select("cid", "n", "regs", "elements")
 
 
 def with_both(pairs: DataFrame, table: DataFrame, cols: list[str]) -> DataFrame:
@@ -184,29 +182,87 @@ def with_both(pairs: DataFrame, table: DataFrame, cols: list[str]) -> DataFrame:
     return pairs
 
 
-def links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def registers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, BANDS * ROWS)
+
+
+def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs whose sets reach the limit; the registers decide which sets are compared."""
     def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                regs = [np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(b.num_rows, -1) for c in ("a_regs", "b_regs")]
                 n, m = (b.column(c).to_numpy().astype(float) for c in ("a_n", "b_n"))
-                keep = pa.array(estimate(*regs, n, m) >= percent / 100 - MARGIN)
-                yield b.select(["a", "b"]).filter(keep)
+                likely = estimate(registers(b.column("a_regs")), registers(b.column("b_regs")), n, m) >= percent / 100 - MARGIN
+                yield b.select(["a", "b"]).filter(pa.array(likely & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("a_elements").to_pylist(), b.column("b_elements").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    likely = map_rows(with_both(pairs, classes, ["regs", "n"]), estimated, "a bigint, b bigint")
+            both = zip(b.column("a_elements").to_pylist(), b.column("b_elements").to_pylist())
+            yield b.select(["a", "b"]).filter(pa.array([reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in both], pa.bool_()))
+
+    likely = map_rows(with_both(pairs, sets, ["regs", "n"]), estimated, "a bigint, b bigint")
     return map_rows(with_both(likely, sets, ["elements"]), verified, "a bigint, b bigint")
 
 
+def unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, band, cid, label, size) of the buckets that hold several components; a bucket of two is settled by its star."""
+    named = members.where("size > 2").join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("key")
+    return named.join(mixed, "key", "left_semi").select("key", "band", "cid", "label", "size")
+
+
+def bucket_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): confirmed links across the components of a bucket, those that join two of them.
+
+    A bucket of more than ``CHUNK`` members is dealt into chunks, and every pair of chunks is a group.
+    """
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    mine = F.pmod(F.xxhash64("cid"), chunks).cast("int")
+    units = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.least(c, mine) * (1 << 16) + F.greatest(c, mine))
+    dealt = rows.select("key", "band", "cid", "label", mine.alias("chunk"), F.explode(units).alias("unit")).join(sets, "cid")
+    return dealt.groupBy("key", "unit").applyInArrow(_settle(percent), "a bigint, b bigint")
+
+
+def _settle(percent: int):
+    def run(t: pa.Table) -> pa.Table:
+        regs, n = registers(t.column("regs")).reshape(-1, BANDS, ROWS), t.column("n").to_numpy().astype(float)
+        cid, chunk, band = t.column("cid").to_numpy(), t.column("chunk").to_numpy(), t.column("band")[0].as_py()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("elements")]
+        crossing = len(set(chunk.tolist())) > 1
+        _, label, sizes = np.unique(t.column("label").to_numpy(), return_inverse=True, return_counts=True)
+        main = int(np.argmax(sizes))  # its members need no comparison among each other, and no turn of their own
+        links: list[tuple[int, int]] = []
+        for i in np.flatnonzero(label != main):
+            with_ = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            with_ &= (np.arange(len(n)) > i) | (label == main)
+            if crossing:
+                with_ &= chunk != chunk[i]
+            js = np.flatnonzero(with_)
+            if not len(js):
+                continue
+            same = regs[js] == regs[i]
+            by_chance = chance(n[js], np.full(len(js), n[i]))
+            likely = (same.mean(axis=(1, 2)) - by_chance) / (1 - by_chance)
+            first = same.all(axis=2).argmax(axis=1) == band
+            for k in np.argsort(-likely):
+                if likely[k] < percent / 100 - MARGIN:
+                    break
+                j = js[k]
+                if first[k] and label[j] != label[i] and reaches(sets[i], sets[j], percent):
+                    links.append((int(cid[i]), int(cid[j])))
+                    old, new = label[i], label[j]
+                    if old == main:
+                        old, new = new, old
+                    label[label == old] = new
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, rkey, n_shingles, component_id (smallest id reachable), kept, one row per document."""
     rows = materialise(sketches(docs, id_col, text, words), "sketches")
@@ -214,32 +270,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.min_by("regs", "rkey").alias("regs"), F.min("rkey").alias("rkey"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     members = materialise(buckets(classes), "buckets")
-    wanted = materialise(members.select("cid").distinct().join(classes.select("cid", "rkey"), "cid"), "wanted")
+    wanted = materialise(members.select("cid").distinct().join(classes.select("cid", "rkey", "n", "regs"), "cid"), "wanted")
     sets = materialise(candidate_sets(docs, wanted, id_col, text, words), "sets")
 
-    star = members.where(F.col("cid") != F.col("rep")).select(F.col("rep").alias("a"), F.col("cid").alias("b"), "n").distinct()
-    star = star.join(classes.select(F.col("cid").alias("a"), F.col("n").alias("_n")), "a").where(similar_size(F.col("n"), F.col("_n"), percent)).select("a", "b")
-    found = materialise(links(star, classes, sets, percent), "links")
-    label = component_labels(found)
-    # buckets of two are settled by their star; the rest while they hold several components
-    open_ = members.where("size > 2").select("key", "cid", "n")
-    for low, high in ((8, 64), (4, 8), (0, 4)):
-        open_ = open_.select("key", "cid", "n").join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        mixed = open_.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("key")
-        open_ = materialise(open_.join(mixed, "key", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        # a member's level: trailing zeros of its hash; few members have a high one
-        level = F.length(F.regexp_extract(F.bin(F.xxhash64("cid")), "(0*)$", 1))
-        x = open_.select("key", F.col("cid").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"), level.alias("a_level"))
-        y = open_.select("key", F.col("cid").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"), level.alias("b_level"))
-        y = y.where((F.col("b_level") >= low) & (F.col("b_level") < high))
-        earlier = (F.col("a_level") < F.col("b_level")) | ((F.col("a_level") == F.col("b_level")) & (F.col("a") < F.col("b")))
-        pairs = x.join(y, "key").where((F.col("a_label") != F.col("b_label")) & earlier & similar_size(F.col("a_n"), F.col("b_n"), percent))
-        more = materialise(links(pairs.select("a", "b").distinct(), classes, sets, percent), "links")
-        if not more.isEmpty():
-            found = found.unionByName(more)
-            label = component_labels(found)
+    star = members.where(F.col("cid") != F.col("rep")).select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct()
+    label = component_labels(star_links(star, sets, percent))
+    more = materialise(bucket_links(unsettled(members, label), sets, percent), "links")
+    if not more.isEmpty():
+        # the components that met, as a graph of their own
+        of = label.withColumnRenamed("label", "_label")
+        met = more
+        for side in ("a", "b"):
+            met = met.join(of.withColumnRenamed("node", side), side, "left").withColumn(f"_{side}", F.coalesce("_label", side)).drop("_label")
+        over = component_labels(met.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("_over"))
+        alone = over.select(F.col("label").alias("node"), F.col("_over").alias("label"))
+        label = label.join(over, "label", "left").select("node", F.coalesce("_over", "label").alias("label")).unionByName(alone.join(label, "node", "left_anti"))
 
     labelled = classes.select("digest", "cid", "least_id").join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
