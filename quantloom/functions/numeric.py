@@ -49,135 +49,12 @@ def hurst_rs(x):
     return line(np.array(lags), np.array(vals)) if len(vals) >= 3 else NAN
 
 
-def embed(x, m=3):
-    return np.lib.stride_tricks.sliding_window_view(x, m)
-
-
-def pair_distances(t):
-    return np.sqrt(np.maximum(((t[:, None, :] - t[None, :, :]) ** 2).sum(axis=2), 0))
-
-
-def lyapunov(x):
-    """Mean log growth of the distance to the nearest neighbour after one step."""
-    d = pair_distances(embed(x))
-    np.fill_diagonal(d, np.inf)
-    n = len(d)
-    near = d.argmin(axis=1)
-    i = np.arange(n - 1)
-    i = i[near[:-1] + 1 < n]
-    d0, d1 = d[i, near[i]], d[i + 1, near[i] + 1]
-    ok = (d0 > 1e-10) & (d1 > 1e-10) & np.isfinite(d1)
-    return float(np.log(d1[ok] / d0[ok]).mean()) if ok.any() else NAN
-
-
 def shannon(x, bins=10):
     h, _ = np.histogram(log_returns(x), bins=bins)
     p = h / h.sum()
     return float(-(p * np.log(p + 1e-10)).sum())
 
 
-def approx_entropy(x, m=2):
-    r = 0.2 * x.std()
-
-    def phi(k):
-        e = embed(x, k)
-        close = np.abs(e[:, None, :] - e[None, :, :]).max(axis=2) <= r
-        return float(np.log(close.mean(axis=1)).mean())
-    return phi(m) - phi(m + 1)
-
-
-# fixed values: low-pass taps of the Daubechies-4 wavelet
-DB4 = np.array([-0.010597401784997278, 0.032883011666982945, 0.030841381835986965, -0.18703481171888114,
-                -0.02798376941698385, 0.6308807679295904, 0.7148465705525415, 0.23037781330885523])
-DB4_HIGH = DB4[::-1] * np.array([-1, 1] * 4)
-
-
-def wavelet_energy(x, level=3):
-    """Relative energies of the approximation and the two coarsest details, and their entropy (symmetric padding)."""
-    parts, a = [], x
-    for _ in range(level):
-        e = np.pad(a, len(DB4) - 1, "symmetric")
-        parts.append(float((np.convolve(e, DB4_HIGH, "valid")[1::2] ** 2).sum()))
-        a = np.convolve(e, DB4, "valid")[1::2]
-    parts.append(float((a ** 2).sum()))
-    p = np.array(parts[::-1])
-    if p.sum() == 0:
-        return NAN, NAN, NAN, NAN
-    p = p / p.sum()
-    return float(p[0]), float(p[1]), float(p[2]), float(-(p * np.log(p + 1e-10)).sum())
-
-
-def fourier(x):
-    """Dominant frequency, spectral entropy, centroid, bandwidth and dominant period."""
-    power = np.abs(np.fft.fft(x - x.mean())) ** 2
-    f = np.fft.fftfreq(len(x))
-    h = len(x) // 2
-    power, f = power[:h], f[:h]
-    if power.sum() == 0:
-        return NAN, NAN, NAN, NAN, NAN
-    p = power / power.sum()
-    dom, cen = f[p.argmax()], (f * p).sum()
-    return float(dom), float(-(p * np.log(p + 1e-10)).sum()), float(cen), float(math.sqrt(((f - cen) ** 2 * p).sum())), float(1 / dom) if dom else NAN
-
-
-def analytic(x):
-    n = len(x)
-    h = np.zeros(n)
-    h[0] = 1
-    h[1:(n + 1) // 2] = 2
-    if n % 2 == 0:
-        h[n // 2] = 1
-    return np.fft.ifft(np.fft.fft(x) * h)
-
-
-def hilbert_phase_std(x):
-    return float(np.diff(np.angle(analytic(x - x.mean()))).std())
-
-
-def phase_space(x):
-    t = embed(x)
-    d = pair_distances(t)
-    return float(np.linalg.norm(np.diff(t, axis=0), axis=1).sum()), float(d[np.triu_indices(len(d), 1)].std())
-
-
-def multifractal(x):
-    """Width and asymmetry of the fluctuation slopes for q = -2, 0, 2."""
-    y = np.cumsum(x - x.mean())
-    fl = {-2: [], 0: [], 2: []}
-    used = []
-    for s in np.unique(np.logspace(1, math.log10(max(len(y) // 4, 11)), 10).astype(int)):
-        k = len(y) // s
-        if s < 4 or k < 2:
-            continue
-        seg = y[:k * s].reshape(k, s)
-        t = np.arange(s) - (s - 1) / 2
-        slope = (seg * t).sum(axis=1) / (t * t).sum()
-        f = np.sqrt(((seg - seg.mean(axis=1, keepdims=True) - slope[:, None] * t) ** 2).mean(axis=1))
-        f = np.maximum(f, 1e-12)
-        used.append(math.log(s))
-        fl[0].append(np.log(f + 1e-10).mean())
-        for q in (-2, 2):
-            fl[q].append(math.log((f ** q).mean()) / q)
-    if len(used) < 3:
-        return NAN, NAN
-    h = {q: line(np.array(used), np.array(v)) for q, v in fl.items()}
-    return max(h.values()) - min(h.values()), (h[2] - h[0]) - (h[0] - h[-2])
-
-
-def nonlinear(x):
-    """BDS-like statistic, recurrence rate and determinism of the log returns."""
-    r = log_returns(x)
-    n, sd = len(r), r.std()
-    d = np.abs(r[:, None] - r[None, :])
-    near = d < sd
-    iu = np.triu_indices(n - 1, 1)
-    cm = (near[:-1, :-1] & near[1:, 1:])[iu].sum() / ((n - 1) * (n - 2) / 2)
-    c1 = near[:-1, :-1][iu].sum() / (n * (n - 1) / 2)
-    rec = d < 0.1 * sd
-    diag = rec[:-2, :-2] & rec[1:-1, 1:-1] & rec[2:, 2:]
-    return float((cm - c1 ** 2) / c1 ** 2) if c1 > 0 else NAN, float(rec.sum() / n ** 2), float(diag.sum() / n ** 2)
-
-
 _erf = np.vectorize(math.erf, otypes=[float])
 
 
@@ -308,42 +185,3 @@ def parabolic_sar(high, low, start=0.02, step=0.02, top=0.2):
     return sar, side
 
 
-def hilbert_cycle(x):
-    """Dominant cycle period, trend flag, sine and lead sine by the homodyne discriminator of the cycle literature.
-
-    Fixed values: filter taps 0.0962 / 0.5769, smoothing 0.2 / 0.8 and period limits 6 .. 50.
-    """
-    n = len(x)
-    sm, dt, q1, i1 = (np.zeros(n) for _ in range(4))
-    period, re, im, i2, q2, smooth_p = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    sine, lead, trend = np.full(n, NAN), np.full(n, NAN), np.full(n, NAN)
-
-    def tap(a, i, adj):
-        return (0.0962 * a[i] + 0.5769 * a[i - 2] - 0.5769 * a[i - 4] - 0.0962 * a[i - 6]) * adj
-    for i in range(6, n):
-        sm[i] = (4 * x[i] + 3 * x[i - 1] + 2 * x[i - 2] + x[i - 3]) / 10
-        adj = 0.075 * period[i - 1] + 0.54
-        dt[i] = tap(sm, i, adj)
-        q1[i], i1[i] = tap(dt, i, adj), dt[i - 3]
-        ji, jq = tap(i1, i, adj), tap(q1, i, adj)
-        i2[i], q2[i] = 0.2 * (i1[i] - jq) + 0.8 * i2[i - 1], 0.2 * (q1[i] + ji) + 0.8 * q2[i - 1]
-        re[i] = 0.2 * (i2[i] * i2[i - 1] + q2[i] * q2[i - 1]) + 0.8 * re[i - 1]
-        im[i] = 0.2 * (i2[i] * q2[i - 1] - q2[i] * i2[i - 1]) + 0.8 * im[i - 1]
-        p = 2 * math.pi / math.atan(im[i] / re[i]) if im[i] and re[i] else period[i - 1]
-        p0 = period[i - 1]
-        if p0:
-            p = min(max(p, 0.67 * p0), 1.5 * p0)
-        p = min(max(p, 6), 50)
-        period[i] = 0.2 * p + 0.8 * p0
-        smooth_p[i] = 0.33 * period[i] + 0.67 * smooth_p[i - 1]
-        k = int(smooth_p[i] + 0.5)
-        if i >= 32 and 1 <= k <= i:
-            w = 2 * math.pi * np.arange(k) / k
-            seg = sm[i - k + 1:i + 1][::-1]
-            ph = math.atan2((np.sin(w) * seg).sum(), (np.cos(w) * seg).sum()) + math.pi / 2
-            sine[i], lead[i] = math.sin(ph), math.sin(ph + math.pi / 4)
-            mean = x[i - k + 1:i + 1].mean()
-            trend[i] = 1.0 if mean and abs((sm[i] - mean) / mean) >= 0.015 else 0.0
-    out = smooth_p.copy()
-    out[:min(32, n)] = NAN
-    return out, trend, sine, lead

@@ -8,7 +8,6 @@ from quantloom.functions.series import S, Series, div, flag, ladder, with_pos
 from quantloom.operators.relational import g1, g2
 from quantloom.operators.risk import YEAR
 
-LEDGER_SCHEMA = "symbol long, date date, price double, position_change double, position double, cost double, portfolio_value double"
 
 
 def vectorized(df: DataFrame, signal="signal", cost=0.001, s: Series = S) -> DataFrame:
@@ -159,50 +158,3 @@ def bootstrap(df: DataFrame, r="strategy_ret", replicates=50, seed=11, by=("symb
     g = d.withColumn("_k", k).groupBy(*by, "replicate").agg(div(F.sum(F.col("_k") * x), F.sum("_k")).alias("mean_r"))
     return g.groupBy(*by).agg(F.avg("mean_r").alias("boot_mean"), F.stddev_samp("mean_r").alias("boot_std"), F.percentile("mean_r", [0.025, 0.975]).alias("_q")).withColumns(
         {"ci_low": F.col("_q")[0], "ci_high": F.col("_q")[1]}).drop("_q")
-
-
-def ledger(df: DataFrame, signal="signal", sizing="fixed", capital=100000.0, commission=0.001, slippage=0.0005, max_position=0.95, stop_loss=None, take_profit=None) -> DataFrame:
-    """Sequential trade ledger per symbol: sizing, costs, stop-loss and take-profit.
-
-    Cash and position feed back into the next decision, so the rows of one symbol are walked in order;
-    bars are bounded by the calendar.  Negative targets close the position; each add resets the entry.
-    """
-    import pandas as pd
-
-    fee = commission + slippage
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        vol = pdf["close"].pct_change().rolling(20).std() * YEAR
-        cash, shares, held, entry, out = capital, 0.0, 0.0, 0.0, []
-        for i in range(1, len(pdf)):
-            price, sig = float(pdf["close"][i]), float(pdf[signal][i])
-            if held:
-                gain = price / entry - 1
-                if (stop_loss and gain < -stop_loss) or (take_profit and gain > take_profit):
-                    held, sig = 0.0, 0.0
-            target = sig * max_position
-            if sizing == "volatility":
-                v = 0.02 if pd.isna(vol[i]) else vol[i]
-                target *= min(0.02 / v, 1.0) if v else 1.0
-            elif sizing == "kelly":
-                target = sig * min(max_position * 0.5, 0.25)
-            if abs(target) > 0.001:
-                target = max(0.0, target * (1 - fee))
-            change, owned = target - held, shares * price
-            moved = abs(change) > 0.001 or (target == 0 and shares > 1e-12)
-            if not moved:
-                continue
-            want = target * (cash + owned)
-            cost = abs(want - owned) * fee
-            if want > owned and want - owned + cost > cash:
-                continue
-            if want > owned:
-                entry = price
-            cash -= want - owned + cost
-            shares, held = want / price, target
-            out.append((pdf["symbol"][i], pdf["date"][i], price, change, held, cost, cash + shares * price))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER_SCHEMA.split(", ")])
-    return df.select("symbol", "date", "close", signal).groupBy("symbol").applyInPandas(walk, LEDGER_SCHEMA)
-
-

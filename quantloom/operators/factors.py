@@ -184,21 +184,6 @@ def greedy_filter(pairs: list[tuple[str, str, float]], names: list[str], thresho
     return kept
 
 
-def risk_weights(cov: np.ndarray, rounds=500) -> dict[str, np.ndarray]:
-    """Inverse volatility, equal risk contribution and maximum diversification for a small matrix (k factors)."""
-    vol = np.sqrt(np.diag(cov))
-    inv = (1 / vol) / (1 / vol).sum()
-    w = inv.copy()
-    for _ in range(rounds):
-        mrc = cov @ w
-        w = np.sqrt(np.maximum(w / np.maximum(mrc, 1e-300), 0))
-        w /= w.sum()
-    corr = cov / np.outer(vol, vol)
-    x = np.linalg.solve(corr, np.ones(len(vol)))
-    x = np.clip(x, 0, None) / vol
-    return {"inverse_vol": inv, "equal_risk": w, "max_diversification": x / x.sum()}
-
-
 def combine(df: DataFrame, weights: DataFrame, weight="w_ic") -> DataFrame:
     """Weighted sum of per-date z-scores; weights hold one row per factor."""
     return zscore(df).join(F.broadcast(weights.select("factor", F.col(weight).alias("_w"))), "factor").groupBy("symbol", "date").agg(F.sum(F.coalesce("z", F.lit(0.0)) * F.col("_w")).alias("combined"))

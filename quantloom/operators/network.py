@@ -94,42 +94,6 @@ def clustering(panel: DataFrame, n=60, threshold=0.2, value="ret") -> DataFrame:
     return map_networks(panel_windows(panel, value, n), fn, "date date, node string, clustering double, degree double")
 
 
-def paths_centrality(panel: DataFrame, n=60, threshold=0.2, value="ret") -> DataFrame:
-    """Closeness, betweenness, mean path and diameter by breadth-first levels and back-accumulation."""
-    def fn(names, c):
-        a, k = adjacency(c, threshold) > 0, len(names)
-        between, close, dist_all = np.zeros(k), np.zeros(k), []
-        for s in range(k):
-            dist, sigma = np.full(k, -1), np.zeros(k)
-            dist[s], sigma[s] = 0, 1
-            levels = [[s]]
-            while levels[-1]:
-                nxt = set()
-                for u in levels[-1]:
-                    for v in np.where(a[u])[0]:
-                        if dist[v] < 0:
-                            dist[v] = dist[u] + 1
-                            nxt.add(int(v))
-                        if dist[v] == dist[u] + 1:
-                            sigma[v] += sigma[u]
-                levels.append(sorted(nxt))
-            delta = np.zeros(k)
-            for lev in reversed(levels[1:]):
-                for v in lev:
-                    for u in np.where(a[v])[0]:
-                        if dist[u] == dist[v] - 1:
-                            delta[u] += sigma[u] / sigma[v] * (1 + delta[v])
-            delta[s] = 0
-            between += delta
-            reach = dist[dist > 0]
-            dist_all.extend(reach)
-            close[s] = len(reach) / reach.sum() * len(reach) / (k - 1) if len(reach) else 0.0
-        norm = (k - 1) * (k - 2)
-        mean, top = (float(np.mean(dist_all)), float(np.max(dist_all))) if dist_all else (0.0, 0.0)
-        return [(s, float(x), float(b / norm) if norm else 0.0, mean, top) for s, x, b in zip(names, close, between)]
-    return map_networks(panel_windows(panel, value, n), fn, "date date, node string, closeness double, betweenness double, avg_path double, diameter double")
-
-
 def connected_components(edge: DataFrame, nodes: DataFrame) -> DataFrame:
     """Smallest reachable node name per (date, node), all dates at once, whatever the length of the paths."""
     ends = edge.select(F.struct("date", F.col("a").alias("node")).alias("a"), F.struct("date", F.col("b").alias("node")).alias("b"))

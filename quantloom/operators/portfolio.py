@@ -119,11 +119,3 @@ def grid_evaluate(grid: DataFrame, stats: DataFrame, cov: DataFrame) -> DataFram
     d = d.withColumn("risk_bucket", F.floor(F.col("risk") * 20).cast("long"))
     best = d.groupBy("risk_bucket").agg(F.max_by("id", F.struct(F.round("ret", 9), -F.col("id"))).alias("_b"))
     return d.join(best, "risk_bucket").withColumn("efficient", flag(F.col("id") == F.col("_b"))).drop("_b", "var")
-
-
-def black_litterman(cov: np.ndarray, market: np.ndarray, views: np.ndarray, view_returns: np.ndarray, tau=0.05, risk_aversion=2.5) -> np.ndarray:
-    """Posterior mean of a small asset list: implied returns corrected by the views."""
-    pi = risk_aversion * cov @ market
-    omega = np.diag(np.diag(views @ (tau * cov) @ views.T))
-    a = np.linalg.inv(tau * cov) + views.T @ np.linalg.inv(omega) @ views
-    return np.linalg.solve(a, np.linalg.inv(tau * cov) @ pi + views.T @ np.linalg.inv(omega) @ view_returns)

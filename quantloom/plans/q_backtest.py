@@ -154,11 +154,6 @@ def vectorized_backtest(t):
     return B.vectorized(G.momentum_ema(t.closes())).withColumn("log_equity", F.log("equity"))
 
 
-@query("signal_backtest_trades", "symbol date", "price position_change position cost portfolio_value")
-def signal_backtest_trades(t):
-    return B.ledger(G.momentum_ema(t.closes()), stop_loss=0.5, take_profit=2.0)
-
-
 def perf(src, r, by):
     q = Sql(by)
     return (chain(f"(SELECT * FROM {src} WHERE {r} IS NOT NULL)", {"f": f"1 + {r}"}, {"eq": q.cum("product(f)")}, {"dd": f"eq / greatest({q.cum('max(eq)')}, 1) - 1"},

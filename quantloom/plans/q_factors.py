@@ -222,16 +222,6 @@ def greedy_correlation_filter(t):
 PERF = f"SELECT date, factor, avg(z * fwd) AS perf FROM (SELECT *, (value - avg(value) OVER ({DFW})) / nullif(stddev_samp(value) OVER ({DFW}), 0) AS z FROM {CL}) GROUP BY 1, 2"
 
 
-@query("factor_weights_risk", "factor", "inverse_vol equal_risk max_diversification")
-def factor_weights_risk(t):
-    """The k x k covariance (k factors) is summed by Spark and solved on the driver."""
-    wide = FA.factor_performance(long(t)).groupBy("date").pivot("factor", FC).agg(F.first("perf"))
-    row = wide.agg(*[F.covar_samp(a, b).alias(f"{a}_{b}") for a in FC for b in FC]).first()
-    w = FA.risk_weights(np.array([[row[f"{a}_{b}"] for b in FC] for a in FC]))
-    cols = {k: F.create_map(*[x for f, v in zip(FC, vec) for x in (F.lit(f), F.lit(float(v)))]) for k, vec in w.items()}
-    return long(t).select("factor").distinct().select("factor", *[F.element_at(m, F.col("factor")).alias(k) for k, m in cols.items()])
-
-
 CMB = (f"WITH w AS (SELECT factor, abs(ic_mean) / sum(abs(ic_mean)) OVER () AS w FROM ({ICS})), z AS (SELECT *, (value - avg(value) OVER ({DFW})) / nullif(stddev_samp(value) OVER ({DFW}), 0) AS z FROM ({FL})) SELECT symbol, date, sum(coalesce(z, 0) * w) AS combined FROM z JOIN w USING (factor) GROUP BY 1, 2")
 
 
@@ -380,22 +370,6 @@ def portfolio_grid_evaluate(t):
     return PO.grid_evaluate(grid, stats, cov)
 
 
-@query("black_litterman_posterior", "sector", "posterior implied")
-def black_litterman_posterior(t):
-    """Five sectors; Spark sums the covariance and the market weights, the 5 x 5 system is solved on the driver."""
-    wide = sector_wide(t)
-    row = wide.agg(*[F.covar_samp(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"{i}_{j}") for i, a in enumerate(SECTORS) for j, b in enumerate(SECTORS)]).first()
-    cov = np.array([[row[f"{i}_{j}"] for j in range(5)] for i in range(5)])
-    mv = {r["sector"]: r["v"] for r in t.positions().groupBy("sector").agg(F.sum(F.abs("market_value")).alias("v")).collect()}
-    mk = np.array([mv[s] for s in SECTORS])
-    mk = mk / mk.sum()
-    views, vr = np.array([[1.0, -1.0, 0, 0, 0], [0, 0, 1.0, 0, 0]]), np.array([0.02, 0.05])
-    post = PO.black_litterman(cov, mk, views, vr)
-    pm = F.create_map(*[x for s, v in zip(SECTORS, post) for x in (F.lit(s), F.lit(float(v)))])
-    im = F.create_map(*[x for s, v in zip(SECTORS, 2.5 * cov @ mk) for x in (F.lit(s), F.lit(float(v)))])
-    return t.sector().select("sector").distinct().select("sector", F.element_at(pm, F.col("sector")).alias("posterior"), F.element_at(im, F.col("sector")).alias("implied"))
-
-
 @query("constraint_checks", "portfolio", "total lowest turnover max_sector", "sum_violation long_only_violation sector_violation turnover_violation",
        sql="WITH w AS (SELECT p.portfolio, p.symbol, p.sector, weight, 1.0 / count(*) OVER (PARTITION BY p.portfolio) AS old_weight FROM weights JOIN positions p USING (portfolio, symbol)), s AS (SELECT portfolio, max(sw) AS max_sector FROM (SELECT portfolio, sector, sum(weight) AS sw FROM w GROUP BY 1, 2) GROUP BY 1), "
            "g AS (SELECT portfolio, sum(weight) AS total, min(weight) AS lowest, sum(abs(weight - old_weight)) / 2 AS turnover FROM w GROUP BY 1) SELECT *, CASE WHEN abs(total - 1) > 1e-6 THEN 1 ELSE 0 END AS sum_violation, CASE WHEN lowest < 0 THEN 1 ELSE 0 END AS long_only_violation, CASE WHEN max_sector > 0.5 THEN 1 ELSE 0 END AS sector_violation, CASE WHEN turnover > 0.3 THEN 1 ELSE 0 END AS turnover_violation FROM g JOIN s USING (portfolio)", tables="weights positions")

@@ -11,10 +11,8 @@ from quantloom.plans.sql import Q
 
 # name -> (kernel, outputs, window, input); half a window is enough, as for the plain factors
 KERNELS = {
-    "fractal_dimension": (N.box_dimension, ["fractal"], 50, "close"), "hurst_rs": (N.hurst_rs, ["hurst"], 50, "close"), "lyapunov": (N.lyapunov, ["lyapunov"], 50, "close"),
-    "shannon_entropy": (N.shannon, ["entropy"], 50, "close"), "approx_entropy": (N.approx_entropy, ["apen"], 50, "close"), "wavelet_energy": (N.wavelet_energy, ["e0", "e1", "e2", "wave_entropy"], 50, "close"),
-    "fft_features": (N.fourier, ["dominant", "spectral_entropy", "centroid", "bandwidth", "period"], 50, "close"), "hilbert_phase_std": (N.hilbert_phase_std, ["phase_std"], 50, "close"),
-    "phase_space": (N.phase_space, ["path_length", "distance_std"], 50, "close"), "multifractal": (N.multifractal, ["width", "asymmetry"], 100, "close"), "nonlinear_bds_recurrence": (N.nonlinear, ["bds", "recurrence", "determinism"], 50, "close"),
+    "fractal_dimension": (N.box_dimension, ["fractal"], 50, "close"), "hurst_rs": (N.hurst_rs, ["hurst"], 50, "close"),
+    "shannon_entropy": (N.shannon, ["entropy"], 50, "close"),
     "distribution_tests": (N.distribution_tests, ["ks_normal", "ks_laplace", "jarque_bera", "anderson"], 50, "ret"), "extreme_value": (N.extreme_value, ["hill", "frequency", "max_to_mean"], 50, "ret"),
     "kalman_local_level": (N.kalman_level, ["smoothness", "innovation_variance"], 50, "ret"), "changepoint_bayes": (N.changepoint, ["strength", "bic_gain"], 50, "ret"), "info_theory": (N.info_theory, ["entropy", "kl", "mutual"], 50, "ret"),
 }
@@ -62,10 +60,3 @@ SAR = ("WITH RECURSIVE v AS (SELECT *, row_number() OVER (PARTITION BY symbol OR
 @query("parabolic_sar", K, "sar", "side", sql=SAR, tables="bars")
 def parabolic_sar(t):
     return apply_frame(t.bars(), N.parabolic_sar, ["high", "low"], ["sar", "side"])
-
-
-@query("hilbert_cycle", K, "dominant_cycle trend_mode ht_sine ht_leadsine")
-def hilbert_cycle(t):
-    return apply_frame(t.closes(), lambda x: N.hilbert_cycle(x), ["close"], ["dominant_cycle", "trend_mode", "ht_sine", "ht_leadsine"])
-
-

@@ -53,11 +53,6 @@ def network_components(t):
     return lab.groupBy("date", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("date").agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"))
 
 
-@query("network_paths_centrality", "date node", "closeness betweenness avg_path diameter")
-def network_paths_centrality(t):
-    return NW.paths_centrality(t.industry_panel(), 60, TH)
-
-
 CON = chain("(SELECT *, (sum(ret) OVER (PARTITION BY date) - ret) / nullif(count(*) OVER (PARTITION BY date) - 1, 0) AS rest FROM returns WHERE ret IS NOT NULL)", {"corr_now": Q.corr("ret", "rest", 60), "corr_before": Q.corr("ret", "rest", 60, lo=-119, hi=-60)}, {"contagion": "corr_now - corr_before"})
 
 
