@@ -30,7 +30,7 @@ def test_linear_form_of_mean_correlation_equals_pairs(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 1, (12, 6))
     rows = [(s, dt.date(2020, 1, 1) + dt.timedelta(days=i), float(x[i, s])) for s in range(6) for i in range(12)]
-    got = NW.group_mean_correlation(spark.createDataFrame(rows, "symbol long, date date, ret double"), 12).orderBy("symbol").toPandas()
+    got = NW.group_mean_correlation(spark.createDataFrame(rows, "symbol long, date date, ret double"), 12).where("date = '2020-01-12'").orderBy("symbol").toPandas()
     c = np.corrcoef(x.T)
     np.testing.assert_allclose(got["mean_corr"], (c.sum(axis=0) - 1) / 5, rtol=1e-9)
 
