@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.session import materialise
+
+
 def attach(df: DataFrame, table: DataFrame, by: list[str], on: list[str] | None = None) -> DataFrame:
     """Join a per-group table; adaptive execution broadcasts it when it turns out small.
 
@@ -21,11 +24,14 @@ def attach(df: DataFrame, table: DataFrame, by: list[str], on: list[str] | None
 
 def cumulative_sums(df: DataFrame, by: list[str], value: str, cols: dict[str, Column], buckets: int | None = None) -> DataFrame:
     """(by, value, sums, cum_<name>, all_<name>): per distinct value the sum of each column, its running total
-    up to and including that value, and the total of the group."""
+    up to and including that value, and the total of the group.
+
+    The sums per distinct value are written once; splits, bucket totals and running totals all read them there.
+    """
     names = list(cols)
     # the buckets follow the parallelism of the session, which follows the data
     k = buckets or max(16, min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    vc = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in cols.items()])
+    vc = materialise(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in cols.items()]), "counts")
     splits = vc.groupBy(*by).agg(F.percentile_approx(value, [i / k for i in range(1, k)], max(1000, 4 * k)).alias("_splits"))
     cut = F.size(F.filter("_splits", lambda s: s < F.col(value)))
     b = attach(vc, splits, by).withColumn("_b", cut).drop("_splits")
@@ -39,9 +45,9 @@ def cumulative_sums(df: DataFrame, by: list[str], value: str, cols: dict[str, Co
             .select(*by, value, *names, *[f"cum_{n}" for n in names], *[f"all_{n}" for n in names]))
 
 
-def value_positions(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def value_positions(df: DataFrame, by: list[str], value: str, weight: str | None = None) -> DataFrame:
     """(by, value, n, before, total): count of each distinct value, of the smaller rows, and of the group."""
-    c = cumulative_sums(df, by, value, {"n": F.lit(1)})
+    c = cumulative_sums(df, by, value, {"n": F.col(weight) if weight else F.lit(1)})
     return c.select(*by, value, "n", (F.col("cum_n") - F.col("n")).alias("before"), F.col("all_n").alias("total"))
 
 
@@ -51,9 +57,9 @@ def two_sample_ks(df: DataFrame, by: list[str], value: str, first: Column) -> Da
     return c.groupBy(*by).agg(F.max(F.abs(F.try_divide("cum_a", "all_a") - F.try_divide("cum_b", "all_b"))).alias("ks"))
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], names: list[str]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group."""
-    j = value_positions(df, by, value)
+def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], names: list[str], weight: str | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per group; ``weight`` counts how often a row stands."""
+    j = value_positions(df, by, value, weight)
 
     def at(pos: Column) -> Column:
         return F.max(F.when((F.col("before") <= pos) & (pos < F.col("before") + F.col("n")), F.col(value)))
@@ -94,6 +100,8 @@ def ranks(df: DataFrame, keys: list[str], by: list[str], cols: dict[str, tuple[s
 
 
 def with_ranks(df: DataFrame, keys: list[str], by: list[str], cols: dict[str, tuple[str, str]]) -> DataFrame:
+    """The rows with their ranks; the input is computed once and then read three times."""
+    df = materialise(df, "ranked")
     return df.join(ranks(df, keys, by, cols), keys, "left")
 
 

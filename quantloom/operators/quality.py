@@ -5,9 +5,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.functions.exact import quantiles, unpivot, with_group_stats
+from quantloom.functions.exact import quantiles, unpivot
 from quantloom.functions.series import div, ladder
 from quantloom.operators.relational import corr_agg
+from quantloom.session import materialise
 
 
 def rule_counts(df: DataFrame, rules: dict) -> DataFrame:
@@ -42,17 +43,26 @@ def fundamental_consistency(df: DataFrame) -> DataFrame:
 
 
 def outliers(df: DataFrame, cols, iqr=1.5, z=3.0, mz=3.5) -> DataFrame:
-    """Counts by IQR, z-score and modified z-score (exact quartiles, two-pass MAD)."""
+    """Counts by IQR, z-score and modified z-score (exact quartiles, two-pass MAD).
+
+    The input is counted by column and value once; quartiles, moments, deviations and the counts of
+    outliers are weighted sums over that table.
+    """
     long = unpivot(df, [], list(cols)).where(F.col("value").isNotNull())
-    b = quantiles(long, ["name"], "value", [0.25, 0.5, 0.75], ["q1", "md", "q3"])
-    d = long.join(F.broadcast(b), "name")  # one row per column name
-    d = with_group_stats(d.withColumn("_ad", F.abs(F.col("value") - F.col("md"))), ["name"], {"_m": F.avg("value"), "_s": F.stddev_samp("value")})
-    mad = quantiles(d, ["name"], "_ad", [0.5], ["mad"])
-    d = d.join(F.broadcast(mad), "name")
+    vc = materialise(long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n")), "values")
+    b = quantiles(vc, ["name"], "value", [0.25, 0.5, 0.75], ["q1", "md", "q3"], weight="n")
+    mean = vc.groupBy("name").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("_m"), F.sum("n").alias("_k"))
+    d = materialise(vc.join(F.broadcast(b.join(mean, "name")), "name").withColumn("_ad", F.abs(F.col("value") - F.col("md"))), "deviations")  # one row per column name
+    mad = quantiles(d, ["name"], "_ad", [0.5], ["mad"], weight="n")
+    spread = d.groupBy("name").agg(F.sqrt(F.try_divide(F.sum(F.col("n") * F.pow(F.col("value") - F.col("_m"), 2)), F.max("_k") - 1)).alias("_s"))
+    d = d.join(F.broadcast(mad.join(spread, "name")), "name")
     w = F.col("q3") - F.col("q1")
     v = F.col("value")
-    g = d.groupBy("name").agg(F.count_if((v < F.col("q1") - iqr * w) | (v > F.col("q3") + iqr * w)).alias("iqr_outliers"), F.count_if(F.abs(div(v - F.col("_m"), "_s")) > z).alias("z_outliers"),
-                              F.count_if(F.abs(div(0.6745 * (v - F.col("md")), "mad")) > mz).alias("mz_outliers"), F.count(F.lit(1)).alias("n"))
+
+    def rows(condition):
+        return F.sum(F.when(condition, F.col("n")).otherwise(0))
+    g = d.groupBy("name").agg(rows((v < F.col("q1") - iqr * w) | (v > F.col("q3") + iqr * w)).alias("iqr_outliers"), rows(F.abs(div(v - F.col("_m"), "_s")) > z).alias("z_outliers"),
+                              rows(F.abs(div(0.6745 * (v - F.col("md")), "mad")) > mz).alias("mz_outliers"), F.sum("n").alias("n"))
     return g.withColumn("iqr_share", F.col("iqr_outliers") / F.col("n"))
 
 

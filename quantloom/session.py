@@ -70,3 +70,10 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
         sc.setCheckpointDir(checkpoint_root)
         root = sc._jsc.sc().getCheckpointDir()
     return f"{root.get()}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialise(df, tag: str = "stage"):
+    """Write a table to the shared folder and read it back: what builds it runs once, however often it is used, and its lineage is cut."""
+    path = shared_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
