@@ -21,6 +21,11 @@ def vectors(df: DataFrame, cols, scale=True) -> DataFrame:
     return StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(d).transform(d).drop("_raw")
 
 
+def incomplete(df: DataFrame, cols) -> DataFrame:
+    """Rows with a NULL feature: they have no vector, so models return them with NULL outputs."""
+    return df.where(F.array_contains(F.array(*[F.col(c).isNull() for c in cols]), True))
+
+
 def pca_factors(df: DataFrame, cols, k=3) -> DataFrame:
     """Leading components of standardised features; the largest loading of each is made positive."""
     d = vectors(df, cols)
@@ -28,7 +33,8 @@ def pca_factors(df: DataFrame, cols, k=3) -> DataFrame:
     load = model.pc.toArray()
     sign = np.sign(load[np.abs(load).argmax(axis=0), range(k)])
     arr = vector_to_array("_pc")
-    return model.transform(d).select(*df.columns, *[(arr[i] * float(sign[i])).alias(f"pc_{i + 1}") for i in range(k)])
+    out = model.transform(d).select(*df.columns, *[(arr[i] * float(sign[i])).alias(f"pc_{i + 1}") for i in range(k)])
+    return out.unionByName(incomplete(df, cols), allowMissingColumns=True)
 
 
 def kmeans_cluster(df: DataFrame, cols, k=4, seed=7) -> DataFrame:
@@ -37,7 +43,7 @@ def kmeans_cluster(df: DataFrame, cols, k=4, seed=7) -> DataFrame:
     centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
     out = model.transform(d).withColumn("_c", centers[F.col("cluster")]).withColumn("_f", vector_to_array("features"))
     dist = F.sqrt(F.aggregate(F.zip_with("_f", "_c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
-    return out.withColumn("distance", dist).select(*df.columns, "cluster", "distance")
+    return out.withColumn("distance", dist).select(*df.columns, "cluster", "distance").unionByName(incomplete(df, cols), allowMissingColumns=True)
 
 
 def split_by_date(df: DataFrame, share=0.7) -> DataFrame:
@@ -189,7 +195,8 @@ def anomaly_scores(df: DataFrame, cols, limit=3.5, share=0.975) -> DataFrame:
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
             dist = dist + float(inv[i, j]) * (F.col(a) - row[f"m_{a}"]) * (F.col(b) - row[f"m_{b}"])
-    return d.withColumns({"robust_z": rz, "mahalanobis": F.sqrt(F.greatest(dist, F.lit(0.0)))}).withColumn("anomaly", flag(F.col("robust_z") > limit))
+    out = d.withColumns({"robust_z": rz, "mahalanobis": F.sqrt(F.greatest(dist, F.lit(0.0)))}).withColumn("anomaly", flag(F.col("robust_z") > limit))
+    return out.unionByName(incomplete(df, cols), allowMissingColumns=True)
 
 
 def impute_scale_select(df: DataFrame, cols, target="fwd", k=4) -> DataFrame:

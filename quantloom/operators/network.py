@@ -1,16 +1,14 @@
 """Correlation networks, contagion and market structure.
 
-Nodes of a windowed network are a dimension (industries, features), not symbols: a window is a
-dates x nodes matrix and only edges over the threshold leave the kernel.  Symbol-level measures use
-linear forms (correlation with a sum) instead of pairs.
+Nodes of a windowed network are a dimension (industries, features), not symbols: pairs of nodes are
+joined per date and each pair is a series with a window frame.  Symbol-level measures use linear
+forms (correlation with a sum) instead of pairs.
 """
 from __future__ import annotations
 
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.exact import with_group_stats
@@ -18,80 +16,71 @@ from quantloom.functions.graph import component_labels
 from quantloom.functions.series import S, Series, div, flag
 from quantloom.operators.cross_section import mean_correlation
 from quantloom.operators.relational import corr_agg
-from quantloom.session import checkpoint
-
-MAX_NODES = 1000
-
-
-def panel_windows(panel: DataFrame, value="ret", n=60) -> DataFrame:
-    """(date, windows): the last n calendar dates of node vectors; the date axis is calendar bounded."""
-    g = panel.where(F.col(value).isNotNull()).groupBy("date").agg(F.array_sort(F.collect_list(F.struct("symbol", F.col(value).alias("v")))).alias("r"))
-    g = g.select("date", F.transform("r", lambda x: x["symbol"]).alias("s"), F.transform("r", lambda x: x["v"]).alias("v"))
-    f = Series((), ("date",)).past(n)
-    full = F.count("s").over(f) == n
-    d = g.select("date", *[F.when(full, e).alias(k) for k, e in (("s", F.flatten(F.collect_list("s").over(f))), ("v", F.flatten(F.collect_list("v").over(f))),
-                                                                 ("k", F.collect_list(F.size("s")).over(f)))])
-    return d.where(F.col("s").isNotNull())
-
-
-def corr_matrix(symbols, values, sizes, min_share=0.5):
-    """Node names and pairwise-complete correlations of one window (flat lists, sizes per date)."""
-    names, col = np.unique(np.asarray(symbols, str), return_inverse=True)
-    if len(names) > MAX_NODES:
-        raise ValueError(f"network over {len(names)} nodes: use a dimension of at most {MAX_NODES}")
-    names = names.tolist()
-    x = np.full((len(sizes), len(names)), np.nan)
-    x[np.repeat(np.arange(len(sizes)), sizes), col] = values
-    m = (~np.isnan(x)).astype(float)
-    z = np.nan_to_num(x)
-    n = m.T @ m
-    sx, sxx, sxy = z.T @ m, (z * z).T @ m, z.T @ z
-    with np.errstate(all="ignore"):
-        c = (sxy - sx * sx.T / n) / np.sqrt((sxx - sx ** 2 / n) * (sxx - sx ** 2 / n).T)
-    c[n < min_share * len(sizes)] = np.nan
-    return names, c
-
-
-def map_networks(windows: DataFrame, fn, schema: str) -> DataFrame:
-    """Apply fn(names, matrix) -> list of rows (without the date) to every window."""
-    cols = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(d, *r) for d, s, v, k in zip(pdf["date"], pdf["s"], pdf["v"], pdf["k"]) for r in fn(*corr_matrix(s, v, k))]
-            yield pd.DataFrame(rows, columns=cols)
-    return windows.mapInPandas(run, schema)
+from quantloom.session import materialise
+
+
+
+def _dense(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """A row for every calendar position at which the window of a key still holds one of its rows."""
+    last = rows.agg(F.max("_p").alias("_last"))  # one row
+    spans = rows.groupBy(*keys).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi")).crossJoin(F.broadcast(last))
+    ends = spans.select(*keys, F.explode(F.sequence("_lo", F.least(F.col("_hi") + (n - 1), F.col("_last")))).alias("_p"))
+    return ends.join(rows, [*keys, "_p"], "left")
+
+
+def windowed_network(panel: DataFrame, n=60, value="ret", min_share=0.5) -> tuple[DataFrame, DataFrame]:
+    """Pair correlations (date, a, b, corr) and nodes (date, node) of the windows of ``n`` calendar dates.
+
+    Pairs are formed per date over a dimension, and every pair is a series of its own with one window
+    frame; nothing gathers a date or the calendar.  A pair needs ``min_share`` of the dates in common.
+    """
+    p = panel.where(F.col(value).isNotNull()).select("date", F.col("symbol").alias("node"), F.col(value).alias("v"))
+    calendar = p.select("date").distinct().withColumn("_p", F.row_number().over(Window.orderBy("date")))  # one row per date
+    p = materialise(p.join(calendar, "date").select("_p", "node", "v"), "panel")
+    x, y = p.select("_p", F.col("node").alias("a"), F.col("v").alias("x")), p.select("_p", F.col("node").alias("b"), F.col("v").alias("y"))
+    both = x.join(y, "_p").where(F.col("a") < F.col("b"))
+    w = Window.partitionBy("a", "b").orderBy("_p").rowsBetween(1 - n, 0)
+    c = _dense(both, ["a", "b"], n).select("_p", "a", "b", F.corr("x", "y").over(w).alias("corr"), F.count("x").over(w).alias("_n"))
+    c = c.where((F.col("_p") >= n) & (F.col("_n") >= min_share * n)).join(calendar, "_p").select("date", "a", "b", "corr")
+    present = F.count("v").over(Window.partitionBy("node").orderBy("_p").rowsBetween(1 - n, 0))
+    nodes = _dense(p, ["node"], n).withColumn("_n", present).where((F.col("_n") > 0) & (F.col("_p") >= n)).join(calendar, "_p").select("date", "node")
+    return materialise(c, "correlations"), materialise(nodes, "nodes")
+
+
+def over(corr: DataFrame, threshold: float) -> DataFrame:
+    return corr.where(F.abs("corr") > threshold)
 
 
 def edges(panel: DataFrame, n=60, threshold=0.2, value="ret") -> DataFrame:
-    def fn(names, c):
-        i, j = np.where(np.triu(np.abs(np.nan_to_num(c)) > threshold, 1))
-        return [(names[a], names[b], float(c[a, b])) for a, b in zip(i, j)]
-    return map_networks(panel_windows(panel, value, n), fn, "date date, a string, b string, corr double")
+    return over(windowed_network(panel, n, value)[0], threshold)
 
 
-def adjacency(c, threshold):
-    a = (np.abs(np.nan_to_num(c)) > threshold).astype(float)
-    np.fill_diagonal(a, 0)
-    return a
+def degrees(edge: DataFrame) -> DataFrame:
+    both = edge.select("date", F.col("a").alias("node")).unionByName(edge.select("date", F.col("b").alias("node")))
+    return both.groupBy("date", "node").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def density_degree(panel: DataFrame, n=60, threshold=0.2, value="ret") -> DataFrame:
-    def fn(names, c):
-        a, k = adjacency(c, threshold), len(names)
-        v = c[np.triu_indices(k, 1)]
-        v = v[~np.isnan(v)]
-        return [(k, a.sum() / (k * (k - 1)), a.sum() / k, float(a.sum(axis=0).max()), float(v.mean()), float(v.max()), float(v.std()))]
-    return map_networks(panel_windows(panel, value, n), fn, "date date, nodes long, density double, avg_degree double, max_degree double, avg_corr double, max_corr double, std_corr double")
+    corr, nodes = windowed_network(panel, n, value)
+    hit = F.count_if(F.abs("corr") > threshold)
+    g = corr.groupBy("date").agg(hit.alias("_e"), F.avg("corr").alias("avg_corr"), F.max("corr").alias("max_corr"), F.stddev_pop("corr").alias("std_corr"))
+    k = nodes.groupBy("date").agg(F.count(F.lit(1)).alias("nodes"))
+    top = degrees(over(corr, threshold)).groupBy("date").agg(F.max("degree").alias("max_degree"))
+    d = g.join(k, "date").join(top, "date", "left")
+    return d.select("date", "nodes", div(F.col("_e") * 2, F.col("nodes") * (F.col("nodes") - 1)).alias("density"), div(F.col("_e") * 2, "nodes").alias("avg_degree"),
+                    F.coalesce("max_degree", F.lit(0)).alias("max_degree"), "avg_corr", "max_corr", "std_corr")
 
 
 def clustering(panel: DataFrame, n=60, threshold=0.2, value="ret") -> DataFrame:
-    """Local clustering coefficient per node (0 below two neighbours)."""
-    def fn(names, c):
-        a = adjacency(c, threshold)
-        d, tri = a.sum(axis=0), np.diag(a @ a @ a) / 2
-        return [(s, float(t / (k * (k - 1) / 2)) if k > 1 else 0.0, float(k)) for s, t, k in zip(names, tri, d)]
-    return map_networks(panel_windows(panel, value, n), fn, "date date, node string, clustering double, degree double")
+    """Local clustering coefficient per node (0 below two neighbours); every triangle is found once, from its smallest node."""
+    corr, nodes = windowed_network(panel, n, value)
+    e = over(corr, threshold).select("date", "a", "b")
+    wedge = e.join(e.select("date", "a", F.col("b").alias("c")), ["date", "a"]).where(F.col("b") < F.col("c"))
+    closed = wedge.join(e.select("date", F.col("a").alias("b"), F.col("b").alias("c")), ["date", "b", "c"])
+    tri = closed.select("date", F.explode(F.array("a", "b", "c")).alias("node")).groupBy("date", "node").agg(F.count(F.lit(1)).alias("_t"))
+    d = nodes.join(degrees(e), ["date", "node"], "left").join(tri, ["date", "node"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    most = F.col("degree") * (F.col("degree") - 1) / 2
+    return d.select("date", "node", F.when(F.col("degree") > 1, F.coalesce("_t", F.lit(0)) / most).otherwise(0.0).alias("clustering"), "degree")
 
 
 def connected_components(edge: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -47,9 +47,8 @@ def network_clustering(t):
        sql=f"WITH RECURSIVE {IDX}, nds AS (SELECT DISTINCT e.date, a.symbol AS node FROM ix e JOIN p a ON a.dp BETWEEN e.dp - 59 AND e.dp WHERE e.dp >= 60), "
            "rc AS (SELECT date, node AS s, node FROM nds UNION SELECT rc.date, rc.s, sy.b FROM rc JOIN sy ON sy.date = rc.date AND sy.a = rc.node), lb AS (SELECT date, node, min(s) AS label FROM rc GROUP BY 1, 2), z AS (SELECT date, label, count(*) AS n FROM lb GROUP BY 1, 2) SELECT date, count(*) AS components, max(n) AS largest FROM z GROUP BY 1", tables="industry_panel")
 def network_components(t):
-    ip = t.industry_panel()
-    nodes = NW.clustering(ip, 60, TH).select("date", "node")
-    lab = NW.connected_components(NW.edges(ip, 60, TH), nodes)
+    corr, nodes = NW.windowed_network(t.industry_panel(), 60)
+    lab = NW.connected_components(NW.over(corr, TH), nodes)
     return lab.groupBy("date", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("date").agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"))
 
 
