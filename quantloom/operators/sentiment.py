@@ -10,33 +10,36 @@ from quantloom.functions.series import S, Series, div, flag, ladder, with_pos
 from quantloom.operators.risk import YEAR, daily_returns
 from quantloom.operators.technical import bollinger_family, gains_losses, macd_family, rsi_from, true_range
 
-# fixed values: token, polarity, subjectivity.  A short list of our own over common function words of
-# the sample languages, since its prose is invented and holds no opinion words.
-LEXICON = {
-    "good": (0.7, 0.6), "great": (0.8, 0.75), "gain": (0.5, 0.4), "rise": (0.4, 0.3), "strong": (0.45, 0.7), "bad": (-0.7, 0.65), "loss": (-0.5, 0.4),
-    "fall": (-0.4, 0.3), "weak": (-0.4, 0.6), "risk": (-0.3, 0.5), "the": (0.05, 0.1), "and": (0.1, 0.1), "to": (0.2, 0.2), "of": (-0.1, 0.1),
-    "les": (0.3, 0.3), "la": (-0.3, 0.3), "que": (0.4, 0.4), "und": (-0.2, 0.3), "der": (0.35, 0.2), "die": (-0.45, 0.3), "el": (0.25, 0.3), "de": (-0.15, 0.2),
+# fixed values: a short list of opinion words of our own per language, as (words, polarity, subjectivity)
+OPINIONS = {
+    "en": [("good gain rise strong profit", 0.5, 0.5), ("great excellent win", 0.8, 0.75), ("bad loss fall weak risk", -0.5, 0.5), ("terrible crash fraud", -0.8, 0.8)],
+    "fr": [("bon bonne hausse gain fort", 0.5, 0.5), ("excellent excellente succès", 0.8, 0.75), ("mauvais mauvaise baisse perte faible", -0.5, 0.5), ("terrible échec fraude", -0.8, 0.8)],
+    "de": [("gut gute gewinn anstieg stark", 0.5, 0.5), ("ausgezeichnet großartig erfolg", 0.8, 0.75), ("schlecht schlechte verlust rückgang schwach", -0.5, 0.5), ("schrecklich absturz betrug", -0.8, 0.8)],
+    "es": [("bueno buena ganancia alza fuerte", 0.5, 0.5), ("excelente éxito", 0.8, 0.75), ("malo mala pérdida caída débil", -0.5, 0.5), ("terrible fracaso fraude", -0.8, 0.8)],
 }
 
 
-def lookup(values: dict, key: Column) -> Column:
-    """Whole hundredths of a constant map's value, so that sums do not depend on their order."""
-    return F.try_element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(round(v * 100)))]), key)
+def default_lexicon() -> list[tuple[str, int, int]]:
+    """(token, polarity, subjectivity) in whole hundredths, so that sums do not depend on their order; shared words stand once."""
+    words = {w: (round(p * 100), round(s * 100)) for groups in OPINIONS.values() for ws, p, s in groups for w in ws.split()}
+    return [(w, p, s) for w, (p, s) in sorted(words.items())]
 
 
-def text_polarity(df: DataFrame, text: str) -> DataFrame:
+def text_polarity(df: DataFrame, text: str, lexicon: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """Mean polarity and subjectivity of the lexicon words of each whole text, with label and confidence.
 
-    The lexicon is a constant map, so the words are scored inside the row: no explode, no shuffle.
+    ``lexicon`` is a table (token, pol, sub) of any size, in hundredths.  Words are runs of letters of any
+    alphabet; only those that are in the lexicon, counted per text inside the tasks, are shuffled.
     """
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)
-    known = F.array(*[F.lit(k) for k in LEXICON])
-    d = df.withColumn("_k", F.filter(tokens, lambda w: F.array_contains(known, w)))
-
-    def mean(i):
-        vals = {k: v[i] for k, v in LEXICON.items()}
-        return F.coalesce(F.try_divide(F.aggregate("_k", F.lit(0), lambda a, w: a + lookup(vals, w)).cast("double"), F.size("_k") * 100), F.lit(0.0))
-    d = d.withColumns({"polarity": mean(0), "subjectivity": mean(1), "hits": F.size("_k")}).drop("_k")
+    if lexicon is None:
+        lexicon = df.sparkSession.createDataFrame(default_lexicon(), "token string, pol long, sub long")
+    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)).alias("token"))
+    known = words.join(lexicon, "token").groupBy(key).agg(F.sum("pol").alias("_p"), F.sum("sub").alias("_s"), F.count(F.lit(1)).alias("hits"))
+    d = df.join(known, key, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+
+    def mean(total):
+        return F.coalesce(F.try_divide(F.col(total).cast("double"), F.col("hits") * 100), F.lit(0.0))
+    d = d.withColumns({"polarity": mean("_p"), "subjectivity": mean("_s")}).drop("_p", "_s")
     p = F.col("polarity")
     return d.withColumns({"sentiment": ladder([(p > 0.1, "positive"), (p < -0.1, "negative")], "neutral"), "confidence": F.abs(p)})
 

@@ -90,10 +90,10 @@ TABLES = {  # name -> (text, needed names)
 
 
 def lexicon_tables() -> str:
-    from quantloom.operators.sentiment import LEXICON
-    rows = ", ".join(f"('{w}', {round(p * 100)}, {round(s * 100)})" for w, (p, s) in LEXICON.items())
+    from quantloom.operators.sentiment import default_lexicon
+    rows = ", ".join(f"('{w}', {p}, {s})" for w, p, s in default_lexicon())
     return (f"lexicon AS (SELECT * FROM (VALUES {rows}) v(token, pol, sub)), "
-            "doc_tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents), "
+            "doc_tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS token FROM documents), "
             "doc_sentiment AS (SELECT d.doc_id, d.source AS symbol, d.lang, d.n_chars, coalesce(sum(pol)::DOUBLE / nullif(100 * count(pol), 0), 0) AS polarity, coalesce(sum(sub)::DOUBLE / nullif(100 * count(sub), 0), 0) AS subjectivity, count(pol) AS hits, "
             "CASE WHEN coalesce(sum(pol)::DOUBLE / nullif(100 * count(pol), 0), 0) > 0.1 THEN 'positive' WHEN coalesce(sum(pol)::DOUBLE / nullif(100 * count(pol), 0), 0) < -0.1 THEN 'negative' ELSE 'neutral' END AS sentiment "
             "FROM documents d LEFT JOIN doc_tokens USING (doc_id) LEFT JOIN lexicon USING (token) GROUP BY 1, 2, 3, 4)")

@@ -94,3 +94,12 @@ def test_models_by_property(spark):
     km = L.kmeans_cluster(df, ["x", "z"], 3)
     assert km.select("cluster").distinct().count() == 3 and km.where("distance < 0").count() == 0
     assert L.ensemble(df, ["x", "z"]).where("p_mean is null").count() == 0
+
+
+def test_polarity_in_any_alphabet_with_a_given_lexicon(spark):
+    from quantloom.operators.sentiment import text_polarity
+    docs = spark.createDataFrame([(1, "Großer Verlust, ein Absturz."), (2, "¡Éxito! fuerte"), (3, "плохо, хорошо хорошо"), (4, None), (5, "gains againstloss")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["sentiment"], r["hits"], round(r["polarity"], 3)) for r in text_polarity(docs, "text").collect()}
+    assert got == {1: ("negative", 2, -0.65), 2: ("positive", 2, 0.65), 3: ("neutral", 0, 0.0), 4: ("neutral", 0, 0.0), 5: ("neutral", 0, 0.0)}
+    own = spark.createDataFrame([("хорошо", 60, 50), ("плохо", -60, 50)], "token string, pol long, sub long")
+    assert text_polarity(docs, "text", own).where("doc_id = 3").first()["polarity"] == 0.2
