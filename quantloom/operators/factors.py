@@ -5,12 +5,11 @@ partial aggregates or exact distributed ranks, so a date never has to fit one ta
 """
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.exact import quantiles, with_group_stats, with_ranks
-from quantloom.functions.series import S, Series, div, flag, ladder
+from quantloom.functions.series import Series, div, flag, ladder
 from quantloom.operators.relational import bucketize, corr_agg
 from quantloom.operators.sentiment import norm_cdf
 

@@ -1,7 +1,6 @@
 """Queries of factor processing, evaluation, combination, the factor model and portfolio construction."""
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from quantloom.functions.exact import unpivot, with_group_stats
