@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.session import checkpoint, shared_folder
+from quantloom.session import checkpoint, materialise, shared_folder
 
 #: A-Z to a-z and every other byte below 0x80 that is not a digit or a letter to a blank.
 ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -30,13 +30,20 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` under one name; batches are cut by bytes, so long texts do not pile up in a worker."""
-    return df.mapInArrow(fn, schema)
+#: Bytes of an Arrow batch between Spark and a Python worker: texts as Python objects take a multiple of it.
+BATCH_BYTES = 16 << 20
 
 
-def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches cut by bytes, so that long texts do not pile up in a worker.
+
+    Lowers ``spark.sql.execution.arrow.maxBytesPerBatch`` of the session where it is larger.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
 
 
 def id_crc(col: str) -> Column:
@@ -44,11 +51,4 @@ def id_crc(col: str) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("null")))
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder of the session and read it back: cuts the lineage and survives lost executors."""
-    path = shared_folder(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-__all__ = ["alnum_words", "batch", "blank_words", "checkpoint", "id_crc", "map_rows", "materialise", "shared_folder", "utf8"]
+__all__ = ["alnum_words", "blank_words", "checkpoint", "id_crc", "map_rows", "materialise", "shared_folder", "utf8"]

@@ -61,7 +61,7 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     ws = blank_words(text)
     if not ws:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 150_000:
         _WORDS.clear()
     codes = [*map(_WORDS.get, ws)]
     if None in codes:
