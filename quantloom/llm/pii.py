@@ -1,20 +1,22 @@
 """Personal data: base patterns and information-theoretic sanitisation.
 
 Base spans (e-mail, IP address, card, phone) come from fixed patterns.  They are the protected
-entities.  What else gives an entity away is estimated from the corpus: a term standing near an entity
-discloses PMI(entity; term) = log(N * together / (with entity * with term)) of the information
-IC(entity) = log(N / with entity) that naming it would give, counts being of documents.  A term that
-reaches ``alpha`` of it, in at least ``support`` documents together, is generalised to its shape where
-it stands near that entity; from ``remove`` of it on, it is removed.
-
-Only terms within ``reach`` words of an entity are paired with it, so the pairs grow with the number
-of entities and not with the square of a text.  The texts are read once for the spans and contexts,
-kept as a table with a row number, and once for the document frequencies, which are summed inside the
-tasks.  All counts cover every document; pairs, frequencies and decisions meet in shuffled joins.
+entities.  What else gives an entity away is estimated from the corpus: a term of a document that holds
+an entity discloses PMI(entity; term) = log(N * together / (with entity * with term)) of the information
+IC(entity) = log(N / with entity) that naming it would give; all counts are of whole documents.  A term
+that reaches ``alpha`` of it, in at least ``support`` documents together, is generalised to its shape
+wherever it stands in the documents of that entity; from ``remove`` of it on, it is removed.
+
+``support`` is a rule of the estimate: of a pair seen in one document nothing can be told.  An entity in
+fewer documents cannot reach it with any term, so its documents are paired only for their other entities;
+this drops no pair that could count.  Pairs of an entity and a distinct term are summed inside the tasks
+and then by (entity, term), so a hot entity is spread by its terms.  The texts are read once for the
+spans, kept as a table with a row number (of the texts, those with entities), and once for the document
+frequencies, which are summed inside the tasks.  Pairs, frequencies and decisions meet in shuffled joins.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows count as documents of their
-own; a document counts once per entity and term however often they occur in it; spans of terms never
-overlap base spans; an empty table gives an empty result.
+own; a document counts once per entity and term however often they occur in it, inside base spans too; spans
+of terms never overlap base spans; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -38,7 +40,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W_]+")
 _DIGIT = re.compile("[0-9]")
 SPAN = "struct<kind:string,start:int,end:int>"
-CONTEXT = "struct<entity:string,term:string,start:int,end:int>"
+TERMS = "array<struct<start:int,end:int,remove:boolean>>"
+#: Rows of an Arrow batch of pairs, and pairs that a task sums up at a time.
+ROWS, ROOM = 50_000, 300_000
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -90,57 +94,57 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return out
 
 
-def contexts(text: str, base: list[tuple[str, int, int, str]], reach: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms within ``reach`` words of an entity, outside all base spans."""
-    taken = sorted((a, b) for _, a, b, _ in base)
-    out = []
-    for _, a, b, entity in base:
-        # a window of characters that surely holds the words, grown until it does
-        around = []
-        for before in (True, False):
-            width, got = 16 * reach, []
-            while True:
-                lo, hi = (max(0, a - width), a) if before else (b, min(len(text), b + width))
-                got = [(m[0], lo + m.start(), lo + m.end()) for m in _TERM.finditer(text[lo:hi])]
-                cut = lo > 0 if before else hi < len(text)
-                if not cut or len(got) > reach:
-                    break
-                width *= 4
-            if cut:  # the word at the far edge may be cut
-                got = got[1:] if before else got[:-1]
-            around += got[-reach:] if before else got[:reach]
-        out += [(entity, w.lower(), s, e) for w, s, e in around if not any(x < e and s < y for x, y in taken)]
-    return out
+def terms_of(text: str) -> set[str]:
+    """Distinct lower-cased terms of a text."""
+    return {w.lower() for w in set(_TERM.findall(text))}
+
+
+def outside(text: str, base: list[dict]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the terms that touch no base span, in order."""
+    taken = sorted((s["start"], s["end"]) for s in base)
+    i, end = 0, 0  # the furthest end of the spans that start before the term does
+    for m in _TERM.finditer(text):
+        while i < len(taken) and taken[i][0] < m.end():
+            end = max(end, taken[i][1])
+            i += 1
+        if end <= m.start():
+            yield m[0].lower(), m.start(), m.end()
 
 
-def scan(docs: DataFrame, text: str, reach: int, keep_text: bool) -> DataFrame:
-    """Struct ``row``, text (if kept), base spans, entities and contexts per document, numbered by ``rid``."""
+def scan(docs: DataFrame, text: str, keep_text: bool) -> DataFrame:
+    """Struct ``row``, text (null without entities unless kept), base spans and entities per document, numbered by ``rid``."""
     rows = docs.select(F.struct(F.lit(None).cast("string").alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"), F.col(text).alias("text"))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, entities, close = [], [], []
+            spans, entities, kept = [], [], []
             for t in b.column("text").to_pylist():
                 found = base_spans(t) if t else []
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e, _ in found])
                 entities.append(sorted({x[3] for x in found}))
-                close.append([dict(zip(("entity", "term", "start", "end"), c)) for c in contexts(t, found, reach)] if found else [])
-            yield pa.RecordBatch.from_pydict({**{c: b.column(c) for c in (["row", "text"] if keep_text else ["row"])}, "base": pa.array(spans, span),
-                                              "entities": pa.array(entities, pa.list_(pa.string())), "near": pa.array(close, near)})
-    kept = "text string, " if keep_text else ""
-    found = map_rows(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, {kept}base array<{SPAN}>, entities array<string>, near array<{CONTEXT}>")
+                kept.append(t if keep_text or found else None)
+            yield pa.RecordBatch.from_pydict({"row": b.column("row"), "text": pa.array(kept, pa.string()), "base": pa.array(spans, span), "entities": pa.array(entities, pa.list_(pa.string()))})
+    found = map_rows(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, text string, base array<{SPAN}>, entities array<string>")
     return materialise(found.withColumn("rid", F.monotonically_increasing_id()), "pii")
 
 
-def term_frequencies(docs: DataFrame, text: str, room: int = 300_000) -> DataFrame:
+def holders(scanned: DataFrame, support: int) -> DataFrame:
+    """rid, text, base and ``held`` (entity, with_entity) of the documents with an entity that ``support`` documents hold."""
+    each = scanned.select("rid", F.explode("entities").alias("entity"))
+    counts = each.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).where(F.col("with_entity") >= support)
+    # as many as the document has entities
+    held = each.join(counts, "entity").groupBy("rid").agg(F.collect_list(F.struct("entity", "with_entity")).alias("held"))
+    return materialise(scanned.select("rid", "text", "base").join(held, "rid"), "pii-held")
+
+
+def term_frequencies(docs: DataFrame, text: str, room: int = ROOM) -> DataFrame:
     """(term, df): number of documents with each term; every task adds up its own documents first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df: Counter[str] = Counter()
         for b in batches:
             for t in b.column("text").to_pylist():
-                df.update(set(_TERM.findall(t.lower())) if t else ())
+                df.update(terms_of(t) if t else ())
                 if len(df) > room:
                     yield pa.RecordBatch.from_pydict({"term": pa.array(df.keys(), pa.string()), "df": pa.array(df.values(), pa.int64())})
                     df = Counter()
@@ -148,27 +152,75 @@ def term_frequencies(docs: DataFrame, text: str, room: int = 300_000) -> DataFra
     return map_rows(docs.select(F.col(text).alias("text")), count, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def disclosing(scanned: DataFrame, docs: DataFrame, text: str, alpha: float, support: int) -> DataFrame:
+def pair_counts(held: DataFrame, room: int = ROOM) -> DataFrame:
+    """(entity, with_entity, term, together): documents with both, terms of the whole document; tasks add up their own first."""
+    def rows(n: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"entity": pa.array([k[0] for k in n], pa.string()), "with_entity": pa.array([k[1] for k in n], pa.int64()),
+                                           "term": pa.array([k[2] for k in n], pa.string()), "together": pa.array(n.values(), pa.int64())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[tuple[str, int, str]] = Counter()
+        for b in batches:
+            for t, held in zip(b.column("text").to_pylist(), b.column("held").to_pylist()):
+                terms = terms_of(t)
+                for e in held:
+                    n.update((e["entity"], e["with_entity"], w) for w in terms)
+                    if len(n) > room:
+                        yield rows(n)
+                        n = Counter()
+        yield rows(n)
+    return map_rows(held.select("text", "held"), count, "entity string, with_entity bigint, term string, together bigint").groupBy("entity", "with_entity", "term").agg(F.sum("together").alias("together"))
+
+
+def disclosing(held: DataFrame, docs: DataFrame, text: str, n: int, alpha: float, support: int) -> DataFrame:
     """(entity, term, share): the terms that disclose at least ``alpha`` of an entity's information."""
-    n = scanned.count()
-    pairs = scanned.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("p"))
-    together = pairs.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= support)
-    with_entity = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    j = together.join(with_entity, "entity").join(term_frequencies(docs, text), "term")
+    j = pair_counts(held).where(F.col("together") >= support).join(term_frequencies(docs, text), "term")
     pmi = F.log(F.lit(float(n)) * F.col("together") / (F.col("with_entity") * F.col("df")))
     share = F.try_divide(pmi, F.log(F.lit(float(n)) / F.col("with_entity")))
     return j.withColumn("share", share).where(F.col("share") >= alpha).select("entity", "term", "share")
 
 
-def find(docs: DataFrame, text: str = "text", reach: int = 5, alpha: float = 0.8, remove: float = 1.0, support: int = 2, keep_text: bool = False) -> DataFrame:
+def candidates(held: DataFrame) -> DataFrame:
+    """(rid, entity, term): the distinct terms outside base spans of each document beside each of its entities."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rid, entity, term = [], [], []
+            for r, t, base, held in zip(*(b.column(c).to_pylist() for c in ("rid", "text", "base", "held"))):
+                words = {w for w, _, _ in outside(t, base)}
+                for e in held:
+                    rid += [r] * len(words)
+                    entity += [e["entity"]] * len(words)
+                    term += words
+                    if len(rid) > ROWS:
+                        yield pa.RecordBatch.from_pydict({"rid": pa.array(rid, pa.int64()), "entity": pa.array(entity, pa.string()), "term": pa.array(term, pa.string())})
+                        rid, entity, term = [], [], []
+            yield pa.RecordBatch.from_pydict({"rid": pa.array(rid, pa.int64()), "entity": pa.array(entity, pa.string()), "term": pa.array(term, pa.string())})
+    return map_rows(held, run, "rid bigint, entity string, term string")
+
+
+def places(held: DataFrame, hits: DataFrame) -> DataFrame:
+    """(rid, terms): every place outside base spans of the terms in ``hits`` (rid, term, remove), in order."""
+    # as many as the document has distinct terms
+    marked = held.select("rid", "text", "base").join(hits.groupBy("rid").agg(F.collect_list(F.struct("term", "remove")).alias("hits")), "rid")
+    place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("remove", pa.bool_())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t, base, hit in zip(*(b.column(c).to_pylist() for c in ("text", "base", "hits"))):
+                risky = {h["term"]: h["remove"] for h in hit}
+                out.append([{"start": s, "end": e, "remove": risky[w]} for w, s, e in outside(t, base) if w in risky])
+            yield pa.RecordBatch.from_pydict({"rid": b.column("rid"), "terms": pa.array(out, place)})
+    return map_rows(marked, run, f"rid bigint, terms {TERMS}")
+
+
+def find(docs: DataFrame, text: str = "text", alpha: float = 0.8, remove: float = 1.0, support: int = 2, keep_text: bool = False) -> DataFrame:
     """Per document: struct ``row``, text (if kept), ``base`` spans and ``terms`` (start, end, remove), both in order."""
-    scanned = scan(docs, text, reach, keep_text)
-    risky = disclosing(scanned, docs, text, alpha, support)
-    at = scanned.where(F.size("near") > 0).select("rid", F.explode("near").alias("c")).select("rid", "c.*")
-    hits = at.join(risky, ["entity", "term"]).groupBy("rid", "start", "end").agg((F.max("share") >= remove - 1e-9).alias("remove"))
-    # terms per document: at most 2 * reach for each of its entities
-    terms = hits.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "remove"))).alias("terms"))
-    out = scanned.join(terms, "rid", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,remove:boolean>>")))
+    scanned = scan(docs, text, keep_text)
+    held = holders(scanned, support)
+    risky = disclosing(held, docs, text, scanned.count(), alpha, support)
+    hits = candidates(held).join(risky, ["entity", "term"]).groupBy("rid", "term").agg((F.max("share") >= remove - 1e-9).alias("remove"))
+    out = scanned.join(places(held, hits), "rid", "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
     return out.select("row", *(["text"] if keep_text else []), "base", "terms")
 
 

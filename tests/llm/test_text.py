@@ -188,6 +188,38 @@ def test_disclosing_terms_equal_brute_force(spark):
     assert not any("@" in t or "nick" in t for t in texts) and any("[EMAIL]" in t for t in texts)
 
 
+def brute_whole(docs, alpha=0.8, support=2):
+    """Terms by document, counted over whole documents."""
+    term, n = re.compile(r"[^\W_]+"), len(docs)
+    words = [{w.lower() for w in term.findall(t or "")} for t in docs]
+    base = [pii.base_spans(t or "") for t in docs]
+    out = []
+    for i, t in enumerate(docs):
+        risky = set()
+        for e in {b[3] for b in base[i]}:
+            holds = [j for j in range(n) if any(b[3] == e for b in base[j])]
+            for w in words[i]:
+                k = sum(w in words[j] for j in holds)
+                if k >= support and len(holds) < n and np.log(n * k / (len(holds) * sum(w in x for x in words))) / np.log(n / len(holds)) >= alpha:
+                    risky.add(w)
+        out.append([m.span() for m in term.finditer(t or "") if m[0].lower() in risky and not any(m.start() < b and a < m.end() for _, a, b, _ in base[i])])
+    return out
+
+
+def test_disclosing_terms_of_whole_documents(spark):
+    """A name far from the address counts and is masked everywhere, but not in documents without the entity."""
+    rng = random.Random(5)
+    filler = lambda k: " ".join(f"c{rng.randint(0, 20)}" for _ in range(k))
+    docs = [f"İNick{i % 4} {filler(30)} Far{i % 4} {filler(30)} far{i % 4} m{i % 4}@mail.example.org, 10.0.0.{i % 4} far{i % 4}" for i in range(12)]
+    docs += ["m1 " + docs[1], filler(20) + " far1 elsewhere", *[filler(40) for _ in range(80)], None, "once@example.org alone"]
+    table = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string")
+    got = {r.row.doc_id: [(t.start, t.end) for t in r.terms] for r in pii.find(table).collect()}
+    assert got == dict(enumerate(brute_whole(docs)))
+    assert all(len(got[i]) >= 4 for i in range(12)) and got[13] == [] and (0, 2) in got[12]
+    clean = {r.doc_id: r.text for r in pii.sanitise(table).collect()}
+    assert not any("far" in clean[i].lower() or "nick" in clean[i].lower() for i in range(12)) and clean[13] == docs[13]
+
+
 def test_pii_odd_rows(odd_docs, no_docs):
     cols = pii.span_columns(pii.find(odd_docs)).collect()
     assert len(cols) == odd_docs.count() and all(r.spans == "" for r in cols)
