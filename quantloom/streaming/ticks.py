@@ -14,10 +14,21 @@ EVENTS_SCHEMA = T.StructType([
     T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a directory in the store that Spark reads it from."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def read_tick_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_trigger: int = 1) -> DataFrame:
-    """Tick stream from parquet files of the event layout."""
-    raw = (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-           .option("pathGlobFilter", pattern).parquet(folder))
+    """Tick stream from parquet files of the event layout.
+
+    ``pattern`` is matched against the names of the files in ``folder``; where it names a folder of part files, all of them are read.
+    """
+    raw = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+    table = f"{folder.rstrip('/')}/{pattern}"
+    raw = raw.parquet(table) if is_folder(spark, table) else raw.option("pathGlobFilter", pattern).parquet(folder)
     return raw.select(F.col("user_id").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"),
                       F.get_json_object("props", "$.k").cast("long").alias("size"), "event_type", "event_id")
 

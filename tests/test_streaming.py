@@ -82,3 +82,14 @@ def test_open_windows_are_there_and_flagged(spark):
     f = feed(spark, [(0, 1, "click", 1.0), (50, 1, "click", 1.0)], [(70, 1, "click", 1.0)], [(200, 1, "click", 1.0)], [(230, 1, "click", 5.0)])
     got = run_windows(ST.hourly_counts(source(spark, f)), "open", ["event_type", "start"], "start", "1 hour").orderBy("start").collect()
     assert [(r["start"].hour, r["n"], r["is_final"]) for r in got] == [(0, 2, 1), (1, 1, 1), (3, 2, 0)]
+
+
+def test_registered_queries_read_a_table_of_part_files(spark):
+    from quantloom.plans import q_streaming  # noqa: F401
+    from quantloom.plans.registry import ENTRIES
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = [(i, T0 + dt.timedelta(minutes=i), i % 5, "click", float(i), '{"k": 2}') for i in range(90)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.repartition(3).write.parquet(f"{folder}/events.parquet")
+    assert {r["event_id"] for r in ENTRIES["stream_tick_ingest"].run(spark, folder).collect()} == set(range(90))
+    assert {r["symbol"]: r["price"] for r in ENTRIES["stream_last_value"].run(spark, folder).collect()} == {k: 85.0 + k for k in range(5)}
