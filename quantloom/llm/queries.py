@@ -70,7 +70,7 @@ URL_RULES = [url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "exa
 
 @register("op3_link_graph_url_filter")
 def op3_link_graph_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return url_filter.verdicts(table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.verdicts(table(spark, folder, "pages"), URL_RULES, relative=True).select("page_id", "host", "path", "rule", "verdict")
 
 
 @register("op4_jump_hash_sharding", oracles.SHARDING)

@@ -6,6 +6,12 @@ pages.  Personalised PageRank carries trust along the links and, on the reversed
 those who link to bad hosts.  A host is blocked when its distrust outweighs its trust and its
 unjudged pages: distrust / (distrust + trust + unjudged) reaches the threshold; all three are in pages.
 
+That score follows the size of a host.  With ``relative`` (the registered query) scores are shares: a walk
+draws a page of the host, stops if a rule judges it and else goes on along the host's links with ``damping``;
+distrust is the chance that it stops at a blocked page, trust the chance that a walk against the links stops
+at an allowed one.  A host is blocked when distrust / max(1, distrust + trust) reaches the threshold, however
+many pages it has; the iteration ends when no score has changed by more than ``tolerance`` in ``every`` rounds.
+
 Each iteration is one join and one aggregation over host edges, both directions at once; edges are
 weighted and distinct, so a hub is as large as its number of neighbours and its sums combine map-side.
 A reliable checkpoint cuts the lineage every few rounds.  Nothing per host meets on the driver.
@@ -85,7 +91,34 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return score.join(F.broadcast(scale), "kind").select("kind", "host", (F.col("score") * F.col("_mass") / F.col("_sum")).alias("score"))
 
 
-def verdicts(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.5, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def exposure(links: DataFrame, hosts: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, every: int = 5) -> DataFrame:
+    """(kind, host, score): share of walks from a host that stop at a blocked page (distrust) or, against the links, at an allowed one (trust).
+
+    ``links`` has (src, dst, n), ``hosts`` (host, trust, distrust, open).  The scores only grow towards the
+    fixed point and the change falls by ``damping`` (below 1) a round, so the loop ends.
+    """
+    steps = links.select(F.lit("distrust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("via"), "n").unionByName(
+        links.select(F.lit("trust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("via"), "n"))
+    total = steps.groupBy("kind", "host").agg(F.sum("n").alias("t"))
+    pages = F.col("trust") + F.col("distrust") + F.col("open")
+    goes_on = hosts.where("open > 0").select("host", (damping * F.col("open") / pages).alias("goes_on"))
+    step = checkpoint(steps.join(total, ["kind", "host"]).join(goes_on, "host").select("kind", "host", "via", (F.col("goes_on") * F.col("n") / F.col("t")).alias("share")))
+    own = hosts.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust") / pages, F.lit("distrust"), F.col("distrust") / pages)).alias("kind", "score"))
+    start = checkpoint(own.where("score > 0").select("kind", "host", "score"))
+    score = before = start
+    change, i = (0.0 if step.isEmpty() else 1.0), 0
+    while change > tolerance:
+        flow = score.withColumnRenamed("host", "via").join(step, ["kind", "via"]).select("kind", "host", (F.col("score") * F.col("share")).alias("score"))
+        score, i = start.unionByName(flow).groupBy("kind", "host").agg(F.sum("score").alias("score")), i + 1
+        if i % every == 0:
+            score = checkpoint(score)
+            moved = score.join(before.withColumnRenamed("score", "_was"), ["kind", "host"], "left")
+            change = moved.agg(F.max(F.col("score") - F.coalesce("_was", F.lit(0.0)))).first()[0] or 0.0
+            before = score
+    return score
+
+
+def verdicts(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.5, damping: float = 0.85, rounds: int = 20, relative: bool = False, tolerance: float = 1e-4) -> DataFrame:
     """page_id, host, path, rule, verdict and the host's distrust per row."""
     host, path = split_url(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
@@ -93,14 +126,17 @@ def verdicts(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.5, da
     judged = split.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"))
     hosts = checkpoint(judged.where(F.col("host") != "").groupBy("host").agg(
         F.count_if(F.col("action") == "allow").alias("trust"), F.count_if(F.col("action") == "block").alias("distrust"), F.count_if(F.col("action").isNull()).alias("open")))
-    seeds = hosts.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "mass"))
     links = checkpoint(host_edges(split.select("host", "html")))
-    edges = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    score = propagate(edges, seeds, damping, rounds)
+    if relative:
+        score = exposure(links, hosts, damping, tolerance)
+    else:
+        seeds = hosts.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "mass"))
+        edges = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+        score = propagate(edges, seeds, damping, rounds)
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0))
     both = score.groupBy("host").agg(of("trust").alias("t"), of("distrust").alias("d"))
-    bad = hosts.select("host", "open").join(both, "host", "left").select(
-        "host", F.coalesce(F.try_divide("d", F.col("d") + F.col("t") + F.col("open")), F.lit(0.0)).alias("badness"))
+    against = F.greatest(F.lit(1.0), F.col("d") + F.col("t")) if relative else F.col("d") + F.col("t") + F.col("open")
+    bad = hosts.select("host", "open").join(both, "host", "left").select("host", F.coalesce(F.try_divide("d", against), F.lit(0.0)).alias("badness"))
     out = judged.join(bad, "host", "left")
     default = F.when(F.col("badness") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", default).alias("verdict"), "badness")

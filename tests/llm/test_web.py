@@ -142,6 +142,25 @@ def test_url_filter_equals_brute_force(spark):
     assert url_filter.verdicts(df, RULES).count() == len(rows) and url_filter.verdicts(df.where("false"), RULES).count() == 0
 
 
+def test_registered_url_filter_does_not_follow_host_size(spark):
+    """At the production threshold a large host that links only to blocked hosts is blocked, one with few such links is not."""
+    from quantloom.llm.queries import QUERIES, URL_RULES
+    link = lambda *hosts: "".join(f'<a href="http://{h}/es/1">' for h in hosts)
+    bad = ["bad0.net", "bad1.net"]
+    rows = [(i, f"http://{bad[i % 2]}/es/{i}", "") for i in range(4)]
+    rows += [(100 + i, f"http://hub.org/{i}", link(*bad)) for i in range(300)] + [(500, "http://small.org/", link(bad[0]))]
+    rows += [(600 + i, f"http://mixed.org/{i}", link("plain.org", "plain.org", bad[0])) for i in range(300)]
+    rows += [(1000, "http://far.org/", link("hub.org")), (1001, "http://plain.org/", link("good.com")), (1002, "http://good.com/a", link("vouched.org"))]
+    rows += [(1003, "http://vouched.org/", link("plain.org", *bad))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = shared_folder(spark, "pages")
+    df.write.parquet(f"{folder}/pages.parquet")
+    got = {r.host: r.verdict for r in QUERIES["op3_link_graph_url_filter"](spark, folder).where("rule IS NULL").select("host", "verdict").distinct().collect()}
+    assert got == {"hub.org": "block", "small.org": "block", "far.org": "block", "mixed.org": "allow", "plain.org": "allow", "vouched.org": "allow"}
+    score = {r.host: r.badness for r in url_filter.verdicts(df, URL_RULES, relative=True).collect()}
+    assert abs(score["hub.org"] - 0.85) < 1e-3 and abs(score["far.org"] - 0.85 ** 2) < 1e-3 and abs(score["mixed.org"] - 0.85 / 3) < 1e-3
+
+
 def plain_jump(key, n):
     b, j = -1, 0
     while j < n:
