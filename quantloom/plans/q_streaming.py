@@ -7,7 +7,7 @@ from quantloom.plans.registry import query
 from quantloom.sources.tables import Tables
 from quantloom.streaming import operators as ST
 from quantloom.streaming import ticks as TK
-from quantloom.streaming.runner import run_append, run_upsert, run_windows
+from quantloom.streaming.runner import run_append, run_decided, run_upsert, run_windows
 
 DONE = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"  # final watermark: later windows stay open
 
@@ -88,7 +88,7 @@ ACT = ("WITH RECURSIVE e AS (SELECT metric, ts, value FROM metrics WHERE value >
 
 @query("stream_auto_action_trigger", "metric ts", "value", sql=ACT, tables="metrics")
 def stream_auto_action_trigger(t):
-    return ntz(run_append(ST.action_trigger(metrics(t)), "actions"), "ts")
+    return ntz(run_decided(ST.action_trigger(metrics(t), open_too=True), "actions", ["metric"]), "ts")
 
 
 @query("stream_performance_drift", "metric start", "mean std hit_rate mean_change std_change hit_change", "n is_final",

@@ -1,6 +1,7 @@
 """Stateful and windowed stream operators; each works on a batch DataFrame with the same meaning."""
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,31 +101,46 @@ def risk_limits(pos: DataFrame, max_gross=120000.0, max_position=1500) -> DataFr
     return pos.withColumns({"gross_breach": flag(g > max_gross), "position_breach": flag(p > max_position), "level": ladder([((g > max_gross) & (p > max_position), "critical"), ((g > max_gross) | (p > max_position), "high"), (g > 0.8 * max_gross, "warning")], "normal")})
 
 
-ACTION_SCHEMA = "metric string, ts timestamp, value double"
-
-
-def action_trigger(metrics: DataFrame, limit=60.0, cool_down_minutes=240) -> DataFrame:
+def action_trigger(metrics: DataFrame, limit=60.0, cool_down_minutes=240, open_too=False) -> DataFrame:
     """An action row when the metric passes the limit and the last action is older than the cool-down.
 
-    Event times drive the cool-down; only rows over the limit leave the scan, and a micro-batch of
-    them, bounded by the files per trigger, is walked in time order per metric.
+    Rows over the limit wait in the state until the watermark passes them and are then walked in time
+    order, so the order of files and micro-batches does not matter within the watermark's delay; one at
+    the very end of the cool-down fires at once, as no earlier row can.  ``open_too`` (update mode) adds
+    the actions of the rows still waiting, with ``final`` = false, and repeats them with every change.
+
+    Any row over the limit can be the first after a cool-down, so none is thinned before the key.  The
+    walk of a metric is sequential: it jumps from action to action by binary search, and the state holds
+    the rows of the watermark's delay.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
-    gap = cool_down_minutes * 60 * 10 ** 9
+    gap = cool_down_minutes * 60 * 10 ** 6
 
     def update(key, chunks, state):
-        last = state.get[0] if state.exists else None
-        rows = sorted((int(t.value), float(v)) for pdf in chunks for t, v in zip(pdf["ts"], pdf["value"]))
-        out = []
-        for t, v in rows:
-            if last is None or t - last >= gap:
-                last = t
-                out.append((key[0], pd.Timestamp(t), v))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["metric", "ts", "value"])
-    return metrics.where(F.col("value") > limit).select("metric", "ts", "value").groupBy("metric").applyInPandasWithState(
-        update, ACTION_SCHEMA, "last long", "append", GroupStateTimeout.NoTimeout)
+        last, t, v = state.get if state.exists else (None, [], [])
+        new = [] if state.hasTimedOut else [(p["us"].to_numpy("int64"), p["value"].to_numpy("float64")) for p in chunks]
+        t, v = (np.concatenate([np.asarray(old, kind), *[n[k] for n in new]]) for k, (old, kind) in enumerate(((t, "int64"), (v, "float64"))))
+        order = np.lexsort((v, t))
+        t, v = t[order], v[order]
+        mark = state.getCurrentWatermarkMs() * 1000
+        out, at, final = [], last, True
+        while (i := 0 if at is None else int(np.searchsorted(t, at + gap))) < len(t):
+            final = final and (t[i] <= mark or (at is not None and t[i] == at + gap))
+            if not (final or open_too):
+                break
+            at = int(t[i])
+            out.append((key[0], at, float(v[i]), final))
+            last = at if final else last
+        wait = t > mark if last is None else (t > mark) & (t >= last + gap)
+        state.update((last, t[wait].tolist(), v[wait].tolist()))
+        if wait.any():
+            state.setTimeoutTimestamp(int(t[wait][0]) // 1000 + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["metric", "us", "value", "final"])
+    over = metrics.where(F.col("value") > limit).select("metric", "ts", F.unix_micros("ts").alias("us"), "value")
+    fired = over.groupBy("metric").applyInPandasWithState(
+        update, "metric string, us long, value double, final boolean", "last long, t array<long>, v array<double>", "update" if open_too else "append", GroupStateTimeout.EventTimeTimeout)
+    return fired.select("metric", F.timestamp_micros("us").alias("ts"), "value", *(["final"] if open_too else []))
 
 
 def drift(metrics: DataFrame, baseline: DataFrame, width="1 day") -> DataFrame:

@@ -43,6 +43,26 @@ def run_windows(stream: DataFrame, tag: str, keys: list[str], start: str, width:
     return out.withColumn("is_final", done.cast("int"))
 
 
+def run_decided(stream: DataFrame, tag: str, keys: list[str]) -> DataFrame:
+    """Rows of an update-mode stream with ``final``: all final rows, and of each key the open ones of the last epoch that brought it."""
+    spark = stream.sparkSession
+    root = shared_folder(spark, tag)
+    epochs: set[int] = set()
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        epochs.add(epoch)
+        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{root}/changes/{epoch:09d}")
+
+    q = (stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if not epochs:
+        return spark.createDataFrame([], stream.schema).drop("final")
+    rows = _read(spark, root, "", sorted(epochs))
+    newest_epoch = rows.groupBy(*keys).agg(F.max("epoch").alias("_last"))
+    return rows.join(newest_epoch, keys).where(F.col("final") | (F.col("epoch") == F.col("_last"))).drop("final", "epoch", "_last")
+
+
 def _upsert(stream: DataFrame, tag: str, keys: list[str], transform) -> tuple[DataFrame, str | None]:
     spark = stream.sparkSession
     root = shared_folder(spark, tag)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.streaming import operators as ST
 from quantloom.streaming import ticks as TK
-from quantloom.streaming.runner import run_append, run_upsert, run_windows
+from quantloom.streaming.runner import run_append, run_decided, run_upsert, run_windows
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -93,3 +93,14 @@ def test_registered_queries_read_a_table_of_part_files(spark):
     events.repartition(3).write.parquet(f"{folder}/events.parquet")
     assert {r["event_id"] for r in ENTRIES["stream_tick_ingest"].run(spark, folder).collect()} == set(range(90))
     assert {r["symbol"]: r["price"] for r in ENTRIES["stream_last_value"].run(spark, folder).collect()} == {k: 85.0 + k for k in range(5)}
+
+
+def test_actions_do_not_depend_on_the_order_of_files(spark):
+    """Files within the watermark's delay in any order give the walk over all rows, the open tail included."""
+    f = feed(spark, [(5, 1, "error", 70.0), (5, 1, "click", 65.0)], [(1, 1, "error", 99.0)], [(246, 1, "error", 80.0), (600, 1, "view", 1.0)],
+             [(592, 1, "error", 77.0), (599, 1, "error", 75.0)], [(595, 1, "click", 90.0)], [(593, 1, "click", 91.0), (591, 1, "error", 76.0)])
+    m = source(spark, f).select("ts", F.col("event_type").alias("metric"), F.col("price").alias("value"))
+    got = sorted((r["metric"], (r["ts"] - T0).total_seconds() / 60, r["value"]) for r in run_decided(ST.action_trigger(m, open_too=True), "act", ["metric"]).collect())
+    assert got == [("click", 5, 65.0), ("click", 593, 91.0), ("error", 1, 99.0), ("error", 246, 80.0), ("error", 591, 76.0)]
+    closed = run_append(ST.action_trigger(m), "act").collect()
+    assert {((r["ts"] - T0).total_seconds() / 60, r["metric"]) for r in closed} == {(1, "error"), (246, "error"), (5, "click")}
