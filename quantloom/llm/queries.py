@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, oracles, pii, quality, sharding, url_filter, warc
+from quantloom.llm import bpe, decontaminate, exact_dedup, fill_middle, language_id, near_dedup, oracles, pii, quality, sharding, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,10 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 def op10_hyperminhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     d = near_dedup.near_duplicates(table(spark, folder, "documents"), words=2, percent=80)
     return d.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@register("op11_fill_in_middle", oracles.FILL_MIDDLE)
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    d = fill_middle.transform(table(spark, folder, "documents").select("doc_id", "text"))
+    return d.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.encode("output", "UTF-8"), 256).alias("output_sha256"),
+                    F.sha2(F.encode(fill_middle.restored(), "UTF-8"), 256).alias("restored_sha256"))
