@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, decontaminate, exact_dedup, fill_middle, language_id, near_dedup, oracles, pii, quality, sharding, url_filter, warc
+from quantloom.llm import bpe, decontaminate, exact_dedup, fill_middle, hard_negatives, language_id, near_dedup, oracles, pii, quality, sharding, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,9 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     d = fill_middle.transform(table(spark, folder, "documents").select("doc_id", "text"))
     return d.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.encode("output", "UTF-8"), 256).alias("output_sha256"),
                     F.sha2(F.encode(fill_middle.restored(), "UTF-8"), 256).alias("restored_sha256"))
+
+
+@register("op13_slot_hard_negatives", oracles.HARD_NEGATIVES)
+def op13_slot_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, label=label)
