@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, decontaminate, exact_dedup, fill_middle, hard_negatives, language_id, near_dedup, oracles, pii, quality, sharding, url_filter, warc
+from quantloom.llm import (bpe, decontaminate, exact_dedup, fill_middle, hard_negatives, html_text, language_id, near_dedup, oracles, pii, quality, sharding, url_filter,
+                           warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +104,9 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
 def op13_slot_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+@register("op12_line_block_html_text", oracles.HTML_TEXT)
+def op12_line_block_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    d = html_text.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return d.select("row.page_id", "row.url", "text", "n_chars")
