@@ -1,20 +1,23 @@
 """URL filter: explicit rules first, then trust and distrust spread over the link graph of hosts.
 
-The longest rule that fits a URL decides it.  For the other URLs the host decides: pages allowed by a
-rule make their host a trusted seed, blocked ones a blocked seed, each weighted by its number of
-pages.  Personalised PageRank carries trust along the links and, on the reversed links, distrust to
-those who link to bad hosts.  A host is blocked when its distrust outweighs its trust and its
-unjudged pages: distrust / (distrust + trust + unjudged) reaches the threshold; all three are in pages.
-
-That score follows the size of a host.  With ``relative`` (the registered query) scores are shares: a walk
-draws a page of the host, stops if a rule judges it and else goes on along the host's links with ``damping``;
-distrust is the chance that it stops at a blocked page, trust the chance that a walk against the links stops
-at an allowed one.  A host is blocked when distrust / max(1, distrust + trust) reaches the threshold, however
-many pages it has; the iteration ends when no score has changed by more than ``tolerance`` in ``every`` rounds.
-
-Each iteration is one join and one aggregation over host edges, both directions at once; edges are
-weighted and distinct, so a hub is as large as its number of neighbours and its sums combine map-side.
-A reliable checkpoint cuts the lineage every few rounds.  Nothing per host meets on the driver.
+The longest rule that fits a URL decides it.  For the other URLs the host decides, by personalised
+PageRank: hosts are seeds of trust by the share of their pages that a rule allows and seeds of distrust
+by the share that a rule blocks.  Trust flows along the links between hosts, distrust against them, to those who
+link to bad hosts; a host passes ``damping`` of its score on, in equal parts to its neighbours.
+
+PageRank grows with the number of neighbours, so no raw score is held against a threshold.  Each is
+divided by the PageRank that the host has in the same direction with every host as a seed of weight one.  The
+quotient is the part of the host's own rank that stems from trusted (or blocked) seeds: a number from 0 to 1 that
+follows neither pages nor neighbours.  A host is blocked when distrust / (distrust + trust + prior) reaches the
+threshold; ``prior`` stands for what is not known about a host, so that one link in many does not block it.
+
+Edges are distinct pairs of hosts.  Each round is one join and one aggregation over them, both directions and both
+ranks at once, with sums combined map-side; rounds go on until no rank has moved by more than ``tolerance`` of the
+host's rank in ``every`` rounds.  Ranks only grow and what is on its way shrinks by ``damping`` a round, so this ends;
+a reliable checkpoint cuts the lineage every ``every`` rounds.  Nothing per host meets on the driver.  The pages of
+hosts that hold over a thousandth of all pages get their score by broadcast (fewer than a thousand such hosts exist).
+
+Mass at hosts without links in a direction ends there; sending it back to the seeds would only scale all ranks of a kind alike.
 
 Defined cases: null URLs and those without "://" have empty host and path, fit no rule and are
 allowed; a URL without path fits no rule with one; null bodies have no links; hosts without pages pass
@@ -62,81 +65,59 @@ def match(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Co
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): links between different hosts, from absolute and protocol-relative link targets."""
+    """(src, dst): pairs of different hosts with a link from one to the other, from absolute and protocol-relative link targets."""
     targets = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?((?:https?:)?//[^\s"'<>]+)"""), F.lit(1))
     links = pages.select(F.col("host").alias("src"), F.explode(targets).alias("target"))
     links = links.select("src", split_url(F.regexp_replace("target", "^//", "http://"))[0].alias("dst"))
-    return links.where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return links.where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
-    """(kind, host, score): personalised PageRank of each kind, scaled to the mass of its seeds.
+def ranks(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, every: int = 5) -> DataFrame:
+    """(kind, host, rank, base): personalised PageRank from the seeds of each kind, and PageRank from all hosts alike.
 
-    ``edges`` has (kind, src, dst, n), ``seeds`` (kind, host, mass).  Mass at hosts without links goes
-    back to the seeds, which is the same as scaling the plain sums to the mass at the end.
-    """
-    total = edges.groupBy("kind", "src").agg(F.sum("n").alias("t"))
-    step = checkpoint(edges.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("t")).alias("share")))
-    start = checkpoint(seeds.where("mass > 0").select("kind", "host", ((1 - damping) * F.col("mass")).alias("score")))
-    score = start
-    if not step.isEmpty():
-        for i in range(1, rounds + 1):
-            flow = score.withColumnRenamed("host", "src").join(step, ["kind", "src"]).select(
-                "kind", F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
-            score = start.unionByName(flow).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-            if i % every == 0:
-                score = checkpoint(score)
-    mass = seeds.groupBy("kind").agg(F.sum("mass").alias("_mass"))
-    scale = score.groupBy("kind").agg(F.sum("score").alias("_sum")).join(mass, "kind")  # two rows
-    return score.join(F.broadcast(scale), "kind").select("kind", "host", (F.col("score") * F.col("_mass") / F.col("_sum")).alias("score"))
-
-
-def exposure(links: DataFrame, hosts: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, every: int = 5) -> DataFrame:
-    """(kind, host, score): share of walks from a host that stop at a blocked page (distrust) or, against the links, at an allowed one (trust).
-
-    ``links`` has (src, dst, n), ``hosts`` (host, trust, distrust, open).  The scores only grow towards the
-    fixed point and the change falls by ``damping`` (below 1) a round, so the loop ends.
+    ``links`` has (src, dst), ``seeds`` (host, trust, distrust) for every host with pages; trust flows from src to dst, distrust back.
     """
-    steps = links.select(F.lit("distrust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("via"), "n").unionByName(
-        links.select(F.lit("trust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("via"), "n"))
-    total = steps.groupBy("kind", "host").agg(F.sum("n").alias("t"))
-    pages = F.col("trust") + F.col("distrust") + F.col("open")
-    goes_on = hosts.where("open > 0").select("host", (damping * F.col("open") / pages).alias("goes_on"))
-    step = checkpoint(steps.join(total, ["kind", "host"]).join(goes_on, "host").select("kind", "host", "via", (F.col("goes_on") * F.col("n") / F.col("t")).alias("share")))
-    own = hosts.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust") / pages, F.lit("distrust"), F.col("distrust") / pages)).alias("kind", "score"))
-    start = checkpoint(own.where("score > 0").select("kind", "host", "score"))
-    score = before = start
+    steps = links.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to")).unionByName(
+        links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to")))
+    degree = steps.groupBy("kind", "host").agg(F.count(F.lit(1)).alias("degree"))
+    step = checkpoint(steps.join(degree, ["kind", "host"]).select("kind", "host", "to", (damping / F.col("degree")).alias("share")))
+    nodes = seeds.unionByName(links.select(F.explode(F.array("src", "dst")).alias("host")).distinct(), allowMissingColumns=True)
+    seed = nodes.groupBy("host").agg(F.coalesce(F.max("trust"), F.lit(0.0)).alias("trust"), F.coalesce(F.max("distrust"), F.lit(0.0)).alias("distrust"))
+    start = checkpoint(seed.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "rank"), F.lit(1.0).alias("base")))
+    now = before = start.select("kind", "host", "rank", "base")
     change, i = (0.0 if step.isEmpty() else 1.0), 0
     while change > tolerance:
-        flow = score.withColumnRenamed("host", "via").join(step, ["kind", "via"]).select("kind", "host", (F.col("score") * F.col("share")).alias("score"))
-        score, i = start.unionByName(flow).groupBy("kind", "host").agg(F.sum("score").alias("score")), i + 1
+        flow = now.join(step, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("rank") * F.col("share")).alias("rank"), (F.col("base") * F.col("share")).alias("base"))
+        now, i = start.unionByName(flow).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("base").alias("base")), i + 1
         if i % every == 0:
-            score = checkpoint(score)
-            moved = score.join(before.withColumnRenamed("score", "_was"), ["kind", "host"], "left")
-            change = moved.agg(F.max(F.col("score") - F.coalesce("_was", F.lit(0.0)))).first()[0] or 0.0
-            before = score
-    return score
+            now = checkpoint(now)
+            was = before.select("kind", "host", F.col("base").alias("_was"))
+            change = now.join(was, ["kind", "host"]).agg(F.max((F.col("base") - F.col("_was")) / F.col("base"))).first()[0] or 0.0
+            before = now
+    return now
 
 
-def verdicts(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.5, damping: float = 0.85, rounds: int = 20, relative: bool = False, tolerance: float = 1e-4) -> DataFrame:
-    """page_id, host, path, rule, verdict and the host's distrust per row."""
+def verdicts(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.5, prior: float = 0.2, damping: float = 0.85, tolerance: float = 1e-3) -> DataFrame:
+    """page_id, host, path, rule, verdict and the badness of the host per row."""
     host, path = split_url(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     rule, action = match(F.col("host"), F.col("path"), rules)
     judged = split.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"))
     hosts = checkpoint(judged.where(F.col("host") != "").groupBy("host").agg(
-        F.count_if(F.col("action") == "allow").alias("trust"), F.count_if(F.col("action") == "block").alias("distrust"), F.count_if(F.col("action").isNull()).alias("open")))
+        F.count(F.lit(1)).alias("pages"), F.avg(F.col("action").eqNullSafe("allow").cast("double")).alias("trust"),
+        F.avg(F.col("action").eqNullSafe("block").cast("double")).alias("distrust")))
     links = checkpoint(host_edges(split.select("host", "html")))
-    if relative:
-        score = exposure(links, hosts, damping, tolerance)
-    else:
-        seeds = hosts.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "mass"))
-        edges = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-        score = propagate(edges, seeds, damping, rounds)
-    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0))
-    both = score.groupBy("host").agg(of("trust").alias("t"), of("distrust").alias("d"))
-    against = F.greatest(F.lit(1.0), F.col("d") + F.col("t")) if relative else F.col("d") + F.col("t") + F.col("open")
-    bad = hosts.select("host", "open").join(both, "host", "left").select("host", F.coalesce(F.try_divide("d", against), F.lit(0.0)).alias("badness"))
-    out = judged.join(bad, "host", "left")
+    part = ranks(links, hosts.select("host", "trust", "distrust"), damping, tolerance).withColumn("part", F.col("rank") / F.col("base"))
+    both = part.groupBy("host").agg(F.max(F.when(F.col("kind") == "trust", F.col("part"))).alias("t"), F.max(F.when(F.col("kind") == "distrust", F.col("part"))).alias("d"))
+    scored = checkpoint(hosts.select("host", "pages").join(both.select("host", (F.col("d") / (F.col("d") + F.col("t") + prior)).alias("badness")), "host"))
+    total = scored.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    is_hot = F.col("pages") * 1000 > total
+    hot = F.broadcast(scored.where(is_hot).select("host", F.col("badness").alias("_hot")))
+    cold = scored.where(~is_hot).select(F.col("host").alias("_key"), "badness")
+    # rows that need no look-up get keys of their own ("#" is in no host), so that they do not meet in one task
+    alone = F.col("_hot").isNotNull() | (F.col("host") == "")
+    keyed = judged.join(hot, "host", "left").withColumn("_n", F.monotonically_increasing_id()).withColumn(
+        "_key", F.when(alone, F.concat(F.lit("#"), "_n")).otherwise(F.col("host")))
+    out = keyed.join(cold, "_key", "left").withColumn("badness", F.coalesce("_hot", "badness", F.lit(0.0)))
     default = F.when(F.col("badness") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", default).alias("verdict"), "badness")
