@@ -1,30 +1,39 @@
 """Personal data: base patterns and information-theoretic sanitisation.
 
 Base spans (e-mail, IP address, card, phone) come from fixed patterns.  They are the protected
-entities.  What else gives an entity away is estimated from the corpus: a term of a document that holds
-an entity discloses PMI(entity; term) = log(N * together / (with entity * with term)) of the information
-IC(entity) = log(N / with entity) that naming it would give; all counts are of whole documents.  A term
-that reaches ``alpha`` of it, in at least ``support`` documents together, is generalised to its shape
-wherever it stands in the documents of that entity; from ``remove`` of it on, it is removed.
-
-``support`` is a rule of the estimate: of a pair seen in one document nothing can be told.  An entity in
-fewer documents cannot reach it with any term, so its documents are paired only for their other entities;
-this drops no pair that could count.  Pairs of an entity and a distinct term are summed inside the tasks
+entities.  What else gives an entity away is estimated from the corpus: a term discloses
+PMI(entity; term) = log(N * together / (with entity * with term)) of the information IC(entity) = log(N / with entity)
+that naming the entity would give.  The estimate is smoothed for every pair alike: the share PMI / IC is
+multiplied by the lower confidence bound (Wilson, 95 %, one-sided) of together / (with term), the chance that a text
+with the term holds the entity.  One text tells little (0.27 of the share), three texts 0.53, ten 0.79.  A
+term whose smoothed share reaches ``alpha`` is generalised to its shape wherever it stands in the documents of that entity;
+from ``remove`` of it on, it is removed.
+
+All counts are of different whole texts, so copies of a page prove nothing: N and the texts with a term count equal
+texts once; with an entity, texts also count once that share the smallest hash of their five-word shingles (a sketch
+that near copies agree in with the probability of their similarity).  An entity in too few texts for any term to
+reach ``alpha`` is not paired with terms; the bound follows from alpha and drops no pair that could count.
+
+Pairs of an entity and a distinct term are summed inside the tasks
 and then by (entity, term), so a hot entity is spread by its terms.  The texts are read once for the
 spans, kept as a table with a row number (of the texts, those with entities), and once for the document
-frequencies, which are summed inside the tasks.  Pairs, frequencies and decisions meet in shuffled joins.
+frequencies, which are summed inside the tasks.  There a bitmap of fixed largest size tells which texts are surely single;
+the others are made distinct by a shuffle that combines map-side.  Pairs, frequencies and decisions meet in shuffled joins.
 
-Defined cases: a null text counts as empty and has no spans; repeated rows count as documents of their
-own; a document counts once per entity and term however often they occur in it, inside base spans too; spans
+Defined cases: a null text counts as empty and has no spans; repeated rows are documents of their
+own but one text; a text counts once per entity and term however often they occur in it, inside base spans too; spans
 of terms never overlap base spans; an empty table gives an empty result.
 """
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +52,10 @@ SPAN = "struct<kind:string,start:int,end:int>"
 TERMS = "array<struct<start:int,end:int,remove:boolean>>"
 #: Rows of an Arrow batch of pairs, and pairs that a task sums up at a time.
 ROWS, ROOM = 50_000, 300_000
+#: Quantile of the normal distribution for a one-sided bound of 95 %.
+Z = 1.645
+#: Bits of the largest bitmap of repeated texts (16 MB).
+BITS = 1 << 27
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -111,35 +124,90 @@ def outside(text: str, base: list[dict]) -> Iterator[tuple[str, int, int]]:
             yield m[0].lower(), m.start(), m.end()
 
 
+def sketch(text: str) -> int:
+    """Smallest hash of the five-word shingles of a text: equal for equal texts, mostly for near copies, for no others."""
+    words = [w.lower().encode() for w in _TERM.findall(text)]
+    return min((xxhash.xxh3_64_intdigest(b" ".join(words[i:i + 5])) for i in range(max(1, len(words) - 4))), default=0) >> 1
+
+
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def scan(docs: DataFrame, text: str, keep_text: bool) -> DataFrame:
-    """Struct ``row``, text (null without entities unless kept), base spans and entities per document, numbered by ``rid``."""
-    rows = docs.select(F.struct(F.lit(None).cast("string").alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"), F.col(text).alias("text"))
+    """Struct ``row``, digest, text (null without entities unless kept), base spans, entities and their sketch per document, numbered by ``rid``."""
+    rows = docs.select(F.struct(F.lit(None).cast("string").alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"), F.col(text).alias("text"),
+                       text_digest(F.col(text)).alias("digest"))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, entities, kept = [], [], []
+            spans, entities, kept, sketches = [], [], [], []
             for t in b.column("text").to_pylist():
                 found = base_spans(t) if t else []
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e, _ in found])
                 entities.append(sorted({x[3] for x in found}))
                 kept.append(t if keep_text or found else None)
-            yield pa.RecordBatch.from_pydict({"row": b.column("row"), "text": pa.array(kept, pa.string()), "base": pa.array(spans, span), "entities": pa.array(entities, pa.list_(pa.string()))})
-    found = map_rows(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, text string, base array<{SPAN}>, entities array<string>")
+                sketches.append(sketch(t) if found else None)
+            yield pa.RecordBatch.from_pydict({"row": b.column("row"), "digest": b.column("digest"), "text": pa.array(kept, pa.string()), "base": pa.array(spans, span),
+                                              "entities": pa.array(entities, pa.list_(pa.string())), "sketch": pa.array(sketches, pa.int64())})
+    found = map_rows(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, digest binary, text string, base array<{SPAN}>, entities array<string>, sketch bigint")
     return materialise(found.withColumn("rid", F.monotonically_increasing_id()), "pii")
 
 
-def holders(scanned: DataFrame, support: int) -> DataFrame:
-    """rid, text, base and ``held`` (entity, with_entity) of the documents with an entity that ``support`` documents hold."""
-    each = scanned.select("rid", F.explode("entities").alias("entity"))
-    counts = each.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).where(F.col("with_entity") >= support)
+def bound(share: Column, n: Column) -> Column:
+    """Lower confidence bound (Wilson) of a share observed in n cases."""
+    z2 = Z * Z
+    return (share + z2 / (2 * n) - Z * F.sqrt(F.greatest(share * (1 - share) / n + z2 / (4 * n * n), F.lit(0.0)))) / (1 + z2 / n)
+
+
+def least_texts(alpha: float) -> int:
+    """Fewest texts with which any term can reach ``alpha``: the bound of n out of n is n / (n + z^2)."""
+    return max(1, math.ceil(alpha * Z * Z / (1 - alpha) - 1e-9)) if alpha < 1 else 2**62
+
+
+def holders(scanned: DataFrame, least: int) -> DataFrame:
+    """rid, text, base, ``held`` (entity) and ``counted`` (entity, with_entity, first) of the documents with an entity of at least ``least`` texts.
+
+    ``counted`` has the entities for which the document stands for its equals, ``first`` says that it also stands for its near copies.
+    """
+    each = scanned.select("rid", "digest", "sketch", F.explode("entities").alias("entity"))
+    texts = each.groupBy("entity", "digest").agg(F.min("rid").alias("rid"), F.min("sketch").alias("sketch"))
+    near = texts.groupBy("entity", "sketch").agg(F.min("rid").alias("rid"))
+    counts = near.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).where(F.col("with_entity") >= least)
+    own = texts.select("entity", "rid").join(near.select("entity", "rid", F.lit(True).alias("first")), ["entity", "rid"], "left").select(
+        "entity", "rid", F.coalesce("first", F.lit(False)).alias("first"))
     # as many as the document has entities
-    held = each.join(counts, "entity").groupBy("rid").agg(F.collect_list(F.struct("entity", "with_entity")).alias("held"))
+    held = each.select("rid", "entity").join(counts, "entity").join(own, ["entity", "rid"], "left").groupBy("rid").agg(
+        F.collect_list("entity").alias("held"), F.collect_list(F.when(F.col("first").isNotNull(), F.struct("entity", "with_entity", "first"))).alias("counted"))
     return materialise(scanned.select("rid", "text", "base").join(held, "rid"), "pii-held")
 
 
-def term_frequencies(docs: DataFrame, text: str, room: int = ROOM) -> DataFrame:
-    """(term, df): number of documents with each term; every task adds up its own documents first."""
+def distinct_texts(scanned: DataFrame, docs: DataFrame, text: str) -> tuple[int, DataFrame, DataFrame]:
+    """Number of different texts; the texts that surely stand once; one text of each of the others."""
+    groups = scanned.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    n, repeated = groups.agg(F.count(F.lit(1)), F.count_if(F.col("n") > 1)).first()
+    bits = min(BITS, max(1 << 20, 1 << (16 * repeated).bit_length()))
+    spot = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    maps = groups.where("n > 1").select(F.bitmap_bucket_number(spot + 1).alias("k"), F.bitmap_bit_position(spot + 1).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m"))
+    filled = np.zeros(bits // 8 + 4096, np.uint8)
+    for k, m in maps.collect():  # at most bits / 32768 rows of 4 KB
+        filled[(k - 1) * 4096:k * 4096] = np.frombuffer(m, np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(filled)
+    rows = docs.select(F.col(text).alias("text"), text_digest(F.col(text)).alias("digest")).withColumn("spot", spot)
+
+    def some(wanted: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = b.column("spot").to_numpy(zero_copy_only=False)
+                # a byte of the bitmap functions is filled from its lowest bit
+                yield b.filter(pa.array(((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1) == wanted)).select(["text", "digest"])
+        return map_rows(rows, run, "text string, digest binary")
+    return n, some(0).select("text"), some(1).groupBy("digest").agg(F.first("text").alias("text")).select("text")
+
+
+def term_frequencies(texts: DataFrame, room: int = ROOM) -> DataFrame:
+    """(term, df): number of texts with each term, in parts; every task adds up its own texts first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df: Counter[str] = Counter()
         for b in batches:
@@ -149,34 +217,40 @@ def term_frequencies(docs: DataFrame, text: str, room: int = ROOM) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"term": pa.array(df.keys(), pa.string()), "df": pa.array(df.values(), pa.int64())})
                     df = Counter()
         yield pa.RecordBatch.from_pydict({"term": pa.array(df.keys(), pa.string()), "df": pa.array(df.values(), pa.int64())})
-    return map_rows(docs.select(F.col(text).alias("text")), count, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    return map_rows(texts, count, "term string, df bigint")
 
 
 def pair_counts(held: DataFrame, room: int = ROOM) -> DataFrame:
-    """(entity, with_entity, term, together): documents with both, terms of the whole document; tasks add up their own first."""
+    """(entity, with_entity, term, together, texts): texts with both, near copies counted once or each, terms of the whole text; tasks add up their own first."""
     def rows(n: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"entity": pa.array([k[0] for k in n], pa.string()), "with_entity": pa.array([k[1] for k in n], pa.int64()),
-                                           "term": pa.array([k[2] for k in n], pa.string()), "together": pa.array(n.values(), pa.int64())})
+        return pa.RecordBatch.from_pydict({"entity": pa.array([k[0] for k in n], pa.string()), "with_entity": pa.array([k[1] for k in n], pa.int64()), "term": pa.array([k[2] for k in n], pa.string()),
+                                           "together": pa.array([v >> 32 for v in n.values()], pa.int64()), "texts": pa.array([v & 0xFFFFFFFF for v in n.values()], pa.int64())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[tuple[str, int, str]] = Counter()
+        n: Counter[tuple[str, int, str]] = Counter()  # texts, and from bit 32 on those that stand for their near copies
         for b in batches:
-            for t, held in zip(b.column("text").to_pylist(), b.column("held").to_pylist()):
+            for t, counted in zip(b.column("text").to_pylist(), b.column("counted").to_pylist()):
                 terms = terms_of(t)
-                for e in held:
-                    n.update((e["entity"], e["with_entity"], w) for w in terms)
+                for e in counted:
+                    one = 1 + (e["first"] << 32)
+                    for w in terms:
+                        n[e["entity"], e["with_entity"], w] += one
                     if len(n) > room:
                         yield rows(n)
                         n = Counter()
         yield rows(n)
-    return map_rows(held.select("text", "held"), count, "entity string, with_entity bigint, term string, together bigint").groupBy("entity", "with_entity", "term").agg(F.sum("together").alias("together"))
+    parts = map_rows(held.where(F.size("counted") > 0).select("text", "counted"), count, "entity string, with_entity bigint, term string, together bigint, texts bigint")
+    return parts.groupBy("entity", "with_entity", "term").agg(F.sum("together").alias("together"), F.sum("texts").alias("texts"))
 
 
-def disclosing(held: DataFrame, docs: DataFrame, text: str, n: int, alpha: float, support: int) -> DataFrame:
+def disclosing(held: DataFrame, scanned: DataFrame, docs: DataFrame, text: str, alpha: float) -> DataFrame:
     """(entity, term, share): the terms that disclose at least ``alpha`` of an entity's information."""
-    j = pair_counts(held).where(F.col("together") >= support).join(term_frequencies(docs, text), "term")
+    n, single, repeated = distinct_texts(scanned, docs, text)
+    df = term_frequencies(single).unionByName(term_frequencies(repeated)).groupBy("term").agg(F.sum("df").alias("df"))
+    # near copies with the entity count once among the texts with the term, too
+    j = pair_counts(held).join(df, "term").withColumn("df", F.col("df") - F.col("texts") + F.col("together")).where(F.col("together") > 0)
     pmi = F.log(F.lit(float(n)) * F.col("together") / (F.col("with_entity") * F.col("df")))
-    share = F.try_divide(pmi, F.log(F.lit(float(n)) / F.col("with_entity")))
+    share = bound(F.col("together") / F.col("df"), F.col("df")) * F.try_divide(pmi, F.log(F.lit(float(n)) / F.col("with_entity")))
     return j.withColumn("share", share).where(F.col("share") >= alpha).select("entity", "term", "share")
 
 
@@ -189,7 +263,7 @@ def candidates(held: DataFrame) -> DataFrame:
                 words = {w for w, _, _ in outside(t, base)}
                 for e in held:
                     rid += [r] * len(words)
-                    entity += [e["entity"]] * len(words)
+                    entity += [e] * len(words)
                     term += words
                     if len(rid) > ROWS:
                         yield pa.RecordBatch.from_pydict({"rid": pa.array(rid, pa.int64()), "entity": pa.array(entity, pa.string()), "term": pa.array(term, pa.string())})
@@ -214,11 +288,11 @@ def places(held: DataFrame, hits: DataFrame) -> DataFrame:
     return map_rows(marked, run, f"rid bigint, terms {TERMS}")
 
 
-def find(docs: DataFrame, text: str = "text", alpha: float = 0.8, remove: float = 1.0, support: int = 2, keep_text: bool = False) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", alpha: float = 0.5, remove: float = 0.75, keep_text: bool = False) -> DataFrame:
     """Per document: struct ``row``, text (if kept), ``base`` spans and ``terms`` (start, end, remove), both in order."""
     scanned = scan(docs, text, keep_text)
-    held = holders(scanned, support)
-    risky = disclosing(held, docs, text, scanned.count(), alpha, support)
+    held = holders(scanned, least_texts(alpha))
+    risky = disclosing(held, scanned, docs, text, alpha)
     hits = candidates(held).join(risky, ["entity", "term"]).groupBy("rid", "term").agg((F.max("share") >= remove - 1e-9).alias("remove"))
     out = scanned.join(places(held, hits), "rid", "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
     return out.select("row", *(["text"] if keep_text else []), "base", "terms")

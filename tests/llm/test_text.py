@@ -136,37 +136,44 @@ def test_base_spans_equal_plain_patterns():
         pii.base_spans(t)  # linear
 
 
-def brute_terms(docs, reach=5, alpha=0.8, support=2):
-    """Terms by document, from plain counting over the corpus."""
+def brute_terms(docs, alpha=0.5):
+    """Terms by document, from plain counting over different whole texts."""
+    import xxhash
     term = re.compile(r"[^\W_]+")
-    near, entity_docs, term_docs, together = [], {}, {}, {}
-    for i, t in enumerate(docs):
-        base = pii.base_spans(t or "")
-        cells = []
-        for _, a, b, entity in base:
-            entity_docs.setdefault(entity, set()).add(i)
-            words = [m for m in term.finditer(t) if not any(m.start() < y and x < m.end() for _, x, y, _ in base)]
-            left = [m for m in term.finditer(t[:a])][-reach:]
-            right = [(m.start() + b, m.end() + b, m[0]) for m in term.finditer(t[b:])][:reach]
-            spans = [(m.start(), m.end(), m[0]) for m in left] + right
-            ok = {(m.start(), m.end()) for m in words}
-            cells += [(entity, w.lower(), x, y) for x, y, w in spans if (x, y) in ok]
-        near.append(cells)
-        for w in set(term.findall((t or "").lower())):
-            term_docs.setdefault(w, set()).add(i)
-        for pair in {(c[0], c[1]) for c in cells}:
-            together[pair] = together.get(pair, 0) + 1
-    n, out = len(docs), []
-    for cells in near:
-        hits = set()
-        for e, w, a, b in cells:
-            k, ic = together[e, w], np.log(n / len(entity_docs[e]))
-            if k >= support and ic > 0 and np.log(n * k / (len(entity_docs[e]) * len(term_docs[w]))) / ic >= alpha:
-                hits.add((a, b))
-        out.append(sorted(hits))
+    words = lambda t: [w.lower() for w in term.findall(t or "")]
+
+    def klass(t):
+        w = [x.encode() for x in words(t)]
+        return min((xxhash.xxh3_64_intdigest(b" ".join(w[i:i + 5])) for i in range(max(1, len(w) - 4))), default=0)
+    texts = {t or "": set(words(t)) for t in docs}
+    entities = {t: {b[3] for b in pii.base_spans(t)} for t in texts}
+    n, out = len(texts), []
+    for doc in docs:
+        risky, base = set(), pii.base_spans(doc or "")
+        for e in {b[3] for b in base}:
+            holds = [t for t in texts if e in entities[t]]
+            first = {}
+            for t in docs:  # the first of its near copies stands for them
+                if (t or "") in holds:
+                    first.setdefault(klass(t), t)
+            for w in texts[doc or ""]:
+                k = sum(w in texts[t] for t in first.values())
+                df = sum(w in x for x in texts.values()) - sum(w in texts[t] for t in holds) + k
+                if not k or len(first) == n:
+                    continue
+                p, z2 = k / df, 1.645 ** 2
+                sure = (p + z2 / 2 / df - 1.645 * np.sqrt(p * (1 - p) / df + z2 / 4 / df / df)) / (1 + z2 / df)
+                if sure * np.log(n * k / len(first) / df) / np.log(n / len(first)) >= alpha:
+                    risky.add(w)
+        out.append([m.span() for m in term.finditer(doc or "") if m[0].lower() in risky and not any(m.start() < b and a < m.end() for _, a, b, _ in base)])
     return out
 
 
+def found_terms(spark, docs):
+    table = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string").coalesce(1)
+    return {r.row.doc_id: [(t.start, t.end) for t in r.terms] for r in pii.find(table).collect()}, {r.doc_id: r.text for r in pii.sanitise(table).collect()}
+
+
 def test_disclosing_terms_equal_brute_force(spark):
     rng = random.Random(11)
     people = [(f"p{i}@mail.example.org", f"nick{i}") for i in range(6)]
@@ -178,46 +185,36 @@ def test_disclosing_terms_equal_brute_force(spark):
             at = rng.randint(0, len(ws))
             ws[at:at] = [nick, mail, "writes"]
         docs.append(" ".join(ws))
-    docs += [None, "", "10.1.2.3"]
-    found = pii.find(spark.createDataFrame([*enumerate(docs)], "doc_id long, text string"))
-    got = {r.row.doc_id: [(t.start, t.end) for t in r.terms] for r in found.collect()}
-    want = brute_terms(docs)
-    assert got == dict(enumerate(want)) and any(want)
-    clean = pii.sanitise(spark.createDataFrame([*enumerate(docs)], "doc_id long, text string"))
-    texts = [r.text or "" for r in clean.collect()]
+    docs += [None, "", "10.1.2.3", *docs[:30], *[d + " tail" for d in docs[:12]]]  # copies and near copies
+    got, clean = found_terms(spark, docs)
+    assert got == dict(enumerate(brute_terms(docs))) and any(got.values())
+    texts = [t or "" for t in clean.values()]
     assert not any("@" in t or "nick" in t for t in texts) and any("[EMAIL]" in t for t in texts)
 
 
-def brute_whole(docs, alpha=0.8, support=2):
-    """Terms by document, counted over whole documents."""
-    term, n = re.compile(r"[^\W_]+"), len(docs)
-    words = [{w.lower() for w in term.findall(t or "")} for t in docs]
-    base = [pii.base_spans(t or "") for t in docs]
-    out = []
-    for i, t in enumerate(docs):
-        risky = set()
-        for e in {b[3] for b in base[i]}:
-            holds = [j for j in range(n) if any(b[3] == e for b in base[j])]
-            for w in words[i]:
-                k = sum(w in words[j] for j in holds)
-                if k >= support and len(holds) < n and np.log(n * k / (len(holds) * sum(w in x for x in words))) / np.log(n / len(holds)) >= alpha:
-                    risky.add(w)
-        out.append([m.span() for m in term.finditer(t or "") if m[0].lower() in risky and not any(m.start() < b and a < m.end() for _, a, b, _ in base[i])])
-    return out
-
-
 def test_disclosing_terms_of_whole_documents(spark):
     """A name far from the address counts and is masked everywhere, but not in documents without the entity."""
     rng = random.Random(5)
     filler = lambda k: " ".join(f"c{rng.randint(0, 20)}" for _ in range(k))
-    docs = [f"İNick{i % 4} {filler(30)} Far{i % 4} {filler(30)} far{i % 4} m{i % 4}@mail.example.org, 10.0.0.{i % 4} far{i % 4}" for i in range(12)]
+    docs = [f"İNick{i % 4} {filler(30)} Far{i % 4} {filler(30)} far{i % 4} m{i % 4}@mail.example.org, 10.0.0.{i % 4} far{i % 4}" for i in range(48)]
     docs += ["m1 " + docs[1], filler(20) + " far1 elsewhere", *[filler(40) for _ in range(80)], None, "once@example.org alone"]
-    table = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string")
-    got = {r.row.doc_id: [(t.start, t.end) for t in r.terms] for r in pii.find(table).collect()}
-    assert got == dict(enumerate(brute_whole(docs)))
-    assert all(len(got[i]) >= 4 for i in range(12)) and got[13] == [] and (0, 2) in got[12]
-    clean = {r.doc_id: r.text for r in pii.sanitise(table).collect()}
-    assert not any("far" in clean[i].lower() or "nick" in clean[i].lower() for i in range(12)) and clean[13] == docs[13]
+    got, clean = found_terms(spark, docs)
+    assert got == dict(enumerate(brute_terms(docs)))
+    assert all(len(got[i]) >= 4 for i in range(48)) and got[49] == [] and (0, 2) in got[48]
+    assert not any("far" in clean[i].lower() or "nick" in clean[i].lower() for i in range(48)) and clean[49] == docs[49]
+
+
+def test_three_texts_disclose_and_copies_do_not(spark):
+    rng = random.Random(8)
+    filler = lambda k: " ".join(f"c{rng.randint(0, 400)}" for _ in range(k))
+    named = [f"{filler(20)} Grimaldi {filler(20)} anna@mail.example.org {filler(9)}" for _ in range(3)]
+    page = f"Otterlund {filler(200)} bert@mail.example.org"
+    twice = [f"{filler(20)} Piazzolla {filler(20)} carl@mail.example.org" for _ in range(2)]
+    docs = [*named, *[page] * 6, *[page + f" tail{i}" for i in range(4)], *twice, *[filler(30) for _ in range(200)]]
+    got, clean = found_terms(spark, docs)
+    assert got == dict(enumerate(brute_terms(docs)))
+    assert all("Grimaldi" not in clean[i] and "[EMAIL]" in clean[i] for i in range(3))
+    assert all(clean[i].startswith("Otterlund") for i in range(3, 13)) and all("Piazzolla" in clean[i] for i in (13, 14))
 
 
 def test_pii_odd_rows(odd_docs, no_docs):
