@@ -11,8 +11,7 @@ from ``remove`` of it on, it is removed.
 
 All counts are of different whole texts, so copies of a page prove nothing: N and the texts with a term count equal
 texts once; with an entity, texts also count once that share the smallest hash of their five-word shingles (a sketch
-that near copies agree in with the probability of their similarity).  An entity in too few texts for any term to
-reach ``alpha`` is not paired with terms; the bound follows from alpha and drops no pair that could count.
+that near copies agree in with the probability of their similarity).  Every entity is paired with every term of its texts.
 
 Pairs of an entity and a distinct term are summed inside the tasks
 and then by (entity, term), so a hot entity is spread by its terms.  The texts are read once for the
@@ -26,7 +25,6 @@ of terms never overlap base spans; an empty table gives an empty result.
 """
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -161,20 +159,15 @@ def bound(share: Column, n: Column) -> Column:
     return (share + z2 / (2 * n) - Z * F.sqrt(F.greatest(share * (1 - share) / n + z2 / (4 * n * n), F.lit(0.0)))) / (1 + z2 / n)
 
 
-def least_texts(alpha: float) -> int:
-    """Fewest texts with which any term can reach ``alpha``: the bound of n out of n is n / (n + z^2)."""
-    return max(1, math.ceil(alpha * Z * Z / (1 - alpha) - 1e-9)) if alpha < 1 else 2**62
-
-
-def holders(scanned: DataFrame, least: int) -> DataFrame:
-    """rid, text, base, ``held`` (entity) and ``counted`` (entity, with_entity, first) of the documents with an entity of at least ``least`` texts.
+def holders(scanned: DataFrame) -> DataFrame:
+    """rid, text, base, ``held`` (entity) and ``counted`` (entity, with_entity, first) of the documents with an entity.
 
     ``counted`` has the entities for which the document stands for its equals, ``first`` says that it also stands for its near copies.
     """
     each = scanned.select("rid", "digest", "sketch", F.explode("entities").alias("entity"))
     texts = each.groupBy("entity", "digest").agg(F.min("rid").alias("rid"), F.min("sketch").alias("sketch"))
     near = texts.groupBy("entity", "sketch").agg(F.min("rid").alias("rid"))
-    counts = near.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).where(F.col("with_entity") >= least)
+    counts = near.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
     own = texts.select("entity", "rid").join(near.select("entity", "rid", F.lit(True).alias("first")), ["entity", "rid"], "left").select(
         "entity", "rid", F.coalesce("first", F.lit(False)).alias("first"))
     # as many as the document has entities
@@ -220,7 +213,7 @@ def term_frequencies(texts: DataFrame, room: int = ROOM) -> DataFrame:
     return map_rows(texts, count, "term string, df bigint")
 
 
-def pair_counts(held: DataFrame, room: int = ROOM) -> DataFrame:
+def pair_counts(held: DataFrame, room: int = ROOM // 2) -> DataFrame:
     """(entity, with_entity, term, together, texts): texts with both, near copies counted once or each, terms of the whole text; tasks add up their own first."""
     def rows(n: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"entity": pa.array([k[0] for k in n], pa.string()), "with_entity": pa.array([k[1] for k in n], pa.int64()), "term": pa.array([k[2] for k in n], pa.string()),
@@ -291,7 +284,7 @@ def places(held: DataFrame, hits: DataFrame) -> DataFrame:
 def find(docs: DataFrame, text: str = "text", alpha: float = 0.5, remove: float = 0.75, keep_text: bool = False) -> DataFrame:
     """Per document: struct ``row``, text (if kept), ``base`` spans and ``terms`` (start, end, remove), both in order."""
     scanned = scan(docs, text, keep_text)
-    held = holders(scanned, least_texts(alpha))
+    held = holders(scanned)
     risky = disclosing(held, scanned, docs, text, alpha)
     hits = candidates(held).join(risky, ["entity", "term"]).groupBy("rid", "term").agg((F.max("share") >= remove - 1e-9).alias("remove"))
     out = scanned.join(places(held, hits), "rid", "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
