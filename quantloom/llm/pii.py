@@ -285,7 +285,10 @@ def find(docs: DataFrame, text: str = "text", alpha: float = 0.5, remove: float
     """Per document: struct ``row``, text (if kept), ``base`` spans and ``terms`` (start, end, remove), both in order."""
     scanned = scan(docs, text, keep_text)
     held = holders(scanned)
-    risky = disclosing(held, scanned, docs, text, alpha)
+    risky = materialise(disclosing(held, scanned, docs, text, alpha), "pii-risky")
+    # documents of the entities that a term discloses
+    given_away = held.select("rid", F.explode("held").alias("entity")).join(risky.select("entity").distinct(), "entity", "left_semi").select("rid").distinct()
+    held = held.join(given_away, "rid", "left_semi")
     hits = candidates(held).join(risky, ["entity", "term"]).groupBy("rid", "term").agg((F.max("share") >= remove - 1e-9).alias("remove"))
     out = scanned.join(places(held, hits), "rid", "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
     return out.select("row", *(["text"] if keep_text else []), "base", "terms")
