@@ -160,19 +160,20 @@ def bound(share: Column, n: Column) -> Column:
 
 
 def holders(scanned: DataFrame) -> DataFrame:
-    """rid, text, base, ``held`` (entity) and ``counted`` (entity, with_entity, first) of the documents with an entity.
+    """rid, text, base, ``held`` (number of the entity) and ``counted`` (entity, with_entity, first) of the documents with an entity.
 
     ``counted`` has the entities for which the document stands for its equals, ``first`` says that it also stands for its near copies.
     """
     each = scanned.select("rid", "digest", "sketch", F.explode("entities").alias("entity"))
     texts = each.groupBy("entity", "digest").agg(F.min("rid").alias("rid"), F.min("sketch").alias("sketch"))
     near = texts.groupBy("entity", "sketch").agg(F.min("rid").alias("rid"))
-    counts = near.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
+    counts = near.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).withColumn("number", F.monotonically_increasing_id())
+    counts = materialise(counts, "pii-entities")
     own = texts.select("entity", "rid").join(near.select("entity", "rid", F.lit(True).alias("first")), ["entity", "rid"], "left").select(
         "entity", "rid", F.coalesce("first", F.lit(False)).alias("first"))
     # as many as the document has entities
     held = each.select("rid", "entity").join(counts, "entity").join(own, ["entity", "rid"], "left").groupBy("rid").agg(
-        F.collect_list("entity").alias("held"), F.collect_list(F.when(F.col("first").isNotNull(), F.struct("entity", "with_entity", "first"))).alias("counted"))
+        F.collect_list("number").alias("held"), F.collect_list(F.when(F.col("first").isNotNull(), F.struct(F.col("number").alias("entity"), "with_entity", "first"))).alias("counted"))
     return materialise(scanned.select("rid", "text", "base").join(held, "rid"), "pii-held")
 
 
@@ -216,11 +217,11 @@ def term_frequencies(texts: DataFrame, room: int = ROOM) -> DataFrame:
 def pair_counts(held: DataFrame, room: int = ROOM // 2) -> DataFrame:
     """(entity, with_entity, term, together, texts): texts with both, near copies counted once or each, terms of the whole text; tasks add up their own first."""
     def rows(n: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"entity": pa.array([k[0] for k in n], pa.string()), "with_entity": pa.array([k[1] for k in n], pa.int64()), "term": pa.array([k[2] for k in n], pa.string()),
+        return pa.RecordBatch.from_pydict({"entity": pa.array([k[0] for k in n], pa.int64()), "with_entity": pa.array([k[1] for k in n], pa.int64()), "term": pa.array([k[2] for k in n], pa.string()),
                                            "together": pa.array([v >> 32 for v in n.values()], pa.int64()), "texts": pa.array([v & 0xFFFFFFFF for v in n.values()], pa.int64())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[tuple[str, int, str]] = Counter()  # texts, and from bit 32 on those that stand for their near copies
+        n: Counter[tuple[int, int, str]] = Counter()  # texts, and from bit 32 on those that stand for their near copies
         for b in batches:
             for t, counted in zip(b.column("text").to_pylist(), b.column("counted").to_pylist()):
                 terms = terms_of(t)
@@ -232,16 +233,18 @@ def pair_counts(held: DataFrame, room: int = ROOM // 2) -> DataFrame:
                         yield rows(n)
                         n = Counter()
         yield rows(n)
-    parts = map_rows(held.where(F.size("counted") > 0).select("text", "counted"), count, "entity string, with_entity bigint, term string, together bigint, texts bigint")
+    parts = map_rows(held.where(F.size("counted") > 0).select("text", "counted"), count, "entity bigint, with_entity bigint, term string, together bigint, texts bigint")
     return parts.groupBy("entity", "with_entity", "term").agg(F.sum("together").alias("together"), F.sum("texts").alias("texts"))
 
 
 def disclosing(held: DataFrame, scanned: DataFrame, docs: DataFrame, text: str, alpha: float) -> DataFrame:
     """(entity, term, share): the terms that disclose at least ``alpha`` of an entity's information."""
     n, single, repeated = distinct_texts(scanned, docs, text)
-    df = term_frequencies(single).unionByName(term_frequencies(repeated)).groupBy("term").agg(F.sum("df").alias("df"))
+    df = materialise(term_frequencies(single).unionByName(term_frequencies(repeated)).groupBy("term").agg(F.sum("df").alias("df")), "pii-terms")
+    # no share is above the bound for k out of k texts, k / (k + z^2); pairs that cannot reach alpha need no look-up
+    pairs = pair_counts(held).where(F.col("together") >= alpha * (F.col("together") + Z * Z) - 1e-9)
     # near copies with the entity count once among the texts with the term, too
-    j = pair_counts(held).join(df, "term").withColumn("df", F.col("df") - F.col("texts") + F.col("together")).where(F.col("together") > 0)
+    j = pairs.join(df, "term").withColumn("df", F.col("df") - F.col("texts") + F.col("together")).where(F.col("together") > 0)
     pmi = F.log(F.lit(float(n)) * F.col("together") / (F.col("with_entity") * F.col("df")))
     share = bound(F.col("together") / F.col("df"), F.col("df")) * F.try_divide(pmi, F.log(F.lit(float(n)) / F.col("with_entity")))
     return j.withColumn("share", share).where(F.col("share") >= alpha).select("entity", "term", "share")
@@ -259,10 +262,10 @@ def candidates(held: DataFrame) -> DataFrame:
                     entity += [e] * len(words)
                     term += words
                     if len(rid) > ROWS:
-                        yield pa.RecordBatch.from_pydict({"rid": pa.array(rid, pa.int64()), "entity": pa.array(entity, pa.string()), "term": pa.array(term, pa.string())})
+                        yield pa.RecordBatch.from_pydict({"rid": pa.array(rid, pa.int64()), "entity": pa.array(entity, pa.int64()), "term": pa.array(term, pa.string())})
                         rid, entity, term = [], [], []
-            yield pa.RecordBatch.from_pydict({"rid": pa.array(rid, pa.int64()), "entity": pa.array(entity, pa.string()), "term": pa.array(term, pa.string())})
-    return map_rows(held, run, "rid bigint, entity string, term string")
+            yield pa.RecordBatch.from_pydict({"rid": pa.array(rid, pa.int64()), "entity": pa.array(entity, pa.int64()), "term": pa.array(term, pa.string())})
+    return map_rows(held, run, "rid bigint, entity bigint, term string")
 
 
 def places(held: DataFrame, hits: DataFrame) -> DataFrame:
