@@ -12,6 +12,7 @@ the source rows.
 """
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -186,63 +187,66 @@ class Series:
         return F.when((F.count(col(x)).over(f) >= n - 1) & cur.isNotNull(), (lt + le) / 2 / F.size(arr))
 
     # --- exponential means ----------------------------------------------------------------
+    def ewm_cov(self, df: DataFrame, x: str, y: str, alpha: float) -> DataFrame:
+        """One row per series: exponentially weighted covariance at its end, bias corrected.
+
+        Weights are (1 - alpha)^age with ages counted in rows, also those that lack x or y; such rows have no weight themselves.
+        """
+        both = col(x).isNotNull() & col(y).isNotNull()
+        age = F.count(F.lit(1)).over(self.whole) - self.pos()
+        d = df.withColumn("_w", F.when(both, F.pow(F.lit(1.0 - alpha), age)))
+        w, a, b = F.col("_w"), col(x), col(y)
+        cov = div(F.sum(w * a * b) - div(F.sum(w * a) * F.sum(w * b), F.sum(w)), F.sum(w) - div(F.sum(w * w), F.sum(w)))
+        return d.where(both).groupBy(*self.by).agg(cov.alias("ewm_cov"))
+
     def ewm(self, df: DataFrame, outputs: dict) -> DataFrame:
         """Add exponential means: ``outputs`` maps a new name to (column, alpha, adjust).
 
-        The recursion y = (1-a) y' + a x is linear, so it needs no sequential fold: inside blocks of
-        L rows the weighted sum is a running sum of x / q^offset, rescaled by q^offset, plus the
-        value carried from the end of the previous block.  L is chosen so that q^L < 1e-18: what
-        lies two blocks back has no weight in double precision, and q^-L stays far from overflow.
-        Leading NULLs are skipped; inner NULLs are not supported.
-        """
-        import math
+        With q = 1 - alpha and g rows since the last value, the adjusted mean is a quotient of two
+        recursions N = q^g N' + x and D = q^g D' + 1, the other one is y = (q^g y' + alpha x) / (q^g + alpha).
+        Decay runs on row positions, so a NULL ages what came before it; rows without a value carry the mean
+        on, rows before the first value have none.
 
+        Every recursion has the form y = a y' + c, so it needs no sequential fold.  E is the running sum of
+        -log a; rows are cut in blocks of ``SPAN`` of E.  Inside a block the sum of c e^E is a running
+        sum, to which the value at the end of the previous block is added, decayed.  What lies two blocks back
+        has no weight in double precision, and e^SPAN stays far from overflow.
+        """
         src = {name: f"_e{i}" for i, name in enumerate(outputs)}
         d = df
-        plan = []
         for name, (x, alpha, adjust) in outputs.items():
-            q, p = 1.0 - alpha, src[name]
-            size = max(2, math.ceil(41.5 / -math.log(q)))
-            plan.append((name, p, q, alpha, adjust, size))
-            d = d.withColumn(f"{p}x", col(x).cast("double"))
-        d = d.withColumns({f"{p}n": F.count(f"{p}x").over(self.run) - 1 for _, p, *_ in plan})
-        d = d.withColumns({
-            k: v for _, p, q, _a, _adj, size in plan for k, v in {
-                f"{p}b": F.floor(F.greatest(F.col(f"{p}n"), F.lit(0)) / size),
-                f"{p}o": F.greatest(F.col(f"{p}n"), F.lit(0)) % size,
-            }.items()})
-        for size in sorted({pl[5] for pl in plan}):
-            group = [pl for pl in plan if pl[5] == size]
-            # same series, cut in blocks: hash partitioning by the series key is kept
-            blk = Window.partitionBy(*self.by, f"{group[0][1]}b").orderBy(*self.order).rowsBetween(
-                Window.unboundedPreceding, 0)
-            same = {p: blk for _, p, *_ in group}
-            for _, p, *_ in group[1:]:
-                same[p] = Window.partitionBy(*self.by, f"{p}b").orderBy(*self.order).rowsBetween(
-                    Window.unboundedPreceding, 0)
-            d = d.withColumns({
-                f"{p}s": F.pow(F.lit(q), F.col(f"{p}o")) * F.sum(
-                    F.col(f"{p}x") * F.pow(F.lit(1.0 / q), F.col(f"{p}o"))).over(same[p])
-                for _, p, q, *_ in group})
-        run_before = self.frame(Window.unboundedPreceding, -1)
-        d = d.withColumns({
-            k: v for _, p, q, _a, _adj, size in plan for k, v in {
-                f"{p}c": F.last(F.when((F.col(f"{p}o") == size - 1) & F.col(f"{p}x").isNotNull(), F.col(f"{p}s")),
-                                ignorenulls=True).over(run_before),
-                f"{p}f": F.first(f"{p}x", ignorenulls=True).over(self.run),
-            }.items()})
-        out = {}
-        for name, p, q, alpha, adjust, size in plan:
-            total = F.col(f"{p}s") + F.coalesce(F.col(f"{p}c"), F.lit(0.0)) * F.pow(F.lit(q), F.col(f"{p}o") + 1)
-            if adjust:
-                value = total * (1 - q) / (1 - F.pow(F.lit(q), F.col(f"{p}n") + 1))
-            else:
-                value = total * alpha + F.col(f"{p}f") * (1 - alpha) * F.pow(F.lit(q), F.col(f"{p}n"))
-            # the first row is the value itself, free of rounding
-            out[name] = F.when(F.col(f"{p}x").isNotNull(), F.when(F.col(f"{p}n") == 0, F.col(f"{p}x")).otherwise(value))
-        d = d.withColumns(out)
-        return d.drop(*[f"{p}{s}" for p in src.values() for s in "xnboscf"])
-
+            p, q = src[name], 1.0 - alpha
+            c = lambda k, p=p: F.col(f"{p}{k}")
+            d = d.withColumns({f"{p}x": col(x).cast("double"), f"{p}p": self.pos()})
+            has = c("x").isNotNull()
+            before = F.last(F.when(has, c("p")), ignorenulls=True).over(self.frame(Window.unboundedPreceding, -1))
+            d = d.withColumn(f"{p}g", F.when(has, c("p") - before))
+            kept = F.pow(F.lit(q), c("g"))  # weight of what came before, NULL on the first value
+            # with g = 1 the sum of both weights is one; it is written out, so that it is exactly one
+            both = F.when(c("g") == 1, F.lit(1.0)).otherwise(kept + alpha)
+            step = c("g") * -math.log(q) + (0.0 if adjust else F.log(both))
+            d = d.withColumns({f"{p}l": F.coalesce(F.sum(F.when(has, step)).over(self.run), F.lit(0.0)),
+                               f"{p}c": c("x") if adjust else F.coalesce(c("x") * alpha / both, c("x")), f"{p}d": F.when(has, F.lit(1.0))})
+            d = d.withColumn(f"{p}b", F.floor(c("l") / SPAN))
+            # E grows with the rows, so ordering by block first keeps the order of the series: one sort for all frames
+            inside = Window.partitionBy(*self.by, f"{p}b").orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+            blocks = Window.partitionBy(*self.by).orderBy(f"{p}b").rangeBetween(Window.unboundedPreceding, -1)
+            rows = Window.partitionBy(*self.by).orderBy(f"{p}b", *self.order).rowsBetween(Window.unboundedPreceding, 0)
+            o = c("l") - c("b") * SPAN
+            parts = ("c", "d") if adjust else ("c",)
+            d = d.withColumns({f"{p}s{k}": F.exp(-o) * F.sum(c(k) * F.exp(o)).over(inside) for k in parts})
+            # the last row of the blocks before has the largest E of them
+            d = d.withColumn(f"{p}t", F.max(F.when(has, F.struct(f"{p}l", *[f"{p}s{k}" for k in parts]))).over(blocks))
+            total = {k: c(f"s{k}") + F.coalesce(c("t")[f"{p}s{k}"] * F.exp(c("t")[f"{p}l"] - c("l")), F.lit(0.0)) for k in parts}
+            # the first value is the mean itself, free of rounding
+            value = F.when(c("g").isNull(), c("x")).otherwise(total["c"] / total["d"] if adjust else total["c"])
+            d = d.withColumn(name, F.last(F.when(has, value), ignorenulls=True).over(rows))
+            d = d.drop(*[f"{p}{k}" for k in ("x", "p", "g", "l", "c", "d", "b", "sc", "sd", "t")])
+        return d
+
+
+#: Decay of a block of an exponential mean: e^-41.5 is below 1e-18.
+SPAN = 41.5
 
 S = Series()
 

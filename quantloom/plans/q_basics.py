@@ -561,15 +561,28 @@ def ewm_mean(t):
     return S.ewm(t.closes(), {"ema_adj": ("close", span(20), True), "ema_rec": ("close", span(5), False)})
 
 
-@query("ewm_cov", "symbol", "cov", sql=chain("returns_market", "SELECT * FROM {src} WHERE ret IS NOT NULL AND mret IS NOT NULL",
-       {"w": "pow(0.94::DOUBLE, count(*) OVER (PARTITION BY symbol) - row_number() OVER (PARTITION BY symbol ORDER BY date))"},
-       final="SELECT symbol, (sum(w * ret * mret) - sum(w * ret) * sum(w * mret) / sum(w)) / (sum(w) - sum(w * w) / sum(w)) AS cov FROM {src} GROUP BY symbol"), tables="returns_market")
+# decay by row position over all rows; the recursion row by row
+GAPS = ("SELECT symbol, date, CASE WHEN (symbol * 3 + (date - DATE '1970-01-05') // 7) % 5 IN (0, 3) THEN NULL ELSE close END AS close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM bars")
+EWG = (f"WITH RECURSIVE g AS MATERIALIZED ({GAPS}), adj AS (SELECT a.symbol, a.n, sum(pow(19/21::DOUBLE, a.n - b.n) * b.close) / sum(pow(19/21::DOUBLE, a.n - b.n)) AS y FROM g a JOIN g b ON a.symbol = b.symbol AND b.n <= a.n WHERE b.close IS NOT NULL GROUP BY 1, 2), "
+       "rec(symbol, n, y, w) AS (SELECT symbol, 0::BIGINT, NULL::DOUBLE, 1::DOUBLE FROM g GROUP BY 1 UNION ALL "
+       "SELECT g.symbol, g.n, CASE WHEN g.close IS NULL THEN r.y WHEN r.y IS NULL THEN g.close ELSE (r.w * 2 / 3 * r.y + g.close / 3) / (r.w * 2 / 3 + 1 / 3::DOUBLE) END, CASE WHEN g.close IS NULL THEN r.w * 2 / 3 ELSE 1 END "
+       "FROM rec r JOIN g ON g.symbol = r.symbol AND g.n = r.n + 1) "
+       "SELECT g.symbol, g.date, adj.y AS ema_adj, rec.y AS ema_rec FROM g LEFT JOIN adj USING (symbol, n) LEFT JOIN rec USING (symbol, n)")
+
+
+@query("ewm_mean_gaps", K, "ema_adj ema_rec", sql=EWG, tables="bars")
+def ewm_mean_gaps(t):
+    """Exponential means over closes with holes, single and in a row, at the start, inside and at the end."""
+    week = (F.datediff("date", F.lit("1970-01-05")) / 7).cast("long")
+    holed = t.closes().withColumn("close", F.when(~((F.col("symbol") * 3 + week) % 5).isin(0, 3), F.col("close")))
+    return S.ewm(holed, {"ema_adj": ("close", span(20), True), "ema_rec": ("close", span(5), False)})
+
+
+@query("ewm_cov", "symbol", "cov", sql=chain("returns_market",
+       {"w": "CASE WHEN ret IS NOT NULL AND mret IS NOT NULL THEN pow(0.94::DOUBLE, count(*) OVER (PARTITION BY symbol) - row_number() OVER (PARTITION BY symbol ORDER BY date)) END"},
+       final="SELECT symbol, (sum(w * ret * mret) - sum(w * ret) * sum(w * mret) / sum(w)) / (sum(w) - sum(w * w) / sum(w)) AS cov FROM {src} GROUP BY symbol HAVING count(w) > 0"), tables="returns_market")
 def ewm_cov(t):
-    """Weighted covariance with weights 0.94^age and the usual bias correction."""
-    d = with_pos(t.returns_with_market().where(F.col("ret").isNotNull() & F.col("mret").isNotNull()))
-    d = d.withColumn("w", F.pow(F.lit(0.94), F.count(F.lit(1)).over(S.whole) - F.col("_pos")))
-    w, x, y = F.col("w"), F.col("ret"), F.col("mret")
-    return d.groupBy("symbol").agg(div(F.sum(w * x * y) - div(F.sum(w * x) * F.sum(w * y), F.sum(w)), F.sum(w) - div(F.sum(w * w), F.sum(w))).alias("cov"))
+    return S.ewm_cov(t.returns_with_market(), "ret", "mret", 0.06).withColumnRenamed("ewm_cov", "cov")
 
 
 @query("expanding_max_cummax", K, "peak trough drawdown", sql=chain("bars", {"peak": Q.cum("max(close)"), "trough": Q.cum("min(close)")}, {"drawdown": "close / peak - 1"}), tables="bars")

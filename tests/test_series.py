@@ -36,6 +36,22 @@ def test_exponential_means_both_kinds_and_long_blocks(bars):
     compare(d, "fast", lambda g: g["close"].ewm(alpha=0.9, adjust=False).mean())
 
 
+def test_exponential_means_over_gaps(bars):
+    """Leading, inner (single and long) and trailing NULLs, as pandas decays and carries on."""
+    day = F.unix_date("date") - F.unix_date(F.lit("2020-01-01").cast("date"))
+    holed = bars.withColumn("close", F.when(~((day < 3) | (day % 7).isin(2, 3) | day.between(50, 75) | (day > 112)), F.col("close"))).withColumn("none", F.lit(None).cast("double"))
+    d = S.ewm(holed, {"adj": ("close", span(12), True), "rec": ("close", span(12), False), "fast": ("close", 0.9, False), "slow": ("close", 0.9, True), "no": ("none", 0.5, True)}).cache()
+    compare(d, "adj", lambda g: g["close"].ewm(span=12).mean())
+    compare(d, "rec", lambda g: g["close"].ewm(span=12, adjust=False).mean())
+    compare(d, "fast", lambda g: g["close"].ewm(alpha=0.9, adjust=False).mean())
+    compare(d, "slow", lambda g: g["close"].ewm(alpha=0.9).mean())
+    assert d.where("no IS NOT NULL").isEmpty() and set(d.columns) == {*holed.columns, "adj", "rec", "fast", "slow", "no"}
+    got = {r.symbol: r.ewm_cov for r in S.ewm_cov(holed, "close", "volume", 0.06).collect()}
+    for k, g in holed.orderBy("date").toPandas().groupby("symbol"):
+        want = g["close"].ewm(alpha=0.06).cov(g["volume"]).iloc[-1]
+        assert (k not in got or got[k] is None) if np.isnan(want) else abs(got[k] - want) < 1e-8 * max(1, abs(want))
+
+
 def test_rolling_correlation_and_flat_series_is_null(bars):
     d = bars.withColumn("c", S.corr("close", "volume", 20)).cache()
     compare(d.where(F.col("symbol") != 3), "c", lambda g: g["close"].rolling(20).corr(g["volume"]))
