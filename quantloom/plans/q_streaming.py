@@ -7,7 +7,7 @@ from quantloom.plans.registry import query
 from quantloom.sources.tables import Tables
 from quantloom.streaming import operators as ST
 from quantloom.streaming import ticks as TK
-from quantloom.streaming.runner import run_append, run_decided, run_upsert, run_windows
+from quantloom.streaming.runner import run_append, run_decided, run_two_levels, run_upsert, run_windows
 
 DONE = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"  # final watermark: later windows stay open
 
@@ -74,12 +74,34 @@ def stream_alert_rules(t):
     return ntz(run_windows(ST.alert_rules(metrics(t)), "alerts", ["metric", "start"], "start", "1 hour"), "start")
 
 
-@query("stream_risk_limits", "symbol level", "gross peak", "position gross_breach position_breach",
+@query("stream_position_limits", "symbol level", "gross peak", "position gross_breach position_breach",
        sql="WITH p AS (SELECT symbol, sum(CASE WHEN event_type = 'purchase' THEN size ELSE -size END) AS position, sum(abs(price * size)) AS gross, max(price) AS peak FROM ticks GROUP BY 1) SELECT *, CASE WHEN gross > 120000 THEN 1 ELSE 0 END AS gross_breach, CASE WHEN abs(position) > 1500 THEN 1 ELSE 0 END AS position_breach, "
            "CASE WHEN gross > 120000 AND abs(position) > 1500 THEN 'critical' WHEN gross > 120000 OR abs(position) > 1500 THEN 'high' WHEN gross > 96000 THEN 'warning' ELSE 'normal' END AS level FROM p", tables="ticks")
-def stream_risk_limits(t):
+def stream_position_limits(t):
     """The running positions are the state; every micro-batch runs the batch limit operator on the snapshot."""
-    return run_upsert(ST.positions_from_ticks(ticks(t)), "limits", ["symbol"], transform=ST.risk_limits)
+    return run_upsert(ST.positions_from_ticks(ticks(t)), "positions", ["symbol"], transform=ST.risk_limits)
+
+
+RISK = ("WITH d AS (SELECT symbol % 10 AS portfolio, symbol, CAST(ts AS DATE) AS day, sum(CASE WHEN event_type = 'purchase' THEN size ELSE -size END) AS traded, arg_max(price, struct_pack(ts, event_id)) AS close, sum(size) AS volume FROM ticks GROUP BY 1, 2, 3), "
+        "h AS (SELECT portfolio, symbol, sum(traded) * arg_max(close, day) AS value, avg(volume) / (avg(volume) + abs(sum(traded))) AS liquidity FROM d GROUP BY 1, 2), "
+        "p AS (SELECT portfolio, sum(value) AS total_value, sum(greatest(value, 0)) AS long_exposure, sum(least(value, 0)) AS short_exposure, max(abs(value)) AS top, avg(liquidity) AS avg_liquidity FROM h GROUP BY 1), "
+        "m AS (SELECT portfolio, sum(abs(value)) AS most FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY portfolio ORDER BY abs(value) DESC, symbol) <= 5) GROUP BY 1), "
+        "r AS (SELECT portfolio, symbol, day, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY day), 0) - 1 AS r FROM d), "
+        "e AS (SELECT portfolio, day, sum(CASE WHEN total_value > 0 THEN value / total_value ELSE 0 END * r) AS r FROM r JOIN h USING (portfolio, symbol) JOIN p USING (portfolio) WHERE r IS NOT NULL GROUP BY 1, 2), "
+        "l AS (SELECT *, product(1 + r) OVER (PARTITION BY portfolio ORDER BY day) AS level FROM e), f AS (SELECT *, level / nullif(max(level) OVER (PARTITION BY portfolio ORDER BY day), 0) - 1 AS fall FROM l), "
+        "g AS (SELECT portfolio, -quantile_cont(r, 0.05) AS var_1d, stddev_samp(r) * sqrt(252) AS volatility, abs(min(fall)) AS max_drawdown FROM f GROUP BY 1), "
+        "x AS (SELECT portfolio, total_value, long_exposure, short_exposure, avg_liquidity, coalesce(var_1d, 0) AS var_1d, volatility, coalesce(max_drawdown, 0) AS max_drawdown, long_exposure + short_exposure AS net_exposure, "
+        "(long_exposure - short_exposure) / greatest(total_value, 1) AS leverage, top / greatest(total_value, 1) AS largest_position, most / greatest(total_value, 1) AS concentration_ratio FROM p JOIN m USING (portfolio) LEFT JOIN g USING (portfolio)), "
+        "y AS (SELECT *, CAST(var_1d > 0.02 AS INT) AS var_1d_breach, CAST(leverage > 3 AS INT) AS leverage_breach, CAST(max_drawdown > 0.15 AS INT) AS max_drawdown_breach, CAST(concentration_ratio > 0.2 AS INT) AS concentration_ratio_breach, CAST(avg_liquidity < 0.3 AS INT) AS avg_liquidity_breach FROM x) "
+        "SELECT *, CASE WHEN max_drawdown_breach = 1 THEN 'critical' WHEN var_1d_breach + leverage_breach > 0 THEN 'high' WHEN concentration_ratio_breach + avg_liquidity_breach > 0 THEN 'medium' ELSE 'normal' END AS level FROM y")
+
+
+@query("stream_risk_limits", "portfolio level", "total_value long_exposure short_exposure net_exposure avg_liquidity var_1d volatility max_drawdown leverage largest_position concentration_ratio",
+       "var_1d_breach leverage_breach max_drawdown_breach concentration_ratio_breach avg_liquidity_breach", sql=RISK, tables="ticks")
+def stream_risk_limits(t):
+    """Daily book per symbol as stream state, risk and limits of the portfolios that a micro-batch changed."""
+    book = ST.daily_book(ticks(t), F.col("symbol") % 10)
+    return run_two_levels(book, "limits", ["portfolio", "symbol", "day"], ["portfolio"], ST.portfolio_risk)
 
 
 ACT = ("WITH RECURSIVE e AS (SELECT metric, ts, value FROM metrics WHERE value > 60), a AS (SELECT metric, min(ts) AS ts FROM e GROUP BY 1 UNION ALL SELECT a.metric, (SELECT min(e.ts) FROM e WHERE e.metric = a.metric AND e.ts >= a.ts + INTERVAL 240 MINUTE) FROM a WHERE a.ts IS NOT NULL) "

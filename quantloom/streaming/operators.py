@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.series import flag, ladder
@@ -143,6 +143,55 @@ def action_trigger(metrics: DataFrame, limit=60.0, cool_down_minutes=240, open_t
     return fired.select("metric", F.timestamp_micros("us").alias("ts"), "value", *(["final"] if open_too else []))
 
 
+def daily_book(ticks: DataFrame, portfolio) -> DataFrame:
+    """State of the book: signed size traded, last price and volume per (portfolio, symbol, day).
+
+    Every part is a sum or the value at a largest (time, id), so files in any order give the same rows; the
+    state is bounded by symbols and days.
+    """
+    side = F.when(F.col("event_type") == "purchase", 1).otherwise(-1)
+    return ticks.groupBy(portfolio.alias("portfolio"), "symbol", F.to_date("ts").alias("day")).agg(
+        F.sum(side * F.col("size")).alias("traded"), F.max_by("price", F.struct("ts", "event_id")).alias("close"), F.sum("size").alias("volume"))
+
+
+#: Limits of one-day value at risk, leverage, drawdown, concentration and liquidity.
+PORTFOLIO_LIMITS = {"var_1d": 0.02, "leverage": 3.0, "max_drawdown": 0.15, "concentration_ratio": 0.2, "avg_liquidity": 0.3}
+
+
+def portfolio_risk(book: DataFrame, limits: dict[str, float] | None = None, largest: int = 5) -> DataFrame:
+    """One row per portfolio of a daily book: exposures, value at risk, leverage, concentration, drawdown, and which limits are broken.
+
+    Returns are those of today's positions over the days of the book (symbols without a price on a day count
+    as 0).  Positions are summed by symbol, days by portfolio; the exact quantile and the drawdown run
+    over the days of a portfolio, the largest positions are cut before they meet.
+    """
+    lim = {**PORTFOLIO_LIMITS, **(limits or {})}
+    by_day = Window.partitionBy("portfolio", "symbol").orderBy("day")
+    held = book.groupBy("portfolio", "symbol").agg(F.sum("traded").alias("position"), F.max_by("close", "day").alias("last"), F.avg("volume").alias("adv"))
+    held = held.select("portfolio", "symbol", (F.col("position") * F.col("last")).alias("value"), F.try_divide("adv", F.col("adv") + F.abs("position")).alias("liquidity"))
+    total = held.groupBy("portfolio").agg(
+        F.sum("value").alias("total_value"), F.sum(F.greatest("value", F.lit(0.0))).alias("long_exposure"), F.sum(F.least("value", F.lit(0.0))).alias("short_exposure"),
+        F.max(F.abs("value")).alias("_top"), F.avg("liquidity").alias("avg_liquidity"))
+    most = held.withColumn("_n", F.row_number().over(Window.partitionBy("portfolio").orderBy(F.desc(F.abs("value")), "symbol"))).where(F.col("_n") <= largest)
+    most = most.groupBy("portfolio").agg(F.sum(F.abs("value")).alias("_most"))
+    weight = held.join(total.select("portfolio", "total_value"), "portfolio").select(
+        "portfolio", "symbol", F.when(F.col("total_value") > 0, F.col("value") / F.col("total_value")).otherwise(0.0).alias("_w"))
+    ret = book.withColumn("_r", F.try_divide("close", F.lag("close").over(by_day)) - 1).where(F.col("_r").isNotNull())
+    days = ret.join(weight, ["portfolio", "symbol"]).groupBy("portfolio", "day").agg(F.sum(F.col("_w") * F.col("_r")).alias("_r"))
+    upto = Window.partitionBy("portfolio").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumn("_level", F.product(1 + F.col("_r")).over(upto))
+    days = days.withColumn("_fall", F.try_divide("_level", F.max("_level").over(upto)) - 1)
+    path = days.groupBy("portfolio").agg((-F.percentile("_r", 0.05)).alias("var_1d"), (F.stddev_samp("_r") * 252 ** 0.5).alias("volatility"), F.abs(F.min("_fall")).alias("max_drawdown"))
+    base = F.greatest(F.col("total_value"), F.lit(1.0))
+    d = total.join(most, "portfolio").join(path, "portfolio", "left").fillna(0.0, ["var_1d", "max_drawdown"]).withColumns({
+        "net_exposure": F.col("long_exposure") + F.col("short_exposure"), "leverage": (F.col("long_exposure") - F.col("short_exposure")) / base,
+        "largest_position": F.col("_top") / base, "concentration_ratio": F.col("_most") / base}).drop("_top", "_most")
+    broken = {f"{k}_breach": flag(F.col(k) < v if k == "avg_liquidity" else F.col(k) > v) for k, v in lim.items()}
+    over = lambda *names: sum((F.col(f"{n}_breach") for n in names), F.lit(0)) > 0
+    return d.withColumns(broken).withColumn("level", ladder([
+        (over("max_drawdown"), "critical"), (over("var_1d", "leverage"), "high"), (over("concentration_ratio", "avg_liquidity"), "medium")], "normal"))
+
+
 def drift(metrics: DataFrame, baseline: DataFrame, width="1 day") -> DataFrame:
     """Window mean, volatility and hit rate against a static baseline (one row per metric)."""
     g = metrics.groupBy("metric", F.window("ts", width).alias("_w")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.avg(flag(F.col("value") > 20)).alias("hit_rate"), F.count(F.lit(1)).alias("n"))

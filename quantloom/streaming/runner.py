@@ -63,7 +63,27 @@ def run_decided(stream: DataFrame, tag: str, keys: list[str]) -> DataFrame:
     return rows.join(newest_epoch, keys).where(F.col("final") | (F.col("epoch") == F.col("_last"))).drop("final", "epoch", "_last")
 
 
-def _upsert(stream: DataFrame, tag: str, keys: list[str], transform) -> tuple[DataFrame, str | None]:
+def run_two_levels(stream: DataFrame, tag: str, keys: list[str], groups: list[str], second) -> DataFrame:
+    """A second aggregation over the snapshot of an update-mode stream: ``second`` runs on the groups that a micro-batch changed.
+
+    ``keys`` identify a row of the stream and include ``groups``; the newest result of every group counts.
+    """
+    root = shared_folder(stream.sparkSession, tag)
+    epochs: set[int] = set()
+
+    def again(changes: DataFrame, snapshot: DataFrame, epoch: int) -> None:
+        epochs.add(epoch)
+        part = snapshot.join(changes.select(*groups).distinct(), groups, "left_semi")
+        second(part.drop("epoch")).withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{root}/second/{epoch:09d}")
+
+    snapshot, _ = _upsert(stream, tag, keys, None, again)
+    if not epochs:
+        return second(snapshot)
+    out = stream.sparkSession.read.parquet(*[f"{root}/second/{e:09d}" for e in sorted(epochs)])
+    return newest(out, groups).drop("epoch")
+
+
+def _upsert(stream: DataFrame, tag: str, keys: list[str], transform, then=None) -> tuple[DataFrame, str | None]:
     spark = stream.sparkSession
     root = shared_folder(spark, tag)
     folds: list[tuple[str, list[int]]] = [("", [])]  # the newest fold and the epochs after it
@@ -73,6 +93,8 @@ def _upsert(stream: DataFrame, tag: str, keys: list[str], transform) -> tuple[Da
         out.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{root}/changes/{epoch:09d}")
         base, after = folds[-1]
         after = sorted({*after, epoch})
+        if then:
+            then(_read(spark, root, "", [epoch]), newest(_read(spark, root, base, after), keys), epoch)
         if len(after) >= COMPACT_EVERY:
             path = f"{root}/folds/{epoch:09d}"
             newest(_read(spark, root, base, after), keys).write.mode("overwrite").parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.streaming import operators as ST
 from quantloom.streaming import ticks as TK
-from quantloom.streaming.runner import run_append, run_decided, run_upsert, run_windows
+from quantloom.streaming.runner import run_append, run_decided, run_two_levels, run_upsert, run_windows
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -104,3 +104,34 @@ def test_actions_do_not_depend_on_the_order_of_files(spark):
     assert got == [("click", 5, 65.0), ("click", 593, 91.0), ("error", 1, 99.0), ("error", 246, 80.0), ("error", 591, 76.0)]
     closed = run_append(ST.action_trigger(m), "act").collect()
     assert {((r["ts"] - T0).total_seconds() / 60, r["metric"]) for r in closed} == {(1, "error"), (246, "error"), (5, "click")}
+
+
+def scattered(seed, n=400, days=9, users=7):
+    """Rows in no order of time over several days, for five files."""
+    import random
+    rng = random.Random(seed)
+    rows = [(rng.randint(0, days * 1440 - 1), rng.randint(1, users), rng.choice(["purchase", "purchase", "click"]), round(rng.uniform(5, 9), 3)) for _ in range(n)]
+    return rows, [rows[k::5] for k in range(5)]
+
+
+def test_portfolio_risk_over_five_files_in_any_order(spark):
+    rows, files = scattered(3)
+    feed_of = feed(spark, *files)
+    book = lambda df: ST.daily_book(df, F.col("symbol") % 2)
+    live = run_two_levels(book(source(spark, feed_of)), "risk", ["portfolio", "symbol", "day"], ["portfolio"], ST.portfolio_risk)
+    batch = ST.portfolio_risk(book(spark.read.parquet(feed_of).select(F.col("user_id").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(2).alias("size"), "event_type", "event_id")))
+    got, want = (sorted(d.select(*sorted(d.columns)).collect(), key=lambda r: r.portfolio) for d in (live, batch))
+    assert len(got) == 2
+    for a, b in zip(got, want):
+        assert all(x == y or abs(x - y) < 1e-9 * max(1, abs(y)) for x, y in zip(a, b)), (a, b)
+    # by hand: exposures of portfolio 0
+    value, last = {}, {}
+    for k, r in enumerate(sum(files, [])):
+        if r[1] % 2 == 0:
+            value[r[1]] = value.get(r[1], 0) + (2 if r[2] == "purchase" else -2)
+            last[r[1]] = max(last.get(r[1], (-1, -1, 0)), (r[0], k, r[3]))
+    mv = {u: q * last[u][2] for u, q in value.items()}
+    total = sum(mv.values())
+    assert abs(got[0].total_value - total) < 1e-9 and abs(got[0].leverage - sum(map(abs, mv.values())) / max(total, 1)) < 1e-9
+    assert abs(got[0].concentration_ratio - sum(sorted(map(abs, mv.values()))[-5:]) / max(total, 1)) < 1e-9
+    assert got[0].var_1d > 0 and got[0].level in ("critical", "high", "medium", "normal")
