@@ -3,11 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quantloom.functions.series import flag
 from quantloom.plans.registry import query
+from quantloom.session import materialise
 from quantloom.sources.tables import Tables
 from quantloom.streaming import operators as ST
 from quantloom.streaming import ticks as TK
-from quantloom.streaming.runner import run_append, run_decided, run_two_levels, run_upsert, run_windows
+from quantloom.streaming.runner import run_append, run_decided, run_sessions, run_two_levels, run_upsert, run_windows
 
 DONE = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"  # final watermark: later windows stay open
 
@@ -68,10 +70,17 @@ def stream_signal_dedup(t):
     return ntz(run_append(ST.signal_dedup(ticks(t)), "dedup"), "bucket")
 
 
-@query("stream_alert_rules", "metric start", "peak", "hits is_final",
-       sql="WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {v}::DOUBLE, {k})" for m, v, _, k in ST.ALERT_RULES) + f") v(metric, lim, need)), g AS (SELECT metric, date_trunc('hour', ts) AS start, count(*) FILTER (WHERE value > lim) AS hits, max(value) AS peak, max(need) AS need FROM metrics JOIN r USING (metric) GROUP BY 1, 2) SELECT *, CASE WHEN start + INTERVAL 1 HOUR <= {DONE} THEN 1 ELSE 0 END AS is_final FROM g WHERE hits >= need", tables="metrics")
+RULES = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in ST.ALERT_RULES)
+
+
+@query("stream_alert_rules", "name metric start", "peak", "duration_s hits is_final",
+       sql=f"WITH r AS (SELECT name, metric, op, lim::DOUBLE AS lim, dur, coalesce(need, ceil(dur / 60)) AS need FROM (VALUES {RULES}) v(name, metric, op, lim, dur, need, enabled) WHERE enabled), "
+           "e AS (SELECT *, make_timestamp(CAST(floor(epoch(ts) / dur) * dur * 1000000 AS BIGINT)) AS start, CASE op WHEN '>' THEN value > lim WHEN '<' THEN value < lim WHEN '>=' THEN value >= lim WHEN '<=' THEN value <= lim WHEN '==' THEN value = lim ELSE value <> lim END AS hit FROM metrics JOIN r USING (metric)), "
+           "g AS (SELECT name, metric, start, dur AS duration_s, max(need) AS need, count(*) FILTER (WHERE hit) AS hits, max(value) FILTER (WHERE hit) AS peak FROM e GROUP BY 1, 2, 3, 4) "
+           f"SELECT *, CASE WHEN start + to_seconds(duration_s) <= {DONE} THEN 1 ELSE 0 END AS is_final FROM g WHERE hits >= need", tables="metrics")
 def stream_alert_rules(t):
-    return ntz(run_windows(ST.alert_rules(metrics(t)), "alerts", ["metric", "start"], "start", "1 hour"), "start")
+    rules = t.spark.createDataFrame(ST.ALERT_RULES, ST.RULE_SCHEMA)
+    return ntz(run_windows(ST.alert_rules(metrics(t), rules), "alerts", ["name", "start"], "start", "1 second * duration_s"), "start")
 
 
 @query("stream_position_limits", "symbol level", "gross peak", "position gross_breach position_breach",
@@ -113,31 +122,62 @@ def stream_auto_action_trigger(t):
     return ntz(run_decided(ST.action_trigger(metrics(t), open_too=True), "actions", ["metric"]), "ts")
 
 
-@query("stream_performance_drift", "metric start", "mean std hit_rate mean_change std_change hit_change", "n is_final",
+@query("stream_window_drift", "metric start", "mean std hit_rate mean_change std_change hit_change", "n is_final",
        sql=f"WITH b AS (SELECT metric, avg(value) AS bm, stddev_samp(value) AS bs, avg(CASE WHEN value > 20 THEN 1 ELSE 0 END) AS bh FROM metrics GROUP BY 1), g AS (SELECT metric, date_trunc('day', ts) AS start, avg(value) AS mean, stddev_samp(value) AS std, avg(CASE WHEN value > 20 THEN 1 ELSE 0 END) AS hit_rate, count(*) AS n FROM metrics GROUP BY 1, 2) "
            f"SELECT g.metric, CAST(start AS TIMESTAMP) AS start, mean, std, hit_rate, n, mean / bm - 1 AS mean_change, std / bs - 1 AS std_change, hit_rate - bh AS hit_change, CASE WHEN start + INTERVAL 1 DAY <= {DONE} THEN 1 ELSE 0 END AS is_final FROM g JOIN b USING (metric)", tables="metrics")
-def stream_performance_drift(t):
+def stream_window_drift(t):
     return ntz(run_windows(ST.drift(metrics(t), ST.baseline_of(t.metrics())), "drift", ["metric", "start"], "start", "1 day"), "start")
 
 
-@query("stream_late_data_policy", "event_type start", "", "n size is_final", sql=f"SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, sum(size) AS size, CASE WHEN date_trunc('hour', max(ts)) + INTERVAL 1 HOUR <= {DONE} THEN 1 ELSE 0 END AS is_final FROM ticks GROUP BY 1, 2", tables="ticks")
+# a metric's distance from 20 in thousandths stands in for a return
+PERF = ("WITH x AS (SELECT metric, (value - 20) / 1000 AS ret, row_number() OVER (PARTITION BY metric ORDER BY ts, event_id) AS i, row_number() OVER (PARTITION BY metric ORDER BY ts DESC, event_id DESC) AS j FROM metrics), "
+        "l AS (SELECT metric, i, product(1 + ret) OVER (PARTITION BY metric ORDER BY i) AS l, j FROM x), w AS (SELECT metric, max(1 - l / p) AS dd FROM (SELECT metric, l, max(l) OVER (PARTITION BY metric ORDER BY i) AS p FROM l) GROUP BY 1), "
+        "v AS (SELECT metric, max(1 - l / p) AS dd FROM (SELECT metric, l, max(l) OVER (PARTITION BY metric ORDER BY i) AS p FROM l WHERE j <= 10) GROUP BY 1), "
+        "b AS (SELECT metric, avg(ret) AS m, stddev_pop(ret) AS s, avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END) AS h FROM x GROUP BY 1), "
+        "r AS (SELECT metric, count(*) AS n, avg(ret) AS m, stddev_pop(ret) AS s, avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END) AS h FROM x WHERE j <= 10 GROUP BY 1) "
+        "SELECT r.metric, r.n, r.m AS avg_return, r.m / r.s AS sharpe, v.dd AS max_drawdown, r.h AS win_rate, r.s AS volatility, (r.m - b.m) / abs(b.m) AS return_change, (r.m / r.s - b.m / b.s) / abs(b.m / b.s) AS sharpe_change, "
+        "(v.dd - w.dd) / abs(w.dd) AS drawdown_change, (r.h - b.h) / b.h AS win_rate_change, (r.s - b.s) / b.s AS volatility_change FROM r JOIN b USING (metric) JOIN v USING (metric) JOIN w USING (metric)")
+
+
+@query("stream_performance_drift", "metric", "avg_return sharpe max_drawdown win_rate volatility return_change sharpe_change drawdown_change win_rate_change volatility_change", "n", sql=PERF, tables="metrics")
+def stream_performance_drift(t):
+    """The newest ten returns of each metric against the whole history."""
+    ret = ((F.col("value") - 20) / 1000).alias("ret")
+    recent = run_upsert(ST.recent_performance(metrics(t).select("metric", "ts", "event_id", ret)), "recent", ["metric"])
+    return ST.performance_drift(recent, ST.performance_baseline(t.metrics().select("metric", "ts", "event_id", ret)))
+
+
+@query("stream_late_data_policy", "event_type start", "", "n size late is_final", sql=f"SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, sum(size) AS size, 0 AS late, CASE WHEN date_trunc('hour', max(ts)) + INTERVAL 1 HOUR <= {DONE} THEN 1 ELSE 0 END AS is_final FROM ticks GROUP BY 1, 2", tables="ticks")
 def stream_late_data_policy(t):
-    """Event time with a ten-minute watermark: closed hours are final, later arrivals for them are dropped; open hours are flagged."""
-    return ntz(run_windows(ST.hourly_counts(ticks(t)), "late", ["event_type", "start"], "start", "1 hour"), "start")
+    """Event time with a ten-minute watermark: closed hours are final, later arrivals for them are dropped and counted; open hours are flagged."""
+    accepted = run_windows(ST.hourly_counts(ticks(t)), "late", ["event_type", "start"], "start", "1 hour")
+    arrived = run_upsert(ST.hourly_arrivals(TK.read_tick_stream(t.spark, t.folder)), "arrived", ["event_type", "start"])
+    return ntz(ST.late_counts(accepted, arrived), "start")
 
 
-SES = (f"WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts)), s AS (SELECT *, sum(brk) OVER (PARTITION BY symbol ORDER BY ts) AS sid FROM o) "
-       f"SELECT symbol, min(ts) AS start, count(*) AS n, sum(size) AS size, max(price) AS peak FROM s GROUP BY symbol, sid HAVING max(ts) + INTERVAL 30 MINUTE <= {DONE}")
+SES = (f"WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts)), s AS (SELECT *, sum(brk) OVER (PARTITION BY symbol ORDER BY ts) AS sid FROM o) "
+       f"SELECT symbol, min(ts) AS start, max(ts) AS ended, count(*) AS n, sum(size) AS size, max(price) AS peak, CASE WHEN max(ts) + INTERVAL 30 MINUTE <= {DONE} THEN 1 ELSE 0 END AS is_final FROM s GROUP BY symbol, sid")
 
 
-@query("stream_session_windows", "symbol start", "peak", "n size", sql=SES, tables="ticks")
+@query("stream_session_windows", "symbol start ended", "peak", "n size is_final", sql=SES, tables="ticks")
 def stream_session_windows(t):
-    return ntz(run_append(ST.sessions(ticks(t)), "sessions"), "start")
+    """All sessions, those still open with ``is_final`` = 0."""
+    return ntz(run_sessions(ST.session_parts(ticks(t)), "sessions", ["symbol", "part"], ST.sessions, "ended", "30 minutes"), "start", "ended")
+
+
+# the weekly bars, 24 years on, stand in for versions of limits and fundamentals; they end before the last ticks for some symbols and go on for others
+VERSIONS = "SELECT symbol, CAST(date AS TIMESTAMP) + INTERVAL 8766 DAY AS valid_from, close AS fair_value, volume * 10 AS size_limit FROM bars WHERE date <= DATE '2000-01-17' OR symbol % 2 = 0"
 
 
-@query("stream_static_join", "event_id symbol sector", "price", sql="SELECT * FROM ticks JOIN sector USING (symbol)", tables="ticks sector")
+@query("stream_static_join", "event_id symbol sector", "price fair_value size_limit", "size over_limit",
+       sql=f"WITH v AS ({VERSIONS}) SELECT k.event_id, k.symbol, sector, price, fair_value, size_limit, size, CASE WHEN size > size_limit THEN 1 ELSE 0 END AS over_limit FROM (SELECT * FROM ticks JOIN sector USING (symbol)) k "
+           "ASOF LEFT JOIN v ON k.symbol = v.symbol AND k.ts >= v.valid_from", tables="ticks sector bars")
 def stream_static_join(t):
-    return run_append(ticks(t).join(t.sector(), "symbol").select("event_id", "symbol", "sector", "price"), "static")
+    """Ticks with their sector and with the limit and fair value that were valid at their time."""
+    v = t.bars().where((F.col("date") <= "2000-01-17") | (F.col("symbol") % 2 == 0)).select(
+        "symbol", (F.col("date").cast("timestamp") + F.expr("INTERVAL 8766 DAYS")).alias("valid_from"), F.col("close").alias("fair_value"), (F.col("volume") * 10).alias("size_limit"))
+    d = ST.asof_lookup(ticks(t).join(t.sector(), "symbol"), materialise(v, "versions"), "symbol", "valid_from", ["fair_value", "size_limit"])
+    return run_append(d.select("event_id", "symbol", "sector", "price", "fair_value", "size_limit", "size", flag(F.col("size") > F.col("size_limit")).alias("over_limit")), "static")
 
 
 @query("stream_sink_parquet", "event_id metric ts", "value", sql="SELECT * FROM metrics WHERE ts >= TIMESTAMP '2024-01-15'", tables="metrics")

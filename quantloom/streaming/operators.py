@@ -76,18 +76,27 @@ def signal_dedup(ticks: DataFrame, bucket="5 minutes", stream=True) -> DataFrame
     return d.select(*keys)
 
 
-# fixed values: metric, lower limit, window, hits that fire
-ALERT_RULES = [("error", 60.0, "1 hour", 3), ("click", 80.0, "1 hour", 2), ("purchase", 50.0, "1 hour", 4)]
+#: Name, metric, operator, threshold, duration in seconds, hits that fire (null: one a minute), enabled.
+ALERT_RULES = [("errors_high", "error", ">", 60.0, 3600, 3, True), ("clicks_high", "click", ">=", 80.0, 3600, 2, True), ("purchases_low", "purchase", "<", 5.0, 21600, 6, True),
+               ("views_low", "view", "<=", 2.0, 86400, 10, True), ("signups_odd", "signup", "!=", 0.0, 21600, 30, True), ("errors_zero", "error", "==", 0.0, 86400, 1, True),
+               ("clicks_steady", "click", ">", 1.0, 3600, None, True), ("errors_any", "error", ">", 0.0, 3600, 1, False)]
+RULE_SCHEMA = "name string, metric string, op string, threshold double, duration_s int, need int, enabled boolean"
 
 
-def alert_rules(metrics: DataFrame, rules=None, width="1 hour") -> DataFrame:
-    """Windows in which a metric passed its limit often enough; the rules are a short constant map."""
-    rules = rules or ALERT_RULES
-    lim = F.create_map(*[x for m, v, _, _ in rules for x in (F.lit(m), F.lit(v))])
-    need = F.create_map(*[x for m, _, _, k in rules for x in (F.lit(m), F.lit(k))])
-    hit = F.col("value") > F.try_element_at(lim, F.col("metric"))
-    g = metrics.groupBy("metric", F.window("ts", width).alias("_w")).agg(F.count_if(F.coalesce(hit, F.lit(False))).alias("hits"), F.max("value").alias("peak"))
-    return g.where(F.col("hits") >= F.try_element_at(need, F.col("metric"))).select("metric", F.col("_w.start").alias("start"), "hits", "peak")
+def alert_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
+    """Windows of a rule in which its condition held often enough; every rule has its own operator, threshold and window length.
+
+    ``rules`` is a table of :data:`RULE_SCHEMA`.  Each row of a metric goes into one window of each of its rules; the
+    windows of a rule divide a day, and the day is the event-time window by which a stream lets go of old state.
+    """
+    v, x = F.col("value"), F.col("threshold")
+    holds = F.coalesce(F.when(F.col("op") == ">", v > x).when(F.col("op") == "<", v < x).when(F.col("op") == ">=", v >= x).when(F.col("op") == "<=", v <= x)
+                       .when(F.col("op") == "==", v == x).when(F.col("op") == "!=", v != x), F.lit(False))
+    active = rules.where("enabled").withColumn("need", F.coalesce("need", F.ceil(F.col("duration_s") / 60).cast("int")))
+    start = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / F.col("duration_s")) * F.col("duration_s"))
+    g = metrics.join(active, "metric").groupBy("name", "metric", "duration_s", "need", start.alias("start"), F.window("ts", "1 day").alias("_day")).agg(
+        F.count_if(holds).alias("hits"), F.max(F.when(holds, v)).alias("peak"))
+    return g.where(F.col("hits") >= F.col("need")).select("name", "metric", "start", "duration_s", "hits", "peak")
 
 
 def positions_from_ticks(ticks: DataFrame) -> DataFrame:
@@ -208,6 +217,116 @@ def hourly_counts(ticks: DataFrame) -> DataFrame:
     return g.select("event_type", F.col("_w.start").alias("start"), "n", "size")
 
 
-def sessions(ticks: DataFrame, gap="30 minutes") -> DataFrame:
-    g = ticks.groupBy("symbol", F.session_window("ts", gap).alias("_w")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.max("price").alias("peak"))
-    return g.select("symbol", F.col("_w.start").alias("start"), "n", "size", "peak")
+def session_parts(ticks: DataFrame, gap="30 minutes") -> DataFrame:
+    """Pieces of sessions, one per symbol and tumbling window as long as the gap.
+
+    Two ticks of one such window are closer than the gap, so a window never holds parts of two sessions; the pieces
+    are plain aggregates that merge in any order, which session windows in update mode are not.
+    """
+    g = ticks.groupBy("symbol", F.window("ts", gap).alias("_w")).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.max("price").alias("peak"))
+    return g.select("symbol", F.col("_w.start").alias("part"), "first", "last", "n", "size", "peak")
+
+
+def sessions(parts: DataFrame, gap="30 minutes") -> DataFrame:
+    """Sessions from their pieces: neighbours no further than the gap apart belong together, as in a session window, so a late tick can bridge two sessions."""
+    w = Window.partitionBy("symbol").orderBy("part")
+    new = F.coalesce(F.col("first") > F.lag("last").over(w) + F.expr(f"INTERVAL {gap}"), F.lit(True))
+    d = parts.withColumn("_s", F.sum(new.cast("int")).over(w))
+    return d.groupBy("symbol", "_s").agg(F.min("first").alias("start"), F.max("last").alias("ended"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max("peak").alias("peak")).drop("_s")
+
+
+def versions(table: DataFrame, key: str, valid_from: str) -> DataFrame:
+    """A table of versions with the end of each: the start of the next one of its key, null for the last."""
+    return table.withColumn("_to", F.lead(valid_from).over(Window.partitionBy(key).orderBy(valid_from)))
+
+
+def asof_lookup(ticks: DataFrame, table: DataFrame, key: str, valid_from: str, columns: list[str], bucket: str = "7 days") -> DataFrame:
+    """Columns of the version of ``table`` that was valid at the time of each tick, null before the first.
+
+    A stream-static join: the versions that have ended stand in every time bucket that they reach into, so a tick meets
+    only those of its bucket; the last version of a key, which has no end, is joined by the key alone.
+    """
+    v = versions(table.select(F.col(key).alias("_key"), F.col(valid_from).alias("_from"), F.struct(*columns).alias("_v")), "_key", "_from")
+    width = F.expr(f"unix_micros(timestamp_seconds(0) + INTERVAL {bucket})")
+    spot = lambda t: F.floor(F.unix_micros(t) / width)
+    closed = v.where("_to IS NOT NULL").select(F.col("_key").alias("_k1"), F.col("_from").alias("_f1"), "_to", F.col("_v").alias("_v1"),
+                                               F.explode(F.sequence(spot(F.col("_from")), spot(F.col("_to")))).alias("_b1"))
+    last = v.where("_to IS NULL").select(F.col("_key").alias("_k2"), F.col("_from").alias("_f2"), F.col("_v").alias("_v2"))
+    d = ticks.withColumn("_b", spot(F.col("ts")))
+    d = d.join(closed, (F.col(key) == F.col("_k1")) & (F.col("_b") == F.col("_b1")) & (F.col("ts") >= F.col("_f1")) & (F.col("ts") < F.col("_to")), "left")
+    d = d.join(last, F.col(key) == F.col("_k2"), "left")
+    valid = F.when(F.col("ts") >= F.col("_f2"), F.col("_v2")).otherwise(F.col("_v1"))
+    return d.select(*ticks.columns, *[valid[c].alias(c) for c in columns])
+
+
+RECENT_SCHEMA = "metric string, n long, avg_return double, sharpe double, max_drawdown double, win_rate double, volatility double"
+
+
+def recent_performance(returns: DataFrame, keep: int = 10) -> DataFrame:
+    """Mean, Sharpe ratio, drawdown, win rate and volatility of the newest ``keep`` returns per metric, from a ring buffer in state.
+
+    The buffer is sorted by (time, id), so the order of files does not matter; each Arrow batch brings only its
+    newest rows of a metric, so a hot metric reaches its state thinned.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def update(key, chunks, state):
+        buf = list(zip(*state.get)) if state.exists else []
+        for pdf in chunks:
+            buf += list(zip(pdf["ts"].astype("int64").tolist(), pdf["event_id"].tolist(), pdf["ret"].tolist()))
+            buf = sorted(buf)[-keep:]
+        state.update(tuple([b[k] for b in buf] for k in range(3)))
+        r = np.array([b[2] for b in buf])
+        level = np.cumprod(1 + r)
+        sd = r.std()
+        yield pd.DataFrame([(key[0], len(r), r.mean(), r.mean() / sd if sd > 0 else 0.0, (1 - level / np.maximum.accumulate(level)).max(), (r > 0).mean(), sd)],
+                           columns=[c.split()[0] for c in RECENT_SCHEMA.split(", ")])
+
+    def thin(batches):
+        for pdf in batches:
+            yield pdf.sort_values(["metric", "ts", "event_id"]).groupby("metric").tail(keep)
+    thinned = returns.select("metric", "ts", "event_id", "ret").mapInPandas(thin, "metric string, ts timestamp, event_id long, ret double")
+    return thinned.groupBy("metric").applyInPandasWithState(update, RECENT_SCHEMA, "t array<long>, id array<long>, r array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def drawdown(returns: DataFrame, key: str, part: str = "1 day") -> DataFrame:
+    """(key, max_drawdown) of the compounded returns of each key in order of (ts, event_id).
+
+    Stretches of time are scanned apart and combine: each has its last level, peak and trough against its start and its own worst
+    fall; the worst fall over a seam is that from the highest peak before it to the trough after it.  No task holds a whole key.
+    """
+    d = returns.withColumn("_p", F.window("ts", part)["start"])
+    inside = Window.partitionBy(key, "_p").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_l", F.product(1 + F.col("ret")).over(inside)).withColumn("_f", 1 - F.col("_l") / F.max("_l").over(inside))
+    parts = d.groupBy(key, "_p").agg(F.max_by("_l", F.struct("ts", "event_id")).alias("_last"), F.max("_l").alias("_peak"), F.min("_l").alias("_trough"), F.max("_f").alias("_worst"))
+    before = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_start", F.coalesce(F.product("_last").over(before), F.lit(1.0)))
+    over = 1 - F.col("_start") * F.col("_trough") / F.max(F.col("_start") * F.col("_peak")).over(before)
+    return parts.withColumn("_worst", F.greatest("_worst", over)).groupBy(key).agg(F.max("_worst").alias("max_drawdown"))
+
+
+def performance_baseline(returns: DataFrame) -> DataFrame:
+    """The same figures over the whole history, as base_*."""
+    g = returns.groupBy("metric").agg(F.avg("ret").alias("base_return"), F.stddev_pop("ret").alias("base_volatility"), F.avg(flag(F.col("ret") > 0)).alias("base_win_rate"))
+    return g.withColumn("base_sharpe", F.coalesce(F.try_divide("base_return", "base_volatility"), F.lit(0.0))).join(
+        drawdown(returns, "metric").withColumnRenamed("max_drawdown", "base_drawdown"), "metric")
+
+
+def performance_drift(recent: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Changes of the newest returns against the baseline, relative to its size."""
+    change = lambda x, base: F.try_divide(F.col(x) - F.col(base), F.abs(base))
+    return recent.join(baseline, "metric").withColumns({
+        "return_change": change("avg_return", "base_return"), "sharpe_change": change("sharpe", "base_sharpe"), "drawdown_change": change("max_drawdown", "base_drawdown"),
+        "win_rate_change": change("win_rate", "base_win_rate"), "volatility_change": change("volatility", "base_volatility")})
+
+
+def hourly_arrivals(ticks: DataFrame) -> DataFrame:
+    """All rows that arrive per type and hour, late or not: the hour is a plain column, so no watermark applies to it."""
+    return ticks.groupBy("event_type", F.date_trunc("hour", "ts").alias("start")).agg(F.count(F.lit(1)).alias("arrived"))
+
+
+def late_counts(accepted: DataFrame, arrived: DataFrame) -> DataFrame:
+    """Accepted hours with the number of rows that came too late for them; hours of late rows only have no accepted ones."""
+    d = arrived.join(accepted, ["event_type", "start"], "left")
+    return d.withColumns({"n": F.coalesce("n", F.lit(0)), "late": F.col("arrived") - F.coalesce("n", F.lit(0)), "is_final": F.coalesce("is_final", F.lit(1))}).drop("arrived")

@@ -43,6 +43,13 @@ def run_windows(stream: DataFrame, tag: str, keys: list[str], start: str, width:
     return out.withColumn("is_final", done.cast("int"))
 
 
+def run_sessions(stream: DataFrame, tag: str, keys: list[str], fold, end: str, gap: str) -> DataFrame:
+    """``fold`` over the snapshot of an update-mode stream of pieces; ``is_final`` = 1 once the watermark has passed ``end`` by the gap."""
+    parts, mark = _upsert(stream, tag, keys, None)
+    done = F.col(end) + F.expr(f"INTERVAL {gap}") <= F.lit(mark).cast("timestamp") if mark else F.lit(False)
+    return fold(parts).withColumn("is_final", done.cast("int"))
+
+
 def run_decided(stream: DataFrame, tag: str, keys: list[str]) -> DataFrame:
     """Rows of an update-mode stream with ``final``: all final rows, and of each key the open ones of the last epoch that brought it."""
     spark = stream.sparkSession

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.streaming import operators as ST
 from quantloom.streaming import ticks as TK
-from quantloom.streaming.runner import run_append, run_decided, run_two_levels, run_upsert, run_windows
+from quantloom.streaming.runner import run_append, run_decided, run_sessions, run_two_levels, run_upsert, run_windows
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -135,3 +135,94 @@ def test_portfolio_risk_over_five_files_in_any_order(spark):
     assert abs(got[0].total_value - total) < 1e-9 and abs(got[0].leverage - sum(map(abs, mv.values())) / max(total, 1)) < 1e-9
     assert abs(got[0].concentration_ratio - sum(sorted(map(abs, mv.values()))[-5:]) / max(total, 1)) < 1e-9
     assert got[0].var_1d > 0 and got[0].level in ("critical", "high", "medium", "normal")
+
+
+def minutes(t):
+    return (t - T0).total_seconds() / 60
+
+
+def batch(spark, folder):
+    return spark.read.parquet(folder).select(F.col("user_id").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(2).alias("size"), "event_type", "event_id")
+
+
+def as_metrics(df):
+    return df.select("ts", F.col("event_type").alias("metric"), F.col("price").alias("value"), "event_id")
+
+
+def test_sessions_are_bridged_and_open_ones_are_kept(spark):
+    """Ticks of a later file join two sessions of an earlier one; the newest session is open."""
+    f = feed(spark, [(0, 1, "click", 1.0), (50, 1, "click", 5.0), (2, 2, "click", 1.0)], [(25, 1, "click", 9.0), (33, 2, "click", 1.0)], [(45, 1, "click", 2.0), (62, 2, "click", 1.0)],
+             [(300, 1, "click", 1.0)], [(320, 1, "click", 1.0), (319, 2, "click", 1.0)])
+    late = TK.read_tick_stream(spark, f, "*.parquet").withWatermark("ts", "6 hours")
+    got = run_sessions(ST.session_parts(late), "sessions", ["symbol", "part"], ST.sessions, "ended", "30 minutes").collect()
+    assert sorted((r.symbol, minutes(r.start), minutes(r.ended), r.n, r.peak) for r in got) == [
+        (1, 0, 50, 4, 9.0), (1, 300, 320, 2, 1.0), (2, 2, 2, 1, 1.0), (2, 33, 62, 2, 1.0), (2, 319, 319, 1, 1.0)]
+    assert {r.is_final for r in got} == {0}
+    got = run_sessions(ST.session_parts(source(spark, f)), "sessions", ["symbol", "part"], ST.sessions, "ended", "30 minutes").collect()
+    assert {(r.symbol, minutes(r.start)): r.is_final for r in got if r.start.hour > 4} == {(1, 300): 0, (2, 319): 0} and all(r.is_final for r in got if r.start.hour < 4)
+
+
+def test_sessions_equal_session_windows(spark):
+    rows, files = scattered(5, n=600, days=3)
+    f = feed(spark, *files)
+    d = batch(spark, f)
+    want = d.groupBy("symbol", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("price").alias("peak")).select("symbol", F.col("w.start"), "n", "peak").collect()
+    got = run_sessions(ST.session_parts(TK.read_tick_stream(spark, f, "*.parquet").withWatermark("ts", "9 days")), "s", ["symbol", "part"], ST.sessions, "ended", "30 minutes").select("symbol", "start", "n", "peak").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 50
+
+
+def test_alert_rules_have_operators_and_durations_of_their_own(spark):
+    rules = [("gt", "a", ">", 5.0, 3600, 2, True), ("ge", "a", ">=", 5.0, 3600, 3, True), ("lt", "a", "<", 5.0, 21600, 1, True), ("le", "a", "<=", 5.0, 86400, 3, True), ("eq", "a", "==", 5.0, 86400, 2, True),
+             ("ne", "a", "!=", 5.0, 21600, 3, True), ("per_minute", "a", ">", 0.0, 120, None, True), ("off", "a", ">", 0.0, 3600, 1, False), ("other", "b", ">", 0.0, 3600, 1, True)]
+    table = spark.createDataFrame(rules, ST.RULE_SCHEMA)
+    events = [(0, 5.0), (1, 6.0), (30, 7.0), (59, 4.0), (60, 5.0), (500, 8.0), (501, 9.0), (1300, 2.0)]
+    f = feed(spark, *[[(m, 1, "a", v) for m, v in events[k::5]] for k in range(5)])
+    late = TK.read_tick_stream(spark, f, "*.parquet").withWatermark("ts", "2 days")
+    got = sorted((r.name, minutes(r.start), r.hits) for r in run_windows(ST.alert_rules(as_metrics(late), table), "alerts", ["name", "start"], "start", "1 second * duration_s").collect())
+    test = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
+    want = {}
+    for name, metric, op, x, seconds, need, on in rules:
+        for m, v in events:
+            if on and metric == "a" and test[op](v, x):
+                k = (name, m * 60 // seconds * seconds / 60, need or seconds / 60)
+                want[k] = want.get(k, 0) + 1
+    assert got == sorted((n, s, h) for (n, s, need), h in want.items() if h >= need) and {g[0] for g in got} == {"gt", "ge", "lt", "le", "eq", "ne", "per_minute"}
+
+
+def test_lookup_is_the_version_of_the_time_of_the_tick(spark):
+    """A report between two ticks shows in the second only; no version before the first, the last one has no end."""
+    day = dt.datetime(2024, 1, 1)
+    table = spark.createDataFrame([(1, day + dt.timedelta(minutes=10), 1.0), (1, day + dt.timedelta(minutes=20), 2.0), (1, day + dt.timedelta(days=40), 3.0), (2, day - dt.timedelta(days=400), 7.0)],
+                                  "symbol long, since timestamp, eps double")
+    f = feed(spark, [(9, 1, "a", 1.0), (10, 1, "a", 1.0), (19, 1, "a", 1.0)], [(20, 1, "a", 1.0), (0, 2, "a", 1.0)], [(1440 * 39, 1, "a", 1.0), (1440 * 40, 1, "a", 1.0), (1440 * 999, 1, "a", 1.0), (0, 3, "a", 1.0)])
+    stream = TK.read_tick_stream(spark, f, "*.parquet").select("symbol", "ts")
+    got = sorted((r.symbol, minutes(r.ts), r.eps) for r in run_append(ST.asof_lookup(stream, table, "symbol", "since", ["eps"]), "asof").collect())
+    assert got == [(1, 9, None), (1, 10, 1.0), (1, 19, 1.0), (1, 20, 2.0), (1, 1440 * 39, 2.0), (1, 1440 * 40, 3.0), (1, 1440 * 999, 3.0), (2, 0, 7.0), (3, 0, None)]
+
+
+def test_recent_performance_over_five_files_in_any_order(spark):
+    import numpy as np
+    rows, files = scattered(9)
+    f = feed(spark, *files)
+    ret = ((F.col("value") - 7) / 100).alias("ret")
+    live = run_upsert(ST.recent_performance(as_metrics(source(spark, f)).select("metric", "ts", "event_id", ret)), "recent", ["metric"])
+    whole = as_metrics(batch(spark, f)).select("metric", "ts", "event_id", ret)
+    got = {r.metric: r for r in ST.performance_drift(live, ST.performance_baseline(whole)).collect()}
+    pdf = whole.orderBy("ts", "event_id").toPandas()
+    for k, g in pdf.groupby("metric"):
+        def figures(x):
+            level = np.cumprod(1 + x)
+            return x.mean(), x.mean() / x.std(), (1 - level / np.maximum.accumulate(level)).max(), (x > 0).mean(), x.std()
+        new, old = figures(g["ret"].to_numpy()[-10:]), figures(g["ret"].to_numpy())
+        r = got[k]
+        np.testing.assert_allclose((r.avg_return, r.sharpe, r.max_drawdown, r.win_rate, r.volatility), new, rtol=1e-9)
+        np.testing.assert_allclose((r.return_change, r.sharpe_change, r.drawdown_change, r.win_rate_change, r.volatility_change), [(a - b) / abs(b) for a, b in zip(new, old)], rtol=1e-9)
+    assert len(got) == 2
+
+
+def test_late_rows_are_counted_by_window(spark):
+    f = feed(spark, [(0, 1, "a", 1.0), (300, 1, "a", 1.0)], [(310, 1, "a", 1.0)], [(5, 1, "a", 1.0), (6, 1, "a", 1.0), (70, 1, "a", 1.0), (320, 1, "a", 1.0)], [(330, 1, "a", 1.0)], [(600, 1, "a", 1.0)])
+    accepted = run_windows(ST.hourly_counts(source(spark, f)), "late", ["event_type", "start"], "start", "1 hour")
+    arrived = run_upsert(ST.hourly_arrivals(TK.read_tick_stream(spark, f, "*.parquet")), "arrived", ["event_type", "start"])
+    got = sorted((minutes(r.start), r.n, r.late, r.is_final) for r in ST.late_counts(accepted, arrived).collect())
+    assert got == [(0, 1, 2, 1), (60, 0, 1, 1), (300, 4, 0, 1), (600, 1, 0, 0)]
