@@ -92,13 +92,11 @@ def delete_by_key_or_age(t):
 
 
 @query("source_precedence_union", K, "close", "source_rank",
-       sql="WITH late AS (SELECT * FROM bars WHERE symbol IN (SELECT symbol FROM bars GROUP BY symbol HAVING sum(volume) > 15000)) "
-           "SELECT symbol, date, close, 0 AS source_rank FROM late UNION ALL SELECT symbol, date, close, 1 FROM second_source "
-           "WHERE symbol NOT IN (SELECT symbol FROM late)", tables="second_source")
+       sql="WITH main AS (SELECT * FROM bars WHERE symbol IN (SELECT symbol FROM positions WHERE market_value > 0)) "
+           "SELECT symbol, date, close, 0 AS source_rank FROM main UNION ALL SELECT symbol, date, close, 1 FROM second_source "
+           "WHERE symbol NOT IN (SELECT symbol FROM main)", tables="second_source positions")
 def source_precedence_union(t):
-    b = t.bars()
-    big = b.groupBy("symbol").agg(F.sum("volume").alias("_v")).where(F.col("_v") > 15000).select("symbol")
-    return io.first_source_per_symbol([b.join(big, "symbol", "left_semi"), t.second_source()])
+    return io.first_source_per_symbol([t.main_listing(), t.second_source()])
 
 
 @query("standardize_ohlcv_columns", K, OHLCV, sql="SELECT * FROM bars", tables="bars")
@@ -236,10 +234,10 @@ def left_join_panel(t):
 
 
 @query("asof_ffill_join", K, "close sparse",
-       sql="SELECT b.symbol, b.date, b.close, s.volume AS sparse FROM bars b ASOF LEFT JOIN (SELECT * FROM second_source WHERE volume > 80) s "
+       sql="SELECT b.symbol, b.date, b.close, s.volume AS sparse FROM bars b ASOF LEFT JOIN second_source s "
            "ON b.symbol = s.symbol AND b.date >= s.date", tables="second_source")
 def asof_ffill_join(t):
-    sparse = t.second_source().where(F.col("volume") > 80).select("symbol", "date", F.col("volume").alias("sparse"))
+    sparse = t.second_source().select("symbol", "date", F.col("volume").alias("sparse"))
     return R.asof_ffill(t.closes(), sparse, ["sparse"])
 
 

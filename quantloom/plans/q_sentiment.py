@@ -172,13 +172,13 @@ def search_volume_factors(t):
     return SE.search_volume(t.bars(), "volume")
 
 
-SPD = ("SELECT b.symbol, b.date, b.close, s.sentiment FROM bars b ASOF LEFT JOIN (SELECT symbol, date, volume / 100 - 0.25 AS sentiment FROM second_source WHERE volume > 60) s ON b.symbol = s.symbol AND b.date >= s.date")
+SPD = ("SELECT b.symbol, b.date, b.close, s.sentiment FROM bars b ASOF LEFT JOIN (SELECT symbol, date, volume / 100 - 0.25 AS sentiment FROM second_source) s ON b.symbol = s.symbol AND b.date >= s.date")
 
 
 @query("sentiment_price_divergence", K, "news_sentiment_momentum news_sentiment_reversal news_sentiment_vol news_price_divergence",
        sql=chain(f"({SPD})", {"news_sentiment_momentum": Q.mean("sentiment", 5), "news_sentiment_reversal": f"-{Q.mean('sentiment', 20)}", "news_sentiment_vol": Q.std("sentiment", 10), "news_price_divergence": f"{Q.mean('sentiment', 5)} - {Q.pct('close', 5)}"}), tables="second_source")
 def sentiment_price_divergence(t):
-    sp = t.second_source().where(F.col("volume") > 60).select("symbol", "date", (F.col("volume") / 100 - 0.25).alias("sentiment"))
+    sp = t.second_source().select("symbol", "date", (F.col("volume") / 100 - 0.25).alias("sentiment"))
     return SE.sentiment_divergence(REL.asof_ffill(t.closes(), sp, ["sentiment"]))
 
 

@@ -90,10 +90,13 @@ TABLES = {  # name -> (text, needed names)
 
 
 def lexicon_tables() -> str:
-    from quantloom.operators.sentiment import default_lexicon
-    rows = ", ".join(f"('{w}', {p}, {s})" for w, p, s in default_lexicon())
-    return (f"lexicon AS (SELECT * FROM (VALUES {rows}) v(token, pol, sub)), "
-            "doc_tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS token FROM documents), "
+    from quantloom.operators.sentiment import LEXICON_WORDS
+    return ("doc_tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS token FROM documents), "
+            "marks AS (SELECT doc_id, quality AS m FROM labels WHERE quality IS NOT NULL), "
+            "kinds AS (SELECT count(*) FILTER (WHERE m = 1) AS good, count(*) FILTER (WHERE m = 0) AS bad FROM documents JOIN marks USING (doc_id)), "
+            "seen AS (SELECT token, count(*) FILTER (WHERE m = 1) AS a, count(*) FILTER (WHERE m = 0) AS b FROM (SELECT DISTINCT doc_id, token FROM doc_tokens) JOIN marks USING (doc_id) GROUP BY 1 HAVING count(*) >= 5), "
+            "scored AS (SELECT token, a + b AS n, (100 * (a * bad - b * good)) // nullif(a * bad + b * good, 0) AS pol FROM seen, kinds), "
+            f"lexicon AS (SELECT token, pol, abs(pol) AS sub FROM scored WHERE pol <> 0 ORDER BY abs(pol) DESC, n DESC, token LIMIT {LEXICON_WORDS}), "
             "doc_sentiment AS (SELECT d.doc_id, d.source AS symbol, d.lang, d.n_chars, coalesce(sum(pol)::DOUBLE / nullif(100 * count(pol), 0), 0) AS polarity, coalesce(sum(sub)::DOUBLE / nullif(100 * count(sub), 0), 0) AS subjectivity, count(pol) AS hits, "
             "CASE WHEN coalesce(sum(pol)::DOUBLE / nullif(100 * count(pol), 0), 0) > 0.1 THEN 'positive' WHEN coalesce(sum(pol)::DOUBLE / nullif(100 * count(pol), 0), 0) < -0.1 THEN 'negative' ELSE 'neutral' END AS sentiment "
             "FROM documents d LEFT JOIN doc_tokens USING (doc_id) LEFT JOIN lexicon USING (token) GROUP BY 1, 2, 3, 4)")

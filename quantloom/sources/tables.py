@@ -19,14 +19,18 @@ class Tables:
         """One OHLCV bar per supplier and week.
 
         The aggregation is combined map-side, so a hot supplier shrinks to one row per week and
-        input split before anything is shuffled.  First and last trade are found by one long, the
-        day of the week, order, line and low part bits packed together (orders below 2^44, lines
-        below 16), which keeps this a hash aggregation; a struct key would force a sort of the
-        whole input.
+        input split before anything is shuffled.  First and last trade are found by one decimal of 38 digits, the
+        day of the week (1), order (19), line (2) and part (16), so any 64-bit order is told apart; lines or parts
+        beyond their digits stop the job instead of being folded.  A decimal keeps this a hash
+        aggregation; a struct key would force a sort of the whole input.  Rows equal in all four are one item
+        of one order, listed twice.
         """
         day = F.unix_date(F.to_date("l_shipdate")).cast("long")
-        key = (F.shiftleft(F.pmod(day + 3, F.lit(7)), 60) + F.shiftleft("l_orderkey", 16)
-               + F.shiftleft(F.col("l_linenumber").cast("long"), 12) + F.pmod("l_partkey", F.lit(4096)))
+        line, part, order = F.col("l_linenumber").cast("long"), F.col("l_partkey").cast("long"), F.col("l_orderkey").cast("long")
+        fits = (order >= 0) & line.between(0, 99) & part.between(0, 10 ** 16 - 1)
+        digits = lambda n: F.lit("1" + "0" * n).cast("decimal(38,0)")
+        key = F.pmod(day + 3, F.lit(7)).cast("decimal(1,0)") * digits(37) + order.cast("decimal(19,0)") * digits(18) + (line * 10 ** 16 + part).cast("decimal(18,0)")
+        key = F.when(F.coalesce(fits, F.lit(True)), key).otherwise(F.raise_error(F.lit("order, line or part key outside of the digits of the bar key")))
         li = self.read("lineitem").select(
             F.col("l_suppkey").alias("symbol"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.col("l_quantity").alias("q"), key.alias("k"))
@@ -82,9 +86,10 @@ class Tables:
 
     def doc_sentiment(self) -> DataFrame:
         """(doc_id, symbol = source, polarity, subjectivity, ...) of whole document texts."""
-        from quantloom.operators.sentiment import text_polarity
-        d = text_polarity(self.read("documents").select("doc_id", F.col("source").alias("symbol"), "lang", "n_chars", "text"), "text")
-        return d.drop("text")
+        from quantloom.operators.sentiment import LEXICON_WORDS, learn_lexicon, text_polarity
+        docs = self.read("documents").select("doc_id", F.col("source").alias("symbol"), "lang", "n_chars", "text")
+        words = learn_lexicon(docs, self.read("labels"), "text", words=LEXICON_WORDS)
+        return text_polarity(docs, "text", F.broadcast(words)).drop("text")  # at most LEXICON_WORDS rows
 
     # --- ticks, options, metrics -----------------------------------------------------------
     def ticks(self) -> DataFrame:
@@ -189,3 +194,7 @@ class Tables:
         return b.where(F.col("_k") != 0).select(
             "symbol", "date", *[(F.col(c) * (1 + (F.col("_k") - 5) / 1000)).alias(c)
                                 for c in ("open", "high", "low", "close")], "volume")
+
+    def main_listing(self) -> DataFrame:
+        """The first vendor of two: whole bars of the symbols that are held long."""
+        return self.bars().join(self.positions().where(F.col("market_value") > 0).select("symbol"), "symbol", "left_semi")

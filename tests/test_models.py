@@ -103,3 +103,35 @@ def test_polarity_in_any_alphabet_with_a_given_lexicon(spark):
     assert got == {1: ("negative", 2, -0.65), 2: ("positive", 2, 0.65), 3: ("neutral", 0, 0.0), 4: ("neutral", 0, 0.0), 5: ("neutral", 0, 0.0)}
     own = spark.createDataFrame([("хорошо", 60, 50), ("плохо", -60, 50)], "token string, pol long, sub long")
     assert text_polarity(docs, "text", own).where("doc_id = 3").first()["polarity"] == 0.2
+
+
+def test_learned_lexicon_scores_real_texts(spark):
+    from quantloom.operators.sentiment import LEXICON_WORDS, learn_lexicon
+    from quantloom.sources.tables import Tables
+    t = Tables(spark, "/root/testdata/sf0.01")
+    d = t.doc_sentiment()
+    assert d.where("polarity <> 0").count() * 10 >= d.count() and {r["sentiment"] for r in d.select("sentiment").distinct().collect()} == {"positive", "negative", "neutral"}
+    docs = spark.createDataFrame([(i, "gut und gut" if i % 2 else "schlecht und") for i in range(12)] + [(99, "gut"), (100, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(99, None), (100, 1)], "doc_id long, quality int")
+    got = sorted((r["token"], r["pol"], r["sub"]) for r in learn_lexicon(docs, labels, "text", words=LEXICON_WORDS).collect())
+    assert got == [("gut", 100, 100), ("schlecht", -100, 100), ("und", -7, 7)]
+    assert learn_lexicon(docs, labels, "text", words=1).count() == 1 and learn_lexicon(docs.where("false"), labels, "text").count() == 0
+
+
+def test_bars_break_ties_by_large_part_keys(spark, tmp_path):
+    """Same day, order and line: the smaller part opens and the larger one closes the week, however far apart they are."""
+    import pytest
+    from quantloom.sources.tables import Tables
+    day = dt.date(2020, 1, 6)
+    price = {8193: 195.0, 4097: 99.0, 10 ** 15 + 1: 3.5, 1: 3.0, 12289: 291.0, 20_000: 2.0}
+    rows = [(7, day, 10 ** 18, 40, p, 1.0, x) for p, x in price.items()] + [(7, day, 10 ** 18, 99, 1, 1.0, 5.0), (7, day, 10 ** 18 - 1, 99, 1, 1.0, 6.0)]
+    schema = "l_suppkey long, l_shipdate date, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    bar = Tables(spark, str(tmp_path)).bars().first()
+    assert (bar["open"], bar["close"], bar["volume"]) == (6.0, 5.0, 8.0)
+    spark.createDataFrame(rows[:6], schema).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    bar = Tables(spark, str(tmp_path)).bars().first()
+    assert (bar["open"], bar["close"]) == (3.0, 3.5)
+    spark.createDataFrame([(7, day, 1, 100, 1, 1.0, 1.0)], schema).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    with pytest.raises(Exception, match="bar key"):
+        Tables(spark, str(tmp_path)).bars().collect()
