@@ -6,11 +6,15 @@ writer whose line separator is the blank line after a record, so an archive is a
 (gzip-compressed as a whole).  The records of a file are bounded in number by size class, since a file
 is read by one task.
 
-Reading.  Each task walks through its archives record by record by Content-Length and returns index
-entries, sorted by URL key and time: a run.  The runs are written as a table of the shared folder.
+Reading.  Each task unpacks its archives piece by piece, gzip member by member (own archives have one, record-compressed
+ones one per record), walks through them by Content-Length and returns index
+entries, sorted by URL key and time and numbered: a run.  An entry leads back to its record: archive, start of the gzip
+member in it, start and length of the record in the unpacked member; ``fetch`` reads records by their entries.  The runs are
+written as a table of the shared folder.  An archive that ends inside of a member or record stops the job.
 
 Merging.  The entries are range-partitioned by (URL key, time, page), so a hot URL is split as well;
-each task then merges the slices of the runs it received with a loser tree.  The ranges follow each
+each task then merges the slices of the runs it received with a loser tree; a slice that the shuffle delivers in several
+blocks is as many sorted runs, told apart by their numbers, so nothing is sorted again.  The ranges follow each
 other, which gives the global order: (``run_range``, ``line``) number it.
 
 Defined cases: a null body is an empty payload; a null URL has no target field and the empty key; of
@@ -38,7 +42,10 @@ MIN_REVISIT_BYTES = 100
 SIZE_CLASSES = [(1 << 16, 2000), (1 << 20, 128), (None, 1)]
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 END = "\r\n\r\n"
-ENTRY = "urlkey string, captured string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+ENTRY = ("urlkey string, captured string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, "
+         "archive string, member bigint, start bigint, length bigint")
+#: Bytes unpacked at a time, and the most that the fields of a record may take.
+PIECE, MOST_FIELDS = 1 << 18, 1 << 24
 
 
 def decide(pages: DataFrame) -> DataFrame:
@@ -84,20 +91,61 @@ def write(pages: DataFrame, folder: str, captured: Column) -> None:
         low = high
 
 
-def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of every record of an archive."""
-    at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        first, *lines = raw[at:end].decode("utf-8").split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(line.split(": ", 1) for line in lines)
-        at = end + 4 + int(head["Content-Length"])
-        yield head, raw[end + 4:at]
-        if raw[at:at + 4] != b"\r\n\r\n":
-            raise ValueError(f"record does not end at byte {at}")
-        at += 4
+def unpacked(raw: bytes, packed: bool) -> Iterator[tuple[int, bytes]]:
+    """(start of the gzip member, piece of its unpacked bytes) of an archive; plain archives are one member at 0."""
+    view, at = memoryview(raw), 0
+    if not packed:
+        for at in range(0, len(view), PIECE):
+            yield 0, bytes(view[at:at + PIECE])
+        return
+    while at < len(view):
+        member, unpack = at, zlib.decompressobj(31)
+        while not unpack.eof:
+            if at >= len(view):
+                raise ValueError(f"archive ends inside of the gzip member at byte {member}")
+            feed = view[at:at + PIECE]
+            piece = unpack.decompress(feed, PIECE)
+            while piece:
+                yield member, piece
+                # a full piece may have left output behind although all input is consumed
+                more = not unpack.eof and (unpack.unconsumed_tail or len(piece) == PIECE)
+                piece = unpack.decompress(unpack.unconsumed_tail, PIECE) if more else b""
+            at += len(feed) - len(unpack.unused_data)
+
+
+def records(pieces: Iterator[tuple[int, bytes]]) -> Iterator[tuple[dict[str, str], bytes, int, int, int]]:
+    """Header fields and block of every record, with the start of its member and its start and length inside of it."""
+    held, base, member, head, size = bytearray(), 0, 0, None, 0
+    for m, piece in pieces:
+        if m != member:
+            if held:
+                raise ValueError(f"a record runs over the end of the member at byte {member}")
+            member, base = m, 0
+        held += piece
+        at = 0
+        while True:
+            if head is None:
+                end = held.find(b"\r\n\r\n", at)
+                if end < 0:
+                    if len(held) - at > MOST_FIELDS:
+                        raise ValueError(f"no end of header fields after byte {base + at} of the member at byte {member}")
+                    break
+                first, *lines = held[at:end].decode("utf-8").split("\r\n")
+                if not first.startswith("WARC/"):
+                    raise ValueError(f"no WARC record at byte {base + at} of the member at byte {member}")
+                head = dict(line.split(": ", 1) for line in lines)
+                size = end + 4 - at + int(head["Content-Length"])
+            if len(held) < at + size + 4:
+                break
+            if held[at + size:at + size + 4] != b"\r\n\r\n":
+                raise ValueError(f"record does not end at byte {base + at + size} of the member at byte {member}")
+            block = size - int(head["Content-Length"])
+            yield head, bytes(held[at + block:at + size]), member, base + at, size
+            at, head = at + size + 4, None
+        del held[:at]
+        base += at
+    if held:
+        raise ValueError(f"archive ends inside of a record at byte {base} of the member at byte {member}")
 
 
 def url_key(url: str) -> str:
@@ -112,33 +160,54 @@ def _page(field: str | None) -> int | None:
     return None if name == "null" else int(name)
 
 
-def entry(head: dict[str, str], block: bytes) -> tuple:
+def entry(head: dict[str, str], block: bytes, archive: str, member: int, start: int, length: int) -> tuple:
     """Index entry of a record; size and digest of a response are those of its block."""
     key, page = url_key(head.get("WARC-Target-URI", "")), _page(head["WARC-Record-ID"])
     if head["WARC-Type"] == "revisit":
-        return key, head["WARC-Date"], page, int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha256:"), "revisit", _page(head["WARC-Refers-To"])
+        return key, head["WARC-Date"], page, int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha256:"), "revisit", _page(head["WARC-Refers-To"]), archive, member, start, length
     payload = block[block.index(b"\r\n\r\n") + 4:]
-    return key, head["WARC-Date"], page, len(payload), hashlib.sha256(payload).hexdigest(), "response", None
+    return key, head["WARC-Date"], page, len(payload), hashlib.sha256(payload).hexdigest(), "response", None, archive, member, start, length
 
 
 def sort_key(e: tuple) -> tuple:
     return e[0], e[1], e[2] is not None, e[2] or 0, e[5]
 
 
+def _archives(spark: SparkSession, folder: str) -> DataFrame:
+    name = F.element_at(F.split("path", "/"), -1)
+    return spark.read.format("binaryFile").load(folder).select(name.alias("archive"), "content")
+
+
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """(run, entries sorted by URL key and time): the index of every archive, one sorted run per file."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    schema = pa.schema([("run", pa.string()), *[(f.split(" ")[0], pa.int64() if f.endswith("bigint") else pa.string()) for f in ENTRY.split(", ")]])
+    """(run, number, entries sorted by URL key and time): the index of every archive, one sorted run per file."""
+    schema = pa.schema([("run", pa.string()), ("number", pa.int64()), *[(f.split(" ")[0], pa.int64() if f.endswith("bigint") else pa.string()) for f in ENTRY.split(", ")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
-                raw = content.as_py()
-                raw = zlib.decompress(raw, 31) if path.endswith(".gz") and raw else raw
-                found = sorted((entry(h, block) for h, block in records(raw)), key=sort_key)
+            for name, content in zip(b.column("archive").to_pylist(), b.column("content")):
+                found = sorted((entry(h, block, name, *place) for h, block, *place in records(unpacked(content.as_py(), name.endswith(".gz")))), key=sort_key)
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[path] * len(found), *zip(*found)], schema.types)], schema=schema)
-    return map_rows(files, run, f"run string, {ENTRY}")
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[name] * len(found), range(len(found)), *zip(*found)], schema.types)], schema=schema)
+    return map_rows(_archives(spark, folder), run, f"run string, number bigint, {ENTRY}")
+
+
+def fetch(spark: SparkSession, folder: str, entries: DataFrame) -> DataFrame:
+    """The entries with the ``block`` of their record; each archive is read by one task, as far as its last wanted record."""
+    places = entries.groupBy("archive").agg(F.sort_array(F.collect_set(F.struct("member", "start"))).alias("wanted"))  # at most the records of a file
+    files = _archives(spark, folder).join(places, "archive")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content, wanted in zip(b.column("archive").to_pylist(), b.column("content"), b.column("wanted").to_pylist()):
+                left = {(w["member"], w["start"]) for w in wanted}
+                for _, block, member, start, _ in records(unpacked(content.as_py(), name.endswith(".gz"))):
+                    if (member, start) in left:
+                        left.remove((member, start))
+                        yield pa.RecordBatch.from_pydict({"archive": [name], "member": [member], "start": [start], "block": pa.array([block], pa.binary())})
+                        if not left:
+                            break
+    found = map_rows(files, read, "archive string, member bigint, start bigint, block binary")
+    return entries.join(found, ["archive", "member", "start"])
 
 
 class LoserTree:
@@ -187,14 +256,18 @@ def merge_runs(runs: DataFrame, entries_per_range: int = 50_000) -> DataFrame:
     schema = pa.schema([*[(c, pa.int64() if f.endswith("bigint") else pa.string()) for c, f in zip(names, ENTRY.split(", "))], ("run_range", pa.int32()), ("line", pa.int64())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list[tuple]] = {}
+        blocks: dict[tuple[str, int], list[tuple]] = {}
+        last: dict[str, tuple[int, int]] = {}  # per run the number of its last entry and of its block
         number = 0
         for b in batches:
             number = b.column("run_range")[0].as_py() if b.num_rows else number
-            for run, *e in zip(b.column("run").to_pylist(), *(b.column(c).to_pylist() for c in names)):
-                slices.setdefault(run, []).append(tuple(e))
-        # a shuffle may deliver the blocks of a run in any order; sorted stretches make this linear
-        tree = LoserTree([sorted(slices[r], key=sort_key) for r in sorted(slices)])
+            for run, at, *e in zip(b.column("run").to_pylist(), b.column("number").to_pylist(), *(b.column(c).to_pylist() for c in names)):
+                # a shuffle may deliver the blocks of a run in any order
+                before, block = last.get(run, (-1, 0))
+                block += at < before
+                last[run] = at, block
+                blocks.setdefault((run, block), []).append(tuple(e))
+        tree = LoserTree([blocks[k] for k in sorted(blocks)])
         line, out = 0, []
         for e in tree:
             out.append(e)

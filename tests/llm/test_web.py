@@ -41,14 +41,53 @@ def test_archives_are_plain_warc_and_runs_are_sorted(spark):
     warc.write(pages, folder, F.lit("2001-01-01T00:00:00Z"))
     n = 0
     for f in pathlib.Path(folder.removeprefix("file:")).glob("part-*"):
-        for head, block in warc.records(gzip.decompress(f.read_bytes())):
+        for head, block, *_ in warc.records([(0, gzip.decompress(f.read_bytes()))]):
             n += 1
             assert head["WARC-Type"] in ("response", "revisit") and len(block) == int(head["Content-Length"])
     assert n == len(rows)
     runs = {}
     for r in warc.read_runs(spark, folder).collect():
-        runs.setdefault(r.run, []).append(warc.sort_key(tuple(r)[1:]))
-    assert all(v == sorted(v) for v in runs.values())
+        runs.setdefault(r.run, []).append((r.number, warc.sort_key(tuple(r)[2:])))
+    assert all([k for _, k in sorted(v)] == sorted(k for _, k in v) for v in runs.values())
+    # every record is found again by its entry
+    html = {(i or 0, (h or "")) for i, _, h in rows}
+    found = warc.fetch(spark, folder, warc.read_runs(spark, folder).where("record_type = 'response'")).collect()
+    assert len(found) >= 8 and all(((r.page_id or 0), r.block.split(b"\r\n\r\n", 1)[1].decode()) in html for r in found)
+
+
+def test_record_compressed_archives_are_read_whole(spark):
+    """1,000 records in 1,000 gzip members, found and fetched one by one; a plain archive; truncated ones stop the job."""
+    import gzip
+    import pathlib
+
+    import pytest
+    rng = random.Random(1)
+    folder = pathlib.Path(shared_folder(spark, "foreign").removeprefix("file:"))
+    folder.mkdir(parents=True)
+    body = {i: rng.randbytes(rng.randint(0, 3000)) for i in range(1000)}
+
+    def record(i):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body[i]
+        return (f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Target-URI: http://h{i % 7}.org/{i}\r\n"
+                f"Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    packed = [gzip.compress(record(i)) for i in range(1000)]
+    (folder / "a.warc.gz").write_bytes(b"".join(packed))
+    (folder / "b.warc").write_bytes(b"".join(record(i) for i in range(5)))
+    runs = warc.read_runs(spark, str(folder))
+    got = runs.where("archive = 'a.warc.gz'").collect()
+    starts = np.cumsum([0, *map(len, packed)]).tolist()
+    assert sorted((r.page_id, r.member, r.start, r.payload_digest) for r in got) == [(i, starts[i], 0, hashlib.sha256(body[i]).hexdigest()) for i in range(1000)]
+    assert runs.where("archive = 'b.warc'").count() == 5
+    some = warc.fetch(spark, str(folder), warc.merge_runs(runs).where("page_id % 100 = 3")).collect()
+    assert sorted((r.page_id, r.archive) for r in some) == sorted([(i, "a.warc.gz") for i in range(3, 1000, 100)] + [(3, "b.warc")])
+    assert all(r.block == b"HTTP/1.1 200 OK\r\n\r\n" + body[r.page_id] for r in some)
+    whole = b"".join(packed[:3])
+    for cut in (whole[:-1], whole[:len(packed[0]) + 5], gzip.compress(record(0)[:-9])):
+        with pytest.raises(ValueError, match="ends inside"):
+            list(warc.records(warc.unpacked(cut, True)))
+    big = {0: b"x" * 5_000_000}
+    body.update(big)
+    assert [len(b) for _, b, *_ in warc.records(warc.unpacked(gzip.compress(record(0) + record(1)), True))] == [5_000_000 + 19, len(body[1]) + 19]
 
 
 def test_loser_tree_merges_runs():
