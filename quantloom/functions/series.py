@@ -225,25 +225,46 @@ class Series:
             # with g = 1 the sum of both weights is one; it is written out, so that it is exactly one
             both = F.when(c("g") == 1, F.lit(1.0)).otherwise(kept + alpha)
             step = c("g") * -math.log(q) + (0.0 if adjust else F.log(both))
-            d = d.withColumns({f"{p}l": F.coalesce(F.sum(F.when(has, step)).over(self.run), F.lit(0.0)),
-                               f"{p}c": c("x") if adjust else F.coalesce(c("x") * alpha / both, c("x")), f"{p}d": F.when(has, F.lit(1.0))})
-            d = d.withColumn(f"{p}b", F.floor(c("l") / SPAN))
-            # E grows with the rows, so ordering by block first keeps the order of the series: one sort for all frames
-            inside = Window.partitionBy(*self.by, f"{p}b").orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
-            blocks = Window.partitionBy(*self.by).orderBy(f"{p}b").rangeBetween(Window.unboundedPreceding, -1)
-            rows = Window.partitionBy(*self.by).orderBy(f"{p}b", *self.order).rowsBetween(Window.unboundedPreceding, 0)
-            o = c("l") - c("b") * SPAN
-            parts = ("c", "d") if adjust else ("c",)
-            d = d.withColumns({f"{p}s{k}": F.exp(-o) * F.sum(c(k) * F.exp(o)).over(inside) for k in parts})
-            # the last row of the blocks before has the largest E of them
-            d = d.withColumn(f"{p}t", F.max(F.when(has, F.struct(f"{p}l", *[f"{p}s{k}" for k in parts]))).over(blocks))
-            total = {k: c(f"s{k}") + F.coalesce(c("t")[f"{p}s{k}"] * F.exp(c("t")[f"{p}l"] - c("l")), F.lit(0.0)) for k in parts}
+            d = d.withColumns({f"{p}c": c("x") if adjust else F.coalesce(c("x") * alpha / both, c("x")), f"{p}d": F.when(has, F.lit(1.0))})
+            d, total, rows = self._decayed(d, p, has, step, ("c", "d") if adjust else ("c",))
             # the first value is the mean itself, free of rounding
             value = F.when(c("g").isNull(), c("x")).otherwise(total["c"] / total["d"] if adjust else total["c"])
             d = d.withColumn(name, F.last(F.when(has, value), ignorenulls=True).over(rows))
             d = d.drop(*[f"{p}{k}" for k in ("x", "p", "g", "l", "c", "d", "b", "sc", "sd", "t")])
         return d
 
+    def affine(self, df: DataFrame, name: str, keep: Column, add: Column) -> DataFrame:
+        """Add the solution of y = keep y' + add with a factor of its own per row, keep in 0 .. 1; the first row has y = add.
+
+        Affine maps compose, so this is a scan by blocks like the exponential mean; where keep is 0 a new block begins
+        and nothing before it has weight.  NULL rows are passed over and carry the value on.
+        """
+        p = "_a"
+        d = df.withColumns({f"{p}k": keep.cast("double"), f"{p}c": add.cast("double")})
+        has = F.col(f"{p}c").isNotNull() & F.col(f"{p}k").isNotNull()
+        first = F.coalesce(F.sum(has.cast("int")).over(self.frame(Window.unboundedPreceding, -1)), F.lit(0)) == 0
+        step = F.when(first, 0.0).otherwise(F.when(F.col(f"{p}k") > 0, F.least(-F.log(f"{p}k"), F.lit(2 * SPAN))).otherwise(2 * SPAN))
+        d, total, rows = self._decayed(d.withColumn(f"{p}g", step), p, has, F.col(f"{p}g"), ("c",))
+        return d.withColumn(name, F.last(F.when(has, total["c"]), ignorenulls=True).over(rows)).drop(*[f"{p}{k}" for k in ("k", "c", "g", "l", "b", "sc", "t")])
+
+    def _decayed(self, d: DataFrame, p: str, has: Column, step: Column, parts: tuple) -> tuple:
+        """Decayed sums of the columns ``p + part`` up to each row: (frame, {part: sum}, window over the rows so far).
+
+        ``step`` is -log of the factor by which a row with a value decays what came before it.
+        """
+        c = lambda k: F.col(f"{p}{k}")
+        d = d.withColumn(f"{p}l", F.coalesce(F.sum(F.when(has, step)).over(self.run), F.lit(0.0)))
+        d = d.withColumn(f"{p}b", F.floor(c("l") / SPAN))
+        # E grows with the rows, so ordering by block first keeps the order of the series: one sort for all frames
+        inside = Window.partitionBy(*self.by, f"{p}b").orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+        blocks = Window.partitionBy(*self.by).orderBy(f"{p}b").rangeBetween(Window.unboundedPreceding, -1)
+        rows = Window.partitionBy(*self.by).orderBy(f"{p}b", *self.order).rowsBetween(Window.unboundedPreceding, 0)
+        o = c("l") - c("b") * SPAN
+        d = d.withColumns({f"{p}s{k}": F.exp(-o) * F.sum(F.when(has, c(k)) * F.exp(o)).over(inside) for k in parts})
+        # the last row of the blocks before has the largest E of them
+        d = d.withColumn(f"{p}t", F.max(F.when(has, F.struct(f"{p}l", *[f"{p}s{k}" for k in parts]))).over(blocks))
+        return d, {k: c(f"s{k}") + F.coalesce(c("t")[f"{p}s{k}"] * F.exp(c("t")[f"{p}l"] - c("l")), F.lit(0.0)) for k in parts}, rows
+
 
 #: Decay of a block of an exponential mean: e^-41.5 is below 1e-18.
 SPAN = 41.5

@@ -202,22 +202,13 @@ def adaptive_ma(df: DataFrame, window=20, s: Series = S) -> DataFrame:
     """Moving average whose smoothing follows relative volatility, clipped to 0.1 .. 0.9.
 
     While the smoothing is undefined the average rests on the price.  The factor of y' changes from
-    row to row, so this one is a true recursion: a JVM-side fold over the symbol's bars, which the
-    calendar bounds.
+    row to row; the affine maps are composed in blocks, so no array of the series is built.
     """
     d = df.withColumn("_v", s.std("close", window))
     ratio = div("_v", s.mean("_v", window))
-    d = d.withColumn("_q", ratio).withColumn(
-        "_a", F.when(F.col("_q").isNotNull(), F.least(F.greatest("_q", F.lit(0.1)), F.lit(0.9))))
-    g = (d.groupBy(*s.by).agg(F.array_sort(F.collect_list(F.struct(
-        *s.order, F.col("close").alias("x"), F.coalesce("_a", F.lit(1.0)).alias("a")))).alias("_s")))
-    acc = F.aggregate(
-        "_s", F.array().cast("array<double>"),
-        lambda a, r: F.concat(a, F.array(
-            r["a"] * r["x"] + (1 - r["a"]) * F.coalesce(F.try_element_at(a, F.lit(-1)), r["x"]))))
-    g = g.withColumn("_y", acc).select(*s.by, F.explode(F.arrays_zip("_s", "_y")).alias("_z"))
-    g = g.select(*s.by, *[F.col(f"_z._s.{o}").alias(o) for o in s.order], F.col("_z._y").alias("adaptive_ma"))
-    return df.join(g, [*s.by, *s.order])
+    clipped = F.when(F.col("_q").isNotNull(), F.least(F.greatest("_q", F.lit(0.1)), F.lit(0.9)))
+    d = d.withColumn("_q", ratio).withColumn("_k", F.coalesce(clipped, F.lit(1.0)))
+    return s.affine(d, "adaptive_ma", 1 - F.col("_k"), F.col("_k") * F.col("close")).drop("_v", "_q", "_k")
 
 
 def trend_strength_persistence(df: DataFrame, window=20, s: Series = S) -> DataFrame:

@@ -52,6 +52,23 @@ def test_exponential_means_over_gaps(bars):
         assert (k not in got or got[k] is None) if np.isnan(want) else abs(got[k] - want) < 1e-8 * max(1, abs(want))
 
 
+def test_affine_scan_equals_the_fold(spark):
+    """10^5 rows with factors from 0 to 1, resets and NULLs."""
+    rng = np.random.default_rng(4)
+    n = 100_000
+    keep, add = rng.random(n), rng.normal(0, 1, n)
+    keep[rng.random(n) < 0.01], keep[rng.random(n) < 0.3], keep[rng.random(n) < 0.01] = 0.0, 0.999, 1e-30
+    gone = rng.random(n) < 0.05
+    gone[:3] = [True, False, True]
+    d = spark.createDataFrame(pd.DataFrame({"symbol": 1, "date": np.arange(n), "k": keep, "c": np.where(gone, np.nan, add)})).withColumn("c", F.when(~F.isnan("c"), F.col("c")))
+    got = S.affine(d, "y", F.col("k"), F.col("c")).orderBy("date").toPandas()["y"].to_numpy()
+    want, y = [], None
+    for k, c, g in zip(keep, add, gone):
+        y = y if g else c if y is None else k * y + c
+        want.append(np.nan if y is None else y)
+    np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-9)  # the running exponent reaches 1e5
+
+
 def test_rolling_correlation_and_flat_series_is_null(bars):
     d = bars.withColumn("c", S.corr("close", "volume", 20)).cache()
     compare(d.where(F.col("symbol") != 3), "c", lambda g: g["close"].rolling(20).corr(g["volume"]))
