@@ -1,8 +1,6 @@
 """Multi-factor model and portfolio construction."""
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,28 +9,47 @@ from quantloom.functions.series import Series, div, flag
 from quantloom.operators.relational import top_n
 
 
+def solve_spd(d: DataFrame, a: dict[tuple[int, int], str], b: list[str], out: list[str], least: float = 1e-12) -> DataFrame:
+    """Add the solution of a symmetric positive definite system per row, by a Cholesky factor in column expressions.
+
+    ``a`` names the column of each element on and below the diagonal, ``b`` those of the right side.  A pivot of less than
+    ``least`` of its diagonal element means dependent columns: the solution is NULL then.
+    """
+    k = len(b)
+    temporary = []
+
+    def add(name, value):
+        nonlocal d
+        temporary.append(name)
+        d = d.withColumn(name, value)
+        return F.col(name)
+    low: dict[tuple[int, int], F.Column] = {}
+    for j in range(k):
+        for i in range(j, k):
+            rest = sum((low[i, m] * low[j, m] for m in range(j)), F.lit(0.0))
+            value = F.col(a[i, j]) - rest
+            low[i, j] = add(f"_l{i}_{j}", F.when(value > least * F.col(a[j, j]), F.sqrt(value)) if i == j else value / low[j, j])
+    y, x = [], {}
+    for i in range(k):
+        y.append(add(f"_y{i}", (F.col(b[i]) - sum((low[i, m] * y[m] for m in range(i)), F.lit(0.0))) / low[i, i]))
+    for i in reversed(range(k)):
+        x[i] = add(f"_x{i}", (y[i] - sum((low[m, i] * x[m] for m in range(i + 1, k)), F.lit(0.0))) / low[i, i])
+    return d.withColumns({name: x[i] for i, name in enumerate(out)}).drop(*temporary)
+
+
 def cross_sectional_returns(df: DataFrame, factors, ret="fwd", min_names=10) -> DataFrame:
-    """Per-date OLS of returns on exposures (no intercept).
+    """Per-date OLS of returns on exposures (no intercept); NULL returns where exposures are dependent.
 
-    Spark sums the k x k normal equations per date (map-side combined); only those small systems
-    are solved in Python.
+    The k x k normal equations are summed per date (combined map-side) and solved in column expressions.
     """
     k = len(factors)
     ok = F.col(ret).isNotNull()
     for f in factors:
         ok &= F.col(f).isNotNull()
-    xx = F.array(*[F.sum(F.col(a) * F.col(b)) for a in factors for b in factors])
-    xy = F.array(*[F.sum(F.col(a) * F.col(ret)) for a in factors])
-    g = df.where(ok).groupBy("date").agg(xx.alias("xx"), xy.alias("xy"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_names)
-
-    def solve(batches):
-        for pdf in batches:
-            rows = []
-            for d, a, b, n in zip(pdf["date"], pdf["xx"], pdf["xy"], pdf["n"]):
-                sol, *_ = np.linalg.lstsq(np.asarray(a).reshape(k, k), np.asarray(b), rcond=None)
-                rows.append((d, *sol, n))
-            yield pd.DataFrame(rows, columns=["date", *factors, "n"])
-    return g.mapInPandas(solve, "date date, " + ", ".join(f"{f} double" for f in factors) + ", n long")
+    a = {(i, j): f"_a{i}_{j}" for i in range(k) for j in range(i + 1)}
+    sums = [F.sum(F.col(factors[i]) * F.col(factors[j])).alias(name) for (i, j), name in a.items()] + [F.sum(F.col(f) * F.col(ret)).alias(f"_b{i}") for i, f in enumerate(factors)]
+    g = df.where(ok).groupBy("date").agg(*sums, F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_names)
+    return solve_spd(g, a, [f"_b{i}" for i in range(k)], list(factors)).select("date", *factors, "n")
 
 
 def decay_covariance(wide: DataFrame, factors, decay=0.94) -> DataFrame:

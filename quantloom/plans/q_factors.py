@@ -286,7 +286,30 @@ def exposure_panel(t):
     return z.groupBy("symbol", "date").pivot("factor", FC).agg(F.first("z")).join(panel(t).select("symbol", "date", "fwd"), ["symbol", "date"])
 
 
-@query("factor_returns_cross_sectional", "date", " ".join(FC), "n")
+def elimination(src: str, names: list[str], keep: str) -> str:
+    """Solution of the systems a, b of a table by Gaussian elimination, one CTE per pivot."""
+    k = len(names)
+    ctes, cur = [], src
+    for p in range(k):
+        cols = [f"a{i}{j} - a{i}{p} / a{p}{p} * a{p}{j} AS a{i}{j}" if i > p else f"a{i}{j}" for i in range(k) for j in range(k)]
+        cols += [f"b{i} - a{i}{p} / a{p}{p} * b{p} AS b{i}" if i > p else f"b{i}" for i in range(k)]
+        ctes.append(f"g{p}_ AS (SELECT {keep}, {', '.join(cols)} FROM {cur})")
+        cur = f"g{p}_"
+    for p in reversed(range(k)):
+        known = "".join(f" - a{p}{j} * x{j}" for j in range(p + 1, k))
+        ctes.append(f"h{p}_ AS (SELECT *, (b{p}{known}) / a{p}{p} AS x{p} FROM {cur})")
+        cur = f"h{p}_"
+    return f"{', '.join(ctes)} SELECT {keep}, {', '.join(f'x{i} AS {n}' for i, n in enumerate(names))} FROM {cur}"
+
+
+K4 = range(len(FC))
+CSR = (f"WITH z AS (SELECT *, (value - avg(value) OVER ({DFW})) / nullif(stddev_samp(value) OVER ({DFW}), 0) AS z FROM {CL}), "
+       f"e AS (SELECT symbol, date, max(fwd) AS y, {', '.join(f'max(z) FILTER (WHERE factor = {chr(39)}{f}{chr(39)}) AS x{i}' for i, f in enumerate(FC))} FROM z GROUP BY 1, 2), "
+       f"s AS (SELECT date, count(*) AS n, {', '.join(f'sum(x{i} * x{j}) AS a{i}{j}' for i in K4 for j in K4)}, {', '.join(f'sum(x{i} * y) AS b{i}' for i in K4)} FROM e "
+       f"WHERE y IS NOT NULL AND {' AND '.join(f'x{i} IS NOT NULL' for i in K4)} GROUP BY 1 HAVING count(*) >= 10), " + elimination("s", FC, "date, n"))
+
+
+@query("factor_returns_cross_sectional", "date", " ".join(FC), "n", sql=CSR, tables="returns")
 def factor_returns_cross_sectional(t):
     return PO.cross_sectional_returns(exposure_panel(t), FC)
 

@@ -135,3 +135,11 @@ def test_bars_break_ties_by_large_part_keys(spark, tmp_path):
     spark.createDataFrame([(7, day, 1, 100, 1, 1.0, 1.0)], schema).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
     with pytest.raises(Exception, match="bar key"):
         Tables(spark, str(tmp_path)).bars().collect()
+
+
+def test_dependent_exposures_have_no_returns(spark):
+    d0 = dt.date(2020, 1, 1)
+    rows = [(i, d0, float(i), 2.0 * i, float(i % 5)) for i in range(30)] + [(i, d0 + dt.timedelta(days=1), float(i), float(i * i), 3.0 * i - 0.5 * i * i) for i in range(30)]
+    got = PO.cross_sectional_returns(spark.createDataFrame(rows, "symbol long, date date, a double, b double, fwd double"), ["a", "b"]).orderBy("date").collect()
+    assert (got[0]["a"], got[0]["b"]) == (None, None) and got[0]["n"] == 30
+    np.testing.assert_allclose([got[1]["a"], got[1]["b"]], [3.0, -0.5], rtol=1e-9)
