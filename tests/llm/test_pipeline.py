@@ -52,7 +52,7 @@ def test_stages_take_odd_rows(spark, odd_docs, no_docs):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_gives_the_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     want = con.execute(ORACLES[name]).fetch_df()
     cols = sorted(want.columns)
