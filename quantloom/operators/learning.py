@@ -66,13 +66,24 @@ def ensemble(df: DataFrame, cols, target="fwd", seed=5) -> DataFrame:
     return test.select("symbol", "date", target, "p_linear", "p_forest", "p_boost", ((a + b + c) / 3).alias("p_mean"), (a + b + c - F.greatest(a, b, c) - F.least(a, b, c)).alias("p_median"))
 
 
-def linear_predictions(df: DataFrame, cols, target="fwd", ridge=0.01, lasso=0.01) -> DataFrame:
-    """Pooled linear, ridge and lasso predictions after the training part."""
+def linear_predictions(df: DataFrame, cols, target="fwd", ridge=0.01, lasso=0.01, forest=False, seed=11) -> DataFrame:
+    """Pooled linear, ridge and lasso predictions after the training part.
+
+    With ``forest`` a random forest predicts too (``p_forest``), and the features are also weighted by its
+    importances (``p_importance``): the importance-weighted sum of the standardised features, each with the sign
+    of its correlation with the target in the training part.
+    """
     d = split_by_date(vectors(df.where(F.col(target).isNotNull()), cols))
     train, test = d.where("is_train"), d.where(~F.col("is_train"))
     for name, reg, mix in (("p_ols", 0.0, 0.0), ("p_ridge", ridge, 0.0), ("p_lasso", lasso, 1.0)):
         test = LinearRegression(labelCol=target, predictionCol=name, regParam=reg, elasticNetParam=mix).fit(train).transform(test)
-    return test.select("symbol", "date", target, "p_ols", "p_ridge", "p_lasso")
+    if not forest:
+        return test.select("symbol", "date", target, "p_ols", "p_ridge", "p_lasso")
+    model = RandomForestRegressor(labelCol=target, predictionCol="p_forest", numTrees=20, maxDepth=4, seed=seed).fit(train)
+    signs = train.agg(*[F.signum(corr_agg(c, target)).alias(c) for c in cols]).first()  # one row, a number per feature
+    f = vector_to_array("features")
+    weighted = sum((f[i] * float(w * (signs[c] or 0.0)) for i, (c, w) in enumerate(zip(cols, model.featureImportances.toArray()))), F.lit(0.0))
+    return model.transform(test).select("symbol", "date", target, "p_ols", "p_ridge", "p_lasso", "p_forest", weighted.alias("p_importance"))
 
 
 def prediction_signal(df: DataFrame, target="fwd", lags=3, threshold=0.02, s: Series = S) -> DataFrame:
@@ -103,17 +114,27 @@ def blend(df: DataFrame, preds, target) -> DataFrame:
     return d.withColumns({"blend_inverse": mix("w"), "blend_softmax": mix("s")})
 
 
-def importance(df: DataFrame, cols, target="fwd", seed=3) -> DataFrame:
-    """Absolute correlation and forest importance per feature, each scaled to a maximum of 1, and their mean."""
+def importance(df: DataFrame, cols, target="fwd", seed=3, lasso=0.001) -> DataFrame:
+    """Absolute correlation, forest importance and absolute lasso coefficient of the standardised features, each scaled to a maximum of 1, and their mean.
+
+    The lasso penalty is relative to the deviation of the target, so it does not depend on its unit; a measure that
+    is zero for all features is NULL and counts as 0 in the mean.
+    """
     d = df.where(F.col(target).isNotNull())
     corr = d.agg(*[F.abs(corr_agg(c, target)).alias(c) for c in cols])
     c = unpivot(corr, [], list(cols), "feature", "corr_importance")
     v = vectors(d, cols)
     imp = RandomForestRegressor(labelCol=target, numTrees=10, maxDepth=4, seed=seed).fit(v).featureImportances.toArray()
-    m = F.create_map(*[x for f, i in zip(cols, imp) for x in (F.lit(f), F.lit(float(i)))])
-    c = c.withColumn("forest_importance", F.element_at(m, F.col("feature")))
-    c = with_group_stats(c, [], {"_a": F.max("corr_importance"), "_b": F.max("forest_importance")})
-    return c.withColumns({"corr_importance": div("corr_importance", "_a"), "forest_importance": div("forest_importance", "_b")}).withColumn("consensus", (F.col("corr_importance") + F.coalesce("forest_importance", F.lit(0.0))) / 2).drop("_a", "_b")
+    unit = d.agg(F.stddev_samp(target)).first()[0] or 1.0
+    coef = np.abs(LinearRegression(labelCol=target, regParam=lasso * unit, elasticNetParam=1.0).fit(v).coefficients.toArray())
+
+    def by_feature(values):
+        return F.element_at(F.create_map(*[x for f, i in zip(cols, values) for x in (F.lit(f), F.lit(float(i)))]), F.col("feature"))
+    c = c.withColumns({"forest_importance": by_feature(imp), "lasso_importance": by_feature(coef)})
+    kinds = ["corr_importance", "forest_importance", "lasso_importance"]
+    c = with_group_stats(c, [], {f"_{k}": F.max(k) for k in kinds})
+    c = c.withColumns({k: div(k, f"_{k}") for k in kinds}).drop(*[f"_{k}" for k in kinds])
+    return c.withColumn("consensus", sum((F.coalesce(k, F.lit(0.0)) for k in kinds), F.lit(0.0)) / len(kinds))
 
 
 def mutual_information(long: DataFrame, value="value", target="fwd", bins=10) -> DataFrame:

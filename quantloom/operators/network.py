@@ -2,13 +2,16 @@
 
 Nodes of a windowed network are a dimension (industries, features), not symbols: pairs of nodes are
 joined per date and each pair is a series with a window frame.  Symbol-level measures use linear
-forms (correlation with a sum) instead of pairs.
+forms (correlation with a sum) instead of pairs.  Where a measure is about pairs of symbols, pairs are
+only counted and summed, in cells of two bounded blocks of symbols each.
 """
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.exact import with_group_stats
@@ -116,8 +119,123 @@ def market_structure(df: DataFrame, s: Series = S) -> DataFrame:
     return d.groupBy(*s.by).agg(F.pow(corr_agg("ret", "mret"), F.lit(2.0)).alias("synchronicity"), corr_agg("ret", "_ml").alias("lead_lag"), corr_agg("_vc", "mvol").alias("liquidity_corr"))
 
 
+def complete_corr(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Correlation of every row of ``x`` with every row of ``y`` over the positions that both hold, and their number."""
+    def centred(v):
+        held = ~np.isnan(v)
+        k = np.maximum(held.sum(axis=1, keepdims=True), 1)
+        return np.where(held, v - np.nansum(v, axis=1, keepdims=True) / k, 0.0), held.astype(float)
+    (zx, hx), (zy, hy) = centred(x), centred(y)
+    n = hx @ hy.T
+    with np.errstate(all="ignore"):
+        sx, sy, sxx, syy = zx @ hy.T, hx @ zy.T, (zx * zx) @ hy.T, hx @ (zy * zy).T
+        vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+        c = (zx @ zy.T - sx * sy / n) / np.sqrt(vx * vy)
+    return np.where((vx > 1e-12 * sxx) & (vy > 1e-12 * syy), c, np.nan), n  # no variance, no correlation
+
+
+def _cell_sums(rows: pd.DataFrame, n: int, threshold: float, least: float, span: int) -> pd.DataFrame:
+    """Counts and sums over the pairs of a cell, one row per window end of its chunk."""
+    chunk, i, j = (int(rows[c].iloc[0]) for c in ("chunk", "i", "j"))
+    first = max(chunk * span - n + 1, 1)
+    width = (chunk + 1) * span - first
+
+    def grid(block, value):
+        part = rows[rows["block"] == block]
+        code, _ = pd.factorize(part["symbol"])
+        g = np.full((code.max() + 1 if len(code) else 0, width), np.nan)
+        g[code, part["_p"].to_numpy() - first] = part[value]
+        return g
+    a = {v: grid(i, v) for v in ("ret", "volume")}
+    b = a if i == j else {v: grid(j, v) for v in ("ret", "volume")}
+    market = np.full((1, width), np.nan)
+    market[0, rows["_p"].to_numpy() - first] = rows["mret"]
+    out = []
+    for end in range(max(chunk * span, n), (chunk + 1) * span):
+        w = slice(end - n + 1 - first, end + 1 - first)
+
+        def pairs(x, y, ordered=False):
+            c, k = complete_corr(x, y)
+            ok = (k >= least) & ~np.isnan(c)
+            if i == j:
+                ok &= ~np.eye(len(c), dtype=bool) if ordered else np.triu(np.ones(c.shape, dtype=bool), 1)
+            return c[ok]
+        vol, ret = pairs(a["volume"][:, w], b["volume"][:, w]), pairs(a["ret"][:, w], b["ret"][:, w])
+        now, before = slice(w.start + 1, w.stop), slice(w.start, w.stop - 1)
+        lagged = [pairs(a["ret"][:, now], b["ret"][:, before], True)] + ([pairs(b["ret"][:, now], a["ret"][:, before], True)] if i != j else [])
+        nodes, with_market = 0, np.empty(0)
+        if i == j:
+            nodes = int((~np.isnan(a["volume"][:, w])).any(axis=1).sum())
+            c, k = complete_corr(a["ret"][:, w], market[:, w])
+            with_market = c[(k >= least) & ~np.isnan(c)]
+        out.append((end, nodes, int((np.abs(vol) > threshold).sum()), float(ret.sum()), len(ret), float(sum(np.abs(x).sum() for x in lagged)), sum(map(len, lagged)),
+                    float((with_market ** 2).sum()), len(with_market)))
+    return pd.DataFrame(out, columns=CELL_COLUMNS)
+
+
+CELL_COLUMNS = ["_p", "nodes", "edges", "ret_sum", "ret_n", "lag_sum", "lag_n", "fit_sum", "fit_n"]
+CELL_SCHEMA = "_p int, nodes long, edges long, ret_sum double, ret_n long, lag_sum double, lag_n long, fit_sum double, fit_n long"
+
+
+def structure_series(panel: DataFrame, n=52, threshold=0.3, min_share=0.5, block=512, span=16) -> DataFrame:
+    """Liquidity network density, price discovery, segmentation and propagation of the windows of ``n`` calendar dates.
+
+    Density is the share of symbol pairs whose volumes correlate beyond the threshold, price discovery the mean
+    squared correlation with the mean return, segmentation one minus the mean pair correlation of returns, and
+    propagation one minus the mean absolute correlation with the return of another symbol one date before.  A pair
+    counts with ``min_share`` of the dates in common; symbols without a row in the window are no nodes.
+
+    Pairs are never rows.  Symbols are hashed into blocks of about ``block``, window ends are cut into chunks of
+    ``span``, and a cell of two blocks and a chunk adds up its pairs by matrix products over at most
+    2 x ``block`` x (``n`` + ``span``) values.  A row goes into a cell per block and chunk.
+    """
+    p = panel.select("symbol", "date", "ret", "volume")
+    days = p.groupBy("date").agg(F.avg("ret").alias("mret"))
+    calendar = materialise(days.withColumn("_p", F.row_number().over(Window.orderBy("date"))), "calendar")  # one row per date
+    blocks = max(1, -(-p.select("symbol").distinct().count() // block))
+    last = calendar.agg(F.max("_p").alias("_last"))  # one row
+    d = p.join(calendar, "date").crossJoin(F.broadcast(last)).withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int"))
+    ends = F.least(F.col("_p") + (n - 1), F.col("_last"))
+    d = d.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_p") / span).cast("int"), F.floor(ends / span).cast("int"))))
+    d = d.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    d = d.select("chunk", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "symbol", "_p", "ret", "volume", "mret")
+    cells = d.groupBy("chunk", "i", "j").applyInPandas(lambda rows: _cell_sums(rows, n, threshold, min_share * n, span), CELL_SCHEMA)
+    g = cells.groupBy("_p").agg(*[F.sum(c).alias(c) for c in CELL_COLUMNS[1:]]).join(calendar, "_p")
+    return g.select("date", "nodes", "edges", F.coalesce(div(F.col("edges") * 2, F.col("nodes") * (F.col("nodes") - 1)), F.lit(0.0)).alias("liquidity_density"),
+                    F.coalesce(div("fit_sum", "fit_n"), F.lit(0.0)).alias("price_discovery"), (1 - div("ret_sum", "ret_n")).alias("segmentation"),
+                    (1 - F.coalesce(div("lag_sum", "lag_n"), F.lit(0.0))).alias("propagation"))
+
+
+def hop_counts(edge_flags: Column, k: int) -> Column:
+    """Fewest edges between the nodes of a small undirected graph: a flat k x k array, ``k`` where there is no path.
+
+    ``edge_flags`` is the flat k x k adjacency array; the closure runs over it in the JVM, one node at a time.
+    """
+    cells, nodes = F.array(*[F.lit(c) for c in range(k * k)]), F.array(*[F.lit(m) for m in range(k)])
+
+    def row(c):
+        return F.floor(c / k).cast("int")
+    start = F.transform(cells, lambda c: F.when(row(c) == c % k, 0).when(F.get(edge_flags, c) == 1, 1).otherwise(k))
+    return F.aggregate(nodes, start, lambda d, m: F.transform(cells, lambda c: F.least(F.get(d, c), F.get(d, row(c) * k + m) + F.get(d, m * k + c % k))))
+
+
+def path_length(hops: str, k: int) -> Column:
+    """Mean distance inside the largest component (of equal ones that of the smallest node); infinite without an edge."""
+    size = [F.size(F.filter(F.slice(hops, r * k + 1, k), lambda x: x < k)) for r in range(k)]
+    largest = F.greatest(*size)
+    root = F.coalesce(*[F.when(size[r] == largest, r) for r in range(k)])
+    reach = F.slice(F.col(hops), root * k + 1, k)
+    total = sum((F.when(F.get(reach, F.lit(r)) < k, F.aggregate(F.filter(F.slice(hops, r * k + 1, k), lambda x: x < k), F.lit(0), lambda a, x: a + x)).otherwise(0) for r in range(1, k)),
+                F.when(F.get(reach, F.lit(0)) < k, F.aggregate(F.filter(F.slice(hops, 1, k), lambda x: x < k), F.lit(0), lambda a, x: a + x)).otherwise(0))
+    return F.when(largest > 1, total / (largest * (largest - 1))).otherwise(float("inf"))
+
+
 def feature_network(df: DataFrame, cols, n=50, threshold=0.5, s: Series = S) -> DataFrame:
-    """Density, mean absolute correlation and clustering of the feature graph of each window."""
+    """Density, mean absolute correlation, clustering, centrality and path length of the feature graph of each window.
+
+    Centrality is the mean degree centrality of the features that have an edge, path length the mean distance
+    inside the largest component.
+    """
     pairs = list(combinations(cols, 2))
     d = df.withColumns({f"_c{i}": s.corr(a, b, n) for i, (a, b) in enumerate(pairs)})
     d = d.withColumns({f"_e{i}": flag(F.abs(f"_c{i}") > threshold) for i in range(len(pairs))})
@@ -136,4 +254,9 @@ def feature_network(df: DataFrame, cols, n=50, threshold=0.5, s: Series = S) ->
             tri = tri + e(x, b) * e(x, c) * e(b, c)
         local = local + F.when(deg > 1, div(tri, deg * (deg - 1) / 2)).otherwise(0.0)
     ok = F.col("_c0").isNotNull()
-    return d.withColumns({"density": F.when(ok, total / len(pairs)), "mean_abs_corr": mean, "clustering": F.when(ok, local / len(cols))}).drop(*[f"_{p}{i}" for p in "ce" for i in range(len(pairs))])
+    k = len(cols)
+    d = d.withColumn("_hops", hop_counts(F.array(*[F.lit(0) if a == b else e(a, b) for a in cols for b in cols]), k))
+    linked = sum((flag(sum((e(x, c) for c in cols if c != x), F.lit(0)) > 0) for x in cols), F.lit(0))
+    out = {"density": total / len(pairs), "clustering": local / k, "centrality": F.coalesce(div(total * 2, linked * (linked - 1)), F.lit(0.0)), "path_length": path_length("_hops", k)}
+    d = d.withColumns({"mean_abs_corr": mean, **{name: F.when(ok, c) for name, c in out.items()}})
+    return d.drop("_hops", *[f"_{p}{i}" for p in "ce" for i in range(len(pairs))])

@@ -82,12 +82,13 @@ def clean(df: DataFrame, cols, iqr=1.5) -> DataFrame:
 
 
 def report(df: DataFrame, cols) -> DataFrame:
-    """Per column: type, nulls, distinct values and a recommendation."""
+    """Per column: type, nulls, distinct values and a recommendation; ``duplicates`` counts the repeats of whole rows."""
     row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"c_{c}") for c in cols], *[F.count_distinct(c).alias(f"d_{c}") for c in cols])
     types = dict(df.dtypes)
     arr = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(types[c]).alias("type"), (F.col("_n") - F.col(f"c_{c}")).alias("nulls"), F.col(f"d_{c}").alias("distinct_values")) for c in cols])
-    d = row.select("_n", F.explode(arr).alias("r")).select("r.*", F.col("_n").alias("rows"))
-    s = F.col("nulls") / F.col("rows")
+    repeats = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_k")).agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("duplicates"))
+    d = row.select("_n", F.explode(arr).alias("r")).select("r.*", F.col("_n").alias("rows")).crossJoin(F.broadcast(repeats))  # one row
+    s = div("nulls", "rows")  # NULL in an empty table
     return d.withColumns({"null_share": s, "advice": ladder([(s > 0.5, "drop column"), (s > 0.1, "interpolate"), (s > 0, "fill"), (F.col("distinct_values") == 1, "constant")], "keep")})
 
 

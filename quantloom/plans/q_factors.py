@@ -8,11 +8,12 @@ from quantloom.functions.series import S, Series
 from quantloom.operators import factors as FA
 from quantloom.operators import portfolio as PO
 from quantloom.operators import relational as REL
-from quantloom.plans.q_risk import EXPO, FRET, SECTORS, SR, exposures, sector_wide
+from quantloom.plans.q_risk import EXPO, FRET, SECTORS, SR, exposures, factor_covariance, sector_wide
 from quantloom.plans.q_sentiment import ncdf
 from quantloom.plans.q_state_fund import QI
 from quantloom.plans.registry import query
 from quantloom.plans.sql import Q, Sql, chain
+from quantloom.session import materialise
 
 KF = "symbol date factor"
 FC = ["momentum", "volatility", "reversal", "liquidity"]  # fixed values: the factor panel
@@ -53,7 +54,7 @@ STZ = (f"WITH m AS (SELECT *, (value - avg(value) OVER w) / nullif(stddev_samp(v
        f"SELECT *, dv / nullif(1.4826::DOUBLE * quantile_cont(ad, 0.5) OVER ({DFW}), 0) AS rz FROM m")
 
 
-@query("standardize_zscore_minmax_robust", KF, "z mm rz", sql=STZ, tables="returns")
+@query("standardize_zscore_minmax_robust", KF, "z mm rz", sql=STZ, tables="returns", staged=True)
 def standardize_zscore_minmax_robust(t):
     return FA.robust_z(FA.minmax(FA.zscore(long(t))))
 
@@ -77,7 +78,7 @@ PRC = (f"WITH a AS (SELECT *, CASE WHEN factor = 'reversal' THEN value WHEN valu
        f"SELECT *, CASE WHEN factor = 'momentum' AND count(y) OVER ({DFW}) > 10 THEN y - avg(y) OVER (PARTITION BY date, factor, industry) ELSE y END AS processed FROM c")
 
 
-@query("process_factors_config", KF, "processed", sql=PRC, tables="returns sector")
+@query("process_factors_config", KF, "processed", sql=PRC, tables="returns sector", staged=True)
 def process_factors_config(t):
     return FA.process(long(t), t.sector().select("symbol", "industry"), CONFIG)
 
@@ -87,7 +88,7 @@ FSW = (f"WITH a AS (SELECT *, CASE WHEN value IS NOT NULL THEN least(greatest(va
        "b AS (SELECT *, (x - avg(x) OVER w) / nullif(stddev_samp(x) OVER w, 0) AS z FROM a WINDOW w AS (PARTITION BY factor)) SELECT symbol, date, sum(coalesce(z, 0) * CASE factor " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in WTS.items()) + " END) AS score FROM b GROUP BY 1, 2")
 
 
-@query("factor_score_weighted", "symbol date", "score", sql=FSW, tables="returns")
+@query("factor_score_weighted", "symbol date", "score", sql=FSW, tables="returns", staged=True)
 def factor_score_weighted(t):
     return FA.weighted_score(long(t), WTS)
 
@@ -163,7 +164,7 @@ TCV = (f"WITH dd AS (SELECT date, row_number() OVER (ORDER BY date) AS dp FROM (
        "SELECT cov.*, coalesce(CASE WHEN n >= 5 THEN least(greatest(1 - coalesce(c, 0), 0), 1) ELSE 0 END, 0) AS turnover FROM cov LEFT JOIN g USING (date, factor)")
 
 
-@query("factor_turnover_coverage", "date factor", "coverage turnover", sql=TCV, tables="returns")
+@query("factor_turnover_coverage", "date factor", "coverage turnover", sql=TCV, tables="returns", staged=True)
 def factor_turnover_coverage(t):
     return FA.turnover_coverage(long(t))
 
@@ -242,7 +243,7 @@ ADW = (f"WITH p AS ({PERF}), r AS ({REG}), c AS (SELECT arg_max(regime, date) AS
        f"w AS (SELECT factor, {npos('rg')} AS w_regime, {npos('mo')} AS w_momentum, {npos('sh')} AS w_risk FROM g) SELECT *, 0.4 * w_regime + 0.3 * w_momentum + 0.3 * w_risk AS weight FROM w")
 
 
-@query("adaptive_weights_regime_momentum_risk", "factor", "w_regime w_momentum w_risk weight", sql=ADW, tables="returns market_returns")
+@query("adaptive_weights_regime_momentum_risk", "factor", "w_regime w_momentum w_risk weight", sql=ADW, tables="returns market_returns", staged=True)
 def adaptive_weights_regime_momentum_risk(t):
     reg = t.market_returns().select("date", F.when(F.col("mret") > 0, "up").otherwise("down").alias("regime"))
     return FA.adaptive_weights(FA.factor_performance(long(t)), reg)
@@ -272,7 +273,7 @@ TSI = (f"WITH sc AS ({FSW}), tm AS ({chain('market_returns', {'mo': QI.mean('mre
        "c AS (SELECT *, least(greatest(integrated, 0.001::DOUBLE), 0.05::DOUBLE) AS c FROM d) SELECT symbol, date, integrated, c / nullif(sum(c) OVER (PARTITION BY date), 0) AS weight FROM c")
 
 
-@query("timing_selection_integration", "symbol date", "integrated weight", sql=TSI, tables="returns market_returns")
+@query("timing_selection_integration", "symbol date", "integrated weight", sql=TSI, tables="returns market_returns", staged=True)
 def timing_selection_integration(t):
     s = Series((), ("date",))
     tm = t.market_returns().select("date", (1 + F.coalesce(F.try_divide(s.mean("mret", 20), s.std("mret", 20)), F.lit(0.0))).alias("timing"))
@@ -344,11 +345,11 @@ FMR = (f"WITH e AS ({EXPO}), fr AS ({FRET}), fc AS (SELECT x.factor AS a, y.fact
        "SELECT *, sqrt((factor_risk + specific_risk) * 252) AS total_risk FROM f JOIN s USING (portfolio)")
 
 
-@query("factor_model_portfolio_risk", "portfolio", "factor_risk specific_risk total_risk", sql=FMR, tables="weights returns_market")
+@query("factor_model_portfolio_risk", "portfolio", "factor_risk specific_risk total_risk", sql=FMR, tables="weights returns_market", staged=True)
 def factor_model_portfolio_risk(t):
-    from quantloom.plans.q_risk import factor_covariance
     sp = t.returns().groupBy("symbol").agg(F.stddev_samp("ret").alias("specific"))
-    return PO.model_risk(t.weights(), exposures(t), factor_covariance(t), sp)
+    ex = materialise(exposures(t), "exposures")
+    return PO.model_risk(t.weights(), ex, factor_covariance(t, ex), sp)
 
 
 TNW = (f"WITH d AS (SELECT symbol, date, momentum AS score, volatility AS vol FROM ({FP}) WHERE momentum IS NOT NULL AND volatility IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date ORDER BY momentum DESC, symbol) <= 10), "
@@ -407,9 +408,9 @@ def rebalance_dates(t):
 
 
 @query("performance_attribution", "portfolio date factor", "contribution",
-       sql=f"WITH e AS ({EXPO}), fr AS ({FRET}), pe AS (SELECT portfolio, factor, sum(weight * exposure) AS x FROM weights JOIN e USING (symbol) GROUP BY 1, 2) SELECT portfolio, date, factor, x * fret AS contribution FROM pe JOIN fr USING (factor)", tables="weights returns_market")
+       sql=f"WITH e AS ({EXPO}), fr AS ({FRET}), pe AS (SELECT portfolio, factor, sum(weight * exposure) AS x FROM weights JOIN e USING (symbol) GROUP BY 1, 2) SELECT portfolio, date, factor, x * fret AS contribution FROM pe JOIN fr USING (factor)", tables="weights returns_market", staged=True)
 def performance_attribution(t):
-    ex = exposures(t)
+    ex = materialise(exposures(t), "exposures")
     fr = ex.join(t.returns().where(F.col("ret").isNotNull()).select("symbol", "date", "ret"), "symbol").groupBy("date", "factor").agg(F.avg(F.col("exposure") * F.col("ret")).alias("fret"))
     pe = t.weights().join(ex, "symbol").groupBy("portfolio", "factor").agg(F.sum(F.col("weight") * F.col("exposure")).alias("x"))
     return pe.join(fr, "factor").withColumn("contribution", F.col("x") * F.col("fret"))

@@ -32,9 +32,9 @@ def ensemble_prediction(t):
     return L.ensemble(model_frame(t), FE.FEATURES)
 
 
-@query("predict_returns_linear", K, "p_ols p_ridge p_lasso")
+@query("predict_returns_linear", K, "p_ols p_ridge p_lasso p_forest p_importance", staged=True)
 def predict_returns_linear(t):
-    return L.linear_predictions(panel(t), FC)
+    return L.linear_predictions(panel(t), FC, forest=True)
 
 
 @query("ml_prediction_signal", K, "p_ols", "signal")
@@ -53,7 +53,7 @@ def stack_blend_predictions(t):
     return L.blend(d, ["a", "b", "c"], "fwd")
 
 
-@query("feature_importance", "feature", "corr_importance forest_importance consensus")
+@query("feature_importance", "feature", "corr_importance forest_importance lasso_importance consensus", staged=True)
 def feature_importance(t):
     return L.importance(model_frame(t), FE.FEATURES)
 
@@ -88,7 +88,7 @@ FST = (f"WITH d AS (SELECT * FROM ({FL}) WHERE value IS NOT NULL), ds AS (SELECT
        "sum(CASE WHEN period > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY factor ORDER BY value) / sum(CASE WHEN period > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY factor) AS fb FROM x), k AS (SELECT factor, max(abs(fa - fb)) AS ks FROM c GROUP BY 1) SELECT *, greatest(100 - 50 * least(mean_cv, 1) - 50 * ks, 0) AS score FROM g JOIN k USING (factor)")
 
 
-@query("feature_stability", "factor", "mean_cv std_cv trend ks score", sql=FST, tables="returns")
+@query("feature_stability", "factor", "mean_cv std_cv trend ks score", sql=FST, tables="returns", staged=True)
 def feature_stability(t):
     return L.feature_stability(long(t))
 

@@ -89,6 +89,20 @@ def market_structure(t):
     return NW.market_structure(t.returns().join(m, "date"))
 
 
+MSS = ("WITH ix AS (SELECT date, row_number() OVER (ORDER BY date) AS dp FROM (SELECT DISTINCT date FROM returns)), r AS (SELECT symbol, dp, ret, volume, avg(ret) OVER (PARTITION BY dp) AS m FROM returns JOIN ix USING (date)), "
+       "c AS (SELECT e.dp AS ep, corr(a.volume, b.volume) AS vc, count(*) AS vn, corr(a.ret, b.ret) AS rc, count(*) FILTER (WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL) AS rn FROM ix e JOIN r a ON a.dp BETWEEN e.dp - 51 AND e.dp JOIN r b ON b.dp = a.dp AND a.symbol < b.symbol WHERE e.dp >= 52 GROUP BY e.dp, a.symbol, b.symbol), "
+       "l AS (SELECT e.dp AS ep, corr(a.ret, b.ret) AS lc FROM ix e JOIN r a ON a.dp BETWEEN e.dp - 50 AND e.dp JOIN r b ON b.dp = a.dp - 1 AND a.symbol <> b.symbol WHERE e.dp >= 52 AND a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY e.dp, a.symbol, b.symbol HAVING count(*) >= 26), "
+       "f AS (SELECT e.dp AS ep, corr(ret, m) AS fc, count(ret) AS fn FROM ix e JOIN r a ON a.dp BETWEEN e.dp - 51 AND e.dp WHERE e.dp >= 52 GROUP BY e.dp, symbol), "
+       "c2 AS (SELECT ep, count(*) FILTER (WHERE vn >= 26 AND abs(vc) > 0.3) AS edges, 1 - avg(CASE WHEN rn >= 26 THEN rc END) AS segmentation FROM c GROUP BY 1), l2 AS (SELECT ep, avg(abs(lc)) AS lg FROM l GROUP BY 1), "
+       "f2 AS (SELECT ep, count(*) AS nodes, coalesce(avg(CASE WHEN fn >= 26 THEN fc * fc END), 0) AS price_discovery FROM f GROUP BY 1) "
+       "SELECT date, nodes, coalesce(edges, 0) AS edges, coalesce(2 * coalesce(edges, 0) / nullif(nodes * (nodes - 1), 0), 0) AS liquidity_density, price_discovery, segmentation, 1 - coalesce(lg, 0) AS propagation FROM f2 JOIN ix ON dp = ep LEFT JOIN c2 USING (ep) LEFT JOIN l2 USING (ep)")
+
+
+@query("market_structure_series", "date", "liquidity_density price_discovery segmentation propagation", "nodes edges", sql=MSS, tables="returns", staged=True)
+def market_structure_series(t):
+    return NW.structure_series(t.returns())
+
+
 FC4 = ["close", "high", "low", "volume"]
 PR4 = list(combinations(FC4, 2))
 
@@ -107,9 +121,18 @@ def local4():
     return "(" + " + ".join(parts) + ") / 4"
 
 
-@query("multi_feature_corr_network", K, "density mean_abs_corr clustering",
-       sql=chain("bars", {f"c{i}": Q.corr(a, b, 50) for i, (a, b) in enumerate(PR4)}, {f"e{i}": flag(f"abs(c{i}) > 0.5") for i in range(6)},
-                 {"density": "CASE WHEN c0 IS NOT NULL THEN (e0 + e1 + e2 + e3 + e4 + e5) / 6 END", "mean_abs_corr": "(abs(c0) + abs(c1) + abs(c2) + abs(c3) + abs(c4) + abs(c5)) / 6", "clustering": f"CASE WHEN c0 IS NOT NULL THEN {local4()} END"}), tables="bars")
+#: every graph of four nodes is a mask of six edges; walks give the distances of all of them
+GRAPHS = ("pr AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {FC4.index(a)}, {FC4.index(b)})" for i, (a, b) in enumerate(PR4)) + ") v(i, a, b)), gr AS (SELECT CAST(range AS INTEGER) AS mask FROM range(64)), one AS (SELECT mask, a, b FROM gr, pr WHERE (mask >> i) & 1 = 1), ed AS (SELECT * FROM one UNION ALL SELECT mask, b, a FROM one), "
+          "wk AS (SELECT mask, CAST(n.range AS INTEGER) AS s, CAST(n.range AS INTEGER) AS t, 0 AS d FROM gr, range(4) n UNION SELECT wk.mask, s, ed.b, d + 1 FROM wk JOIN ed ON ed.mask = wk.mask AND ed.a = t WHERE d < 3), "
+          "sp AS (SELECT mask, s, t, min(d) AS d FROM wk GROUP BY 1, 2, 3), sz AS (SELECT mask, s, count(*) AS k, sum(d) AS tot FROM sp GROUP BY 1, 2), rt AS (SELECT mask, s, k FROM sz QUALIFY row_number() OVER (PARTITION BY mask ORDER BY k DESC, s) = 1), "
+          "pl AS (SELECT rt.mask, sum(sz.tot) / nullif(any_value(rt.k) * (any_value(rt.k) - 1), 0) AS path_length FROM rt JOIN sp ON sp.mask = rt.mask AND sp.s = rt.s JOIN sz ON sz.mask = rt.mask AND sz.s = sp.t GROUP BY 1), ce AS (SELECT mask, count(*) / (count(DISTINCT a) * (count(DISTINCT a) - 1)) AS centrality FROM ed GROUP BY 1)")
+MFN = chain("bars", {f"c{i}": Q.corr(a, b, 50) for i, (a, b) in enumerate(PR4)}, {f"e{i}": flag(f"abs(c{i}) > 0.5") for i in range(6)},
+            {"density": "CASE WHEN c0 IS NOT NULL THEN (e0 + e1 + e2 + e3 + e4 + e5) / 6 END", "mean_abs_corr": "(abs(c0) + abs(c1) + abs(c2) + abs(c3) + abs(c4) + abs(c5)) / 6", "clustering": f"CASE WHEN c0 IS NOT NULL THEN {local4()} END",
+             "mask": "CASE WHEN c0 IS NOT NULL THEN e0 + 2 * e1 + 4 * e2 + 8 * e3 + 16 * e4 + 32 * e5 END"})
+
+
+@query("multi_feature_corr_network", K, "density mean_abs_corr clustering centrality path_length",
+       sql=f"WITH RECURSIVE {GRAPHS}, fn AS ({MFN}) SELECT fn.*, CASE WHEN fn.mask IS NOT NULL THEN coalesce(centrality, 0) END AS centrality, path_length FROM fn LEFT JOIN ce ON ce.mask = fn.mask LEFT JOIN pl ON pl.mask = fn.mask", tables="bars")
 def multi_feature_corr_network(t):
     return NW.feature_network(t.bars(), FC4)
 
@@ -162,8 +185,8 @@ def dq_clean(t):
     return DQ.clean(t.dirty_bars(), ["close", "volume"])
 
 
-@query("dq_report", "name type advice", "null_share", "nulls distinct_values rows",
-       sql="SELECT *, nulls / rows AS null_share, CASE WHEN nulls / rows > 0.5 THEN 'drop column' WHEN nulls / rows > 0.1 THEN 'interpolate' WHEN nulls > 0 THEN 'fill' WHEN distinct_values = 1 THEN 'constant' ELSE 'keep' END AS advice FROM (" + " UNION ALL ".join(
+@query("dq_report", "name type advice", "null_share", "nulls distinct_values rows duplicates",
+       sql="SELECT *, (SELECT (SELECT count(*) FROM dirty_bars) - count(*) FROM (SELECT DISTINCT * FROM dirty_bars)) AS duplicates, nulls / rows AS null_share, CASE WHEN nulls / rows > 0.5 THEN 'drop column' WHEN nulls / rows > 0.1 THEN 'interpolate' WHEN nulls > 0 THEN 'fill' WHEN distinct_values = 1 THEN 'constant' ELSE 'keep' END AS advice FROM (" + " UNION ALL ".join(
            f"SELECT '{c}' AS name, '{ty}' AS type, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values, count(*) AS rows FROM dirty_bars" for c, ty in (("symbol", "bigint"), ("date", "date"), *[(c, "double") for c in OHLCV])) + ")", tables="dirty_bars")
 def dq_report(t):
     return DQ.report(t.dirty_bars(), ["symbol", "date", *OHLCV])

@@ -9,6 +9,7 @@ from quantloom.functions.series import S, div
 from quantloom.operators import risk as R
 from quantloom.plans.registry import query
 from quantloom.plans.sql import Q, Sql, chain
+from quantloom.session import materialise
 from quantloom.sources import io
 
 K = "symbol date"
@@ -122,7 +123,7 @@ COMP = (f"WITH v AS ({VAR}), c AS ({CVAR}), g AS ({GARCH}), d AS ({DDT}), r AS (
              ("Current Drawdown", "current_drawdown", "Current"), ("Sharpe", "sharpe", "Standard"), ("Sortino", "sortino", "Downside"), ("Calmar", "calmar", "Return/Drawdown"), ("Beta", "beta", "Regression"))]))
 
 
-@query("risk_metrics_comprehensive", "symbol metric method", "value", "level", sql=COMP, tables="returns_market")
+@query("risk_metrics_comprehensive", "symbol metric method", "value", "level", sql=COMP, tables="returns_market", staged=True)
 def risk_metrics_comprehensive(t):
     return R.comprehensive(t.returns_with_market())
 
@@ -218,9 +219,9 @@ FRET = f"SELECT r.date, e.factor, avg(e.exposure * r.ret) AS fret FROM ({EXPO})
 FACTORS = ["market", "momentum", "size", "volatility"]  # fixed values: the exposure columns
 
 
-def factor_covariance(t):
+def factor_covariance(t, ex):
     """(a, b, cov) over exposure-weighted factor returns, a <= b, including the diagonal."""
-    fr = (exposures(t).join(t.returns().where(F.col("ret").isNotNull()).select("symbol", "date", "ret"), "symbol")
+    fr = (ex.join(t.returns().where(F.col("ret").isNotNull()).select("symbol", "date", "ret"), "symbol")
           .groupBy("date").pivot("factor", FACTORS).agg(F.avg(F.col("exposure") * F.col("ret"))))
     aggs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.covar_samp(a, b).alias("cov")) for i, a in enumerate(FACTORS) for b in FACTORS[i:]]
     return fr.agg(F.array(*aggs).alias("p")).select(F.explode("p").alias("q")).select("q.*")
@@ -231,10 +232,11 @@ def factor_covariance(t):
            "pe AS (SELECT portfolio, factor, sum(weight * exposure) AS x FROM weights JOIN e USING (symbol) GROUP BY 1, 2), "
            "f AS (SELECT p.portfolio, CASE WHEN a = b THEN a ELSE a || '_' || b END AS source, CASE WHEN a = b THEN 1 ELSE 2 END * p.x * q.x * cov AS contribution FROM fc JOIN pe p ON p.factor = a JOIN pe q ON q.factor = b AND q.portfolio = p.portfolio), "
            "s AS (SELECT symbol, stddev_samp(ret) AS specific FROM returns GROUP BY 1), u AS (SELECT * FROM f UNION ALL SELECT portfolio, 'specific', sum(weight * weight * specific * specific) FROM weights JOIN s USING (symbol) GROUP BY 1) "
-           "SELECT *, contribution / sum(contribution) OVER (PARTITION BY portfolio) * 100 AS share FROM u", tables="weights returns_market")
+           "SELECT *, contribution / sum(contribution) OVER (PARTITION BY portfolio) * 100 AS share FROM u", tables="weights returns_market", staged=True)
 def factor_risk_attribution(t):
     specific = t.returns().groupBy("symbol").agg(F.stddev_samp("ret").alias("specific"))
-    return R.factor_attribution(t.weights(), exposures(t), factor_covariance(t), specific)
+    ex = materialise(exposures(t), "exposures")
+    return R.factor_attribution(t.weights(), ex, factor_covariance(t, ex), specific)
 
 
 MCR = (f"WITH p AS ({PR}), full_ AS (SELECT w.portfolio, w.symbol, w.weight, p.date, p.pret, coalesce(r.ret, 0) AS ret FROM weights w JOIN p USING (portfolio) LEFT JOIN returns r ON r.symbol = w.symbol AND r.date = p.date), "
@@ -242,7 +244,7 @@ MCR = (f"WITH p AS ({PR}), full_ AS (SELECT w.portfolio, w.symbol, w.weight, p.d
        f"SELECT portfolio, symbol, max(weight) AS weight, covar_samp(ret, pret) / max(sg) * {Y} AS marginal, max(weight) * covar_samp(ret, pret) / max(sg) * {Y} AS component FROM full_ JOIN s USING (portfolio) GROUP BY 1, 2")
 
 
-@query("marginal_component_risk", "portfolio symbol", "weight marginal component", sql=MCR, tables="weights returns")
+@query("marginal_component_risk", "portfolio symbol", "weight marginal component", sql=MCR, tables="weights returns", staged=True)
 def marginal_component_risk(t):
     return R.risk_contributions(t.weights(), t.returns())
 

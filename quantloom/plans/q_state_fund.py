@@ -144,7 +144,7 @@ RS_ = (f"WITH mc AS ({MC}), r0 AS (SELECT a.*, mc.mean_corr FROM returns_market
        ", ".join(f"coalesce({rank_pct(c, 252)}, 0.5) AS {k}" for k, c in (("systematic_risk_state", "b"), ("tail_risk_state", "q"), ("downside_risk_state", "dd"), ("contagion_risk_state", "mean_corr"))) + " FROM r2")
 
 
-@query("state_risk", K, "systematic_risk_state tail_risk_state downside_risk_state contagion_risk_state", sql=RS_, tables="returns_market")
+@query("state_risk", K, "systematic_risk_state tail_risk_state downside_risk_state contagion_risk_state", sql=RS_, tables="returns_market", staged=True)
 def state_risk(t):
     return X.risk_state(t.returns_with_market())
 

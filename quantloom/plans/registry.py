@@ -34,9 +34,11 @@ class Entry:
     ints: list[str]
     body: str | None
     tables: list[str]
+    staged: bool = False
 
     def run(self, spark, folder) -> DataFrame:
-        df = self.fn(Tables(spark, folder))
+        t = Tables(spark, folder)
+        df = self.fn(t.staged() if self.staged else t)
         return df.select(*[F.col(k) for k in self.keys], *[snap(c).alias(c) for c in self.nums],
                          *[F.col(c).cast("long").alias(c) for c in self.ints])
 
@@ -52,10 +54,13 @@ class Entry:
 ENTRIES: dict[str, Entry] = {}
 
 
-def query(name: str, keys: str = "", nums: str = "", ints: str = "", sql: str | None = None, tables: str = ""):
-    """Register a query; ``keys`` pass through, ``nums`` are snapped doubles, ``ints`` become bigint."""
+def query(name: str, keys: str = "", nums: str = "", ints: str = "", sql: str | None = None, tables: str = "", staged: bool = False):
+    """Register a query; ``keys`` pass through, ``nums`` are snapped doubles, ``ints`` become bigint.
+
+    A ``staged`` query uses the bars more than once: they are aggregated once, written, and read from there.
+    """
     def wrap(fn):
         assert name not in ENTRIES, name
-        ENTRIES[name] = Entry(name, fn, keys.split(), nums.split(), ints.split(), sql, tables.split())
+        ENTRIES[name] = Entry(name, fn, keys.split(), nums.split(), ints.split(), sql, tables.split(), staged)
         return fn
     return wrap

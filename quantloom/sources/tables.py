@@ -4,12 +4,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.session import materialise
+
 
 class Tables:
     """Lazy access to the source tables of one folder and to the market tables derived from them."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._returns: DataFrame | None = None
+
+    def staged(self) -> Tables:
+        """The same tables over bars and returns that are computed in one pass of the source, written, and read from there."""
+        t = Tables(self.spark, self.folder)
+        t._returns = materialise(self.returns(), "returns")
+        return t
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -25,6 +34,8 @@ class Tables:
         aggregation; a struct key would force a sort of the whole input.  Rows equal in all four are one item
         of one order, listed twice.
         """
+        if self._returns is not None:
+            return self._returns.drop("ret")
         day = F.unix_date(F.to_date("l_shipdate")).cast("long")
         line, part, order = F.col("l_linenumber").cast("long"), F.col("l_partkey").cast("long"), F.col("l_orderkey").cast("long")
         fits = (order >= 0) & line.between(0, 99) & part.between(0, 10 ** 16 - 1)
@@ -42,6 +53,8 @@ class Tables:
         return self.bars().select("symbol", "date", "close")
 
     def returns(self) -> DataFrame:
+        if self._returns is not None:
+            return self._returns
         w = Window.partitionBy("symbol").orderBy("date")
         return self.bars().withColumn("ret", F.try_divide("close", F.lag("close").over(w)) - 1)
 
