@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.draws import unit, with_draw
 from quantloom.functions.series import S, Series, div, flag, ladder, with_pos
 from quantloom.operators.relational import g1, g2
 from quantloom.operators.risk import YEAR
@@ -146,13 +147,14 @@ def sensitivity(grid: DataFrame) -> DataFrame:
 def bootstrap(df: DataFrame, r="strategy_ret", replicates=50, seed=11, by=("symbol",)) -> DataFrame:
     """Bootstrap interval of the mean return.
 
-    Each (row, replicate) gets a Poisson(1) count drawn from a hash of its key, so replicates need no
+    Each (row, replicate) gets a Poisson(1) count drawn from its keys (integers and a date), so replicates need no
     collected series and do not depend on the partitioning; sums are combined map-side.
     """
     x = F.col(r)
-    reps = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    d = df.where(x.isNotNull()).select(*by, "date", r).withColumn("replicate", reps)
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", *by, "date"), F.lit(1 << 40)) / float(1 << 40)
+    d = with_draw(df.where(x.isNotNull()).select(*by, "date", r), "_row", seed, [*map(F.col, by), F.unix_date("date")])
+    d = d.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    d = with_draw(d, "_draw_k", F.col("_row"), [F.col("replicate")])
+    u = unit("_draw_k")
     # fixed values: distribution function of Poisson(1)
     k = ladder([(u < 0.36787944117144233, 0), (u < 0.7357588823428847, 1), (u < 0.9196986029286058, 2), (u < 0.9810118431238462, 3), (u < 0.9963401531726563, 4), (u < 0.9994058151824183, 5)], 6)
     g = d.withColumn("_k", k).groupBy(*by, "replicate").agg(div(F.sum(F.col("_k") * x), F.sum("_k")).alias("mean_r"))

@@ -9,6 +9,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.draws import unit, with_draw
 from quantloom.functions.exact import quantiles, two_sample_ks, unpivot, with_group_stats
 from quantloom.functions.series import S, Series, div, flag, with_pos
 from quantloom.operators.relational import bucketize, corr_agg, equal_width_bins
@@ -156,10 +157,12 @@ def selection_vote(long: DataFrame, min_corr=0.01, min_mi=0.005, min_var=0.05) -
 
 
 def stability_selection(long: DataFrame, replicates=20, share=0.5, min_corr=0.01, seed=17) -> DataFrame:
-    """Share of half-samples in which a factor correlates beyond the limit; samples drawn by a hash of the row."""
+    """Share of half-samples in which a factor correlates beyond the limit; samples drawn by the keys of the row."""
     d = long.where(F.col("value").isNotNull() & F.col("fwd").isNotNull())
+    d = with_draw(d, "_row", seed, [F.col("symbol"), F.unix_date("date")])
     d = d.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", "symbol", "date"), F.lit(1 << 30)) / float(1 << 30)
+    d = with_draw(d, "_draw_k", F.col("_row"), [F.col("replicate")])
+    u = unit("_draw_k")
     g = d.where(u < share).groupBy("factor", "replicate").agg(corr_agg("value", "fwd").alias("_c"))
     return g.groupBy("factor").agg(F.avg(flag(F.abs("_c") > min_corr)).alias("frequency"), F.avg("_c").alias("mean_corr"), F.count(F.lit(1)).alias("replicates"))
 

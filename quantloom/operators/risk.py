@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.draws import unit, with_draw
 from quantloom.functions.exact import with_group_stats
 from quantloom.functions.series import S, Series, div, flag, ladder, with_pos
 from quantloom.operators.relational import g1, g2, top_n
@@ -76,13 +77,12 @@ def cvar_table(df: DataFrame, levels=(1, 5, 10), ret="ret", by=("symbol",)) -> D
 
 
 def monte_carlo_var(df: DataFrame, levels=(1, 5, 10), draws=10000, seed=7, ret="ret", by=("symbol",)) -> DataFrame:
-    """Normal simulation.  The draws come from a hash of (seed, draw), so they do not depend on the
+    """Normal simulation.  The draws come from (seed, draw) alone, so they do not depend on the
     partitioning; mean + sd * z is monotone in z, so one simulated z distribution serves all series."""
-    spark = df.sparkSession
-
-    def unit(tag):
-        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), "id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    z = spark.range(draws).select((F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * math.pi * unit(2))).alias("z"))
+    z = df.sparkSession.range(draws)
+    for name, part in (("_u", 1), ("_v", 2)):
+        z = with_draw(z, name, seed, [F.lit(part), F.col("id")])
+    z = z.select((F.sqrt(-2 * F.log(unit("_u"))) * F.cos(2 * math.pi * unit("_v"))).alias("z"))
     q = z.agg(F.percentile("z", [p / 100 for p in levels]).alias("_z"))
     m = df.groupBy(*by).agg(F.avg(ret).alias("mu"), F.stddev_samp(ret).alias("sd"))
     m = m.crossJoin(F.broadcast(q))  # one row

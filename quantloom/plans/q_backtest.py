@@ -11,7 +11,7 @@ from quantloom.operators.relational import top_n
 from quantloom.plans.q_state_fund import rk
 from quantloom.plans.q_technical import GL, MACD_STEPS, TR, rsi
 from quantloom.plans.registry import query
-from quantloom.plans.sql import Q, Sql, chain, ewm, flag
+from quantloom.plans.sql import Q, Sql, chain, draw_stages, ewm, flag, unit
 
 K = "symbol date"
 Y = "sqrt(252::DOUBLE)"
@@ -243,7 +243,12 @@ def pareto_front(t):
     return B.pareto(g, "combo", ["sharpe", "speed", "reach"], "symbol")
 
 
-@query("bootstrap_validation", "symbol", "boot_mean boot_std ci_low ci_high")
+BST = chain(f"(SELECT symbol, date, strategy_ret, date_diff('day', DATE '1970-01-01', date) AS day FROM ({vec(f'({EMAX})')}) WHERE strategy_ret IS NOT NULL)", *draw_stages("h", "11", ["symbol", "day"]), "SELECT *, r.range AS replicate FROM {src}, range(1, 51) r", *draw_stages("d", "h", ["replicate"]),
+            {"u": unit("d")}, {"k": "CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 ELSE 6 END"},
+            "SELECT symbol, replicate, sum(k * strategy_ret) / nullif(sum(k), 0) AS m FROM {src} GROUP BY 1, 2", final="SELECT symbol, avg(m) AS boot_mean, stddev_samp(m) AS boot_std, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM {src} GROUP BY 1")
+
+
+@query("bootstrap_validation", "symbol", "boot_mean boot_std ci_low ci_high", sql=BST, tables="bars")
 def bootstrap_validation(t):
     return B.bootstrap(B.vectorized(G.momentum_ema(t.closes())))
 

@@ -8,7 +8,7 @@ from quantloom.operators import features as FE
 from quantloom.operators import learning as L
 from quantloom.plans.q_factors import CL, FC, FL, long, panel
 from quantloom.plans.registry import query
-from quantloom.plans.sql import Q, chain
+from quantloom.plans.sql import Q, chain, draw_stages, unit
 
 K = "symbol date"
 
@@ -78,7 +78,11 @@ def selection_vote(t):
     return L.selection_vote(long(t))
 
 
-@query("stability_selection", "factor", "frequency mean_corr", "replicates")
+STS = chain(f"(SELECT symbol, date, factor, value, fwd, date_diff('day', DATE '1970-01-01', date) AS day FROM {CL})", *draw_stages("h", "17", ["symbol", "day"]), "SELECT *, r.range AS replicate FROM {src}, range(1, 21) r", *draw_stages("k", "h", ["replicate"]),
+            f"SELECT factor, replicate, corr(value, fwd) AS c FROM {{src}} WHERE {unit('k')} < 0.5 GROUP BY 1, 2", final="SELECT factor, avg(CASE WHEN abs(c) > 0.01 THEN 1 ELSE 0 END) AS frequency, avg(c) AS mean_corr, count(*) AS replicates FROM {src} GROUP BY 1")
+
+
+@query("stability_selection", "factor", "frequency mean_corr", "replicates", sql=STS, tables="returns")
 def stability_selection(t):
     return L.stability_selection(long(t))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.series import S, div
 from quantloom.operators import risk as R
 from quantloom.plans.registry import query
-from quantloom.plans.sql import Q, Sql, chain
+from quantloom.plans.sql import Q, Sql, chain, draw_stages, unit
 from quantloom.session import materialise
 from quantloom.sources import io
 
@@ -58,7 +58,11 @@ def var_historical_parametric_cf(t):
     return R.var_table(t.returns())
 
 
-@query("var_montecarlo", "symbol", "mc_var_1 mc_var_5 mc_var_10")
+DRAWN = chain("(SELECT range AS id FROM range(10000))", *draw_stages("u", "7", ["1", "id"]), *draw_stages("v", "7", ["2", "id"]), {"z": f"sqrt(-2 * ln({unit('u')})) * cos(2 * pi() * {unit('v')})"})
+
+
+@query("var_montecarlo", "symbol", "mc_var_1 mc_var_5 mc_var_10",
+       sql=f"WITH zs AS (SELECT " + ", ".join(f"quantile_cont(z, {n / 100}) AS z{n}" for n in (1, 5, 10)) + f" FROM ({DRAWN})), g AS (SELECT symbol, avg(ret) AS mu, stddev_samp(ret) AS sd FROM returns GROUP BY 1) SELECT symbol, " + ", ".join(f"mu + sd * z{n} AS mc_var_{n}" for n in (1, 5, 10)) + " FROM g, zs", tables="returns")
 def var_montecarlo(t):
     return R.monte_carlo_var(t.returns())
 

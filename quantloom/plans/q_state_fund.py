@@ -1,6 +1,7 @@
 """Queries of cross-sectional, market-state and fundamental factors."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.series import S, div
@@ -60,12 +61,16 @@ VALD = ("WITH r AS (SELECT symbol AS nk, report_date, lead(report_date) OVER (PA
         f"k AS (SELECT *, {rk('pe')} AS pe_rank, {rk('pb')} AS pb_rank FROM m) SELECT *, pe / nullif(mpe, 0) AS relative_pe, pb / nullif(mpb, 0) AS relative_pb, (pe_rank + pb_rank) / 2 AS valuation_composite_rank FROM k")
 
 
-@query("xs_valuation", K, "pe pb pe_rank pb_rank relative_pe relative_pb valuation_composite_rank", sql=VALD, tables="bars reports")
+@query("xs_valuation", K, "pe pb pe_rank pb_rank relative_pe relative_pb valuation_composite_rank", sql=VALD, tables="bars reports", staged=True)
 def xs_valuation(t):
-    """Bars meet the report valid on their date: equality on nation and a date range, reports are nations x quarters."""
-    r = t.reports().select(F.col("symbol").alias("nk"), "report_date", FU.R.lead("report_date").alias("nxt"), div("net_income", "shares").alias("eps"), div("equity", "shares").alias("bvps"))
+    """Every date takes the last report of each nation on or before it (nations x dates rows); bars meet that table by equality."""
+    r = t.reports().select(F.col("symbol").alias("nk"), F.col("report_date").alias("date"), div("net_income", "shares").alias("eps"), div("equity", "shares").alias("bvps"))
+    days = t.bars().select("date").distinct().crossJoin(F.broadcast(t.read("nation").select(F.col("n_nationkey").cast("long").alias("nk"))))  # the nations: a fixed dimension
+    known = days.select("nk", "date", F.lit(None).cast("struct<eps:double,bvps:double>").alias("r"), F.lit(True).alias("_day")).unionByName(r.select("nk", "date", F.struct("eps", "bvps").alias("r"), F.lit(False).alias("_day")))
+    upto = Window.partitionBy("nk").orderBy("date").rangeBetween(Window.unboundedPreceding, 0)
+    known = known.withColumn("r", F.last("r", ignorenulls=True).over(upto)).where(F.col("_day") & F.col("r").isNotNull()).select("nk", "date", "r.*")
     s = t.read("supplier").select(F.col("s_suppkey").alias("symbol"), F.col("s_nationkey").cast("long").alias("nk"))
-    d = t.closes().join(s, "symbol").join(r, "nk").where((F.col("date") >= F.col("report_date")) & (F.col("nxt").isNull() | (F.col("date") < F.col("nxt"))))
+    d = t.closes().join(s, "symbol").join(known, ["nk", "date"])
     return X.valuation_relative(d.select("symbol", "date", div("close", "eps").alias("pe"), div("close", "bvps").alias("pb")))
 
 

@@ -199,6 +199,20 @@ def ewm(src: str, x: str, out: str, alpha: float, adjust: bool, by="symbol", ord
 Q = Sql()
 
 
+def draw_stages(out: str, seed: str, keys: list[str]) -> list[dict[str, str]]:
+    """Stages of ``chain`` that draw a residue below 2^31 - 1 from a seed and integer keys."""
+    p, st, cur = 2 ** 31 - 1, [], f"({seed})::BIGINT"
+    for i, k in enumerate([*keys, "0"]):
+        a, b, c, d = (f"{out}_{i}{x}" for x in "abcd")
+        st += [{a: f"({cur} + ((({k})::BIGINT % {p}) + {p}) % {p}) % {p}"}, {b: f"{a} * {a} % {p}"}, {c: f"{b} * {b} % {p}"}, {d: f"(({c} * {a} % {p}) * 48271 + 1013904223) % {p}"}]
+        cur = d
+    return [*st, {out: cur}]
+
+
+def unit(draw: str) -> str:
+    return f"(({draw} + 0.5::DOUBLE) / {2 ** 31 - 1}::DOUBLE)"
+
+
 def flag(cond: str) -> str:
     return f"(CASE WHEN {cond} THEN 1 ELSE 0 END)"
 
