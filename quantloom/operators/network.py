@@ -24,11 +24,16 @@ from quantloom.session import materialise
 
 
 def _dense(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """A row for every calendar position at which the window of a key still holds one of its rows."""
+    """A row for every calendar position at which the window of a key still holds one of its rows.
+
+    A row is carried, without its values, over the positions up to the next one of its key: no grid, no join.
+    """
     last = rows.agg(F.max("_p").alias("_last"))  # one row
-    spans = rows.groupBy(*keys).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi")).crossJoin(F.broadcast(last))
-    ends = spans.select(*keys, F.explode(F.sequence("_lo", F.least(F.col("_hi") + (n - 1), F.col("_last")))).alias("_p"))
-    return ends.join(rows, [*keys, "_p"], "left")
+    after = F.lead("_p").over(Window.partitionBy(*keys).orderBy("_p"))
+    d = rows.crossJoin(F.broadcast(last)).withColumn("_end", F.least(F.coalesce(after - 1, "_last"), F.col("_p") + (n - 1)))
+    d = d.withColumn("_q", F.explode(F.sequence("_p", "_end")))
+    values = [c for c in rows.columns if c not in (*keys, "_p")]
+    return d.select(*keys, F.col("_q").alias("_p"), *[F.when(F.col("_q") == F.col("_p"), F.col(c)).alias(c) for c in values])
 
 
 def windowed_network(panel: DataFrame, n=60, value="ret", min_share=0.5) -> tuple[DataFrame, DataFrame]:
@@ -42,10 +47,10 @@ def windowed_network(panel: DataFrame, n=60, value="ret", min_share=0.5) -> tupl
     p = materialise(p.join(calendar, "date").select("_p", "node", "v"), "panel")
     x, y = p.select("_p", F.col("node").alias("a"), F.col("v").alias("x")), p.select("_p", F.col("node").alias("b"), F.col("v").alias("y"))
     both = x.join(y, "_p").where(F.col("a") < F.col("b"))
-    w = Window.partitionBy("a", "b").orderBy("_p").rowsBetween(1 - n, 0)
+    w = Window.partitionBy("a", "b").orderBy("_p").rangeBetween(1 - n, 0)
     c = _dense(both, ["a", "b"], n).select("_p", "a", "b", F.corr("x", "y").over(w).alias("corr"), F.count("x").over(w).alias("_n"))
     c = c.where((F.col("_p") >= n) & (F.col("_n") >= min_share * n)).join(calendar, "_p").select("date", "a", "b", "corr")
-    present = F.count("v").over(Window.partitionBy("node").orderBy("_p").rowsBetween(1 - n, 0))
+    present = F.count("v").over(Window.partitionBy("node").orderBy("_p").rangeBetween(1 - n, 0))
     nodes = _dense(p, ["node"], n).withColumn("_n", present).where((F.col("_n") > 0) & (F.col("_p") >= n)).join(calendar, "_p").select("date", "node")
     return materialise(c, "correlations"), materialise(nodes, "nodes")
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from quantloom.functions.series import S
 from quantloom.operators import features as FE
 from quantloom.operators import learning as L
-from quantloom.plans.q_factors import CL, FC, FL, long, panel
+from quantloom.plans.q_factors import CL, FC, FL, FP, elimination, long, panel
+from quantloom.plans.q_network import FIQ
 from quantloom.plans.registry import query
 from quantloom.plans.sql import Q, chain, draw_stages, unit
 
@@ -37,7 +38,15 @@ def predict_returns_linear(t):
     return L.linear_predictions(panel(t), FC, forest=True)
 
 
-@query("ml_prediction_signal", K, "p_ols", "signal")
+LAGS = range(3)
+MPS = (f"WITH d AS (SELECT symbol, date, fwd, ret AS x0, lag(ret) OVER w AS x1, lag(ret, 2) OVER w AS x2 FROM ({FP}) WINDOW w AS (PARTITION BY symbol ORDER BY date)), v AS (SELECT * FROM d WHERE fwd IS NOT NULL AND x0 IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL), "
+       "ds AS (SELECT date, percent_rank() OVER (ORDER BY date) < 0.7 AS tr FROM (SELECT DISTINCT date FROM v)), "
+       f"m AS (SELECT avg(fwd) AS my, {', '.join(f'avg(x{i}) AS m{i}, covar_pop(x{i}, fwd) AS b{i}' for i in LAGS)}, {', '.join(f'covar_pop(x{i}, x{j}) AS a{i}{j}' for i in LAGS for j in LAGS)} FROM v JOIN ds USING (date) WHERE tr), "
+       f"w AS (WITH {elimination('m', ['w0', 'w1', 'w2'], 'my, m0, m1, m2')}), p AS (SELECT symbol, date, my + {' + '.join(f'w{i} * (x{i} - m{i})' for i in LAGS)} AS p_ols FROM v JOIN ds USING (date), w WHERE NOT tr) "
+       "SELECT *, CASE WHEN p_ols > 0.02 THEN 1 WHEN p_ols < -0.02 THEN -1 ELSE 0 END AS signal FROM p")
+
+
+@query("ml_prediction_signal", K, "p_ols", "signal", sql=MPS, tables="returns", staged=True)
 def ml_prediction_signal(t):
     return L.prediction_signal(panel(t))
 
@@ -121,7 +130,17 @@ def ts_cv_split(t):
     return L.cv_folds(t.closes())
 
 
-@query("anomaly_scores", K, "robust_z mahalanobis", "anomaly")
+NF = range(len(FE.FEATURES))
+ANM = (f"WITH f AS (SELECT symbol, date, {', '.join(f'{c} AS x{i}' for i, c in enumerate(FE.FEATURES))} FROM ({FIQ})), v AS (SELECT * FROM f WHERE {' AND '.join(f'x{i} IS NOT NULL' for i in NF)}), "
+       f"q AS (SELECT {', '.join(f'quantile_cont(x{i}, 0.5) AS d{i}, avg(x{i}) AS m{i}' for i in NF)}, {', '.join(f'covar_samp(x{i}, x{j}) AS a{i}{j}' for i in NF for j in NF)} FROM v), "
+       f"h AS (SELECT {', '.join(f'quantile_cont(abs(x{i} - d{i}), 0.5) AS h{i}' for i in NF)} FROM v, q), "
+       f"y AS (SELECT symbol, date, {', '.join(f'x{i} - m{i} AS b{i}, x{i} - m{i} AS c{i}' for i in NF)}, {', '.join(f'a{i}{j}' for i in NF for j in NF)}, greatest({', '.join(f'abs(0.6745::DOUBLE * (x{i} - d{i}) / nullif(h{i}, 0))' for i in NF)}) AS robust_z FROM v, q, h), "
+       f"w AS (WITH {elimination('y', [f'w{i}' for i in NF], 'symbol, date, robust_z, ' + ', '.join(f'c{i}' for i in NF))}), "
+       f"g AS (SELECT symbol, date, robust_z, sqrt(greatest({' + '.join(f'c{i} * w{i}' for i in NF)}, 0)) AS mahalanobis FROM w) "
+       "SELECT f.symbol, f.date, robust_z, mahalanobis, CASE WHEN g.symbol IS NULL THEN NULL WHEN robust_z > 3.5 THEN 1 ELSE 0 END AS anomaly FROM f LEFT JOIN g ON g.symbol = f.symbol AND g.date = f.date")
+
+
+@query("anomaly_scores", K, "robust_z mahalanobis", "anomaly", sql=ANM, tables="returns", staged=True)
 def anomaly_scores(t):
     return L.anomaly_scores(model_frame(t), FE.FEATURES)
 

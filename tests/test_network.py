@@ -48,6 +48,24 @@ def test_structure_equals_pair_enumeration(spark, block, span):
         assert got[d] == pytest.approx(want[d], abs=1e-9)
 
 
+def test_windows_of_pairs_with_gaps(spark):
+    rng = np.random.default_rng(8)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    v = pd.DataFrame(rng.normal(size=(40, 4)), index=days).mask(rng.random((40, 4)) < 0.15)
+    v.iloc[10:22, 1] = np.nan  # longer than a window
+    v.iloc[25:, 2] = np.nan  # ends early
+    rows = [(s, d, float(v.loc[d, s])) for s in range(4) for d in days if not np.isnan(v.loc[d, s])]
+    corr, nodes = NW.windowed_network(spark.createDataFrame(rows, "symbol long, date date, ret double"), 8)
+    got = {(r["date"], r["a"], r["b"]): r["corr"] for r in corr.collect()}
+    want, alive = {}, set()
+    for e in range(8, 41):
+        w = v.iloc[e - 8:e]
+        alive |= {(days[e - 1], s) for s in range(4) if w[s].notna().any()}
+        want |= {(days[e - 1], a, b): w[a].corr(w[b]) for a in range(4) for b in range(a + 1, 4) if (w[a].notna() & w[b].notna()).sum() >= 4}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert {tuple(r) for r in nodes.collect()} == alive
+
+
 def test_structure_of_flat_single_and_empty(spark):
     schema = "symbol long, date date, ret double, volume double"
     days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(6)]
