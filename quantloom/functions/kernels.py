@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,27 +23,36 @@ def rolling_windows(df: DataFrame, col: str, n: int, s: Series = S, lo=None, hi=
     return df.select(*s.by, *s.order, F.when(F.count(x).over(f) >= (min_periods or n), F.collect_list(x).over(f)).alias("_w"))
 
 
+ROWS = 1024  # windows worked on at once: a few hundred kilobytes of values
+
+
 def map_windows(win: DataFrame, fns: dict[str, Callable], keys: list[str], n_out: dict[str, list[str]] | None = None) -> DataFrame:
-    """Apply functions array -> number (or tuple, named by ``n_out``) to each window."""
+    """Apply functions of (windows x values) arrays to the windows; each gives one number per window, or a tuple of them named by ``n_out``.
+
+    The windows of a batch are stacked by length, so a function runs a few times per batch and not once per row.
+    """
     names = [c for k in fns for c in (n_out or {}).get(k, [k])]
+    keys = [f.name for f in win.schema if f.name in keys]
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in win.schema if f.name in keys], *[f"{c} double" for c in names]])
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for w in pdf["_w"]:
-                if w is None:
-                    rows.append([None] * len(names))
-                    continue
-                x = np.asarray(w, float)
-                vals = []
-                for k, fn in fns.items():
-                    v = fn(x)
-                    vals.extend(v if isinstance(v, tuple) else (v,))
-                rows.append([None if v is None or not np.isfinite(v) else float(v) for v in vals])
-            out = pd.DataFrame(rows, columns=names, dtype=float)
-            yield pd.concat([pdf[keys].reset_index(drop=True), out], axis=1)
-    return win.mapInPandas(run, schema)
+        for batch in batches:
+            w = batch.column(batch.schema.get_field_index("_w"))
+            size = w.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = w.flatten().to_numpy(zero_copy_only=False).astype(float)
+            start = np.cumsum(size) - size
+            out = np.full((len(names), len(size)), np.nan)
+            for n in np.unique(size[size > 0]):
+                same = np.flatnonzero(size == n)
+                for at in np.split(same, range(ROWS, len(same), ROWS)):
+                    x = flat[start[at][:, None] + np.arange(n)]
+                    with np.errstate(all="ignore"):
+                        vals = [v for fn in fns.values() for r in (fn(x),) for v in (r if isinstance(r, tuple) else (r,))]
+                    for k, v in enumerate(vals):
+                        out[k, at] = v
+            cols = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(v, mask=~np.isfinite(v)) for v in out]], names=[*keys, *names])
+    return win.mapInArrow(run, schema)
 
 
 def rolling_apply(df: DataFrame, col: str, n: int, fns: dict[str, Callable], n_out=None, s: Series = S, lo=None, hi=0, min_periods=None) -> DataFrame:
@@ -66,7 +76,7 @@ def rolling_apply_pair(df: DataFrame, a: str, b: str, n: int, fns: dict[str, Cal
     full = F.count("_ab").over(f) == n
     both = F.collect_list("_ab").over(f)
     d = d.select(*s.by, *s.order, F.when(full, F.concat(F.transform(both, lambda r: r["a"]), F.transform(both, lambda r: r["b"]))).alias("_w"))
-    split = {k: (lambda w, fn=fn: fn(w[:n], w[n:])) for k, fn in fns.items()}
+    split = {k: (lambda w, fn=fn: fn(w[:, :n], w[:, n:])) for k, fn in fns.items()}
     return map_windows(d, split, [*s.by, *s.order], n_out)
 
 

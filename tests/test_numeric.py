@@ -52,3 +52,27 @@ def test_sar_by_hand():
     np.testing.assert_allclose(sar[:4], [9, 9.02, 9.0992, 12])
     assert list(side) == [1, 1, 1, -1, -1]
     np.testing.assert_allclose(sar[4], 12 + 0.02 * (7 - 12))
+
+
+def test_stacked_windows_equal_single_ones():
+    """A flat, a half flat and a coarse window among random ones; granger also against least squares."""
+    r = rng.standard_t(3, (40, 50))
+    r[0], r[1, :25], r[2] = 0.0, 0.0, np.round(r[2])
+    px, other = np.exp(r), rng.normal(0, 1, r.shape)
+    for kernel, *args in ((N.box_dimension, px), (N.hurst_rs, px), (N.shannon, px), (N.distribution_tests, r), (N.extreme_value, r), (N.kalman_level, r),
+                          (N.changepoint, r), (N.info_theory, r), (N.cointegration, other, r), (N.granger, other, r)):
+        stacked = np.atleast_2d(np.array(kernel(*args)))
+        single = np.array([np.atleast_1d(kernel(*[a[i] for a in args])) for i in range(len(r))]).T
+        np.testing.assert_allclose(stacked, single, rtol=1e-9, atol=1e-9)
+    entropy = N.info_theory(r)[0]
+    for i in range(len(r)):
+        p = np.histogram(r[i], bins=10)[0] / 50
+        assert abs(entropy[i] + (p * np.log(p + 1e-10)).sum()) < 1e-12
+
+    def rss(cols, y):
+        m = np.column_stack(cols)
+        return ((y[5:] - m @ np.linalg.lstsq(m, y[5:], rcond=None)[0]) ** 2).sum()
+    for i in range(2, 6):
+        own = [np.ones(45), *[r[i, 4 - j:49 - j] for j in range(5)]]
+        r0, r1 = rss(own, r[i]), rss([*own, *[other[i, 4 - j:49 - j] for j in range(5)]], r[i])
+        assert abs(N.granger(other[i], r[i]) - (r0 - r1) / 5 / (r1 / 34)) < 1e-8
