@@ -13,6 +13,7 @@ from quantloom.functions.draws import unit, with_draw
 from quantloom.functions.exact import quantiles, two_sample_ks, unpivot, with_group_stats
 from quantloom.functions.series import S, Series, div, flag, with_pos
 from quantloom.operators.relational import bucketize, corr_agg, equal_width_bins
+from quantloom.session import materialise
 
 
 def vectors(df: DataFrame, cols, scale=True) -> DataFrame:
@@ -205,13 +206,16 @@ def cv_folds(df: DataFrame, folds=4, gap=5, s: Series = S) -> DataFrame:
 
 
 def anomaly_scores(df: DataFrame, cols, limit=3.5, share=0.975) -> DataFrame:
-    """Largest robust z and Mahalanobis distance per row; medians are exact, the k x k covariance is inverted on the driver."""
+    """Largest robust z and Mahalanobis distance per row; medians are exact, the k x k covariance is inverted on the driver.
+
+    The features are computed once and written; every pass reads them there.
+    """
+    df = materialise(df, "features")
     d = df.dropna(subset=list(cols))
-    long = unpivot(d, [], list(cols))
-    md = quantiles(long, ["name"], "value", [0.5], ["md"])
-    ad = long.join(F.broadcast(md), "name").withColumn("ad", F.abs(F.col("value") - F.col("md")))
-    mad = quantiles(ad, ["name"], "ad", [0.5], ["mad"])
-    st = {r["name"]: (r["md"], r["mad"]) for r in md.join(mad, "name").collect()}  # one row per column
+    md = {r["name"]: r["md"] for r in quantiles(unpivot(d, [], list(cols)), ["name"], "value", [0.5], ["md"]).collect()}  # one row per column
+    dev = d.select(*[F.abs(F.col(c) - F.lit(md[c])).alias(c) for c in cols])
+    mad = {r["name"]: r["mad"] for r in quantiles(unpivot(dev, [], list(cols)), ["name"], "value", [0.5], ["mad"]).collect()}
+    st = {c: (md[c], mad[c]) for c in cols}
     row = d.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.covar_samp(a, b).alias(f"c_{a}_{b}") for a in cols for b in cols]).first()
     inv = np.linalg.pinv(np.array([[row[f"c_{a}_{b}"] for b in cols] for a in cols]))
     rz = F.greatest(*[F.abs(div(0.6745 * (F.col(c) - st[c][0]), F.lit(st[c][1]))) for c in cols])

@@ -137,3 +137,10 @@ def test_staged_queries_leave_the_source_alone(spark, name):
     df = entry.queries()[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "lineitem.parquet" not in plan
+
+
+def test_mean_correlation_builds_its_map_once_per_row(spark):
+    """A map inlined into the lambda over the slots would be built once per slot."""
+    df = spark.createDataFrame([(s, dt.date(2020, 1, 1) + dt.timedelta(days=i), float(s * i % 5)) for s in range(3) for i in range(8)], "symbol long, date date, ret double")
+    plan = NW.group_mean_correlation(df, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" in plan and "element_at(map_from_entries" not in plan
