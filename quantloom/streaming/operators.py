@@ -295,14 +295,16 @@ def drawdown(returns: DataFrame, key: str, part: str = "1 day") -> DataFrame:
 
     Stretches of time are scanned apart and combine: each has its last level, peak and trough against its start and its own worst
     fall; the worst fall over a seam is that from the highest peak before it to the trough after it.  No task holds a whole key.
+    Levels are kept as logarithms, so a long history does not overflow; a loss of everything or more is a level of zero.
     """
     d = returns.withColumn("_p", F.window("ts", part)["start"])
     inside = Window.partitionBy(key, "_p").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_l", F.product(1 + F.col("ret")).over(inside)).withColumn("_f", 1 - F.col("_l") / F.max("_l").over(inside))
+    growth = F.when(F.col("ret") > -1, F.log1p("ret")).when(F.col("ret").isNotNull(), float("-inf"))
+    d = d.withColumn("_l", F.sum(growth).over(inside)).withColumn("_f", 1 - F.exp(F.col("_l") - F.max("_l").over(inside)))
     parts = d.groupBy(key, "_p").agg(F.max_by("_l", F.struct("ts", "event_id")).alias("_last"), F.max("_l").alias("_peak"), F.min("_l").alias("_trough"), F.max("_f").alias("_worst"))
     before = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_start", F.coalesce(F.product("_last").over(before), F.lit(1.0)))
-    over = 1 - F.col("_start") * F.col("_trough") / F.max(F.col("_start") * F.col("_peak")).over(before)
+    parts = parts.withColumn("_start", F.coalesce(F.sum("_last").over(before), F.lit(0.0)))
+    over = 1 - F.exp(F.col("_start") + F.col("_trough") - F.max(F.col("_start") + F.col("_peak")).over(before))
     return parts.withColumn("_worst", F.greatest("_worst", over)).groupBy(key).agg(F.max("_worst").alias("max_drawdown"))
 
 

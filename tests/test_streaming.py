@@ -226,3 +226,19 @@ def test_late_rows_are_counted_by_window(spark):
     arrived = run_upsert(ST.hourly_arrivals(TK.read_tick_stream(spark, f, "*.parquet")), "arrived", ["event_type", "start"])
     got = sorted((minutes(r.start), r.n, r.late, r.is_final) for r in ST.late_counts(accepted, arrived).collect())
     assert got == [(0, 1, 2, 1), (60, 0, 1, 1), (300, 4, 0, 1), (600, 1, 0, 0)]
+
+
+def test_drawdown_of_a_level_beyond_double_precision(spark):
+    """Two days of doubling, 1,500 times each, then half is lost; a second key loses everything."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("up", t0 + dt.timedelta(minutes=i % 1440 + 1440 * (i // 1440)), i, 1.0) for i in range(3000)] + [("up", t0 + dt.timedelta(days=4), 3000, -0.5)]
+    rows += [("out", t0 + dt.timedelta(minutes=i), i, r) for i, r in enumerate((0.1, -1.0, 0.2))]
+    got = {r["metric"]: r["max_drawdown"] for r in ST.drawdown(spark.createDataFrame(rows, "metric string, ts timestamp, event_id long, ret double"), "metric").collect()}
+    assert abs(got["up"] - 0.5) < 1e-9 and got["out"] == 1.0
+
+
+def test_volatility_over_a_price_of_zero_is_undefined(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(s, t0 + dt.timedelta(seconds=i), i, 0.0 if s == 1 and i == 3 else 10.0 + i % 3, 5) for s in (1, 2) for i in range(30)]
+    got = {r["symbol"]: r["volatility"] for r in TK.last_ticks_microstructure(spark.createDataFrame(rows, "symbol long, ts timestamp, event_id long, price double, size long")).collect()}
+    assert (got[1] is None or got[1] != got[1]) and got[2] > 0
