@@ -229,7 +229,7 @@ def anomaly_scores(df: DataFrame, cols, limit=3.5, share=0.975) -> DataFrame:
 
 def impute_scale_select(df: DataFrame, cols, target="fwd", k=4) -> DataFrame:
     """Median imputation, standard scaling and the k best features by F statistic."""
-    d = df.where(F.col(target).isNotNull())
+    d = materialise(df.where(F.col(target).isNotNull()), "features")
     d = Imputer(strategy="median", inputCols=list(cols), outputCols=[f"i_{c}" for c in cols]).fit(d).transform(d)
     d = vectors(d, [f"i_{c}" for c in cols])
     sel = UnivariateFeatureSelector(featuresCol="features", outputCol="chosen", labelCol=target, selectionMode="numTopFeatures").setFeatureType("continuous").setLabelType("continuous").setSelectionThreshold(k).fit(d)

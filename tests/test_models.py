@@ -143,3 +143,14 @@ def test_dependent_exposures_have_no_returns(spark):
     got = PO.cross_sectional_returns(spark.createDataFrame(rows, "symbol long, date date, a double, b double, fwd double"), ["a", "b"]).orderBy("date").collect()
     assert (got[0]["a"], got[0]["b"]) == (None, None) and got[0]["n"] == 30
     np.testing.assert_allclose([got[1]["a"], got[1]["b"]], [3.0, -0.5], rtol=1e-9)
+
+
+def test_features_are_computed_once(spark, monkeypatch):
+    """Operators that pass over the features several times write them first."""
+    tags = []
+    real = L.materialise
+    monkeypatch.setattr(L, "materialise", lambda df, tag="stage": tags.append(tag) or real(df, tag))
+    rows = [(i % 4, dt.date(2020, 1, 1) + dt.timedelta(days=i // 4), float(i % 7), float(i % 5), float(i % 3)) for i in range(80)]
+    df = spark.createDataFrame(rows, "symbol long, date date, x double, z double, fwd double")
+    assert L.anomaly_scores(df, ["x", "z"]).count() == 80 and tags == ["features"]
+    assert L.impute_scale_select(df, ["x", "z"], k=1).count() == 80 and tags == ["features", "features"]
