@@ -75,3 +75,20 @@ def test_buckets_count_the_splits_below(spark):
     for k in (16, 23, 200):
         got = bucketed(df, [], "x", k).toPandas().sort_values("x")
         assert got["_b"].is_monotonic_increasing and got["_b"].nunique() > 0.9 * k and got["_b"].max() <= k - 1
+
+
+def test_binary_search_of_splits_counts_what_lies_below(spark):
+    rows = [(float(v), [float(s) for s in splits]) for splits in ([], [3], [1, 1, 2], [0, 2, 2, 2, 5, 9, 9]) for v in (-1, 0, 1, 2, 2.5, 9, 10, float("nan"))]
+    df = spark.createDataFrame(rows, "v double, s array<double>")
+    d = exact.below("s", "v", 7, df, "n")
+    for r in d.collect():
+        assert r["n"] == sum(s < r["v"] or r["v"] != r["v"] for s in r["s"])
+    plan = bucketed(df.select("v"), [], "v", 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # interpreted element by element, once per row
+
+
+def test_statistics_of_few_groups_do_not_move_the_rows(spark):
+    df = spark.range(2000).select(F.col("id"), (F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
+    d = exact.with_group_stats(df, ["g"], {"m": F.avg("x")}, few=True)
+    assert "Exchange hashpartitioning" not in d._jdf.queryExecution().executedPlan().toString()
+    assert all(abs(r["m"] - (998.0 + r["g"])) < 2 for r in d.select("g", "m").distinct().collect()) and d.count() == 2000
