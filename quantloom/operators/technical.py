@@ -9,7 +9,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.series import S, Series, div, flag, ladder, span, true_range, with_pos
+from quantloom.functions.series import S, Series, div, flag, ladder, span, spread, true_range, with_pos
 
 YEAR = math.sqrt(252)
 
@@ -75,7 +75,7 @@ def wilder(df: DataFrame, outputs: dict, n_by_name: dict, s: Series = S) -> Data
 
 
 def rsi_wilder(df: DataFrame, periods=(6, 14, 24, 30), s: Series = S) -> DataFrame:
-    d = gains_losses(df, s)
+    d = gains_losses(spread(df, s), s)
     # the first bar has no change; the seed averages the first n real changes
     d = d.withColumns({c: F.when(F.col("_d").isNotNull(), F.col(c)) for c in ("_gain", "_loss")})
     outs, ns = {}, {}

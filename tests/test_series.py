@@ -136,3 +136,8 @@ def test_components_of_a_long_chain(spark):
     nodes = spark.range(302).selectExpr("date '2020-01-01' AS date", "lpad(id, 4, '0') AS node")
     got = {r["node"]: r["label"] for r in connected_components(edge, nodes).collect()}
     assert len(got) == 302 and {v for k, v in got.items() if k <= "0300"} == {"0000"} and got["0301"] == "0301"
+
+
+def test_a_long_chain_of_windows_keeps_its_number_of_tasks(spark, bars):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert T.rsi_wilder(bars).rdd.getNumPartitions() == parts  # adaptive execution would join these few bytes into one task
