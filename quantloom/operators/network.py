@@ -139,22 +139,35 @@ def complete_corr(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.where((vx > 1e-12 * sxx) & (vy > 1e-12 * syy), c, np.nan), n  # no variance, no correlation
 
 
-def _cell_sums(rows: pd.DataFrame, n: int, threshold: float, least: float, span: int) -> pd.DataFrame:
-    """Counts and sums over the pairs of a cell, one row per window end of its chunk."""
-    chunk, i, j = (int(rows[c].iloc[0]) for c in ("chunk", "i", "j"))
+STRIP_SCHEMA = "chunk int, block int, first int, width int, ret binary, volume binary, mret binary"
+
+
+def _strip(rows: pd.DataFrame, n: int, span: int) -> pd.DataFrame:
+    """The rows of a block of symbols and a chunk of windows as matrices, symbols x dates, with holes as NaN."""
+    chunk, block = int(rows["chunk"].iloc[0]), int(rows["block"].iloc[0])
     first = max(chunk * span - n + 1, 1)
     width = (chunk + 1) * span - first
+    code, names = pd.factorize(rows["symbol"])
+    at = rows["_p"].to_numpy() - first
 
-    def grid(block, value):
-        part = rows[rows["block"] == block]
-        code, _ = pd.factorize(part["symbol"])
-        g = np.full((code.max() + 1 if len(code) else 0, width), np.nan)
-        g[code, part["_p"].to_numpy() - first] = part[value]
-        return g
-    a = {v: grid(i, v) for v in ("ret", "volume")}
-    b = a if i == j else {v: grid(j, v) for v in ("ret", "volume")}
+    def packed(value):
+        g = np.full((len(names), width), np.nan)
+        g[code, at] = rows[value]
+        return g.tobytes()
     market = np.full((1, width), np.nan)
-    market[0, rows["_p"].to_numpy() - first] = rows["mret"]
+    market[0, at] = rows["mret"]
+    return pd.DataFrame([(chunk, block, first, width, packed("ret"), packed("volume"), market.tobytes())], columns=["chunk", "block", "first", "width", "ret", "volume", "mret"])
+
+
+def _cell_sums(cell: dict, n: int, threshold: float, least: float, span: int) -> pd.DataFrame:
+    """Counts and sums over the pairs of a cell, one row per window end of its chunk."""
+    chunk, i, j, first, width = (int(cell[c]) for c in ("chunk", "i", "j", "first", "width"))
+
+    def grid(data):
+        return np.frombuffer(data).reshape(-1, width)
+    a = {"ret": grid(cell["ret"]), "volume": grid(cell["volume"])}
+    b = a if i == j else {"ret": grid(cell["ret_j"]), "volume": grid(cell["volume_j"])}
+    market = grid(cell["mret"])
     out = []
     for end in range(max(chunk * span, n), (chunk + 1) * span):
         w = slice(end - n + 1 - first, end + 1 - first)
@@ -182,7 +195,11 @@ CELL_COLUMNS = ["_p", "nodes", "edges", "ret_sum", "ret_n", "lag_sum", "lag_n",
 CELL_SCHEMA = "_p int, nodes long, edges long, ret_sum double, ret_n long, lag_sum double, lag_n long, fit_sum double, fit_n long"
 
 
-def structure_series(panel: DataFrame, n=52, threshold=0.3, min_share=0.5, block=512, span=16) -> DataFrame:
+#: Tasks among which the cells of a chunk are dealt; every strip is sent to all of them, so it bounds what is shuffled.
+LANES = 8
+
+
+def structure_series(panel: DataFrame, n=52, threshold=0.3, min_share=0.5, block=512, span=32) -> DataFrame:
     """Liquidity network density, price discovery, segmentation and propagation of the windows of ``n`` calendar dates.
 
     Density is the share of symbol pairs whose volumes correlate beyond the threshold, price discovery the mean
@@ -192,7 +209,9 @@ def structure_series(panel: DataFrame, n=52, threshold=0.3, min_share=0.5, block
 
     Pairs are never rows.  Symbols are hashed into blocks of about ``block``, window ends are cut into chunks of
     ``span``, and a cell of two blocks and a chunk adds up its pairs by matrix products over at most
-    2 x ``block`` x (``n`` + ``span``) values.  A row goes into a cell per block and chunk.
+    2 x ``block`` x (``n`` + ``span``) values.  The rows of a block and a chunk are packed into one strip and written once;
+    strips of a chunk meet by a join that deals the first of a pair to one of ``LANES`` tasks and the second to all of them,
+    and the pairs are streamed into the sums.  So a strip is shuffled 1 + ``LANES`` times however many blocks there are.
     """
     p = panel.select("symbol", "date", "ret", "volume")
     days = p.groupBy("date").agg(F.avg("ret").alias("mret"))
@@ -202,9 +221,20 @@ def structure_series(panel: DataFrame, n=52, threshold=0.3, min_share=0.5, block
     d = p.join(calendar, "date").crossJoin(F.broadcast(last)).withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int"))
     ends = F.least(F.col("_p") + (n - 1), F.col("_last"))
     d = d.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_p") / span).cast("int"), F.floor(ends / span).cast("int"))))
-    d = d.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    d = d.select("chunk", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "symbol", "_p", "ret", "volume", "mret")
-    cells = d.groupBy("chunk", "i", "j").applyInPandas(lambda rows: _cell_sums(rows, n, threshold, min_share * n, span), CELL_SCHEMA)
+    strips = d.select("chunk", "block", "symbol", "_p", "ret", "volume", "mret").groupBy("chunk", "block").applyInPandas(lambda rows: _strip(rows, n, span), STRIP_SCHEMA)
+    strips = materialise(strips, "strips")
+    lanes = min(blocks, LANES)
+    left = strips.withColumnRenamed("block", "i").withColumn("lane", F.col("i") % lanes).repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk", "lane")
+    right = strips.select("chunk", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("block").alias("j"), F.col("ret").alias("ret_j"), F.col("volume").alias("volume_j"))
+    # a lane holds the cells (i, i), (i, i + 1) ... of its blocks, half of the circle: as many for each i
+    ahead = F.pmod(F.col("j") - F.col("i"), F.lit(blocks))
+    met = left.join(right, ["chunk", "lane"]).where((ahead * 2 < blocks) | ((ahead * 2 == blocks) & (F.col("i") < F.col("j"))))
+
+    def sums(batches):
+        for pdf in batches:
+            for cell in pdf.to_dict("records"):
+                yield _cell_sums(cell, n, threshold, min_share * n, span)
+    cells = met.mapInPandas(sums, CELL_SCHEMA)
     g = cells.groupBy("_p").agg(*[F.sum(c).alias(c) for c in CELL_COLUMNS[1:]]).join(calendar, "_p")
     return g.select("date", "nodes", "edges", F.coalesce(div(F.col("edges") * 2, F.col("nodes") * (F.col("nodes") - 1)), F.lit(0.0)).alias("liquidity_density"),
                     F.coalesce(div("fit_sum", "fit_n"), F.lit(0.0)).alias("price_discovery"), (1 - div("ret_sum", "ret_n")).alias("segmentation"),

@@ -1,5 +1,6 @@
 """Market structure by cells of symbol blocks, distances of small graphs, staged bars, small report and model parts."""
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -144,3 +145,12 @@ def test_mean_correlation_builds_its_map_once_per_row(spark):
     df = spark.createDataFrame([(s, dt.date(2020, 1, 1) + dt.timedelta(days=i), float(s * i % 5)) for s in range(3) for i in range(8)], "symbol long, date date, ret double")
     plan = NW.group_mean_correlation(df, 4)._jdf.queryExecution().optimizedPlan().toString()
     assert "map_from_entries" in plan and "element_at(map_from_entries" not in plan
+
+
+def test_strips_are_sent_to_a_bounded_number_of_tasks(spark):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(6)]
+    df = spark.createDataFrame([(s, d, 0.1 * ((s + i) % 5), float(s + i * i)) for s in range(20) for i, d in enumerate(days)], "symbol long, date date, ret double, volume double")
+    d = NW.structure_series(df, 4, block=1)  # twenty blocks
+    copies = re.findall(r"sequence\(0, (\d+)", d._jdf.queryExecution().analyzed().toString())
+    assert copies and all(int(c) < NW.LANES for c in copies)
+    assert [tuple(r)[1:] for r in d.orderBy("date").collect()] == [pytest.approx(tuple(r)[1:], abs=1e-9) for r in NW.structure_series(df, 4).orderBy("date").collect()]
