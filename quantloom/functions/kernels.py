@@ -1,7 +1,7 @@
 """Numeric kernels over windows and series, run in Arrow batches on Spark's partitions.
 
-``rolling_apply`` sends full windows as arrays (rows x window values per batch); ``apply_series``
-sends one series at a time, which the calendar bounds.
+``rolling_apply`` sends full windows as arrays (rows x window values per batch); ``rolling_frame`` sends the
+sorted rows once and cuts their windows in the task; ``apply_series`` sends one series at a time, which the calendar bounds.
 """
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quantloom.functions.series import S, Series
 
@@ -59,6 +60,39 @@ def rolling_apply(df: DataFrame, col: str, n: int, fns: dict[str, Callable], n_o
     return map_windows(rolling_windows(df, col, n, s, lo, hi, min_periods), fns, [*s.by, *s.order], n_out)
 
 
+def rolling_frame(df: DataFrame, cols: list[str], n: int, fn: Callable, outs: list[str], s: Series = S) -> DataFrame:
+    """The rows with a function of the last ``n`` values of several columns; ``df`` is dealt by series (``spread``).
+
+    ``fn`` takes one (windows x n) array per column, with NaN for NULL, and returns one array per output.  The rows of a
+    task stream by in the order of their series with the last ``n - 1`` rows carried over, so a value is sent once and
+    not once per window.  Windows that are not full, and results that are no finite numbers, are NULL.
+    """
+    d = df.sortWithinPartitions(*s.by, *s.order)
+    schema = StructType([*d.schema.fields, *[StructField(o, DoubleType()) for o in outs]])
+
+    def run(batches):
+        tail = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch]).select([*s.by, *cols])
+            rows = part if tail is None else pa.concat_tables([tail, part])
+            old, size = len(rows) - len(part), len(rows)
+            first = np.zeros(size, dtype=bool)
+            for k in s.by:
+                code = rows.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                first[1:] |= code[1:] != code[:-1]
+            start = np.maximum.accumulate(np.where(first, np.arange(size), 0))
+            begin = np.arange(old, size) - (n - 1)  # first row of the window of every new row
+            full = np.flatnonzero((begin >= 0) & (start[old:] <= begin))
+            values = [rows.column(c).to_numpy().astype(float) for c in cols]
+            out = np.full((len(outs), len(part)), np.nan)
+            for at in np.split(full, range(ROWS, len(full), ROWS)) if len(full) else []:
+                with np.errstate(all="ignore"):
+                    out[:, at] = fn(*[np.lib.stride_tricks.sliding_window_view(v, n)[begin[at]] for v in values])
+            tail = rows.slice(max(0, size - (n - 1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v, mask=~np.isfinite(v)) for v in out]], names=[*batch.schema.names, *outs])
+    return d.mapInArrow(run, schema)
+
+
 def apply_series(df: DataFrame, fn: Callable[[pd.Series], pd.Series], col: str, out: str = "value", s: Series = S) -> DataFrame:
     keys = [*s.by, *s.order]
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema], f"{out} double"])

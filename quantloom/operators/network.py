@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.exact import with_group_stats
 from quantloom.functions.graph import component_labels
-from quantloom.functions.series import S, Series, div, flag
+from quantloom.functions.kernels import rolling_frame
+from quantloom.functions.series import S, Series, div, flag, spread
 from quantloom.operators.cross_section import mean_correlation
 from quantloom.operators.relational import corr_agg
 from quantloom.session import materialise
@@ -265,33 +266,61 @@ def path_length(hops: str, k: int) -> Column:
     return F.when(largest > 1, total / (largest * (largest - 1))).otherwise(float("inf"))
 
 
+def graph_measures(cols, edge) -> dict[str, Column]:
+    """Density, clustering, centrality and path length of the graph on ``cols``; ``edge(a, b)`` is its 0/1 flag."""
+    pairs, k = list(combinations(cols, 2)), len(cols)
+    total = sum((edge(a, b) for a, b in pairs[1:]), edge(*pairs[0]))
+    local = F.lit(0.0)
+    for x in cols:
+        rest = [c for c in cols if c != x]
+        deg = sum((edge(x, c) for c in rest[1:]), edge(x, rest[0]))
+        tri = F.lit(0)
+        for b, c in combinations(rest, 2):
+            tri = tri + edge(x, b) * edge(x, c) * edge(b, c)
+        local = local + F.when(deg > 1, div(tri, deg * (deg - 1) / 2)).otherwise(0.0)
+    linked = sum((flag(sum((edge(x, c) for c in cols if c != x), F.lit(0)) > 0) for x in cols), F.lit(0))
+    return {"density": total / len(pairs), "clustering": local / k, "centrality": F.coalesce(div(total * 2, linked * (linked - 1)), F.lit(0.0)), "path_length": path_length("_hops", k)}
+
+
+#: Up to this many edges the graphs of a set of nodes are tabulated.
+TABULATED = 12
+
+
+def _window_correlations(*values: np.ndarray) -> list[np.ndarray]:
+    """Correlation of every pair of variables in (windows x n) arrays, NaN where one is constant or has a hole."""
+    # less the first value, so that a constant window is exactly zero
+    z = [v - v[:, :1] for v in values]
+    z = [v - v.mean(axis=1, keepdims=True) for v in z]
+    size = [np.sqrt(np.einsum("ij,ij->i", v, v)) for v in z]
+    return [np.einsum("ij,ij->i", z[a], z[b]) / (size[a] * size[b]) for a, b in combinations(range(len(z)), 2)]
+
+
 def feature_network(df: DataFrame, cols, n=50, threshold=0.5, s: Series = S) -> DataFrame:
     """Density, mean absolute correlation, clustering, centrality and path length of the feature graph of each window.
 
     Centrality is the mean degree centrality of the features that have an edge, path length the mean distance
-    inside the largest component.
+    inside the largest component.  The measures depend on the edges alone: those of all graphs of the features
+    are tabulated once and looked up by the mask of the edges.
     """
     pairs = list(combinations(cols, 2))
-    d = df.withColumns({f"_c{i}": s.corr(a, b, n) for i, (a, b) in enumerate(pairs)})
-    d = d.withColumns({f"_e{i}": flag(F.abs(f"_c{i}") > threshold) for i in range(len(pairs))})
+    m, k = len(pairs), len(cols)
     at = {frozenset(p): i for i, p in enumerate(pairs)}
 
-    def e(a, b):
+    def edge(a, b):
         return F.col(f"_e{at[frozenset((a, b))]}")
-    total = sum((F.col(f"_e{i}") for i in range(1, len(pairs))), F.col("_e0"))
-    mean = sum((F.abs(f"_c{i}") for i in range(1, len(pairs))), F.abs("_c0")) / len(pairs)
-    local = F.lit(0.0)
-    for x in cols:
-        rest = [c for c in cols if c != x]
-        deg = sum((e(x, c) for c in rest[1:]), e(x, rest[0]))
-        tri = F.lit(0)
-        for b, c in combinations(rest, 2):
-            tri = tri + e(x, b) * e(x, c) * e(b, c)
-        local = local + F.when(deg > 1, div(tri, deg * (deg - 1) / 2)).otherwise(0.0)
-    ok = F.col("_c0").isNotNull()
-    k = len(cols)
-    d = d.withColumn("_hops", hop_counts(F.array(*[F.lit(0) if a == b else e(a, b) for a in cols for b in cols]), k))
-    linked = sum((flag(sum((e(x, c) for c in cols if c != x), F.lit(0)) > 0) for x in cols), F.lit(0))
-    out = {"density": total / len(pairs), "clustering": local / k, "centrality": F.coalesce(div(total * 2, linked * (linked - 1)), F.lit(0.0)), "path_length": path_length("_hops", k)}
-    d = d.withColumns({"mean_abs_corr": mean, **{name: F.when(ok, c) for name, c in out.items()}})
-    return d.drop("_hops", *[f"_{p}{i}" for p in "ce" for i in range(len(pairs))])
+
+    def measured(rows):
+        hops = hop_counts(F.array(*[F.lit(0) if a == b else edge(a, b) for a in cols for b in cols]), k)
+        return rows.withColumn("_hops", hops).withColumns(graph_measures(cols, edge))
+    d = rolling_frame(spread(df, s), list(cols), n, _window_correlations, [f"_c{i}" for i in range(m)], s)
+    ok, edges = F.col("_c0").isNotNull(), {f"_e{i}": flag(F.abs(f"_c{i}") > threshold) for i in range(m)}
+    names = ["density", "clustering", "centrality", "path_length"]
+    if m <= TABULATED:
+        bits = {f"_e{i}": F.shiftright("_mask", i).bitwiseAND(1).cast("int") for i in range(m)}
+        graphs = measured(df.sparkSession.range(0, 1 << m, 1, 1).withColumnRenamed("id", "_mask").withColumns(bits)).select("_mask", *names)
+        mask = sum((e.cast("long") * (1 << i) for i, e in enumerate(edges.values())), F.lit(0).cast("long"))
+        d = d.withColumn("_mask", F.when(ok, mask)).join(F.broadcast(graphs), "_mask", "left").drop("_mask")  # 2^m rows
+    else:
+        d = measured(d.withColumns(edges)).withColumns({c: F.when(ok, F.col(c)) for c in names}).drop("_hops", *edges)
+    mean = sum((F.abs(f"_c{i}") for i in range(1, m)), F.abs("_c0")) / m
+    return d.withColumn("mean_abs_corr", mean).drop(*[f"_c{i}" for i in range(m)])
