@@ -1,10 +1,12 @@
 """Timing factors and the window-expressible statistical factors."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.series import S, Series, div, flag, ladder, with_pos
+from quantloom.functions.kernels import rolling_frame
+from quantloom.functions.series import S, Series, div, flag, ladder, spread, with_pos
 from quantloom.operators.risk import daily_returns
 from quantloom.operators.technical import gains_losses
 
@@ -63,27 +65,24 @@ def hf_liquidity(df: DataFrame, s: Series = S) -> DataFrame:
                           "hf_momentum": div(s.sum("ret", 5), s.std("_m20", 5))}).drop("_tp", "_il", "_of", "_m20", "_pv")
 
 
+def _window_moments(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Bias corrected skewness and excess kurtosis and the standardised fifth and sixth moments of (windows x n) values."""
+    n = x.shape[1]
+    d = x - x[:, :1]  # a constant window is exactly zero
+    d = d - d.mean(axis=1, keepdims=True)
+    d2 = d * d
+    d3 = d2 * d
+    m2, m3, m4, m5, m6 = (np.einsum("ij,ij->i", a, b) / n for a, b in ((d, d), (d2, d), (d2, d2), (d2, d3), (d3, d3)))
+    skew = m3 / m2 ** 1.5 * ((n * (n - 1)) ** 0.5 / (n - 2))
+    kurt = ((m4 / m2 ** 2 - 3) * (n + 1) + 6) * ((n - 1) / ((n - 2) * (n - 3)))
+    return skew, kurt, m5 / m2 ** 2.5, m6 / m2 ** 3
+
+
 def higher_moments(df: DataFrame, n=50, s: Series = S) -> DataFrame:
     """Moments of log returns.  ``excess`` subtracts 3 from an already excess kurtosis, as the factor is defined."""
-    d = df.withColumn("_x", F.log(div("close", s.lag("close"))))
-    p = {k: s.mean(F.pow("_x", F.lit(float(k))), n) for k in range(1, 7)}
-    d = d.withColumns({"skew": s.skew("_x", n), "kurt": s.kurt("_x", n), **{f"_p{k}": c for k, c in p.items()}, "_sd": s.std0("_x", n)})
-    m = F.col("_p1")
-
-    def central(k):
-        out = None
-        for j in range(k + 1):
-            coef = _binom(k, j) * (-1) ** (k - j)
-            term = F.lit(float(coef)) * (F.col(f"_p{j}") if j else F.lit(1.0)) * F.pow(m, F.lit(float(k - j)))
-            out = term if out is None else out + term
-        return out
-    d = d.withColumns({"excess": F.col("kurt") - 3, "jarque_bera": n / 6 * (F.col("skew") ** 2 + (F.col("kurt") - 3) ** 2 / 4), "moment_5": div(central(5), F.pow("_sd", F.lit(5.0))), "moment_6": div(central(6), F.pow("_sd", F.lit(6.0)))})
-    return d.drop("_x", "_sd", *[f"_p{k}" for k in range(1, 7)])
-
-
-def _binom(n, k):
-    from math import comb
-    return comb(n, k)
+    d = spread(df, s).withColumn("_x", F.log(div("close", s.lag("close"))))
+    d = rolling_frame(d, ["_x"], n, _window_moments, ["skew", "kurt", "moment_5", "moment_6"], s)
+    return d.withColumns({"excess": F.col("kurt") - 3, "jarque_bera": n / 6 * (F.col("skew") ** 2 + (F.col("kurt") - 3) ** 2 / 4)}).drop("_x")
 
 
 def time_series_components(df: DataFrame, s: Series = S) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import network as NW
+from quantloom.operators import timing as TI
 
 
 @pytest.fixture
@@ -71,3 +72,29 @@ def test_feature_network_of_many_features(spark):
     assert got.where("density is not null and path_length is null").count() == 0 and got.where("density is not null").count() > 0
     few = NW.feature_network(df, COLS, 8).select("symbol", "date", F.col("density").alias("d4"))
     assert got.join(few, ["symbol", "date"]).where("density is null and d4 is not null").count() == 0
+
+
+def test_higher_moments_across_batches(spark, small_batches):
+    n = 8
+    df = walks(spark, flat=None).select("symbol", "date", F.exp("a").alias("close"), "b").withColumn("close", F.when((F.col("symbol") == 2) & (F.col("b").isNull() | (F.dayofmonth("date") == 12)), None).otherwise(F.col("close")))
+    df = df.unionByName(df.where("symbol = 2").withColumns({"symbol": F.lit(9).cast("long"), "close": F.lit(3.7)}))  # no moments without variance
+    df = df.drop("b")
+    got = TI.higher_moments(df, n).toPandas().sort_values(["symbol", "date"])
+    assert len(got) == df.count()
+    for sym, g in got.groupby("symbol"):
+        r = np.diff(np.log(g["close"].to_numpy(float)), prepend=np.nan)
+        for i, row in enumerate(g.to_dict("records")):
+            w = r[i - n + 1:i + 1] if i >= n - 1 else np.array([np.nan])
+            if not np.isfinite(w).all() or sym == 9:
+                assert np.isnan(row["skew"]) and np.isnan(row["moment_6"]) and np.isnan(row["jarque_bera"])
+                continue
+            d = w - w.mean()
+            m = {k: (d ** k).mean() for k in range(2, 7)}
+            skew = m[3] / m[2] ** 1.5 * (n * (n - 1)) ** 0.5 / (n - 2)
+            kurt = ((m[4] / m[2] ** 2 - 3) * (n + 1) + 6) * (n - 1) / ((n - 2) * (n - 3))
+            assert [row[c] for c in ("skew", "kurt", "excess", "jarque_bera", "moment_5", "moment_6")] == pytest.approx(
+                [skew, kurt, kurt - 3, n / 6 * (skew ** 2 + (kurt - 3) ** 2 / 4), m[5] / m[2] ** 2.5, m[6] / m[2] ** 3], rel=1e-6)
+
+
+def test_higher_moments_sums_no_frame_per_row(spark):
+    assert "RowFrame, -7" not in plan_of(TI.higher_moments(walks(spark).withColumn("close", F.exp("a")), 8))
