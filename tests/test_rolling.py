@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import network as NW
+from quantloom.operators import signals as G
 from quantloom.operators import timing as TI
 
 
@@ -98,3 +99,14 @@ def test_higher_moments_across_batches(spark, small_batches):
 
 def test_higher_moments_sums_no_frame_per_row(spark):
     assert "RowFrame, -7" not in plan_of(TI.higher_moments(walks(spark).withColumn("close", F.exp("a")), 8))
+
+
+def test_fuse_ranks_inside_the_series(spark):
+    df = spark.createDataFrame([(s, dt.date(2020, 1, 1) + dt.timedelta(days=i), x, y) for s in (1, 2) for i, (x, y) in enumerate([(1.0, None), (0.0, 5.0), (-0.0, 5.0), (None, None), (3.0, 1.0)])],
+                               "symbol long, date date, x double, y double")
+    got = G.fuse(df, ["x", "y"], [0.5, 0.5])
+    assert "BroadcastHashJoin" not in plan_of(got) and "SortMergeJoin" not in plan_of(got)  # the series stays in one task: no join, no sketch
+    rows = got.where("symbol = 2").orderBy("date").collect()
+    # ranks of x: 3/4, 1.5/4, 1.5/4, -, 4/4; of y: -, 2.5/3, 2.5/3, -, 1/3
+    assert [r["rank_mean"] for r in rows] == [pytest.approx(v) if v is not None else None for v in (0.75, (0.375 + 2.5 / 3) / 2, (0.375 + 2.5 / 3) / 2, None, (1 + 1 / 3) / 2)]
+    assert [r["median"] for r in rows] == [1.0, 2.5, 2.5, None, 2.0] and rows[3]["weighted"] == 0
