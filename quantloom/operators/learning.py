@@ -23,6 +23,11 @@ def vectors(df: DataFrame, cols, scale=True) -> DataFrame:
     return StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(d).transform(d).drop("_raw")
 
 
+def inputs(df: DataFrame, cols, target: str, keys=("symbol", "date")) -> DataFrame:
+    """Keys, features and target of the rows that have a target, written once: every pass of a fit reads them there."""
+    return materialise(df.where(F.col(target).isNotNull()).select(*keys, target, *cols), "features")
+
+
 def incomplete(df: DataFrame, cols) -> DataFrame:
     """Rows with a NULL feature: they have no vector, so models return them with NULL outputs."""
     return df.where(F.array_contains(F.array(*[F.col(c).isNull() for c in cols]), True))
@@ -40,6 +45,7 @@ def pca_factors(df: DataFrame, cols, k=3) -> DataFrame:
 
 
 def kmeans_cluster(df: DataFrame, cols, k=4, seed=7) -> DataFrame:
+    df = materialise(df, "features")
     d = vectors(df, cols)
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(d)
     centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
@@ -53,12 +59,12 @@ def split_by_date(df: DataFrame, share=0.7) -> DataFrame:
     days = df.select("date").distinct()
     s = Series((), ("date",))  # calendar bounded
     cut = days.withColumn("_r", F.percent_rank().over(s.w)).withColumn("is_train", F.col("_r") < share).drop("_r")
-    return df.join(cut, "date")
+    return df.join(F.broadcast(materialise(cut, "split")), "date")  # one row per date
 
 
 def ensemble(df: DataFrame, cols, target="fwd", seed=5) -> DataFrame:
     """Out-of-sample predictions of a linear, a forest and a boosted model, with mean and median."""
-    d = split_by_date(vectors(df.where(F.col(target).isNotNull()), cols))
+    d = split_by_date(vectors(inputs(df, cols, target), cols))
     train, test = d.where("is_train"), d.where(~F.col("is_train"))
     models = {"linear": LinearRegression(labelCol=target, predictionCol="p_linear", regParam=0.01), "forest": RandomForestRegressor(labelCol=target, predictionCol="p_forest", numTrees=10, maxDepth=4, seed=seed),
               "boost": GBTRegressor(labelCol=target, predictionCol="p_boost", maxIter=5, maxDepth=3, seed=seed)}
@@ -75,7 +81,7 @@ def linear_predictions(df: DataFrame, cols, target="fwd", ridge=0.01, lasso=0.01
     importances (``p_importance``): the importance-weighted sum of the standardised features, each with the sign
     of its correlation with the target in the training part.
     """
-    d = split_by_date(vectors(df.where(F.col(target).isNotNull()), cols))
+    d = split_by_date(vectors(inputs(df, cols, target), cols))
     train, test = d.where("is_train"), d.where(~F.col("is_train"))
     for name, reg, mix in (("p_ols", 0.0, 0.0), ("p_ridge", ridge, 0.0), ("p_lasso", lasso, 1.0)):
         test = LinearRegression(labelCol=target, predictionCol=name, regParam=reg, elasticNetParam=mix).fit(train).transform(test)
@@ -122,7 +128,7 @@ def importance(df: DataFrame, cols, target="fwd", seed=3, lasso=0.001) -> DataFr
     The lasso penalty is relative to the deviation of the target, so it does not depend on its unit; a measure that
     is zero for all features is NULL and counts as 0 in the mean.
     """
-    d = df.where(F.col(target).isNotNull())
+    d = inputs(df, cols, target, ())
     corr = d.agg(*[F.abs(corr_agg(c, target)).alias(c) for c in cols])
     c = unpivot(corr, [], list(cols), "feature", "corr_importance")
     v = vectors(d, cols)
