@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.draws import unit, with_draw
 from quantloom.functions.exact import quantiles, two_sample_ks, unpivot, with_group_stats
 from quantloom.functions.series import S, Series, div, flag, with_pos
-from quantloom.operators.relational import bucketize, corr_agg, equal_width_bins
+from quantloom.operators.relational import corr_agg, equal_width_bins
 from quantloom.session import materialise
 
 
@@ -174,14 +174,19 @@ def stability_selection(long: DataFrame, replicates=20, share=0.5, min_corr=0.01
     return g.groupBy("factor").agg(F.avg(flag(F.abs("_c") > min_corr)).alias("frequency"), F.avg("_c").alias("mean_corr"), F.count(F.lit(1)).alias("replicates"))
 
 
-def feature_stability(long: DataFrame, periods=5) -> DataFrame:
-    """Period means and their variation, KS distance of the first and second half, score 0 .. 100."""
-    d = long.where(F.col("value").isNotNull())
-    days = bucketize(d.select("date").distinct().withColumn("_d", F.unix_date("date").cast("double")), "_d", periods, out="period").select("date", "period")
-    d = d.join(days, "date")
-    p = d.groupBy("factor", "period").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+def feature_stability(df: DataFrame, cols, periods=5) -> DataFrame:
+    """Period means and their variation, KS distance of the first and second half, score 0 .. 100; one row per feature.
+
+    The features are computed once and written, a row of the panel each; every pass reads them there.
+    """
+    d = materialise(df.select("date", *[F.col(c).cast("double").alias(c) for c in cols]), "features").where(F.coalesce(*cols).isNotNull() & F.col("date").isNotNull())
+    s = Series((), ("date",))  # calendar bounded
+    days = d.select("date").distinct().withColumn("period", (F.floor((s.pos() - 1) * periods / F.count(F.lit(1)).over(s.whole)) + 1).cast("int"))
+    d = d.join(F.broadcast(materialise(days, "periods")), "date")  # one row per date
+    p = d.groupBy("period").agg(*[x for c in cols for x in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))])
+    p = p.select("period", F.inline(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(f"m_{c}").alias("m"), F.col(f"s_{c}").alias("s")) for c in cols]))).where(F.col("m").isNotNull())
     g = p.groupBy("factor").agg(div(F.stddev_samp("m"), F.abs(F.avg("m"))).alias("mean_cv"), div(F.stddev_samp("s"), F.abs(F.avg("s"))).alias("std_cv"), F.regr_slope("m", "period").alias("trend"))
-    ks = two_sample_ks(d, ["factor"], "value", F.col("period") <= periods // 2)
+    ks = two_sample_ks(unpivot(d, ["period"], list(cols), "factor"), ["factor"], "value", F.col("period") <= periods // 2)
     return g.join(ks, "factor").withColumn("score", F.greatest(100 - 50 * F.least("mean_cv", F.lit(1.0)) - 50 * F.col("ks"), F.lit(0.0)))
 
 

@@ -101,9 +101,9 @@ FST = (f"WITH d AS (SELECT * FROM ({FL}) WHERE value IS NOT NULL), ds AS (SELECT
        "sum(CASE WHEN period > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY factor ORDER BY value) / sum(CASE WHEN period > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY factor) AS fb FROM x), k AS (SELECT factor, max(abs(fa - fb)) AS ks FROM c GROUP BY 1) SELECT *, greatest(100 - 50 * least(mean_cv, 1) - 50 * ks, 0) AS score FROM g JOIN k USING (factor)")
 
 
-@query("feature_stability", "factor", "mean_cv std_cv trend ks score", sql=FST, tables="returns", staged=True)
+@query("feature_stability", "factor", "mean_cv std_cv trend ks score", sql=FST, tables="returns")
 def feature_stability(t):
-    return L.feature_stability(long(t))
+    return L.feature_stability(panel(t), FC)
 
 
 LEAK = (f"WITH d AS (SELECT *, lead(fwd) OVER w AS f, lag(value) OVER w AS l1, lag(value, 7) OVER w AS l7 FROM ({FL}) WINDOW w AS (PARTITION BY symbol, factor ORDER BY date)), g AS (SELECT factor, corr(value, fwd) AS target_corr, corr(value, f) AS future_corr, corr(value, l1) AS autocorr_1, corr(value, l7) AS autocorr_7 FROM d GROUP BY 1) "

@@ -1,6 +1,7 @@
 """Distributed ranks and quantiles on data where one value holds a third of all rows."""
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions import exact
@@ -44,6 +45,39 @@ def test_two_sample_distance(spark):
     assert abs(got - want) < 1e-12
 
 
+def distance(v, a):
+    """Distance of two samples by brute force."""
+    grid, x, y = np.unique(v), np.sort(v[a]), np.sort(v[~a])
+    return np.abs(np.searchsorted(x, grid, "right") / len(x) - np.searchsorted(y, grid, "right") / len(y)).max()
+
+
+def test_two_sample_distance_of_like_halves_orders_few_rows(spark, monkeypatch):
+    n = 20000
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(0.2 * (np.arange(n) % 2), 1), np.round(rng.normal(size=n), 1), np.full(n, 3.0), [1.0, 2.0]])
+    pdf = pd.DataFrame({"g": [*np.repeat(["smooth", "ties", "flat"], n), "one", "one"], "x": v, "a": [*(np.arange(3 * n) % 2 == 0), True, True]})
+    tables = {}
+    write = exact.materialise
+    monkeypatch.setattr(exact, "materialise", lambda df, tag: tables.setdefault(tag, write(df, tag)))
+    got = {r["g"]: r["ks"] for r in two_sample_ks(spark.createDataFrame(pdf).repartition(6), ["g"], "x", F.col("a")).collect()}
+    for g in ("smooth", "ties", "flat"):
+        d = pdf[pdf.g == g]
+        assert abs(got[g] - distance(d["x"].to_numpy(), d["a"].to_numpy())) < 1e-12
+    assert got["one"] is None  # no second sample
+    # the buckets near the largest distance are left to order
+    assert set(tables) == {"splits", "ends"}
+    assert 0 < tables["ends"].where("g = 'smooth' AND _open").count() < 100
+
+
+@pytest.mark.parametrize("buckets", [2, 3, 50, 2000])
+def test_two_sample_distance_with_any_number_of_buckets(spark, buckets):
+    rng = np.random.default_rng(9)
+    v = np.where(rng.random(500) < 0.3, 0.5, np.round(rng.normal(size=500), 2))
+    a = rng.random(500) < 0.4
+    df = spark.createDataFrame(pd.DataFrame({"x": v, "a": a})).repartition(3)
+    assert abs(two_sample_ks(df, [], "x", F.col("a"), buckets).first()["ks"] - distance(v, a)) < 1e-12
+
+
 def test_top_rows_and_buckets_keep_everything(spark):
     pdf, df = skewed(spark)
     got = {(r["g"], r["id"]) for r in top_n(df, "x", 5, ["g"], ["id"]).collect()}

@@ -22,3 +22,28 @@ def test_features_are_computed_once(spark, model):
         return v
     model(df.withColumn("x", F.udf(counted, "double", useArrow=False)("raw")), COLS).collect()
     assert seen.value == 200
+
+
+def test_stability_computes_features_once(spark):
+    rng = np.random.default_rng(4)
+    n = 300
+    raw = rng.normal(size=n)
+    rows = [(i % 3, dt.date(2020, 1, 1) + dt.timedelta(days=i // 3), None if i % 50 == 0 else float(v)) for i, v in enumerate(raw)]
+    df = spark.createDataFrame(rows, "symbol long, date date, raw double").withColumn("z", F.lit(None).cast("double"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        seen.add(1)
+        return v
+    got = L.feature_stability(df.withColumn("x", F.udf(counted, "double", useArrow=False)("raw")), COLS).collect()
+    assert seen.value == n
+    assert [r["factor"] for r in got] == ["x"]  # z has no value
+    known = np.arange(n) % 50 != 0
+    period = np.arange(n) // 3 * 5 // 100 + 1
+    m = np.array([raw[known & (period == p)].mean() for p in range(1, 6)])
+    s = np.array([raw[known & (period == p)].std(ddof=1) for p in range(1, 6)])
+    a, b = np.sort(raw[known & (period <= 2)]), np.sort(raw[known & (period > 2)])
+    ks = np.abs(np.searchsorted(a, raw[known], "right") / len(a) - np.searchsorted(b, raw[known], "right") / len(b)).max()
+    cv = m.std(ddof=1) / abs(m.mean())
+    want = [cv, s.std(ddof=1) / s.mean(), np.polyfit(range(1, 6), m, 1)[0], ks, max(100 - 50 * min(cv, 1) - 50 * ks, 0)]
+    np.testing.assert_allclose([got[0][c] for c in ("mean_cv", "std_cv", "trend", "ks", "score")], want, rtol=1e-9)
