@@ -199,11 +199,14 @@ def leakage(long: DataFrame, s: Series = Series(("symbol", "factor"), ("date",))
 
 
 def regime_change(df: DataFrame, s: Series = S) -> DataFrame:
-    """KS distance between the halves of each series and a t statistic of its mean."""
+    """KS distance between the halves of each series and a t statistic of its mean; the calendar bounds a series, so windows order it."""
     d = with_pos(df.where(F.col("ret").isNotNull()), s).withColumn("_n", F.count(F.lit(1)).over(s.whole))
-    ks = two_sample_ks(d, list(s.by), "ret", F.col("_pos") <= F.floor(F.col("_n") / 2))
-    g = d.groupBy(*s.by).agg(F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s"), F.count(F.lit(1)).alias("n"))
-    g = g.join(ks, list(s.by)).withColumn("t_stat", div(F.col("_m") * F.sqrt("n"), "_s"))
+    first = F.col("_pos") <= F.floor(F.col("_n") / 2)
+    upto = s.whole.orderBy("ret")  # the smaller and the equal values
+    share = [F.try_divide(F.count(F.when(half, 1)).over(upto), F.count(F.when(half, 1)).over(s.whole)) for half in (first, ~first)]
+    d = d.withColumn("_d", F.abs(share[0] - share[1]))
+    g = d.groupBy(*s.by).agg(F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s"), F.count(F.lit(1)).alias("n"), F.max("_d").alias("ks"))
+    g = g.withColumn("t_stat", div(F.col("_m") * F.sqrt("n"), "_s"))
     return g.withColumn("changed", flag(F.col("ks") > 1.36 * F.sqrt(4 / F.col("n")))).drop("_m", "_s")
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quantloom.functions import exact
 from quantloom.operators import learning as L
 
 COLS = ["x", "z"]
@@ -47,3 +48,23 @@ def test_stability_computes_features_once(spark):
     cv = m.std(ddof=1) / abs(m.mean())
     want = [cv, s.std(ddof=1) / s.mean(), np.polyfit(range(1, 6), m, 1)[0], ks, max(100 - 50 * min(cv, 1) - 50 * ks, 0)]
     np.testing.assert_allclose([got[0][c] for c in ("mean_cv", "std_cv", "trend", "ks", "score")], want, rtol=1e-9)
+
+
+def test_regime_distance_writes_nothing_and_equals_brute_force(spark, monkeypatch):
+    def refuse(df, tag="stage"):
+        raise AssertionError(f"wrote {tag}")
+    monkeypatch.setattr(exact, "materialise", refuse)
+    rng = np.random.default_rng(6)
+    series = {1: np.round(rng.normal(size=41), 1), 2: np.r_[rng.normal(size=30), rng.normal(3, 1, 30)], 3: np.full(8, 0.5), 4: np.array([0.1])}
+    rows = [(k, dt.date(2020, 1, 1) + dt.timedelta(days=i), float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    rows += [(1, dt.date(2019, 1, 1), None), (5, dt.date(2020, 1, 1), None)]
+    got = {r["symbol"]: r for r in L.regime_change(spark.createDataFrame(rows, "symbol long, date date, ret double").repartition(3)).collect()}
+    assert set(got) == set(series)
+    for k, x in series.items():
+        n = len(x)
+        a, b = np.sort(x[:n // 2]), np.sort(x[n // 2:])
+        if n > 1:
+            want = np.abs(np.searchsorted(a, x, "right") / len(a) - np.searchsorted(b, x, "right") / len(b)).max()
+            assert abs(got[k]["ks"] - want) < 1e-12
+        assert (got[k]["n"], got[k]["changed"]) == (n, int(k == 2))
+    assert got[4]["ks"] is None and got[3]["t_stat"] is None
