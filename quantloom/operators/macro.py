@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.exact import quantiles, with_group_stats
 from quantloom.functions.series import S, Series, div, flag, ladder
 from quantloom.operators.risk import YEAR
+from quantloom.session import materialise
 
 M = Series((), ("date",))
 
@@ -85,8 +86,14 @@ def relative_strength(panel: DataFrame, market="mclose", periods=(5, 20, 60), s:
 
 
 def rotation_signals(rs: DataFrame, perf: DataFrame, key="symbol") -> DataFrame:
+    """Signals of the relative strength, with the quarter of the volatilities an instrument lies in.
+
+    The performance is computed once and written: a quartile is often the value of an instrument itself, and means that were
+    summed a second time, in another order, would lie above or below it by a last bit.
+    """
+    perf = materialise(perf.select(key, "volatility_ann", "return_20d", "return_60d"), "performance")
     q = quantiles(perf, [], "volatility_ann", [0.25, 0.75], ["q25", "q75"])
-    d = rs.join(perf.select(key, "volatility_ann", "return_20d", "return_60d"), key).crossJoin(F.broadcast(q))  # one row
+    d = rs.join(perf, key).crossJoin(F.broadcast(q))  # one row
     p, r = F.col("rs_percentile_20d"), F.col("rs_20d")
     buy, sell = (p > 75) & (r > 0), (p < 25) & (r < 0)
     return d.withColumns({"signal": ladder([(buy, "BUY"), (sell, "SELL")], "HOLD"), "confidence": ladder([(buy & (p > 90), "HIGH"), (sell & (p < 10), "HIGH"), (buy | sell, "MEDIUM")], "NONE"),

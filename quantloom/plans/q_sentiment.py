@@ -112,7 +112,7 @@ def sector_relative_strength(t):
        sql=f"WITH r AS ({SRS}), p AS ({SP}), q AS (SELECT quantile_cont(volatility_ann, 0.25) AS q25, quantile_cont(volatility_ann, 0.75) AS q75 FROM p), j AS (SELECT r.*, p.volatility_ann, p.return_20d, p.return_60d, q25, q75, "
            "rs_percentile_20d > 75 AND rs_20d > 0 AS b, rs_percentile_20d < 25 AND rs_20d < 0 AS s FROM r JOIN p USING (symbol) CROSS JOIN q) SELECT *, CASE WHEN b THEN 'BUY' WHEN s THEN 'SELL' ELSE 'HOLD' END AS signal, "
            "CASE WHEN (b AND rs_percentile_20d > 90) OR (s AND rs_percentile_20d < 10) THEN 'HIGH' WHEN b OR s THEN 'MEDIUM' ELSE 'NONE' END AS confidence, CASE WHEN volatility_ann > q75 THEN 'high' WHEN volatility_ann < q25 THEN 'low' ELSE 'normal' END AS volatility_class, "
-           "CASE WHEN return_20d > 0 AND return_60d > 0 THEN 1 ELSE 0 END AS leader, CASE WHEN return_20d < -5 THEN 1 ELSE 0 END AS laggard FROM j", tables="industry_panel market_index")
+           "CASE WHEN return_20d > 0 AND return_60d > 0 THEN 1 ELSE 0 END AS leader, CASE WHEN return_20d < -5 THEN 1 ELSE 0 END AS laggard FROM j", tables="industry_panel market_index", staged=True)
 def sector_rotation_signals(t):
     return M.rotation_signals(_rs(t), M.sector_performance(t.industry_panel()))
 

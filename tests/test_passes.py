@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import exact
 from quantloom.operators import learning as L
+from quantloom.operators import macro as MA
 
 COLS = ["x", "z"]
 
@@ -68,3 +69,17 @@ def test_regime_distance_writes_nothing_and_equals_brute_force(spark, monkeypatc
             assert abs(got[k]["ks"] - want) < 1e-12
         assert (got[k]["n"], got[k]["changed"]) == (n, int(k == 2))
     assert got[4]["ks"] is None and got[3]["t_stat"] is None
+
+
+def test_rotation_signals_compute_the_performance_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        seen.add(1)
+        return v
+    perf = spark.createDataFrame([(k, float(k), 1.0, 1.0) for k in range(1, 10)], "symbol long, raw double, return_20d double, return_60d double")
+    perf = perf.withColumn("volatility_ann", F.udf(counted, "double", useArrow=False)("raw"))
+    rs = spark.createDataFrame([(k, 50.0, 0.0) for k in range(1, 10)], "symbol long, rs_percentile_20d double, rs_20d double")
+    got = {r["symbol"]: r["volatility_class"] for r in MA.rotation_signals(rs, perf).collect()}
+    assert seen.value == 9  # the quartile and what is compared with it are the same numbers
+    assert got == {k: "low" if k < 3 else "high" if k > 7 else "normal" for k in range(1, 10)}
