@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quantloom.operators import cross_section as CS
 from quantloom.operators import network as NW
 from quantloom.operators import signals as G
 from quantloom.operators import timing as TI
@@ -110,3 +111,24 @@ def test_fuse_ranks_inside_the_series(spark):
     # ranks of x: 3/4, 1.5/4, 1.5/4, -, 4/4; of y: -, 2.5/3, 2.5/3, -, 1/3
     assert [r["rank_mean"] for r in rows] == [pytest.approx(v) if v is not None else None for v in (0.75, (0.375 + 2.5 / 3) / 2, (0.375 + 2.5 / 3) / 2, None, (1 + 1 / 3) / 2)]
     assert [r["median"] for r in rows] == [1.0, 2.5, 2.5, None, 2.0] and rows[3]["weighted"] == 0
+
+
+def test_liquidity_shock_at_the_limit(spark):
+    # the last volume is exactly mean + 2 deviations, no shock; one more is one (mean + 2 deviations moves by less than one)
+    windows = [[1, 6, 10, 1, 7, 3, 11, 8, 10, 9, 8, 9, 1, 3, 12, 5, 8, 2, 11, 7, 15], [4, 6, 2, 6, 7, 7, 2, 5, 2, 3, 2, 3, 1, 6, 4, 4, 3, 3, 4, 2, 8],
+               [1, 4, 5, 7, 3, 5, 3, 5, 4, 1, 2, 3, 6, 3, 6, 2, 2, 3, 7, 4, 8]]
+    series = {10 * k + more: [float(x) for x in w[:-1]] + [float(w[-1] + more)] for k, w in enumerate(windows) for more in (0, 1)}
+    rng = np.random.default_rng(5)
+    series[100] = (1e9 + rng.normal(size=60)).tolist()
+    series[101] = [5.0] * 30
+    series[102] = [None if i == 25 else float(i * i % 13) for i in range(50)]
+    rows = [(k, dt.date(2020, 1, 1) + dt.timedelta(days=i), 10.0 + i % 3, x) for k, v in series.items() for i, x in enumerate(v)]
+    got = {(r["symbol"], r["date"].toordinal() - dt.date(2020, 1, 1).toordinal()): r for r in CS.liquidity_state(spark.createDataFrame(rows, "symbol long, date date, close double, volume double"), 24).collect()}
+    for k in range(len(windows)):
+        assert [got[(10 * k + more, 20)]["liquidity_shock_state"] for more in (0, 1)] == [0, 1]
+    for k in (100, 101, 102):
+        for i, x in enumerate(series[k]):
+            w = np.array([np.nan if y is None else y for y in series[k][max(0, i - 20):i + 1]])
+            full = len(w) == 21 and np.isfinite(w).all()
+            assert got[(k, i)]["liquidity_shock_state"] == int(full and x - w.mean() > 2 * w.std(ddof=1))
+            assert (got[(k, i)]["_vv"] == pytest.approx(w.std(ddof=1), rel=1e-6, abs=1e-9)) if full else got[(k, i)]["_vv"] is None
