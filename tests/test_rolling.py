@@ -132,3 +132,24 @@ def test_liquidity_shock_at_the_limit(spark):
             full = len(w) == 21 and np.isfinite(w).all()
             assert got[(k, i)]["liquidity_shock_state"] == int(full and x - w.mean() > 2 * w.std(ddof=1))
             assert (got[(k, i)]["_vv"] == pytest.approx(w.std(ddof=1), rel=1e-6, abs=1e-9)) if full else got[(k, i)]["_vv"] is None
+
+
+def test_fuse_first_component(spark):
+    rng = np.random.default_rng(8)
+    n = 40
+    base = rng.normal(size=n)
+    series = {1: [base, -base + 0.3 * rng.normal(size=n), rng.normal(size=n)], 2: [base, 2 * base + rng.normal(size=n), np.zeros(n)],  # the last signal does not vary
+              3: [np.zeros(n), np.zeros(n), np.zeros(n)], 4: [base, rng.normal(size=n), np.full(n, np.nan)]}
+    rows = [(k, dt.date(2020, 1, 1) + dt.timedelta(days=i), *[None if np.isnan(x[i]) or i < 3 and k == 1 else float(x[i]) for x in v]) for k, v in series.items() for i in range(n)]
+    got = {}
+    for r in G.fuse(spark.createDataFrame(rows, "symbol long, date date, x double, y double, z double"), ["x", "y", "z"], [0.5, 0.3, 0.2]).orderBy("symbol", "date").collect():
+        got.setdefault(r["symbol"], []).append(r["pca"])
+    for k, v in series.items():
+        m = np.nan_to_num(np.stack(v, axis=1))
+        if k == 1:
+            m[:3] = 0
+        sd = m.std(axis=0)
+        u = (m - m.mean(axis=0)) / np.where(sd > 0, sd, 1)
+        lead = np.linalg.svd(u)[2][0] if k != 3 else np.zeros(3)
+        top = (np.abs(lead) > np.abs(lead).max() - 1e-9).argmax()
+        assert got[k] == pytest.approx((u @ lead * (np.sign(lead[top]) or 1)).tolist(), abs=1e-9)
