@@ -62,16 +62,41 @@ def split_by_date(df: DataFrame, share=0.7) -> DataFrame:
     return df.join(F.broadcast(materialise(cut, "split")), "date")  # one row per date
 
 
-def ensemble(df: DataFrame, cols, target="fwd", seed=5) -> DataFrame:
-    """Out-of-sample predictions of a linear, a forest and a boosted model, with mean and median."""
-    d = split_by_date(vectors(inputs(df, cols, target), cols))
-    train, test = d.where("is_train"), d.where(~F.col("is_train"))
-    models = {"linear": LinearRegression(labelCol=target, predictionCol="p_linear", regParam=0.01), "forest": RandomForestRegressor(labelCol=target, predictionCol="p_forest", numTrees=10, maxDepth=4, seed=seed),
-              "boost": GBTRegressor(labelCol=target, predictionCol="p_boost", maxIter=5, maxDepth=3, seed=seed)}
-    for m in models.values():
-        test = m.fit(train).transform(test)
-    a, b, c = F.col("p_linear"), F.col("p_forest"), F.col("p_boost")
-    return test.select("symbol", "date", target, "p_linear", "p_forest", "p_boost", ((a + b + c) / 3).alias("p_mean"), (a + b + c - F.greatest(a, b, c) - F.least(a, b, c)).alias("p_median"))
+def walk_forward(df: DataFrame, cols, target="fwd", window=60, step=20, s: Series = S):
+    """Yields (train, test) per block of ``step`` dates, from the date after the first ``window`` ones on: vectors of the block and of the ``window`` dates before it.
+
+    Dates are those on which a row has all features.  A row trains only where its target is known on the first date of the block, that is, where the
+    next row of its series lies no later.  The rows are written once, and again by block, so that a fit reads its own dates; the list of dates is bounded by the calendar.
+    """
+    d = inputs(df.withColumn("_known", s.lead("date")), ["_known", *cols], target).dropna(subset=list(cols))
+    dates = [r["date"] for r in d.select("date").distinct().orderBy("date").collect()]
+    if len(dates) <= window:
+        return
+    blocks = df.sparkSession.createDataFrame([(x, (i - window) // step) for i, x in enumerate(dates)], "date date, _block int")
+    d = materialise(d.join(F.broadcast(blocks), "date"), "blocks", ["_block"])  # one row per date
+    for k in range((len(dates) - window - 1) // step + 1):
+        start = window + k * step
+        first, last = F.lit(dates[start - window]), F.lit(dates[start])
+        past = d.where(F.col("_block").between((start - 2 * window) // step, k - 1) & (F.col("date") >= first) & (F.col("_known") <= last))
+        yield vectors(past, cols, scale=False), vectors(d.where(F.col("_block") == k), cols, scale=False)
+
+
+def ensemble(df: DataFrame, cols, target="fwd", seed=5, window=60, step=20) -> DataFrame:
+    """Out-of-sample predictions of a linear, a forest and a boosted model, with mean and median.
+
+    Walk-forward: every block of ``step`` dates is predicted by models fitted anew on the ``window`` dates before it, from the first date that has so many on.
+    """
+    models = [LinearRegression(labelCol=target, predictionCol="p_linear", regParam=0.01), RandomForestRegressor(labelCol=target, predictionCol="p_forest", numTrees=10, maxDepth=4, seed=seed),
+              GBTRegressor(labelCol=target, predictionCol="p_boost", maxIter=5, maxDepth=3, seed=seed)]
+    names = [m.getPredictionCol() for m in models]
+    out = df.where(F.lit(False)).select("symbol", "date", target, *[F.lit(None).cast("double").alias(p) for p in names])
+    for train, test in walk_forward(df, cols, target, window, step):
+        fitted = not train.isEmpty()
+        for m in models:
+            test = m.fit(train).transform(test) if fitted else test.withColumn(m.getPredictionCol(), F.lit(None).cast("double"))
+        out = out.unionByName(test.select(*out.columns))
+    a, b, c = (F.col(p) for p in names)
+    return out.withColumns({"p_mean": (a + b + c) / 3, "p_median": a + b + c - F.greatest(a, b, c) - F.least(a, b, c)})
 
 
 def linear_predictions(df: DataFrame, cols, target="fwd", ridge=0.01, lasso=0.01, forest=False, seed=11) -> DataFrame:

@@ -154,3 +154,20 @@ def test_features_are_computed_once(spark, monkeypatch):
     df = spark.createDataFrame(rows, "symbol long, date date, x double, z double, fwd double")
     assert L.anomaly_scores(df, ["x", "z"]).count() == 80 and tags == ["features"]
     assert L.impute_scale_select(df, ["x", "z"], k=1).count() == 80 and tags == ["features", "features"]
+
+
+def test_ensemble_walks_forward(spark):
+    rng = np.random.default_rng(12)
+    day = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(110)]
+    # the target turns on day 40, so only models fitted on the days just before a block see the new rule alone
+    rows = [(s, day[i], float(x), float(z), float((2 if i < 40 else -2) * x)) for i in range(110) for s, (x, z) in enumerate(rng.normal(size=(8, 2)))]
+    rows += [(9, day[95], 1.0, 1.0, 1e6), (9, day[109], 1.0, 1.0, -2.0)]  # known on day 109 only: no model of the block of day 100 may use it
+    rows += [(10, day[i], None, 0.0, 0.0) for i in range(110)]
+    got = L.ensemble(spark.createDataFrame(rows, "symbol long, date date, x double, z double, fwd double"), ["x", "z"]).toPandas()
+    assert sorted(got["date"].unique()) == day[60:] and len(got) == 50 * 8 + 2  # every day after the first 60
+    new = got[(got["date"] >= day[100])]
+    np.testing.assert_allclose(new["p_linear"], new["fwd"], atol=0.1)
+    assert np.corrcoef(new["p_forest"], new["fwd"])[0, 1] > 0.9 and np.corrcoef(new["p_boost"], new["fwd"])[0, 1] > 0.9
+    three = got[["p_linear", "p_forest", "p_boost"]]
+    np.testing.assert_allclose(got["p_mean"], three.mean(axis=1))
+    np.testing.assert_allclose(got["p_median"], three.median(axis=1), atol=1e-6)
