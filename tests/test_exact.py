@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions import exact
-from quantloom.functions.exact import bucketed, quantiles, ranks, two_sample_ks
+from quantloom.functions.exact import bucketed, quantiles, ranks, sorted_ranks, two_sample_ks
+from quantloom.operators.cross_section import relative_ranks
 from quantloom.operators.relational import bucketize, label_encode, top_fraction, top_n
 
 
@@ -126,3 +127,28 @@ def test_statistics_of_few_groups_do_not_move_the_rows(spark):
     d = exact.with_group_stats(df, ["g"], {"m": F.avg("x")}, few=True)
     assert "Exchange hashpartitioning" not in d._jdf.queryExecution().executedPlan().toString()
     assert all(abs(r["m"] - (998.0 + r["g"])) < 2 for r in d.select("g", "m").distinct().collect()) and d.count() == 2000
+
+
+def test_sorted_ranks_move_the_rows_once(spark):
+    pdf, df = skewed(spark)
+    d = df.withColumns({"y": -F.col("x"), "w": F.col("id") % 7}).repartition(6, "id")
+    cols = {"lo": ("x", "min"), "av": ("x", "avg"), "row": ("x", "row"), "mean": ("x", "mean_row"), "ylo": ("y", "min"), "wav": ("w", "avg")}
+    r = sorted_ranks(d, ["g"], cols)
+    assert r._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(g") == 1
+    got = r.toPandas().set_index("id").sort_index()
+    x = pdf.assign(y=-pdf["x"], w=pdf["id"] % 7).groupby("g")
+    for name, want in (("lo", x["x"].rank(pct=True, method="min")), ("av", x["x"].rank(pct=True)), ("row", x["x"].rank(method="min")), ("mean", x["x"].rank()),
+                       ("ylo", x["y"].rank(pct=True, method="min")), ("wav", x["w"].rank(pct=True))):
+        np.testing.assert_allclose(got[name], want)
+    assert len(got) == len(pdf)
+
+
+def test_relative_ranks_write_nothing_and_move_rows_to_their_date_once(spark, bars, monkeypatch):
+    monkeypatch.setattr(exact, "materialise", lambda *a: pytest.fail("a table was written"))
+    got = relative_ranks(bars)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(date") == 1 and "Join" not in plan
+    p = got.toPandas().sort_values(["symbol", "date"])
+    r = p["close"].astype(float) / p.groupby("symbol")["close"].shift() - 1
+    np.testing.assert_allclose(p["return_rank"], r.groupby(p["date"]).rank(pct=True, method="min"))
+    np.testing.assert_allclose(p["turnover_rank"], (p["volume"] / p["close"]).groupby(p["date"]).rank(pct=True, method="min"))
