@@ -160,35 +160,118 @@ def _strip(rows: pd.DataFrame, n: int, span: int) -> pd.DataFrame:
     return pd.DataFrame([(chunk, block, first, width, packed("ret"), packed("volume"), market.tobytes())], columns=["chunk", "block", "first", "width", "ret", "volume", "mret"])
 
 
+#: Side of the tiles in which the pairs of a cell are worked on (288 kilobytes a matrix), and windows that share the sums over their common dates.
+TILE, SHARED = 192, 12
+
+
+def _parts(v: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Distances from the centre, marks of the values that are there, and squares of the distances, 3 x rows x dates; a hole is 0."""
+    held = ~np.isnan(v)
+    z = np.where(held, v - centre, 0.0)
+    return np.stack([z, held, z * z])
+
+
+def _products(x: np.ndarray, y: np.ndarray, to: np.ndarray) -> None:
+    """Sums over the dates for every pair of rows: of x, pairs, of squares of x, of products, of y, of squares of y."""
+    k, p, q = x.shape[2], x.shape[1], y.shape[1]
+    np.matmul(x.reshape(3 * p, k), y[1].T, out=to[:3].reshape(3 * p, q))
+    np.matmul(x[:2].reshape(2 * p, k), y[0].T, out=to[3:5].reshape(2 * p, q))
+    np.matmul(x[1], y[2].T, out=to[5])
+
+
+def sliding_corr(x: np.ndarray, y: np.ndarray, n: int, least: float):
+    """Yields, per window of ``n`` positions, the correlations of the rows of ``x`` with those of ``y`` and whether they count, 0 and False where not.
+
+    As ``complete_corr``, window by window.  ``SHARED`` windows have most positions in common: their sums are taken once, and a
+    window adds those of its few others; nothing is subtracted, so no window bears the rounding of values outside it.  The arrays are used again by the next window.
+    """
+    windows = x.shape[1] - n + 1
+    shared = min(SHARED, max(1, n // 2))
+    core, sums, c, t = (np.empty((k, len(x), len(y))) for k in (6, 6, 1, 1))
+    c, t = c[0], t[0]
+    for s in range(0, windows, shared):
+        m = min(shared, windows - s)
+        sides = []
+        for v in (x, y):
+            v = v[:, s:s + m + n - 1]
+            inner = v[:, m - 1:n]
+            centre = np.nansum(inner, axis=1, keepdims=True) / np.maximum((~np.isnan(inner)).sum(axis=1, keepdims=True), 1)
+            sides.append(_parts(v, centre))
+        _products(*(np.ascontiguousarray(v[:, :, m - 1:n]) for v in sides), core)
+        for w in range(m):
+            others = [*range(w, m - 1), *range(n, n + w)]
+            _products(*(v[:, :, others] for v in sides), sums)
+            sums += core
+            sx, k, sxx, sxy, sy, syy = sums
+            with np.errstate(all="ignore"):
+                ok = k >= least
+                np.divide(sx, k, out=t)
+                np.multiply(t, sy, out=c)
+                np.subtract(sxy, c, out=c)  # products less the means
+                np.multiply(t, sx, out=t)
+                np.subtract(sxx, t, out=t)  # variance of x
+                sxx *= 1e-12
+                ok &= t > sxx
+                sy *= sy
+                sy /= k
+                np.subtract(syy, sy, out=sy)  # variance of y
+                syy *= 1e-12
+                ok &= sy > syy  # no variance, no correlation
+                t *= sy
+                np.sqrt(t, out=t)
+                c /= t
+            np.copyto(c, 0.0, where=~ok)
+            yield c, ok
+
+
 def _cell_sums(cell: dict, n: int, threshold: float, least: float, span: int) -> pd.DataFrame:
     """Counts and sums over the pairs of a cell, one row per window end of its chunk."""
     chunk, i, j, first, width = (int(cell[c]) for c in ("chunk", "i", "j", "first", "width"))
+    ends = range(max(chunk * span, n), (chunk + 1) * span)
+    if not ends:
+        return pd.DataFrame([], columns=CELL_COLUMNS)
+    begin = ends[0] - n + 1 - first
 
     def grid(data):
-        return np.frombuffer(data).reshape(-1, width)
+        return np.frombuffer(data).reshape(-1, width)[:, begin:]
+
+    def tiles(ret, volume):
+        return [(ret[k:k + TILE], volume[k:k + TILE]) for k in range(0, len(ret), TILE)]
     a = {"ret": grid(cell["ret"]), "volume": grid(cell["volume"])}
-    b = a if i == j else {"ret": grid(cell["ret_j"]), "volume": grid(cell["volume_j"])}
-    market = grid(cell["mret"])
+    ours = tiles(a["ret"], a["volume"])
+    theirs = ours if i == j else tiles(grid(cell["ret_j"]), grid(cell["volume_j"]))
+    edges, ret_n, lag_n = (np.zeros(len(ends), dtype=np.int64) for _ in range(3))
+    ret_sum, lag_sum = np.zeros(len(ends)), np.zeros(len(ends))
+
+    def pairs(x, y, size, keep=None):
+        for w, (c, ok) in enumerate(sliding_corr(x, y, size, least)):
+            if keep is not None:
+                c *= keep
+                ok &= keep
+            yield w, c, ok
+    for u, (ra, va) in enumerate(ours):
+        for v, (rb, vb) in enumerate(theirs):
+            if i == j and v < u:
+                continue
+            same = i == j and u == v
+            once = np.triu(np.ones((len(ra), len(ra)), dtype=bool), 1) if same else None
+            for w, c, _ in pairs(va, vb, n, once):
+                edges[w] += np.count_nonzero(np.abs(c) > threshold)
+            for w, c, ok in pairs(ra, rb, n, once):
+                ret_sum[w] += c.sum()
+                ret_n[w] += np.count_nonzero(ok)
+            for now, before in [(ra, rb)] if same else [(ra, rb), (rb, ra)]:
+                for w, c, ok in pairs(now[:, 1:], before[:, :-1], n - 1, ~np.eye(len(ra), dtype=bool) if same else None):
+                    lag_sum[w] += np.abs(c).sum()
+                    lag_n[w] += np.count_nonzero(ok)
     out = []
-    for end in range(max(chunk * span, n), (chunk + 1) * span):
-        w = slice(end - n + 1 - first, end + 1 - first)
-
-        def pairs(x, y, ordered=False):
-            c, k = complete_corr(x, y)
-            ok = (k >= least) & ~np.isnan(c)
-            if i == j:
-                ok &= ~np.eye(len(c), dtype=bool) if ordered else np.triu(np.ones(c.shape, dtype=bool), 1)
-            return c[ok]
-        vol, ret = pairs(a["volume"][:, w], b["volume"][:, w]), pairs(a["ret"][:, w], b["ret"][:, w])
-        now, before = slice(w.start + 1, w.stop), slice(w.start, w.stop - 1)
-        lagged = [pairs(a["ret"][:, now], b["ret"][:, before], True)] + ([pairs(b["ret"][:, now], a["ret"][:, before], True)] if i != j else [])
+    for k, end in enumerate(ends):
         nodes, with_market = 0, np.empty(0)
         if i == j:
-            nodes = int((~np.isnan(a["volume"][:, w])).any(axis=1).sum())
-            c, k = complete_corr(a["ret"][:, w], market[:, w])
-            with_market = c[(k >= least) & ~np.isnan(c)]
-        out.append((end, nodes, int((np.abs(vol) > threshold).sum()), float(ret.sum()), len(ret), float(sum(np.abs(x).sum() for x in lagged)), sum(map(len, lagged)),
-                    float((with_market ** 2).sum()), len(with_market)))
+            nodes = int((~np.isnan(a["volume"][:, k:k + n])).any(axis=1).sum())
+            c, held = complete_corr(a["ret"][:, k:k + n], grid(cell["mret"])[:, k:k + n])
+            with_market = c[(held >= least) & ~np.isnan(c)]
+        out.append((end, nodes, int(edges[k]), float(ret_sum[k]), int(ret_n[k]), float(lag_sum[k]), int(lag_n[k]), float((with_market ** 2).sum()), len(with_market)))
     return pd.DataFrame(out, columns=CELL_COLUMNS)
 
 

@@ -154,3 +154,27 @@ def test_strips_are_sent_to_a_bounded_number_of_tasks(spark):
     copies = re.findall(r"sequence\(0, (\d+)", d._jdf.queryExecution().analyzed().toString())
     assert copies and all(int(c) < NW.LANES for c in copies)
     assert [tuple(r)[1:] for r in d.orderBy("date").collect()] == [pytest.approx(tuple(r)[1:], abs=1e-9) for r in NW.structure_series(df, 4).orderBy("date").collect()]
+
+
+@pytest.mark.parametrize(("n", "windows"), [(52, 32), (52, 1), (5, 40), (1, 3)])
+def test_sliding_correlations_share_the_common_dates(monkeypatch, n, windows):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(7, n + windows - 1)), rng.normal(size=(5, n + windows - 1))
+    x[0, :4] = 1e7  # far off, in the first windows only: later ones must not bear its rounding
+    x[1] = 0.1  # does not vary
+    x[rng.random(x.shape) < 0.2] = np.nan
+    y[rng.random(y.shape) < 0.2] = np.nan
+    y[2] = np.nan
+    done = []
+    real = NW._products
+    monkeypatch.setattr(NW, "_products", lambda a, b, to: (done.append(a.shape[2]), real(a, b, to)))
+    got = [(c.copy(), ok.copy()) for c, ok in NW.sliding_corr(x, y, n, n / 2)]
+    assert len(got) == windows
+    for w, (c, ok) in enumerate(got):
+        want, k = NW.complete_corr(x[:, w:w + n], y[:, w:w + n])
+        count = (k >= n / 2) & ~np.isnan(want)
+        assert (ok == count).all() and (c[~ok] == 0).all()
+        part = slice(1 if w < 4 else 0, None)  # a pair that lacks the far dates loses digits beside them, in either way
+        np.testing.assert_allclose(c[part][ok[part]], want[part][ok[part]], atol=1e-9)
+    if windows > 30 and n > 50:
+        assert sum(done) < n * windows / 3  # dates multiplied; a window for itself takes n
